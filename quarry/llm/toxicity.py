@@ -29,7 +29,7 @@ from quarry.llm.common import mix64
 from quarry.llm.sampling import labelled_sample, predictions
 
 #: Bounds of the sample of labelled documents: toxic and clean.
-PER_CLASS = {1: 3_000, 0: 5_000}
+PER_CLASS = {1: 1_500, 0: 2_500}
 THRESHOLD = 0.5
 DECAY, SPAN, BITS = 0.6, 6, 18
 LANDMARKS, EXAMPLES = 256, 6_000
@@ -106,8 +106,12 @@ class Model:
     prior: float
 
     def margins(self, words: list[str]) -> np.ndarray:
-        who, bucket, weight = features(words)
-        return np.bincount(who, self.weights[bucket] * weight, len(words)) + self.bias
+        out = np.full(len(words), self.bias)
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            who, bucket, weight = features(part)
+            out[i : i + len(part)] += np.bincount(who, self.weights[bucket] * weight, len(part))
+        return out
 
 
 class Scorer:
@@ -123,9 +127,7 @@ class Scorer:
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
             fresh = list({w for f in found for w in f})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self.memo.update(zip(part, self.model.margins([normal(w) for w in part]).tolist(), strict=True))
+        self.memo.update(zip(fresh, self.model.margins([normal(w) for w in fresh]).tolist(), strict=True))
         out, get = np.zeros((len(found), 5)), self.memo.__getitem__
         for i, f in enumerate(found):
             top = np.array(sorted(map(get, f), reverse=True)[:3] if len(f) < 50 else -np.partition(-np.fromiter(map(get, f), np.float64, len(f)), 3)[:3])
@@ -217,8 +219,8 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: dict[int, int] | None = None) -> Model:
-    sample = labelled_sample(documents, labels, label, per_class or PER_CLASS).toPandas().sort_values("k")
-    return train(sample["text"].to_list(), sample["y"].to_numpy(np.float64))
+    rows = sorted(labelled_sample(documents, labels, label, per_class or PER_CLASS).toLocalIterator(), key=lambda r: r["k"])
+    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float64))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
