@@ -1,6 +1,6 @@
 """Toxicity: a support vector machine on a string-subsequence kernel with Nyström landmarks.
 
-The kernel counts common subsequences of three characters inside a word, weighted by ``DECAY`` to the power
+The kernel counts common subsequences of four characters inside a word, weighted by ``DECAY`` to the power
 of the span they cover, spans of at most ``SPAN``; characters put between the letters of an insult only
 lower the weight.  Word marks (^ and $) count as characters.  Punctuation inside words is dropped before,
 and runs of single letters ("i d i o t") are read as one word, so gapped insults meet the kernel whole.
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64
+from quarry.llm.common import held_out, mix64
 from quarry.llm.sampling import labelled_sample, predictions
 
 #: Bounds of the sample of labelled documents: toxic and clean.
@@ -55,16 +55,19 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     who, bucket, weight = [], [], []
-    for b in range(2, SPAN):
-        if b >= len(codes):
-            break
+    for b in range(3, min(SPAN, len(codes))):
         same = np.flatnonzero(owner[:-b] == owner[b:])
+        if not len(same):
+            break
         ends = codes[same] * np.uint64(0x9E3779B97F4A7C15) + codes[same + b] * np.uint64(0xC2B2AE3D27D4EB4F)
-        for a in range(1, b):
-            h = mix64(ends + codes[same + a] * np.uint64(0x165667B19E3779F9))
-            bucket.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-            who.append(owner[same])
-            weight.append(np.full(len(same), DECAY ** (b + 1)))
+        first = [codes[same + a] * np.uint64(0x165667B19E3779F9) for a in range(1, b)]
+        second = [codes[same + a] * np.uint64(0xFF51AFD7ED558CCD) for a in range(1, b)]
+        for i in range(b - 1):
+            for j in range(i + 1, b - 1):
+                h = mix64(ends + first[i] + second[j])
+                bucket.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+                who.append(owner[same])
+                weight.append(np.full(len(same), DECAY ** (b + 1)))
     if not who:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     who, bucket, weight = np.concatenate(who), np.concatenate(bucket), np.concatenate(weight)
@@ -158,18 +161,20 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -> np.ndarray:
+    """Weighted so that the classes count as in the population, where ``share`` is of class 1."""
     w = np.zeros(x.shape[1])
+    c = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (c * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (c * (y - p)) - ridge * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(texts: list[str], y: np.ndarray) -> Model:
+def train(texts: list[str], y: np.ndarray, share: float | None = None) -> Model:
     """A model from labelled texts, all in memory: the caller bounds them."""
     prior = float((y.sum() + 1) / (len(y) + 2))
     none = Model(np.zeros(1 << BITS), -1.0, None, prior)
@@ -188,14 +193,14 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         return g if a > (a + b) * p else -g
 
     lift = {w: evidence(w) for w, c in bad.items() if c >= 2}
-    chosen = sorted((w for w in lift if lift[w] > 8), key=lambda w: (-lift[w], w))[: EXAMPLES // 3] or sorted((w for w in lift if lift[w] > 4), key=lambda w: (-lift[w], w))[:50]
+    chosen = sorted((w for w in lift if lift[w] > 5), key=lambda w: (-lift[w], w))[: EXAMPLES // 3] or sorted((w for w in lift if lift[w] > 4), key=lambda w: (-lift[w], w))[:50]
     if not chosen:
         return none
     open_words = sorted(w for w in good if lift.get(w, 0) < 1)
     common = sorted(open_words, key=lambda w: (-good[w], w))[: EXAMPLES // 2]
     near: list[str] = []
     model = none
-    for _ in range(4):
+    for _ in range(3):
         taken = set(near)
         rest = [w for w in common if w not in taken]
         spread = open_words[:: max(1, len(open_words) // (EXAMPLES // 3))]
@@ -208,19 +213,16 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         cost = np.array([2.0 * min(10.0, max(1.0, lift[w])) for w in chosen] + [1.0 + min(20.0, good[w] / 4) for w in clean])
         w = svm(np.column_stack([gram(chosen + clean, landmarks) @ root, np.ones(len(label))]), label, cost)
         model = Model(folded(landmarks, root @ w[:-1]), float(w[-1]), None, prior)
-        # clean words next to the insults, and likely insults too rare to stand out alone, join the examples
+        # the clean words nearest to the insults join the examples and the landmarks
         near = [open_words[i] for i in np.argsort(-model.margins(open_words), kind="stable")[: EXAMPLES // 3]]
-        rare = sorted(w for w in lift if 0.5 < lift[w])
-        m = model.margins(rare)
-        more = [rare[i] for i in np.argsort(-m, kind="stable")[: EXAMPLES // 3] if m[i] > 0]
-        chosen = chosen + [w for w in more if w not in set(chosen)]
     x = np.column_stack([Scorer(model).points(texts), np.ones(len(texts))])
-    return Model(model.weights, model.bias, logistic(x, y), prior)
+    return Model(model.weights, model.bias, logistic(x, y, share or float(y.mean())), prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: dict[int, int] | None = None) -> Model:
     rows = sorted(labelled_sample(documents, labels, label, per_class or PER_CLASS).toLocalIterator(), key=lambda r: r["k"])
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float64))
+    counts = {r["y"]: r["n"] for r in labels.where(~held_out("doc_id")).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
+    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
