@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontam, langid, linedup, neardup, oracles, quality, toxicity
+from quarry.llm import bpe, decontam, langid, linedup, neardup, oracles, quality, toxicity, warc
 from quarry.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
 
