@@ -22,8 +22,17 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
+
+
+def _load() -> None:
+    import importlib
+
+    for module in ("tables",):
+        importlib.import_module(f"quarry.plans.{module}")
