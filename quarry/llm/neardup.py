@@ -6,13 +6,14 @@ way of hashed TF-IDF vectors: a feature vector of fixed size, whatever the corpu
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts share a sample with
 the probability of their weighted Jaccard similarity.  Texts that share all ``ROWS`` samples of a band are
-candidates: at a similarity of 0.8 a pair is missed with probability (1 - 0.8^3)^18 = 2.5e-6.  Candidates are
+candidates: at a similarity of 0.8 a pair is missed with probability (1 - 0.8^3)^16 = 1e-5.  Candidates are
 verified by their weighted Jaccard similarity, computed from the texts.
 
 Equal texts are one node from the start.  A bucket of up to ``SMALL`` texts gives all its pairs.  A larger
-bucket is verified against a pivot drawn by a hash that differs between bands, and what does not match the
-pivot meets a new pivot of the same bucket in the next round, until no bucket holds two unmatched texts; so
-rows made stay in proportion to rows, and each text of a large group meets up to 18 different pivots.
+bucket is verified against its most popular text (the one with most bucket mates in all bands, in a group of
+edited copies the one nearest to what they were copied from); what does not match meets a new pivot of the
+same bucket, ``TURNS`` times, and what is left then is dealt into the buckets of every two bands in which
+texts agree, which again give all pairs or spokes.  So rows made stay in proportion to rows.
 Classes are the connected components of verified links.
 
 Null texts are alone in their class; empty texts equal each other.  A text of fewer than five words is one
@@ -32,7 +33,7 @@ from quarry.llm.common import mix64, written
 from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
-N, SIMILARITY, BANDS, ROWS, SMALL, DF_BITS, MAX_BROADCAST = 5, 0.8, 18, 3, 16, 17, 500_000
+N, SIMILARITY, BANDS, ROWS, SMALL, TURNS, DF_BITS, MAX_BROADCAST = 5, 0.8, 16, 3, 16, 4, 17, 500_000
 
 
 def _gamma_table(bits: int = 12) -> np.ndarray:
@@ -66,19 +67,29 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (wa.sum() + wb.sum() - common))
 
 
+_ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_PER_GAMMA = 1 / GAMMA
+
+
 def samples(h: np.ndarray, w: np.ndarray, number: int) -> np.ndarray:
-    """Consistent weighted samples of a weighted set, one 64-bit name per sample."""
+    """Consistent weighted samples of a weighted set, one 64-bit name per sample.
+
+    The random numbers of sample j and shingle h are bits of h times an odd number of j.
+    """
+    best, at, step = np.full(number, np.inf, np.float32), np.zeros(number, np.int64), np.zeros(number, np.int64)
     lw = np.log(w).astype(np.float32)
-    out = np.zeros(number, np.uint64)
-    for j in range(number):
-        z = mix64(h + np.uint64((j + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-        r = GAMMA[(z & np.uint64(4095)).astype(np.int32)]
-        beta = (z >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(lw / r + beta)
-        log_a = LOG_GAMMA[(z >> np.uint64(12) & np.uint64(4095)).astype(np.int32)] - r * (t - beta + 1)
-        i = int(log_a.argmin())
-        out[j] = (int(h[i]) + int(t[i]) * 0xA0761D6478BD642F) % (1 << 64)
-    return mix64(out)
+    for i in range(0, len(h), 4096):
+        z = h[None, i : i + 4096] * _ODD[:number, None]
+        k = (z >> np.uint64(52)).astype(np.int32)
+        r = GAMMA[k]
+        beta = (z >> np.uint64(40) & np.uint64(4095)).astype(np.float32) * np.float32(1 / 4096)
+        t = np.floor(lw[None, i : i + 4096] * _PER_GAMMA[k] + beta)
+        log_a = LOG_GAMMA[(z >> np.uint64(28) & np.uint64(4095)).astype(np.int32)] - r * (t - beta + 1)
+        j = log_a.argmin(1)
+        low = log_a[np.arange(number), j]
+        new = low < best
+        best[new], at[new], step[new] = low[new], i + j[new], t[np.arange(number), j][new].astype(np.int64)
+    return mix64(h[at] + step.view(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
@@ -148,36 +159,60 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", sim("a", "xa", "b", "xb").alias("sim"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows (band, t, pop) of buckets that hold two texts or more, with the bucket's size n; stored."""
+    size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
+    return written(rows.select("band", "t", "pop").join(size, "band"), "bands")
+
+
+def spokes_of(rows: DataFrame, small: int) -> DataFrame:
+    """(band, t, pop, pivot) of buckets above ``small``: the pivot is the bucket's most popular text."""
+    many = rows.where(F.col("n") > small)
+    pivots = written(many.groupBy("band").agg(F.max_by("t", F.struct("pop", F.xxhash64("t", "band"))).alias("pivot")), "pivots").hint("merge")
+    return written(many.join(pivots, "band").where("t <> pivot").select("band", "t", "pop", "pivot"), "spokes")
+
+
+def pairs_of(rows: DataFrame, spokes: DataFrame, small: int) -> DataFrame:
+    """Candidate pairs (a, b): all pairs of buckets up to ``small``, and the spokes."""
+    few = rows.where(F.col("n") <= small).select("band", "t")
+    pairs = few.withColumnRenamed("t", "a").join(few.withColumnRenamed("t", "b").hint("merge"), "band").where("a < b").select("a", "b")
+    return pairs.unionByName(spokes.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))).distinct()
+
+
 def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: float) -> DataFrame:
     """(a, b, sim) of verified pairs of different texts, a < b."""
-    nodes = sketch.groupBy("t").agg(F.first("bands").alias("bands"))
-    rows = nodes.select("t", F.explode("bands").alias("band"))
-    crowd = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(rows.join(crowd.hint("merge"), "band").select("band", "t", "n"), "bands")
-    wanted = written(rows.select("t").distinct(), "band-texts")
-    wanted = wanted.hint("broadcast") if wanted.count() <= MAX_BROADCAST else wanted.hint("merge")
+    rows = sketch.select("t", "bands").dropDuplicates(["t"]).select("t", F.explode("bands").alias("band"))
+    size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
+    rows = written(rows.join(size, "band"), "bands")
+    pops = written(rows.groupBy("t").agg(F.sum("n").alias("pop")), "band-texts")
+    rows = written(rows.join(pops.hint("merge"), "t").select("band", "t", "pop", "n"), "bands")
+    wanted = pops.select("t")
+    wanted = wanted.hint("broadcast") if pops.count() <= MAX_BROADCAST else wanted.hint("merge")
     texts = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
     texts = written(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x")), "texts")
 
-    found, turn = None, 0
-    while True:
-        few = rows.where(F.col("n") <= SMALL).select("band", "t")
-        pairs = few.withColumnRenamed("t", "a").join(few.withColumnRenamed("t", "b").hint("merge"), "band").where("a < b").select("a", "b")
-        many = rows.where(F.col("n") > SMALL)
-        pivots = many.groupBy("band").agg(F.min_by("t", F.xxhash64("t", "band", F.lit(turn))).alias("pivot")).hint("merge")
-        spokes = written(many.join(pivots, "band").where("t <> pivot").select("band", "t", "pivot"), "spokes")
-        pairs = pairs.unionByName(spokes.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))).distinct()
+    found = None
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        if last:  # what no pivot matched meets again where two bands agree, in smaller buckets
+            lists = rows.groupBy("t", "pop").agg(F.sort_array(F.collect_set("band")).alias("l"))
+            two = F.flatten(F.transform(F.col("l"), lambda x, i: F.transform(F.slice(F.col("l"), i + 2, BANDS), lambda y: F.xxhash64(x, y))))
+            rows = counted(lists.select(F.explode(F.when(F.size("l") > 1, two).otherwise(F.col("l"))).alias("band"), "t", "pop"))
+        small = 4 * SMALL if last else SMALL
+        spokes = spokes_of(rows, small)
+        pairs = pairs_of(rows, spokes, small)
         if found is not None:
             pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        now = written(verify(pairs, texts, idf), "verified")
-        found = now if found is None else found.unionByName(now)
-        if spokes.isEmpty():
-            return found.where(F.col("sim") >= least)
+        now = verify(pairs, texts, idf)
+        found = written(now if found is None else found.unionByName(now), "verified")
+        if last or spokes.isEmpty():
+            break
         good = found.where(F.col("sim") >= least).select("a", "b").hint("merge")
-        left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t")
-        size = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
-        rows = written(left.join(size, "band").select("band", "t", "n"), "bands")
-        turn += 1
+        left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t", "pop")
+        rows = counted(left)
+        if rows.isEmpty():
+            break
+    return found.where(F.col("sim") >= least)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -187,7 +222,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     labels = components(links(df, sketch, idf, text, least)).select(F.col("node").alias("t"), "label")
     members = sketch.select("k", "t").distinct()
     members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
-    heads = members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")).hint("merge")
+    heads = written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads").hint("merge")
     out = members.join(heads, "label").select(F.col("k").alias(key), "class_id", "class_size", "t")
     alone = df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("t")).distinct()
     return out.unionByName(alone)
