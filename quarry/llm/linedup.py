@@ -47,7 +47,7 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, t, p) of the lines to delete; ``lines`` is a stored line_table."""
-    repeated = lines.groupBy("h").count().where("count > 1").select("h").hint("merge")
+    repeated = written(lines.groupBy("h").count().where("count > 1").select("h"), "lines-repeated").hint("merge")
     doc = ["k", "t"]
     w = F.least(F.col("w"), F.lit(min_words)).cast("long")  # a line of enough words is a run whatever follows
     active = lines.join(repeated, "h").withColumn("w", w)
@@ -73,7 +73,6 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = spans.withColumn("len", F.col("b") - F.col("a")).withColumn("level", F.floor(F.log2(F.col("len"))).cast("int"))
     names = active.select(*doc, F.col("q").alias("at"), F.array(*[f"n{k}" for k in range(steps)]).alias("names"))
     left = spans.withColumn("second", F.expr("b - shiftleft(1, level)"))
-    same = lambda x, y: [x[c].eqNullSafe(y[c]) for c in doc]
     x, y = left.alias("x"), names.alias("y").hint("merge")
     named = x.join(y, [F.col("x.k").eqNullSafe(F.col("y.k")), F.col("x.t") == F.col("y.t"), F.col("x.a") == F.col("y.at")])
     named = named.select("x.*", F.get("y.names", F.col("x.level")).alias("n_a"))
@@ -83,7 +82,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = written(named, "lines-named")
 
     group = ["fwd", "len", "n_a", "n_b"]
-    first = named.groupBy(*group).agg(F.min(F.struct("k", "t", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*group, "first").hint("merge")
+    first = named.groupBy(*group).agg(F.min(F.struct("k", "t", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*group, "first")
+    first = written(first, "lines-first").hint("merge")
     later = named.join(first, group).where(~F.struct("k", "t", "a").eqNullSafe(F.col("first")))
     marks = later.select("k", "t", F.when(F.col("fwd"), F.col("a")).otherwise(F.col("b") - 1).alias("q"), F.when(F.col("fwd"), F.col("b")).alias("to"), F.when(~F.col("fwd"), F.col("a")).alias("from"))
     rows = active.select(*doc, "q", "p", F.lit(None).cast("int").alias("to"), F.lit(None).cast("int").alias("from")).unionByName(marks.withColumn("p", F.lit(None).cast("int")))
