@@ -32,13 +32,13 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 OP5 = r"""
 WITH w AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark
 ), i AS (
   SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(list_slice(w, j, j + 4), ' '))) AS s FROM w WHERE len(w) >= 5
 ), n AS (
   SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id
 ), d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
 ), ds AS (
   SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(list_slice(w, j, j + 4), ' '))) AS s FROM d WHERE len(w) >= 5
 ), shared AS (
