@@ -34,5 +34,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("tables", "graph", "search"):
+    for module in ("tables", "graph", "search", "text"):
         importlib.import_module(f"quarry.plans.{module}")
