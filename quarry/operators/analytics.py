@@ -120,7 +120,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
     e = cut(e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("a"))).select("a", "b", "share"))
-    nodes = cut(e.select(F.col("a").alias("node")).unionByName(e.select("b")).distinct())
+    nodes = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     n = nodes.count()
     dangling = nodes.join(e.select(F.col("a").alias("node")), "node", "left_anti").withColumn("open", F.lit(True))
     nodes = cut(nodes.join(dangling, "node", "left").select("node", F.coalesce("open", F.lit(False)).alias("open")))

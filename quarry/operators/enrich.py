@@ -40,8 +40,9 @@ def match_citations(citations: DataFrame, papers: DataFrame, least: float = 0.8)
     by_doi = c.join(p.select("doc_id", "d"), "d").select("citation_id", "doc_id", F.lit(1.0).alias("match_confidence"))
     p = p.select("doc_id", "u", "year")
     exact = c.join(p, (F.col("t") == F.col("u")) & (c["year"] == p["year"])).select("citation_id", "doc_id", F.lit(0.95).alias("match_confidence"))
+    open_ones = c.join(by_doi.unionByName(exact).select("citation_id"), "citation_id", "left_anti")  # the rest alone is compared by edits
     head = lambda x: F.split(x, " ")[0]
-    j = c.withColumn("h", head("t")).join(p.withColumn("h", head("u")), ["year", "h"]).where("t <> u")
+    j = open_ones.withColumn("h", head("t")).join(p.withColumn("h", head("u")), ["year", "h"]).where("t <> u")
     ratio = 1 - F.levenshtein("t", "u") / F.greatest(F.length("t"), F.length("u"), F.lit(1))
     fuzzy = j.select("citation_id", "doc_id", F.round(ratio * 0.9, 6).alias("match_confidence")).where(F.col("match_confidence") >= least * 0.9)
     return first_n(by_doi.unionByName(exact).unionByName(fuzzy), ["citation_id"], [F.desc("match_confidence"), F.asc("doc_id")], 1)
