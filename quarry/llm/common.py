@@ -40,7 +40,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def held_out(key: str | Column) -> Column:
     """True for the fold that is never learned from: crc32 of the key as text, modulo 5, is 0."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")) % FOLDS == 0
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % FOLDS == 0
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -64,9 +64,13 @@ def sized(df: DataFrame) -> DataFrame:
 
 def document_shingles(df: DataFrame, lengths: list[int]) -> DataFrame:
     """(k, n, s) of documents (k, w); the words are computed once for all lengths."""
-    tagged = [F.transform(shingles(F.col("w"), n), lambda s, n=n: F.struct(F.lit(n).alias("n"), s.alias("s"))) for n in lengths]
     if len(lengths) == 1:
         return df.select("k", F.lit(lengths[0]).alias("n"), F.explode(shingles(F.col("w"), lengths[0])).alias("s"))
+
+    def tag(n: int) -> Column:
+        return F.transform(shingles(F.col("w"), n), lambda s: F.struct(F.lit(n).alias("n"), s.alias("s")))
+
+    tagged = [tag(n) for n in lengths]
     return df.select("k", F.explode(F.concat(*tagged)).alias("e")).select("k", "e.n", "e.s")
 
 
