@@ -1,0 +1,474 @@
+"""Each training-data operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import ann, bpe, components, decontam, langid, linedup, neardup, quality, tokencount, toxicity, warc
+
+DATA = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, "   \n\n "), (4, "é"), (5, "a " * 3000), (5, "a " * 3000), (None, "no key"), (7, "日本語のテキスト 😀 \x1c\x85"), (8, "x" * 20000), (9, "one two")]
+#: Columns whose names clash with the operators' own.
+CLASH = ["k", "t", "x", "q", "p", "drop", "label", "score", "band", "n"]
+
+
+def odd(spark, rows=ODD):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit("c") for c in CLASH})
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def words(rng, n, vocabulary=500):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+# -- 1 ----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def coder():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    return bpe.TextBpe(path, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+
+
+def test_bpe_equals_library(coder):
+    own, lib = coder
+    rng = random.Random(3)
+    parts = ["a", "b", "the", "ing", " ", "  ", "\n", "'s", "é", "ß", "你", "😀", "1", "½", "_", "-", "\x1c", "\x85", "\xa0", "　", "!!", "aaaa", "ǅ", "́"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(50))) for _ in range(3000)]
+    texts += ["a" * 5000, "ab" * 3000, " " * 999, "-=" * 500, "".join(rng.choices("abcdethin", k=5000))]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids == lib.encode_ordinary(t), t[:60]
+        assert own.bpe.decode(ids) == t.encode()
+
+
+def test_bpe_join_is_the_encoding_of_the_whole(coder):
+    own, lib = coder
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ("".join(rng.choices("theingsao ", k=rng.randrange(30))).encode() for _ in range(2))
+        assert own.bpe.join(own.bpe.tree(a), own.bpe.tree(b)) == own.bpe.tree(a + b)
+
+
+def test_bpe_digests_of_odd_rows(spark, coder):
+    df = odd(spark)
+    got = [tuple(r) for r in bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()]
+    want = []
+    for k, t in ODD:
+        ids = coder[1].encode_ordinary(t or "")
+        want.append((k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert bpe.digests(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_bpe_columns(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    back = bpe.decode(bpe.encode(odd(spark), path, P.PATTERN), path)
+    assert all(bytes(r.data) == (r.text or "").encode() for r in back.collect())
+
+
+# -- 2 ----------------------------------------------------------------------------------------------------
+
+
+def brute_near(rows, k, asks):
+    ids = {}
+    for i, v in rows:
+        if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            ids[i] = min(ids.get(i, v), v)
+    out = {}
+    for i, v in ids.items():
+        if asks(i):
+            s = sorted((-float((np.array(v) * np.array(w)).sum()), j) for j, w in ids.items() if j != i)
+            out[i] = [j for _, j in s[:k]]
+    return out
+
+
+def test_ann_small_tables_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(300)]
+    rows += [(1000 + i, rows[0][1]) for i in range(60)]  # copies
+    rows += [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 5), (2004, [1.0, None] * 4), (None, [1.0] * 8), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "v", "cell", "label")})
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == brute_near(rows, 20, lambda i: i % 20 == 0)
+
+
+def test_ann_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") % 20 == 0).count() == 4
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ann_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -9
+        hits.append(len(got[ids[i]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_multi_index_walk_is_in_order():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    index = ann.Index(ann.kmeans(x[:, :4], 6), ann.kmeans(x[:, 4:], 6))
+    cells = index.cells(x)
+    index.deal(np.bincount(cells, minlength=36))
+    q = rng.normal(size=8)
+    d = [0.5 * (c**2).sum(1) - c @ p for c, p in ((index.first, q[:4]), (index.second, q[4:]))]
+    met = index.walk(q, 1e9)
+    total = [d[0][c // 6] + d[1][c % 6] for c in met]
+    assert total == sorted(total) and set(met) == set(cells.tolist())
+
+
+# -- 3, 6, 8 ----------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.classify(d, lab).join(lab, "doc_id")
+    r = out.where("held_out").select(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a")).first()
+    assert r.a > 0.96 and out.where("score < 0 or score > 1").isEmpty()
+
+
+def test_toxicity_tolerates_gaps():
+    rng = random.Random(7)
+    insults = ["idiot", "moron", "worthless"]
+    bad = [f"{words(rng, 20)} {rng.choice(insults)} {words(rng, 20)}" for _ in range(150)]
+    good = [words(rng, 41) for _ in range(300)]
+    model = toxicity.train(bad + good, np.array([1.0] * 150 + [0.0] * 300))
+    base = words(rng, 40)
+    for insult in ("idiot", "i d i o t", "i.d.i.o.t", "idioot", "worthlesss", "wortthless"):
+        assert toxicity.Scorer(model).scores([base + " " + insult])[0] > 0.5, insult
+    assert toxicity.Scorer(model).scores([base])[0] < 0.5
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_classifiers_take_odd_rows(spark, module):
+    lab = labels(spark, [(i, i % 2, i % 2) for i in range(1, 9)] + [(None, 1, 1), (3, None, None)])
+    rows = module.classify(odd(spark), lab).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in rows)
+    assert module.classify(empty(spark), lab).count() == 0
+    assert module.classify(odd(spark), lab.limit(0)).count() == len(ODD)
+
+
+def test_quality_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.classify(d, lab).join(lab, "doc_id").where("held_out")
+    assert out.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.97
+
+
+def test_forest_arrays_equal_tree_walk():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    f = quality.fit_forest(x, y, trees=20)
+    assert ((f.scores(x) > 0.5) == (y > 0)).mean() > 0.95
+
+    def walk(row):
+        total = f.base
+        for at in f.roots:
+            while f.left[at] != at:
+                at = f.left[at] if row[f.feature[at]] <= f.cut[at] else f.right[at]
+            total += f.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose([walk(r) for r in x[:50]], f.scores(x[:50]))
+
+
+def test_language_held_out_and_odd_rows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    filters = langid.fit(d)
+    out = langid.identify(d, filters).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+    rows = langid.identify(odd(spark), filters).collect()
+    assert len(rows) == len(ODD) and {r.doc_id: r.lang_pred for r in rows}[1] == "und" == {r.doc_id: r.lang_pred for r in rows}[3]
+    assert langid.identify(odd(spark), langid.build({})).where("lang_pred <> 'und'").isEmpty()
+    assert not langid.fit(empty(spark).withColumn("lang", F.lit("x"))).langs
+
+
+def test_filters_hold_more_than_64_languages():
+    rng = np.random.default_rng(9)
+    tops = {f"l{i:03}": rng.integers(0, 1 << 63, 50).astype(np.uint64) for i in range(130)}
+    f = langid.build(tops)
+    for lang, h in tops.items():
+        c = f.counts(h)
+        assert f.langs[int(c.argmax())] == lang and c.max() > 49
+
+
+# -- 4 ----------------------------------------------------------------------------------------------------
+
+
+def brute_lines(docs, least):
+    """Deletes every line of a run of enough words that occurs earlier, by trying all runs."""
+    seqs = []
+    for k, t in sorted(docs, key=lambda r: r[0]):
+        lines = t.split("\n")
+        seqs.append((k, lines, [(i, x) for i, x in enumerate(lines) if x.strip(" ")]))
+    seen, gone = set(), defaultdict(set)
+    for k, lines, rows in seqs:  # runs in the order of their start
+        for a in range(len(rows)):
+            n = 0
+            for b in range(a, len(rows)):
+                n += rows[b][1].strip(" ").count(" ") + 1
+                if n >= least:
+                    run = tuple(x for _, x in rows[a : b + 1])
+                    if run in seen:
+                        gone[k].update(i for i, _ in rows[a : b + 1])
+                    seen.add(run)
+    return {k: "\n".join(x for i, x in enumerate(lines) if i not in gone[k]) for k, lines, _ in seqs}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(10)
+    pool = [words(rng, rng.randrange(1, 9), 30) for _ in range(12)] + [""]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=10).collect()}
+    assert got == brute_lines(docs, 10)
+
+
+def test_line_dedup_odd_rows(spark):
+    df = odd(spark)
+    out = linedup.dedup_lines(df)
+    assert out.columns == df.columns and out.count() == len(ODD)
+    assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, df.select("doc_id", "text").collect()))
+    assert linedup.dedup_lines(empty(spark)).count() == 0
+
+
+# -- 5 ----------------------------------------------------------------------------------------------------
+
+
+def brute_contained(docs, items):
+    import re
+
+    def sh(t, n):
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}, len(w)
+
+    out = set()
+    for item, t in items:
+        n = min(5, sh(t, 1)[1])
+        s = sh(t, n)[0] if n else set()
+        for k, d in docs:
+            if s and len(s & sh(d, n)[0]) >= 0.8 * len(s):
+                out.add((k, item))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, words(rng, rng.choice([2, 5, 8, 20, 60, 200]), 3000)) for i in range(40)] + [(90, None), (91, ""), (92, "!!")]
+    docs = [(i, words(rng, 100, 3000)) for i in range(80)]
+    for i in range(40):
+        w = items[i][1].split()
+        cut = len(w) // 10 if i % 3 == 0 else (len(w) // 2 if i % 3 == 1 else 0)
+        docs.append((200 + i, words(rng, 50, 3000) + " " + " ".join(w[cut:]).upper() + ". " + words(rng, 500, 3000)))
+    docs += [(None, items[0][1]), (300, None), (301, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("c") for c in CLASH + ["item", "s", "size"]})
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contained(docs, items)
+    assert len(want) > 20
+    assert {(r.doc_id, r.item_id) for r in decontam.contained(d, b).collect()} == want
+    bad = {k for k, _ in want}
+    assert sorted(map(str, (r.doc_id for r in decontam.decontaminate(d, b).collect()))) == sorted(str(k) for k, _ in docs if k not in bad)
+    assert decontam.decontaminate(d, b.limit(0)).count() == len(docs)
+    assert decontam.contained(empty(spark), b).count() == 0
+
+
+# -- 7 ----------------------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_library(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary, unknown = tokencount.load_vocabulary(P.path("piece_bpe_32k.model"))
+    lib = Tokenizer(models.Unigram(vocabulary, unknown, True))
+    lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abeéß你😀١ιx the") for _ in range(rng.randrange(80))) for _ in range(1500)]
+    own = tokencount.Counter(vocabulary, unknown)
+    for t in texts:
+        assert own.count(t) == len(lib.encode(" ".join(t.split())).ids), t
+    got = [(r.doc_id, r.n_tokens) for r in tokencount.count_tokens(odd(spark), P.path("piece_bpe_32k.model")).collect()]
+    assert got == [(k, own.count(t)) for k, t in ODD]
+    assert tokencount.count_tokens(empty(spark), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_ties_keep_the_first_start():
+    c = tokencount.Counter([("▁", 0.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0)], 0)
+    assert c.word("▁aaa") == 2  # ▁ and aaa: equal scores, the leftmost start stays
+
+
+# -- 9 ----------------------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark, tmp_path):
+    long = "<html>" + "x" * 200
+    rows = [(1, "http://a", long), (2, None, long), (3, "u\r\nEvil: 1", long), (4, "u", None), (5, "u", ""), (6, "u", "tiny"), (7, "u", "tiny"), (8, "ü", "é" * 5000), (1, "again", long), (None, "n", "no id")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("c") for c in ("digest", "body", "bytes", "first", "path")})
+    out = warc.round_trip(df).collect()
+    assert len(out) == len(rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r.page_id].append(r)
+    for i, _, html in rows:
+        data = (html or "").encode()
+        for r in by[i]:
+            assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
+    assert [(r.record_type, r.refers_to) for i in (1, 2, 3, 6, 7) for r in by[i]] == [("response", None)] * 2 + [("revisit", 1)] * 2 + [("response", None)] * 2
+    assert bytes(by[8][0].payload) == ("é" * 5000).encode()
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_zip64_and_plain_directories(tmp_path):
+    import zipfile
+
+    for wide in (False, True):
+        path = tmp_path / f"{wide}.zip"
+        with open(path, "wb") as f:
+            z = warc.ZipWriter(f)
+            z.member("archive/data.warc.gz", [b"abc", b"def"])
+            z.member("indexes/index.cdx", [b"0 6\n"])
+            z.close(zip64=wide)
+        assert zipfile.ZipFile(path).read("archive/data.warc.gz") == b"abcdef"
+        with open(path, "rb") as f:
+            members = warc.zip_members(f, path.stat().st_size)
+            method, at, size = members["archive/data.warc.gz"]
+            assert (method, warc.read_at(f, at, size)) == (0, b"abcdef")
+    with zipfile.ZipFile(tmp_path / "lib.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("m", b"stored")
+        z.comment = b"a comment"
+    with open(tmp_path / "lib.zip", "rb") as f:
+        _, at, size = warc.zip_members(f, (tmp_path / "lib.zip").stat().st_size)["m"]
+        assert warc.read_at(f, at, size) == b"stored"
+
+
+# -- 10 ---------------------------------------------------------------------------------------------------
+
+
+def brute_classes(docs, idf, least):
+    w = {(k, t): neardup.weights(t, idf) for k, t in docs if t is not None}
+    nodes = sorted(w, key=repr)
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if a[1] == b[1] or neardup.similarity(w[a], w[b]) >= least:
+                parent[find(a)] = find(b)
+    groups = defaultdict(list)
+    for n in nodes:
+        groups[find(n)].append(n)
+    return {n: min((k for k, _ in g if k is not None), default=None) for g in groups.values() for n in g}
+
+
+def near_corpus(rng):
+    docs = [(i, words(rng, rng.randrange(20, 120))) for i in range(60)]
+    for g in range(3):
+        base = words(rng, 150).split()
+        for c in range((5, 25, 60)[g]):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            docs.append((100 + 100 * g + c, " ".join(w)))
+    return docs + [(900, docs[0][1]), (901, "one two"), (902, "One, two!"), (903, ""), (904, "")]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = near_corpus(random.Random(13)) + [(905, None), (906, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("c") for c in CLASH})
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    idf = neardup.document_frequencies(df.where("text is not null").selectExpr("text as x"))
+    want = {k: c for (k, _), c in brute_classes(docs, idf, 0.8).items()} | {905: 905, 906: 906}
+    assert got == want
+    kept = sorted(r.doc_id for r in neardup.keep_one(df).collect())
+    assert kept == sorted({c for c in want.values()})
+
+
+def test_near_duplicates_odd_rows(spark):
+    rows = neardup.near_duplicates(odd(spark)).collect()
+    assert len(rows) == len(set(ODD))
+    out = neardup.keep_one(odd(spark))
+    assert out.columns == odd(spark).columns and sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, {k for k, _ in ODD}))
+    assert neardup.near_duplicates(empty(spark)).count() == 0 == neardup.keep_one(empty(spark)).count()
+
+
+def test_samples_agree_as_often_as_the_similarity():
+    rng = np.random.default_rng(14)
+    est, true = [], []
+    for k in range(20, 380, 20):
+        a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+        b = np.unique(np.concatenate([a[:k], rng.integers(0, 1 << 63, 400 - k).astype(np.uint64)]))
+        idf = rng.uniform(2, 6, 1 << neardup.DF_BITS)
+        wa, wb = (idf[(h >> np.uint64(64 - neardup.DF_BITS)).astype(int)] for h in (a, b))
+        est.append((neardup.samples(a, wa, 256) == neardup.samples(b, wb, 256)).mean())
+        true.append(neardup.similarity((a, wa), (b, wb)))
+    assert np.abs(np.array(est) - true).max() < 0.12
+
+
+def test_components(spark):
+    rng = random.Random(15)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
+    edges = [(a, b) for a, b in edges if a != b]
+    label = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
+
+
+# -- pipeline ---------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen = {"documents": docs.count()}
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).persist()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        seen[name] = docs.count()
+    assert 0 < seen["decontamination"] <= seen["near-dedup"] <= seen["line dedup"] == seen["quality classifier"] <= seen["documents"]
+    # each stage against a brute-force version of its own input
+    got = {r.doc_id: r for r in C.STAGES[-1][1](spark, docs, DATA).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    assert not brute_contained([(r.doc_id, r.text) for r in docs.collect()], items)
+    assert Counter(r.doc_id for r in docs.collect()).most_common(1)[0][1] == 1
+
+
+def test_pipeline_run(spark):
+    import corpus_pipeline as C
+
+    out = C.run(spark, DATA)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
