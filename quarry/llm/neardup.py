@@ -12,8 +12,10 @@ verified by their weighted Jaccard similarity, computed from the texts.
 Equal texts are one node from the start.  A bucket of up to ``SMALL`` texts gives all its pairs.  A larger
 bucket is verified against its most popular text (the one with most bucket mates in all bands, in a group of
 edited copies the one nearest to what they were copied from); what does not match meets a new pivot of the
-same bucket, ``TURNS`` times, and what is left then is dealt into the buckets of every two bands in which
-texts agree, which again give all pairs or spokes.  So rows made stay in proportion to rows.
+same bucket, and what is left after ``TURNS / 2`` pivots is dealt into the buckets of every two bands in
+which texts agree, which again give all pairs or spokes, for as many turns.  So rows made stay in proportion
+to rows.  A link between two texts is lost only if all of their common buckets hold more than ``SMALL``
+unmatched texts and neither was matched with a pivot there that leads to the other.
 Classes are the connected components of verified links.
 
 Null texts are alone in their class; empty texts equal each other.  A text of fewer than five words is one
@@ -192,20 +194,18 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
     texts = written(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x")), "texts")
 
     found = None
-    for turn in range(TURNS + 1):
-        last = turn == TURNS
-        if last:  # what no pivot matched meets again where two bands agree, in smaller buckets
+    for turn in range(TURNS):
+        if turn == TURNS // 2:  # what no pivot matched meets again where two bands agree, in smaller buckets
             lists = rows.groupBy("t", "pop").agg(F.sort_array(F.collect_set("band")).alias("l"))
             two = F.flatten(F.transform(F.col("l"), lambda x, i: F.transform(F.slice(F.col("l"), i + 2, BANDS), lambda y: F.xxhash64(x, y))))
             rows = counted(lists.select(F.explode(F.when(F.size("l") > 1, two).otherwise(F.col("l"))).alias("band"), "t", "pop"))
-        small = 4 * SMALL if last else SMALL
-        spokes = spokes_of(rows, small)
-        pairs = pairs_of(rows, spokes, small)
+        spokes = spokes_of(rows, SMALL)
+        pairs = pairs_of(rows, spokes, SMALL)
         if found is not None:
             pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         now = verify(pairs, texts, idf)
         found = written(now if found is None else found.unionByName(now), "verified")
-        if last or spokes.isEmpty():
+        if turn == TURNS - 1 or spokes.isEmpty():
             break
         good = found.where(F.col("sim") >= least).select("a", "b").hint("merge")
         left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t", "pop")
