@@ -214,7 +214,7 @@ def sentence_end(text: Column | str, start: Column, end: Column, reach: int = 10
     marks = [". ", ".\n", "? ", "?\n", "! ", "!\n"]
     back = [F.locate(m[::-1], F.reverse(window)) for m in marks]
     best = F.least(*[F.when(b > 0, b) for b in back])
-    return F.coalesce(hi - best + 1, hi).cast("bigint")
+    return F.coalesce(hi - best, hi).cast("bigint")
 
 
 def salvaged_json(text: Column | str, kind: str = "object") -> Column:
