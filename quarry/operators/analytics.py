@@ -47,6 +47,22 @@ def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, leas
     return rows.where(F.col("j") >= least).select("a", "b", F.round("j", 6).alias("similarity"))
 
 
+def similarity_classes(domains: DataFrame, least: float = 0.55) -> DataFrame:
+    """(class_a, class_b, papers_a, papers_b, similarity): the similarity graph over classes of equal domain sets.
+
+    All papers of class_a are similar to all of class_b (within a class with similarity 1), so this holds every
+    edge of the paper graph in rows that grow with the number of distinct sets, not with the pairs of papers.
+    """
+    sets = domains.select("doc_id", "domain").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("domain")).alias("s"))
+    kinds = sets.groupBy("s").agg(F.count("*").alias("papers"))
+    x = kinds.withColumn("domain", F.explode("s"))
+    a, b = (x.withColumnsRenamed({"s": f"s{i}", "papers": f"papers_{i}"}) for i in "ab")
+    pairs = a.join(b, "domain").drop("domain").distinct()
+    name = {i: F.array_join(f"s{i}", ",") for i in "ab"}
+    j = F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 6)
+    return pairs.select(name["a"].alias("class_a"), name["b"].alias("class_b"), "papers_a", "papers_b", j.alias("similarity")).where("class_a <= class_b").where(F.col("similarity") >= least)
+
+
 def concept_graph(concepts: DataFrame, least: int = 2, samples: int = 5) -> DataFrame:
     """(a, b, papers, sample): concept pairs of one paper with enough papers, the smallest ids as a sample."""
     d = concepts.select("doc_id", "concept").distinct()

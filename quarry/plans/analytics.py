@@ -10,28 +10,15 @@ from quarry.plans.tables import q
 
 # -- similarity and concept graphs ------------------------------------------------------------------------
 
-SIM = "d AS (SELECT DISTINCT doc_id, domain FROM paper_domains WHERE doc_id < {n}), s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.domain = b.domain AND a.doc_id < b.doc_id GROUP BY 1, 2), j AS (SELECT sh.a, sh.b, c / (x.n + y.n - c) AS j FROM sh JOIN s x ON x.doc_id = sh.a JOIN s y ON y.doc_id = sh.b)"
-
-
-def some_papers(c):
-    """Domains of the papers from one customer group: similarity edges are quadratic in the papers of one domain."""
-    return c.paper_domains.where("doc_id < 1000").select("doc_id", "domain")
-
-
-@q("paper_similarity_by_domain", f"WITH {SIM.format(n=1000)} SELECT a, b, round(j, 6) AS similarity FROM j WHERE j >= 0.55")
-def _(c):
-    return A.paper_similarity(some_papers(c))
-
-
-@q("paper_similarity", f"WITH {SIM.format(n=1000)}, k AS (SELECT DISTINCT doc_id, species_id FROM mentions WHERE doc_id < 1000), ks AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM k a JOIN k b ON a.species_id = b.species_id AND a.doc_id < b.doc_id GROUP BY 1, 2), al AS (SELECT coalesce(j.a, ks.a) AS a, coalesce(j.b, ks.b) AS b, coalesce(j, 0) + 0.1::DOUBLE * coalesce(k, 0) AS s FROM j FULL JOIN ks ON j.a = ks.a AND j.b = ks.b) SELECT a, b, round(s, 6) AS similarity FROM al WHERE s >= 0.55")
+@q("paper_similarity_classes", "WITH k AS (SELECT s, count(*) AS papers FROM (SELECT doc_id, list_sort(list(DISTINCT domain)) AS s FROM paper_domains GROUP BY 1) t GROUP BY 1), p AS (SELECT a.s AS sa, b.s AS sb, a.papers AS papers_a, b.papers AS papers_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM k a, k b) SELECT array_to_string(sa, ',') AS class_a, array_to_string(sb, ',') AS class_b, papers_a, papers_b, round(j, 6) AS similarity FROM p WHERE array_to_string(sa, ',') <= array_to_string(sb, ',') AND round(j, 6) >= 0.55")
 def _(c):
-    return A.paper_similarity(some_papers(c), c.mentions.where("doc_id < 1000").select("doc_id", F.col("species_id").alias("keyword")))
+    return A.similarity_classes(c.paper_domains)
 
 
-@q("related_papers", f"WITH {SIM.format(n=1000)} SELECT CASE WHEN a = 5 THEN b ELSE a END AS doc_id, round(j, 6) AS similarity FROM j WHERE j >= 0.55 AND (a = 5 OR b = 5) ORDER BY similarity DESC, doc_id LIMIT 5")
+@q("related_papers", "WITH d AS (SELECT DISTINCT doc_id, domain FROM paper_domains), s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), sh AS (SELECT b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.domain = b.domain AND a.doc_id <> b.doc_id WHERE a.doc_id = 5 GROUP BY 1), ks AS (SELECT b.doc_id AS b, count(*) AS k FROM mentions a JOIN mentions b ON a.species_id = b.species_id AND a.doc_id <> b.doc_id WHERE a.doc_id = 5 GROUP BY 1), j AS (SELECT sh.b, c / (s.n + (SELECT n FROM s WHERE doc_id = 5) - c) AS j FROM sh JOIN s ON s.doc_id = sh.b), al AS (SELECT coalesce(j.b, ks.b) AS doc_id, coalesce(j, 0) + 0.1::DOUBLE * coalesce(k, 0) AS s FROM j FULL JOIN ks ON j.b = ks.b) SELECT doc_id, round(s, 6) AS similarity FROM al WHERE s >= 0.55 ORDER BY similarity DESC, doc_id LIMIT 5")
 def _(c):
-    d = some_papers(c)
-    return A.strongest_neighbours(A.paper_similarity(d, paper=d.where("doc_id = 5").select("doc_id").distinct()), 5)
+    one = c.papers.where("doc_id = 5").select("doc_id")
+    return A.strongest_neighbours(A.paper_similarity(c.paper_domains, c.mentions.select("doc_id", F.col("species_id").alias("keyword")), paper=one), 5)
 
 
 @q("concept_graph", "WITH d AS (SELECT DISTINCT doc_id, domain AS c FROM paper_domains), p AS (SELECT a.c AS a, b.c AS b, a.doc_id FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.c < b.c), f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY a, b) AS papers FROM p) SELECT a, b, papers, string_agg(cast(doc_id AS varchar), ',' ORDER BY doc_id) AS sample FROM f WHERE n <= 5 AND papers >= 2 GROUP BY 1, 2, 3")
@@ -194,11 +181,11 @@ def _(c):
 
 # -- enrichment -------------------------------------------------------------------------------------------
 
-WORKS = "wk AS (SELECT o_orderkey AS work_id, '10.1/' || o_orderkey AS doi, 'order ' || o_orderkey || ' ' || lower(o_orderpriority) AS title, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE o_orderkey % 2 = 0)"
+WORKS = "wk AS (SELECT o_orderkey AS work_id, '10.1/' || o_orderkey AS doi, 'order ' || o_orderkey || ' ' || lower(o_orderpriority) AS title, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE o_orderstatus = 'F')"
 
 
 def works(c):
-    return c.papers.where("doc_id % 2 = 0").select(F.col("doc_id").alias("work_id"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), "title", "year")
+    return c.papers.where("study_type = 'F'").select(F.col("doc_id").alias("work_id"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), "title", "year")
 
 
 @q("works_by_doi", f"WITH {WORKS} SELECT p.doc_id, w.work_id FROM papers p LEFT JOIN wk w ON w.doi = '10.1/' || p.doc_id")
@@ -210,11 +197,11 @@ def _(c):
 NORM = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@q("works_by_title", f"WITH pp AS (SELECT l_orderkey AS doc_id, min(l_partkey) AS k, min(l_suppkey) AS y FROM lineitem GROUP BY 1), p AS (SELECT doc_id, {NORM.format(x='p_name')} AS t, CAST(y % 10 AS INT) AS year FROM pp JOIN part ON p_partkey = k), w AS (SELECT p_partkey AS work_id, {NORM.format(x='p_name')} AS u, CAST(p_partkey % 10 AS INT) AS year FROM part WHERE p_partkey < 300), j AS (SELECT doc_id, work_id, levenshtein(t, u) AS distance, greatest(length(t), length(u)) AS m FROM p JOIN w ON p.year = w.year AND split_part(t, ' ', 1) = split_part(u, ' ', 1)) SELECT doc_id, work_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, work_id) AS n FROM j WHERE distance <= 0.2::DOUBLE * m) x WHERE n = 1")
+@q("works_by_title", f"WITH pp AS (SELECT l_orderkey AS doc_id, min(l_partkey) AS k, min(l_suppkey) AS y FROM lineitem GROUP BY 1), p AS (SELECT doc_id, {NORM.format(x='p_name')} AS t, CAST(y % 10 AS INT) AS year FROM pp JOIN part ON p_partkey = k), w AS (SELECT p_partkey AS work_id, {NORM.format(x='p_name')} AS u, CAST(p_partkey % 10 AS INT) AS year FROM part WHERE p_type = 'ECONOMY'), j AS (SELECT doc_id, work_id, levenshtein(t, u) AS distance, greatest(length(t), length(u)) AS m FROM p JOIN w ON p.year = w.year AND split_part(t, ' ', 1) = split_part(u, ' ', 1)) SELECT doc_id, work_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, work_id) AS n FROM j WHERE distance <= 0.2::DOUBLE * m) x WHERE n = 1")
 def _(c):
     pp = c.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_partkey").alias("p_partkey"), F.min("l_suppkey").alias("y"))
     p = pp.join(c.part, "p_partkey").select("doc_id", F.col("p_name").alias("title"), (F.col("y") % 10).cast("int").alias("year"))
-    w = c.part.where("p_partkey < 300").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 10).cast("int").alias("year"))
+    w = c.part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 10).cast("int").alias("year"))
     return E.works_by_title(p, w)
 
 
@@ -225,11 +212,11 @@ def _(c):
     return E.match_citations(cit, p.select("doc_id", "doi", "title", "year"))
 
 
-@q("merged_works", "SELECT doc_id, title, CASE WHEN doc_id % 2 = 0 THEN 'J' END AS journal, CASE WHEN doc_id % 3 = 0 THEN 'A' END AS abstract, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN greatest(author_id, 500) WHEN doc_id % 2 = 0 THEN author_id WHEN doc_id % 3 = 0 THEN 500 END AS citations, concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'first' END, CASE WHEN doc_id % 3 = 0 THEN 'second' END) AS sources FROM papers")
+@q("merged_works", "SELECT doc_id, title, CASE WHEN year >= 1997 THEN 'J' END AS journal, CASE WHEN study_type = 'F' THEN 'A' END AS abstract, CASE WHEN year >= 1997 AND study_type = 'F' THEN greatest(author_id, 500) WHEN year >= 1997 THEN author_id WHEN study_type = 'F' THEN 500 END AS citations, concat_ws(',', CASE WHEN year >= 1997 THEN 'first' END, CASE WHEN study_type = 'F' THEN 'second' END) AS sources FROM papers")
 def _(c):
     none = F.array().cast("array<string>").alias("authors")
-    a = c.papers.where("doc_id % 2 = 0").select("doc_id", "title", F.lit("J").alias("journal"), F.col("author_id").alias("citations"), none)
-    b = c.papers.where("doc_id % 3 = 0").select("doc_id", "title", F.lit("A").alias("abstract"), F.lit(500).cast("long").alias("citations"), none)
+    a = c.papers.where("year >= 1997").select("doc_id", "title", F.lit("J").alias("journal"), F.col("author_id").alias("citations"), none)
+    b = c.papers.where("study_type = 'F'").select("doc_id", "title", F.lit("A").alias("abstract"), F.lit(500).cast("long").alias("citations"), none)
     return E.merge_works(c.papers, a, b).drop("authors").withColumn("sources", F.array_join("sources", ","))
 
 
@@ -268,12 +255,12 @@ def _(c):
     return E.species_cards(c.species.select("species_id"), cards, names)
 
 
-STATUS = "SELECT species_id, CASE WHEN species_id % 3 = 0 THEN 'CR' WHEN species_id % 2 = 0 THEN 'LC' END AS category, CASE WHEN species_id % 3 = 0 THEN 'first' WHEN species_id % 2 = 0 THEN 'fallback' END AS source, CASE WHEN species_id % 3 = 0 THEN 'Critically Endangered' WHEN species_id % 2 = 0 THEN 'Least Concern' END AS category_name, species_id % 3 = 0 AS threatened FROM species"
+STATUS = "SELECT species_id, CASE WHEN genus = 'ECONOMY' THEN 'CR' WHEN family = 'Brand#2' THEN 'LC' END AS category, CASE WHEN genus = 'ECONOMY' THEN 'first' WHEN family = 'Brand#2' THEN 'fallback' END AS source, CASE WHEN genus = 'ECONOMY' THEN 'Critically Endangered' WHEN family = 'Brand#2' THEN 'Least Concern' END AS category_name, genus = 'ECONOMY' AS threatened FROM species"
 
 
 def status(c):
-    s = c.species.select("species_id")
-    return E.conservation(s, s.where("species_id % 3 = 0").withColumn("category", F.lit("CR")), s.where("species_id % 2 = 0").withColumn("category", F.lit("LC")))
+    s = c.species
+    return E.conservation(s.select("species_id"), s.where("genus = 'ECONOMY'").withColumn("category", F.lit("CR")), s.where("family = 'Brand#2'").withColumn("category", F.lit("LC")))
 
 
 @q("conservation_status", STATUS)

@@ -108,14 +108,14 @@ def _(c):
 
 # -- upserts, deletes, differences ------------------------------------------------------------------------
 
-OLD = "SELECT o_custkey AS id, max(o_orderkey) AS v, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey"
-NEW = "SELECT o_custkey AS id, o_orderkey AS v, o_totalprice AS price FROM orders WHERE o_orderkey % 3 = 0"
+OLD = "SELECT o_custkey AS id, max(o_orderkey) AS v, max(o_totalprice) AS price FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey"
+NEW = "SELECT o_custkey AS id, o_orderkey AS v, o_totalprice AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"
 
 
 def _old_new(c):
     o = c.orders
-    old = o.where("o_orderkey % 3 <> 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("v"), F.max("o_totalprice").alias("price"))
-    new = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("price"))
+    old = o.where("o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("v"), F.max("o_totalprice").alias("price"))
+    new = o.where("o_orderdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("price"))
     return old, new
 
 

@@ -239,9 +239,9 @@ def _(c):
     return D.as_markdown(c.conversations)
 
 
-@q("bibtex_export", "SELECT doc_id, '@article{' || regexp_extract(trim(a.name), '(\\S+)$', 1) || p.year || '_' || (row_number() OVER (ORDER BY doc_id)) || ',' || chr(10) || '  title = {' || p.title || '},' || chr(10) || '  author = {' || a.name || '},' || chr(10) || '  year = {' || p.year || '}' || chr(10) || '}' AS bibtex FROM papers p JOIN authors a ON a.author_id = p.author_id WHERE doc_id < 100")
+@q("bibtex_export", "SELECT doc_id, '@article{' || regexp_extract(trim(a.name), '(\\S+)$', 1) || p.year || '_' || (row_number() OVER (ORDER BY doc_id)) || ',' || chr(10) || '  title = {' || p.title || '},' || chr(10) || '  author = {' || a.name || '},' || chr(10) || '  year = {' || p.year || '}' || chr(10) || '}' AS bibtex FROM papers p JOIN authors a ON a.author_id = p.author_id")
 def _(c):
     from quarry.sources.exports import bibtex
 
-    p = c.papers.where("doc_id < 100").join(c.authors, "author_id").select("doc_id", "title", "year", F.array("name").alias("authors"))
+    p = c.papers.join(c.authors, "author_id").select("doc_id", "title", "year", F.array("name").alias("authors"))
     return bibtex(p)
