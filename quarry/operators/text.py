@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n
 
 # -- sections and chunks ----------------------------------------------------------------------------------
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import columns as C
 from quarry.operators import graph as G
 from quarry.plans.tables import q
 
