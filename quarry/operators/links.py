@@ -111,3 +111,9 @@ def topic_links(domains: DataFrame, table: DataFrame) -> DataFrame:
 def capped(links: DataFrame, n: int) -> DataFrame:
     """The n strongest links of every type: a report's limit."""
     return first_n(links, ["link_type"], [F.desc("affinity"), F.asc("link_id")], n)
+
+
+def discover(studied: DataFrame, table: DataFrame, entities: int = 20, per_type: int = 10) -> DataFrame:
+    """(link_type, link_id, affinity): shared-entity links of the entities in most domains, strongest first per type."""
+    top = multi_domain(studied, entities).select("entity")
+    return capped(shared_links(studied.join(F.broadcast(top), "entity", "left_semi"), table), per_type).select("link_type", "link_id", "affinity")

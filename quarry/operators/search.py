@@ -145,3 +145,13 @@ def context_text(passages: DataFrame, n: int = 5, width: int = 800) -> DataFrame
     best = best.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))))
     line = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), F.substring("text", 1, width))
     return best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))), lambda s: s["line"]), "\n").alias("context"))
+
+
+def recent_years(keyword: DataFrame, papers: DataFrame, as_of: int, years: int = 5) -> DataFrame:
+    """Hits of papers from the last years before and up to ``as_of``."""
+    return keyword.join(papers.where(F.col("year") >= as_of - years).select("doc_id"), "doc_id", "left_semi")
+
+
+def by_author(keyword: DataFrame, papers: DataFrame, name: str) -> DataFrame:
+    """Hits of papers with an author (authors[]) whose name contains the text."""
+    return keyword.join(papers.where(F.exists("authors", lambda a: F.lower(a).contains(name.lower()))).select("doc_id"), "doc_id", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.operators.tables import first_n
 
 # -- sections and chunks ----------------------------------------------------------------------------------
 
@@ -332,3 +333,45 @@ def combined_vector(scores: DataFrame, k: int = 10) -> DataFrame:
 def domain_clusters(scores: DataFrame, least: float = 0.1, papers: int = 1) -> DataFrame:
     """(domain, degree): papers whose score reaches ``least``, for domains with enough of them."""
     return scores.where(F.col("score") >= least).groupBy("domain").agg(F.count_distinct("doc_id").alias("degree")).where(F.col("degree") >= papers)
+
+
+def overlapping_set(scores: DataFrame, primary: DataFrame, n: int = 5, least: float = 0.1, low: int = 2, high: int = 3) -> DataFrame:
+    """(primary_domain, doc_id): the first n papers of the first primary domain whose overlap is valid.
+
+    primary is (doc_id, primary_domain).  All primary domains with n papers are judged in one job.
+    """
+    few = first_n(primary, ["primary_domain"], [F.asc("doc_id")], n)
+    enough = few.groupBy("primary_domain").agg(F.count("*").alias("have")).where(F.col("have") == n).select("primary_domain")
+    few = few.join(enough, "primary_domain", "left_semi")
+    shared = scores.where(F.col("score") >= least).join(few, "doc_id").groupBy("primary_domain", "domain").agg(F.count_distinct("doc_id").alias("m")).where(F.col("m") == n)
+    valid = shared.groupBy("primary_domain").agg(F.count("*").alias("k")).where(F.col("k").between(low, high))
+    first = valid.agg(F.min("primary_domain").alias("primary_domain"))  # one row
+    return few.join(F.broadcast(first), "primary_domain").select("primary_domain", "doc_id")
+
+
+def keyword_species(keywords: DataFrame, k: int = 50) -> DataFrame:
+    """(keyword, papers): keywords of two words or more that start with a capital, by papers; from (doc_id, keyword)."""
+    named = keywords.where((F.size(F.split("keyword", " ")) >= 2) & F.col("keyword").rlike(r"^\p{Lu}"))
+    return named.groupBy("keyword").agg(F.count_distinct("doc_id").alias("papers")).orderBy(F.desc("papers"), "keyword").limit(k)
+
+
+def entities_of_heads(entities: DataFrame, n: int = 3) -> DataFrame:
+    """(doc_id, name, section, chunks): entities of a document's first n chunks, with the section first seen in.
+
+    entities is (doc_id, chunk_idx, section, name).
+    """
+    head = entities.where(F.col("chunk_idx") < n)
+    return head.groupBy("doc_id", "name").agg(F.min_by(F.coalesce("section", F.lit("General")), "chunk_idx").alias("section"), F.count_distinct("chunk_idx").alias("chunks"))
+
+
+def parent_text(df: DataFrame) -> DataFrame:
+    """(doc_id, text): title, abstract, every section with its heading, every table, in one text."""
+    sections = F.transform("sections", lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n"), s["text"]))
+    tables = F.transform("tables", lambda t: F.concat(F.lit("Table "), t["table_id"], F.lit(": "), F.coalesce(t["caption"], F.lit("")), F.lit("\n"), t["markdown"]))
+    return df.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "abstract", F.array_join(sections, "\n\n"), F.array_join(tables, "\n\n")).alias("text"))
+
+
+def indexed_papers(df: DataFrame, classes: DataFrame, studies: DataFrame) -> DataFrame:
+    """(doc_id, title, year, primary_domain, confidence, study_type): what the paper table holds of a document."""
+    base = df.select("doc_id", F.coalesce(C.title_of("text"), F.lit("Untitled")).alias("title"), F.coalesce(C.year_in("text"), C.published_year("text")).alias("year"))
+    return base.join(classes.select("doc_id", "primary_domain", "confidence"), "doc_id", "left").join(studies.select("doc_id", "study_type"), "doc_id", "left")

@@ -278,3 +278,8 @@ def _(c):
 def _(c):
     n = C.clean_species_name(F.concat("common_name", F.lit(" (Author, 1900) [sic]")))
     return c.species.select("species_id", n.alias("name"), C.genus_epithet("common_name").alias("g")).select("species_id", "name", "g.genus", "g.epithet")
+
+
+@q("discovered_links", f"WITH {SHARED}, md AS (SELECT entity FROM (SELECT entity, count(DISTINCT domain) AS n FROM st GROUP BY 1 HAVING count(DISTINCT domain) >= 2) t ORDER BY n DESC, entity LIMIT 20) SELECT 'shared_entity' AS link_type, link_id, affinity FROM ln WHERE entity IN (SELECT entity FROM md) ORDER BY affinity DESC, link_id LIMIT 10")
+def _(c):
+    return L.discover(studied(c), affinity_table(c))

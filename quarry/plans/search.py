@@ -154,3 +154,16 @@ def _(c):
 @q("context_text", f"WITH {NEAR}, b AS (SELECT r.query_id, d.text, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, chunk_id) AS i FROM r JOIN documents d ON d.doc_id = r.chunk_id) SELECT query_id, string_agg('[' || i || '] ' || substr(text, 1, 800), chr(10) ORDER BY i) AS context FROM b WHERE i <= 5 GROUP BY 1")
 def _(c):
     return S.context_text(retrieved(c).join(c.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id"))
+
+
+@q("bm25_recent_years", f"WITH {HITS} SELECT query_id, bm.doc_id, score FROM bm JOIN papers p ON p.doc_id = bm.doc_id WHERE p.year >= 1996")
+def _(c):
+    scored = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).drop("rank")
+    return S.recent_years(scored, c.papers, 2001, 5).select("query_id", "doc_id", "score")
+
+
+@q("bm25_by_author", f"WITH {HITS} SELECT query_id, bm.doc_id, score FROM bm JOIN papers p ON p.doc_id = bm.doc_id JOIN authors a ON a.author_id = p.author_id WHERE contains(lower(a.name), '#00000001')")
+def _(c):
+    scored = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).drop("rank")
+    p = c.papers.join(c.authors, "author_id").select("doc_id", F.array("name").alias("authors"))
+    return S.by_author(scored, p, "#00000001").select("query_id", "doc_id", "score")

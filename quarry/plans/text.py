@@ -245,3 +245,33 @@ def _(c):
 
     p = c.papers.join(c.authors, "author_id").select("doc_id", "title", "year", F.array("name").alias("authors"))
     return bibtex(p)
+
+
+# -- selections and entities ------------------------------------------------------------------------------
+
+
+@q("overlapping_set", f"WITH {PD}, pr AS (SELECT doc_id, domain AS primary_domain FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM pd) t WHERE n = 1), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY primary_domain ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY primary_domain) AS c FROM pr) t WHERE n <= 2 AND c >= 2), sh AS (SELECT primary_domain, domain FROM few JOIN pd ON pd.doc_id = few.doc_id WHERE score >= 0.05 GROUP BY 1, 2 HAVING count(DISTINCT few.doc_id) = 2), v AS (SELECT primary_domain FROM sh GROUP BY 1 HAVING count(*) BETWEEN 1 AND 3) SELECT primary_domain, doc_id FROM few WHERE primary_domain = (SELECT min(primary_domain) FROM v)")
+def _(c):
+    from pyspark.sql import Window
+
+    s = paper_scores(c)
+    primary = s.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "domain"))).where("n = 1").select("doc_id", F.col("domain").alias("primary_domain"))
+    return X.overlapping_set(s, primary, 2, 0.05, 1, 3)
+
+
+@q("keyword_species", "SELECT keyword, count(DISTINCT doc_id) AS papers FROM (SELECT m.doc_id, upper(substr(s.common_name, 1, 1)) || substr(s.common_name, 2) AS keyword FROM mentions m JOIN species s ON s.species_id = m.species_id) t GROUP BY 1 ORDER BY papers DESC, keyword LIMIT 50")
+def _(c):
+    k = c.mentions.join(c.species, "species_id").select("doc_id", F.concat(F.upper(F.substring("common_name", 1, 1)), F.substring("common_name", 2, 100)).alias("keyword"))
+    return X.keyword_species(k)
+
+
+@q("entities_of_heads", f"WITH {CH}, e AS (SELECT doc_id, chunk_idx, coalesce(section, 'General') AS section, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) > 12))) AS name FROM ch WHERE chunk_idx < 3) SELECT doc_id, name, arg_min(section, chunk_idx) AS section, count(DISTINCT chunk_idx) AS chunks FROM e GROUP BY 1, 2")
+def _(c):
+    names = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 12))
+    return X.entities_of_heads(chunks(c).select("doc_id", "chunk_idx", "section", F.explode(names).alias("name")))
+
+
+@q("indexed_papers", f"WITH {RAW}, {STUDYV}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM sc) SELECT d.doc_id, coalesce(r.domain, 'unknown') AS primary_domain, CASE WHEN best IS NULL THEN 'unknown' WHEN close >= 2 THEN 'mixed' ELSE y END AS study_type FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN g ON g.doc_id = d.doc_id")
+def _(c):
+    studies = X.study_types(c.documents, c.spark.createDataFrame(STUDY, "study_type string, keyword string"))
+    return X.indexed_papers(c.documents, X.classify(c.documents, scores(c)), studies).select("doc_id", "primary_domain", "study_type")
