@@ -9,13 +9,14 @@ the probability of their weighted Jaccard similarity.  Texts that share all ``RO
 candidates: at a similarity of 0.8 a pair is missed with probability (1 - 0.8^3)^16 = 1e-5.  Candidates are
 verified by their weighted Jaccard similarity, computed from the texts.
 
-Equal texts are one node from the start.  A bucket of up to ``SMALL`` texts gives all its pairs.  A larger
-bucket is verified against its most popular text (the one with most bucket mates in all bands, in a group of
-edited copies the one nearest to what they were copied from); what does not match meets a new pivot of the
-same bucket, and what is left after ``TURNS / 2`` pivots is dealt into the buckets of every two bands in
-which texts agree, which again give all pairs or spokes, for as many turns.  So rows made stay in proportion
-to rows.  A link between two texts is lost only if all of their common buckets hold more than ``SMALL``
-unmatched texts and neither was matched with a pivot there that leads to the other.
+Equal texts are one node from the start, and so are texts of equal shingle counts.  A bucket of up to
+``SMALL`` texts gives all its pairs.  A larger bucket is verified against its most popular text (the one with
+most bucket mates in all bands, in a group of edited copies the one nearest to what they were copied from);
+what does not match meets one more pivot of the same bucket.  That finds most links with rows in proportion to
+rows, but not all: so the texts of large buckets that still hold several components are joined once more,
+exactly, by prefix filtering.  Shingles stand in order of falling IDF; the first one that two texts share must
+lie where the weight before it leaves room for the overlap that the similarity needs, so only these few rare
+shingles of each text are joined, and only between components.
 Classes are the connected components of verified links.
 
 Null texts are alone in their class; empty texts equal each other.  A text of fewer than five words is one
@@ -35,7 +36,7 @@ from quarry.llm.common import mix64, written
 from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
-N, SIMILARITY, BANDS, ROWS, SMALL, TURNS, DF_BITS, MAX_BROADCAST = 5, 0.8, 16, 3, 16, 4, 17, 500_000
+N, SIMILARITY, BANDS, ROWS, SMALL, TURNS, DF_BITS, MAX_BROADCAST, BLOCK = 5, 0.8, 16, 3, 16, 2, 17, 500_000, 512
 
 
 def _gamma_table(bits: int = 12) -> np.ndarray:
@@ -115,14 +116,14 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(df: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
-    """(k, t, bands) of every row: t names the text, bands are empty for texts without words."""
+    """(k, t, bag, bands) of every row: t names the text, bag its shingle counts; no bands without words."""
     context = df.sparkSession.sparkContext.broadcast(idf)
 
-    @F.pandas_udf("array<long>")
-    def bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("bag long, bands array<long>")
+    def bands(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         idf = context.value
         for s in batches:
-            out = []
+            bags, out = [], []
             for t in s:
                 h, w = weights(t, idf)
                 if len(h):
@@ -131,11 +132,13 @@ def sketches(df: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
                     for i in range(ROWS):
                         name = mix64(name * np.uint64(0x9E3779B97F4A7C15) + z[:, i])
                     out.append(name.view(np.int64))
+                    bags.append(int(mix64(h ^ mix64(w.view(np.uint64))).sum().view(np.int64)))
                 else:
                     out.append(np.zeros(0, np.int64))
-            yield pd.Series(out, dtype=object)
+                    bags.append(0)
+            yield pd.DataFrame({"bag": np.array(bags, np.int64), "bands": pd.Series(out, dtype=object)})
 
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), bands(F.col(text)).alias("bands"))
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), bands(F.col(text)).alias("s")).select("k", "t", "s.*")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -181,13 +184,63 @@ def pairs_of(rows: DataFrame, spokes: DataFrame, small: int) -> DataFrame:
     return pairs.unionByName(spokes.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))).distinct()
 
 
+def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """(t, label, s, w, short) of texts (t, label, x): the shingles s of which one is the first shared with any similar text.
+
+    w is the text's weight.  ``short`` marks the shingles that suffice against heavier texts.
+    """
+    context = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf = context.value
+        for pdf in batches:
+            for t, label, x in zip(pdf["t"], pdf["label"], pdf["x"], strict=True):
+                h, w = weights(x, idf)
+                order = np.lexsort((h, -idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]))
+                total = w.sum()
+                before = (np.cumsum(w[order]) - w[order]) / total - 1e-9
+                n = int((before <= 1 - least).sum())
+                yield pd.DataFrame({"t": t, "label": label, "s": h[order[:n]].view(np.int64), "w": total, "short": before[:n] <= 1 - 2 * least / (1 + least)})
+
+    return texts.select("t", "label", "x").mapInPandas(rows, "t long, label long, s long, w double, short boolean")
+
+
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """(key, main, blocks) of groups with more than one label: the commonest label, and blocks for the texts of all others."""
+    parts = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
+    groups = parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    return groups.where("parts > 1").select(key, "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"))
+
+
+def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Candidate pairs (a, b) among texts of ``buckets`` (band, t) between the components that links ``good`` leave apart.
+
+    At each shingle the texts outside its commonest component are dealt into blocks and meet all others.
+    """
+    labels = components(good).select(F.col("node").alias("t"), "label").hint("merge")
+    rows = written(buckets.join(labels, "t", "left").select("band", "t", F.coalesce("label", "t").alias("label")), "labelled")
+    mixed = rows.join(several(rows, "band").hint("merge"), "band").select("t", "label").distinct()
+    rows = written(prefixes(texts.join(written(mixed, "mixed").hint("merge"), "t"), idf, least), "prefixes")
+    rows = written(rows.join(written(several(rows, "s"), "several").hint("merge"), "s"), "prefixes")
+    few = rows.where("label <> main").select("s", F.struct("w", "t").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"), F.pmod(F.xxhash64("t", "s"), "blocks").alias("block"))
+    every = rows.select("s", F.struct("w", "t").alias("b"), F.col("label").alias("lb"), "main", F.col("short").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a.t") < F.col("b.t")))
+    near = F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")) & (F.least("a.w", "b.w") >= (least - 1e-9) * F.greatest("a.w", "b.w"))
+    pairs = few.join(every.hint("merge"), ["s", "block"]).where(once & near)
+    return pairs.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct()
+
+
 def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: float) -> DataFrame:
-    """(a, b, sim) of verified pairs of different texts, a < b."""
-    rows = sketch.select("t", "bands").dropDuplicates(["t"]).select("t", F.explode("bands").alias("band"))
+    """(a, b, sim) of links between different texts, a < b, that join all texts of a class."""
+    named = written(sketch.where(F.size("bands") > 0).groupBy("t").agg(F.first("bag").alias("bag"), F.first("bands").alias("bands")), "named")
+    first = written(named.groupBy("bag").agg(F.min("t").alias("a"), F.count("*").alias("n")), "bags").hint("merge")
+    alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1").hint("merge"), "bag").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
+    rows = named.join(first.select(F.col("a").alias("t")).hint("merge"), "t", "left_semi").select("t", F.explode("bands").alias("band"))
     size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
     rows = written(rows.join(size, "band"), "bands")
     pops = written(rows.groupBy("t").agg(F.sum("n").alias("pop")), "band-texts")
     rows = written(rows.join(pops.hint("merge"), "t").select("band", "t", "pop", "n"), "bands")
+    large = rows.where(F.col("n") > SMALL).select("band", "t")
     wanted = pops.select("t")
     wanted = wanted.hint("broadcast") if pops.count() <= MAX_BROADCAST else wanted.hint("merge")
     texts = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
@@ -195,10 +248,6 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
 
     found = None
     for turn in range(TURNS):
-        if turn == TURNS // 2:  # what no pivot matched meets again where two bands agree, in smaller buckets
-            lists = rows.groupBy("t", "pop").agg(F.sort_array(F.collect_set("band")).alias("l"))
-            two = F.flatten(F.transform(F.col("l"), lambda x, i: F.transform(F.slice(F.col("l"), i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-            rows = counted(lists.select(F.explode(F.when(F.size("l") > 1, two).otherwise(F.col("l"))).alias("band"), "t", "pop"))
         spokes = spokes_of(rows, SMALL)
         pairs = pairs_of(rows, spokes, SMALL)
         if found is not None:
@@ -210,9 +259,11 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
         good = found.where(F.col("sim") >= least).select("a", "b").hint("merge")
         left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t", "pop")
         rows = counted(left)
-        if rows.isEmpty():
-            break
-    return found.where(F.col("sim") >= least)
+    if not large.isEmpty():
+        pairs = rest_of(large, found.where(F.col("sim") >= least).select("a", "b"), texts, idf, least)
+        pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        found = found.unionByName(written(verify(pairs, texts, idf), "verified"))
+    return found.where(F.col("sim") >= least).unionByName(alike)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
