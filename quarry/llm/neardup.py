@@ -267,26 +267,30 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(key, class_id, class_size, t) of every distinct (key, text): class_id is the smallest key of its class."""
+    """(key, class_id, class_text, class_size, t) of every distinct (key, text): class_id is the smallest key of its class.
+
+    Classes that share their smallest key (a key of several texts, or null) differ in class_text, the smallest name of
+    the class's texts; it is null for null texts.
+    """
     idf = document_frequencies(df.where(F.col(text).isNotNull()).select(F.col(text).alias("x")))
     sketch = written(sketches(df, idf, key, text), "sketches")
     labels = components(links(df, sketch, idf, text, least)).select(F.col("node").alias("t"), "label")
     members = sketch.select("k", "t").distinct()
     members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
     heads = written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads").hint("merge")
-    out = members.join(heads, "label").select(F.col("k").alias(key), "class_id", "class_size", "t")
-    alone = df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("t")).distinct()
+    out = members.join(heads, "label").select(F.col("k").alias(key), "class_id", F.col("label").alias("class_text"), "class_size", "t")
+    nothing = F.lit(None).cast("long")
+    alone = df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"), nothing.alias("class_text"), F.lit(1).cast("long").alias("class_size"), nothing.alias("t")).distinct()
     return out.unionByName(alone)
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stay: of each class the document of the smallest key; null texts all stay."""
     classes = near_duplicates(df, key, text, least).where(F.col("t").isNotNull())
-    heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("t").alias("__t")).withColumnRenamed("class_id", "__k")
-    heads = written(heads, "heads").hint("merge")
+    heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias("__t"), F.first("class_id").alias("__k"))
+    heads = written(heads.select("__k", "__t"), "heads").hint("merge")
     kept = df.withColumn("__h", F.xxhash64(F.col(text))).join(heads, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left_semi")
-    counts = kept.groupBy(key).count().where("count > 1")
-    kept = kept.drop("__h")
+    counts = kept.groupBy(key, "__h").count().where("count > 1")
     if not counts.isEmpty():  # rows repeated in key and text
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(text).isNull()))
+        kept = kept.dropDuplicates([key, "__h"])
+    return kept.drop("__h").unionByName(df.where(F.col(text).isNull()))

@@ -420,6 +420,18 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0 == neardup.keep_one(empty(spark)).count()
 
 
+def test_near_duplicates_of_null_and_repeated_keys(spark):
+    rng = random.Random(16)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    docs = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, c), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = neardup.near_duplicates(df).collect()
+    assert len(rows) == len(set(docs))
+    assert sorted(Counter((r.class_id, r.class_text) for r in rows).values()) == [1, 1, 1, 1, 2]
+    kept = [tuple(r) for r in neardup.keep_one(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (7, c), (7, d), (7, None)], key=repr)
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(14)
     est, true = [], []
