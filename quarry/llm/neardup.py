@@ -1,8 +1,10 @@
 """MinHash near-duplicates: consistent weighted samples of TF-IDF shingles, banded and verified.
 
 A text is a weighted set of five-word shingles, weight = count in the text times the inverse document
-frequency.  Document frequencies are counted over the whole corpus in ``2^DF_BITS`` hashed features, the
-way of hashed TF-IDF vectors: a feature vector of fixed size, whatever the corpus, is all that is broadcast.
+frequency.  Document frequencies are exact, over the whole corpus, by 64-bit shingle.  Chunks of rows send their
+distinct shingles with their local counts, cut at ranges of the name; each range adds them up and sends back to
+every chunk those of its shingles that several documents hold, all others have one.  So no shingle is a hot key and
+nothing of the corpus is broadcast; a text carries the counts of its shingles, in their order, from there on.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts share a sample with
 the probability of their weighted Jaccard similarity.  Texts that share all ``ROWS`` samples of a band are
@@ -37,6 +39,8 @@ from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
 N, SIMILARITY, BANDS, ROWS, SMALL, TURNS, DF_BITS, MAX_BROADCAST, BLOCK = 5, 0.8, 16, 3, 16, 2, 17, 500_000, 512
+#: Rows of a chunk as a power of two, and characters of text for a range of shingle names.
+CHUNK_BITS, RANGE_CHARS = 8, 4_000_000
 
 
 def _gamma_table(bits: int = 12) -> np.ndarray:
@@ -54,10 +58,30 @@ GAMMA = _gamma_table()
 LOG_GAMMA = np.log(GAMMA)
 
 
-def weights(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Idf:
+    """Inverse document frequencies from the names (in order) and counts of shingles that several documents hold."""
+
+    def __init__(self, docs: int, names: np.ndarray, counts: np.ndarray):
+        self.docs, self.names, self.held = docs, names, counts
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.ones(len(h), np.uint32)
+        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
+        return np.where(self.names[at] == h, self.held[at], 1).astype(np.uint32)
+
+
+def weights(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in order and their TF-IDF weights."""
     h, tf = np.unique(shingles(text, N), return_counts=True)
-    return h, tf * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    return h, tf * np.log1p(idf.docs / idf.counts(h))
+
+
+def weighted(text: str, counts: bytes, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order, their TF-IDF weights and their IDF, from the counts that the text carries."""
+    h, tf = np.unique(shingles(text, N), return_counts=True)
+    idf = np.log1p(docs / np.frombuffer(counts, np.uint32))
+    return h, tf * idf, idf
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -95,73 +119,100 @@ def samples(h: np.ndarray, w: np.ndarray, number: int) -> np.ndarray:
     return mix64(h[at] + step.view(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """IDF of every hashed feature from all texts (column x); the vector has 2^DF_BITS entries."""
+def chunked(df: DataFrame, text: str) -> DataFrame:
+    """(chunk, t, x) of every row with a text, stored: t names the text."""
+    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+    return written(df.where(F.col(text).isNotNull()).select(chunk.alias("chunk"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")), "chunks")
+
+
+def frequencies(rows: DataFrame) -> tuple[int, DataFrame]:
+    """The number of rows (chunk, x), and (chunk, h, n): shingles of a chunk that several rows hold, and how many; as bytes."""
+    docs, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0))).first()
+    ranges = np.uint64(1 + chars // RANGE_CHARS)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, docs = np.zeros(1 << DF_BITS, np.int64), 0
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["x"]:
-                total[np.unique((shingles(t, N) >> np.uint64(64 - DF_BITS)).astype(np.int64))] += 1
-                docs += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"f": np.append(at, -1), "n": np.append(total[at], docs)})
-
-    counts = texts.mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(1 << DF_BITS)
-    inner = counts[counts["f"] >= 0]
-    df[inner["f"].to_numpy()] = inner["n"].to_numpy()
-    docs = max(1, counts["n"][counts["f"] < 0].sum())
-    return np.log1p(docs / np.maximum(df, 1))
-
-
-def sketches(df: DataFrame, idf: np.ndarray, key: str, text: str) -> DataFrame:
-    """(k, t, bag, bands) of every row: t names the text, bag its shingle counts; no bands without words."""
-    context = df.sparkSession.sparkContext.broadcast(idf)
-
-    @F.pandas_udf("bag long, bands array<long>")
-    def bands(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        idf = context.value
-        for s in batches:
-            bags, out = [], []
-            for t in s:
-                h, w = weights(t, idf)
-                if len(h):
-                    z = samples(h, w, BANDS * ROWS).reshape(BANDS, ROWS)
-                    name = np.arange(BANDS, dtype=np.uint64)
-                    for i in range(ROWS):
-                        name = mix64(name * np.uint64(0x9E3779B97F4A7C15) + z[:, i])
-                    out.append(name.view(np.int64))
-                    bags.append(int(mix64(h ^ mix64(w.view(np.uint64))).sum().view(np.int64)))
-                else:
-                    out.append(np.zeros(0, np.int64))
-                    bags.append(0)
-            yield pd.DataFrame({"bag": np.array(bags, np.int64), "bands": pd.Series(out, dtype=object)})
-
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), bands(F.col(text)).alias("s")).select("k", "t", "s.*")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+            for chunk, texts in pdf.groupby("chunk")["x"]:
+                h, n = np.unique(np.concatenate([np.unique(shingles(x, N)) for x in texts]), return_counts=True)
+                part = ((h >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64)
+                cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(h)]
+                n = n.astype(np.uint32)
+                out = [(chunk, part[i], h[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame(out, columns=["chunk", "part", "h", "n"])
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]])
+        h, at = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(at, counts, len(h)).astype(np.uint32)[at]
+        out, i = [], 0
+        for chunk, own in zip(pdf["chunk"], names, strict=True):
+            n = total[i : i + len(own)]
+            i += len(own)
+            if (n > 1).any():
+                out.append((chunk, own[n > 1].tobytes(), n[n > 1].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "h", "n"])
+
+    parts = rows.select("chunk", "x").mapInPandas(local, "chunk long, part long, h binary, n binary")
+    return docs, parts.groupBy("part").applyInPandas(add_up, "chunk long, h binary, n binary")
+
+
+def _idf(docs: int, found: pd.DataFrame) -> Idf:
+    """From rows of ``frequencies``."""
+    names = np.frombuffer(b"".join(found["h"]), np.uint64)
+    names, first = np.unique(names, return_index=True)
+    return Idf(docs, names, np.frombuffer(b"".join(found["n"]), np.uint32)[first])
+
+
+def document_frequencies(texts: DataFrame) -> Idf:
+    """The IDF of all shingles of texts (column x) in memory, for small tables."""
+    docs, found = frequencies(chunked(texts, "x"))
+    return _idf(docs, found.toPandas())
+
+
+def sketches(rows: DataFrame, docs: int, found: DataFrame) -> DataFrame:
+    """(t, counts, bag, bands) of every row (chunk, t, x): bag names its shingle counts; no bands without words."""
+
+    def bands(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        idf, out = _idf(docs, found), []
+        for t, x in zip(pdf["t"], pdf["x"], strict=True):
+            h, tf = np.unique(shingles(x, N), return_counts=True)
+            counts = idf.counts(h)
+            w = tf * np.log1p(docs / counts)
+            if len(h):
+                z = samples(h, w, BANDS * ROWS).reshape(BANDS, ROWS)
+                name = np.arange(BANDS, dtype=np.uint64)
+                for i in range(ROWS):
+                    name = mix64(name * np.uint64(0x9E3779B97F4A7C15) + z[:, i])
+                bag = int(mix64(h ^ mix64(w.view(np.uint64))).sum().view(np.int64))
+                out.append((t, counts.tobytes(), bag, name.view(np.int64)))
+            else:
+                out.append((t, b"", 0, np.zeros(0, np.int64)))
+        return pd.DataFrame(out, columns=["t", "counts", "bag", "bands"])
+
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(bands, "t long, counts binary, bag long, bands array<long>")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
     """(a, b, sim) of candidate pairs of text names."""
-    context = pairs.sparkSession.sparkContext.broadcast(idf)
 
     @F.pandas_udf("double")
     def sim(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        idf, memo = context.value, {}
+        memo = {}
 
-        def get(k: int, t: str):
+        def get(k: int, t: str, counts: bytes):
             if k not in memo:
                 if len(memo) >= 64:
                     memo.clear()
-                memo[k] = weights(t, idf)
+                memo[k] = weighted(t, counts, docs)[:2]
             return memo[k]
 
-        for a, x, b, y in batches:
-            yield pd.Series([similarity(get(*p), get(*q)) for p, q in zip(zip(a, x, strict=True), zip(b, y, strict=True), strict=True)], dtype=float)
+        for a, x, m, b, y, n in batches:
+            yield pd.Series([similarity(get(*p), get(*q)) for p, q in zip(zip(a, x, m, strict=True), zip(b, y, n, strict=True), strict=True)], dtype=float)
 
-    left = texts.select(F.col("t").alias("a"), F.col("x").alias("xa")).hint("merge")
-    right = texts.select(F.col("t").alias("b"), F.col("x").alias("xb")).hint("merge")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", sim("a", "xa", "b", "xb").alias("sim"))
+    left = texts.select(F.col("t").alias("a"), F.col("x").alias("xa"), F.col("counts").alias("ca")).hint("merge")
+    right = texts.select(F.col("t").alias("b"), F.col("x").alias("xb"), F.col("counts").alias("cb")).hint("merge")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", sim("a", "xa", "ca", "b", "xb", "cb").alias("sim"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -184,25 +235,23 @@ def pairs_of(rows: DataFrame, spokes: DataFrame, small: int) -> DataFrame:
     return pairs.unionByName(spokes.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))).distinct()
 
 
-def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """(t, label, s, w, short) of texts (t, label, x): the shingles s of which one is the first shared with any similar text.
+def prefixes(texts: DataFrame, docs: int, least: float) -> DataFrame:
+    """(t, label, s, w, short) of texts (t, label, x, counts): the shingles s of which one is the first shared with any similar text.
 
     w is the text's weight.  ``short`` marks the shingles that suffice against heavier texts.
     """
-    context = texts.sparkSession.sparkContext.broadcast(idf)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf = context.value
         for pdf in batches:
-            for t, label, x in zip(pdf["t"], pdf["label"], pdf["x"], strict=True):
-                h, w = weights(x, idf)
-                order = np.lexsort((h, -idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]))
+            for t, label, x, counts in zip(pdf["t"], pdf["label"], pdf["x"], pdf["counts"], strict=True):
+                h, w, idf = weighted(x, counts, docs)
+                order = np.lexsort((h, -idf))
                 total = w.sum()
                 before = (np.cumsum(w[order]) - w[order]) / total - 1e-9
                 n = int((before <= 1 - least).sum())
                 yield pd.DataFrame({"t": t, "label": label, "s": h[order[:n]].view(np.int64), "w": total, "short": before[:n] <= 1 - 2 * least / (1 + least)})
 
-    return texts.select("t", "label", "x").mapInPandas(rows, "t long, label long, s long, w double, short boolean")
+    return texts.select("t", "label", "x", "counts").mapInPandas(rows, "t long, label long, s long, w double, short boolean")
 
 
 def several(rows: DataFrame, key: str) -> DataFrame:
@@ -212,7 +261,7 @@ def several(rows: DataFrame, key: str) -> DataFrame:
     return groups.where("parts > 1").select(key, "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"))
 
 
-def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, docs: int, least: float) -> DataFrame:
     """Candidate pairs (a, b) among texts of ``buckets`` (band, t) between the components that links ``good`` leave apart.
 
     At each shingle the texts outside its commonest component are dealt into blocks and meet all others.
@@ -220,7 +269,7 @@ def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, idf: np.ndarr
     labels = components(good).select(F.col("node").alias("t"), "label").hint("merge")
     rows = written(buckets.join(labels, "t", "left").select("band", "t", F.coalesce("label", "t").alias("label")), "labelled")
     mixed = rows.join(several(rows, "band").hint("merge"), "band").select("t", "label").distinct()
-    rows = written(prefixes(texts.join(written(mixed, "mixed").hint("merge"), "t"), idf, least), "prefixes")
+    rows = written(prefixes(texts.join(written(mixed, "mixed").hint("merge"), "t"), docs, least), "prefixes")
     rows = written(rows.join(written(several(rows, "s"), "several").hint("merge"), "s"), "prefixes")
     few = rows.where("label <> main").select("s", F.struct("w", "t").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"), F.pmod(F.xxhash64("t", "s"), "blocks").alias("block"))
     every = rows.select("s", F.struct("w", "t").alias("b"), F.col("label").alias("lb"), "main", F.col("short").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -230,9 +279,9 @@ def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, idf: np.ndarr
     return pairs.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct()
 
 
-def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: float) -> DataFrame:
+def links(texts: DataFrame, sketch: DataFrame, docs: int, least: float) -> DataFrame:
     """(a, b, sim) of links between different texts, a < b, that join all texts of a class."""
-    named = written(sketch.where(F.size("bands") > 0).groupBy("t").agg(F.first("bag").alias("bag"), F.first("bands").alias("bands")), "named")
+    named = written(sketch.where(F.size("bands") > 0).groupBy("t").agg(F.first("bag").alias("bag"), F.first("bands").alias("bands"), F.first("counts").alias("counts")), "named")
     first = written(named.groupBy("bag").agg(F.min("t").alias("a"), F.count("*").alias("n")), "bags").hint("merge")
     alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1").hint("merge"), "bag").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
     rows = named.join(first.select(F.col("a").alias("t")).hint("merge"), "t", "left_semi").select("t", F.explode("bands").alias("band"))
@@ -243,8 +292,8 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
     large = rows.where(F.col("n") > SMALL).select("band", "t")
     wanted = pops.select("t")
     wanted = wanted.hint("broadcast") if pops.count() <= MAX_BROADCAST else wanted.hint("merge")
-    texts = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-    texts = written(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x")), "texts")
+    texts = texts.select("t", "x").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
+    texts = written(texts.join(named.select("t", "counts").join(wanted, "t", "left_semi").hint("merge"), "t"), "texts")
 
     found = None
     for turn in range(TURNS):
@@ -252,7 +301,7 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
         pairs = pairs_of(rows, spokes, SMALL)
         if found is not None:
             pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        now = verify(pairs, texts, idf)
+        now = verify(pairs, texts, docs)
         found = written(now if found is None else found.unionByName(now), "verified")
         if turn == TURNS - 1 or spokes.isEmpty():
             break
@@ -260,9 +309,9 @@ def links(df: DataFrame, sketch: DataFrame, idf: np.ndarray, text: str, least: f
         left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t", "pop")
         rows = counted(left)
     if not large.isEmpty():
-        pairs = rest_of(large, found.where(F.col("sim") >= least).select("a", "b"), texts, idf, least)
+        pairs = rest_of(large, found.where(F.col("sim") >= least).select("a", "b"), texts, docs, least)
         pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        found = found.unionByName(written(verify(pairs, texts, idf), "verified"))
+        found = found.unionByName(written(verify(pairs, texts, docs), "verified"))
     return found.where(F.col("sim") >= least).unionByName(alike)
 
 
@@ -272,10 +321,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     Classes that share their smallest key (a key of several texts, or null) differ in class_text, the smallest name of
     the class's texts; it is null for null texts.
     """
-    idf = document_frequencies(df.where(F.col(text).isNotNull()).select(F.col(text).alias("x")))
-    sketch = written(sketches(df, idf, key, text), "sketches")
-    labels = components(links(df, sketch, idf, text, least)).select(F.col("node").alias("t"), "label")
-    members = sketch.select("k", "t").distinct()
+    rows = chunked(df, text)
+    docs, found = frequencies(rows)
+    sketch = written(sketches(rows, docs, found), "sketches")
+    labels = components(links(rows, sketch, docs, least)).select(F.col("node").alias("t"), "label")
+    members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
     members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
     heads = written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads").hint("merge")
     out = members.join(heads, "label").select(F.col("k").alias(key), "class_id", F.col("label").alias("class_text"), "class_size", "t")
