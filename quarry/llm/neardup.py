@@ -27,11 +27,12 @@ shingle.  Rows with equal key and text are one document, null keys sort first.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, written
@@ -119,6 +120,21 @@ def samples(h: np.ndarray, w: np.ndarray, number: int) -> np.ndarray:
     return mix64(h[at] + step.view(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def packed(h: np.ndarray) -> bytes:
+    """Names in order as differences, byte by byte place, so that their zeros compress."""
+    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def tidy(spark: SparkSession) -> None:
+    """The driver collects garbage: Spark then deletes the shuffle files of DataFrames that are written and gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunked(df: DataFrame, text: str) -> DataFrame:
     """(chunk, t, x) of every row with a text, stored: t names the text."""
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
@@ -126,7 +142,7 @@ def chunked(df: DataFrame, text: str) -> DataFrame:
 
 
 def frequencies(rows: DataFrame) -> tuple[int, DataFrame]:
-    """The number of rows (chunk, x), and (chunk, h, n): shingles of a chunk that several rows hold, and how many; as bytes."""
+    """The number of rows (chunk, x), and (chunk, h, n): shingles of a chunk that several rows hold, and how many; packed."""
     docs, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0))).first()
     ranges = np.uint64(1 + chars // RANGE_CHARS)
 
@@ -137,11 +153,11 @@ def frequencies(rows: DataFrame) -> tuple[int, DataFrame]:
                 part = ((h >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64)
                 cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(h)]
                 n = n.astype(np.uint32)
-                out = [(chunk, part[i], h[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                out = [(chunk, part[i], packed(h[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pd.DataFrame(out, columns=["chunk", "part", "h", "n"])
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
+        names = [unpacked(x) for x in pdf["h"]]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]])
         h, at = np.unique(np.concatenate(names), return_inverse=True)
         total = np.bincount(at, counts, len(h)).astype(np.uint32)[at]
@@ -150,16 +166,16 @@ def frequencies(rows: DataFrame) -> tuple[int, DataFrame]:
             n = total[i : i + len(own)]
             i += len(own)
             if (n > 1).any():
-                out.append((chunk, own[n > 1].tobytes(), n[n > 1].tobytes()))
+                out.append((chunk, packed(own[n > 1]), n[n > 1].tobytes()))
         return pd.DataFrame(out, columns=["chunk", "h", "n"])
 
     parts = rows.select("chunk", "x").mapInPandas(local, "chunk long, part long, h binary, n binary")
-    return docs, parts.groupBy("part").applyInPandas(add_up, "chunk long, h binary, n binary")
+    return docs, written(parts.groupBy("part").applyInPandas(add_up, "chunk long, h binary, n binary"), "frequencies")
 
 
 def _idf(docs: int, found: pd.DataFrame) -> Idf:
     """From rows of ``frequencies``."""
-    names = np.frombuffer(b"".join(found["h"]), np.uint64)
+    names = np.concatenate([np.zeros(0, np.uint64), *map(unpacked, found["h"])])
     names, first = np.unique(names, return_index=True)
     return Idf(docs, names, np.frombuffer(b"".join(found["n"]), np.uint32)[first])
 
@@ -323,7 +339,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     """
     rows = chunked(df, text)
     docs, found = frequencies(rows)
+    tidy(df.sparkSession)
     sketch = written(sketches(rows, docs, found), "sketches")
+    tidy(df.sparkSession)
     labels = components(links(rows, sketch, docs, least)).select(F.col("node").alias("t"), "label")
     members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
     members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
