@@ -7,7 +7,7 @@ stable when the bytes of a and b together encode to (a, b) again; a token sequen
 stable is the encoding of its bytes, so tokens outside the window provably do not change.  Halves are cut
 at the largest power of two below the length, so that equal prefixes share memo entries.
 
-Decoding concatenates byte strings up the same tree.
+Decoding concatenates byte strings up a tree of halves of the token sequence.
 
 Nulls and empty texts have no tokens; texts of any length and script are handled; row order, repeated rows
 and further columns do not matter.
@@ -110,7 +110,11 @@ class TreeBpe:
         return got
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The bytes of both halves, concatenated up the tree."""
+        if len(ids) <= 1:
+            return self.tokens[ids[0]] if len(ids) else b""
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 #: Letters, numbers and white space below U+0100, for the pattern's classes; fixed values of Unicode.

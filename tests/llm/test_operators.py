@@ -65,6 +65,20 @@ def test_bpe_join_is_the_encoding_of_the_whole(coder):
         assert own.bpe.join(own.bpe.tree(a), own.bpe.tree(b)) == own.bpe.tree(a + b)
 
 
+def test_bpe_decodes_up_the_tree():
+    joined = []
+
+    class Piece(bytes):
+        def __add__(self, other):
+            joined.append(len(self) + len(other))
+            return Piece(bytes(self) + bytes(other))
+
+    own = bpe.TreeBpe({bytes([i]): i for i in range(256)})
+    own.tokens = [Piece([i]) for i in range(256)]
+    assert own.decode(list(range(8))) == bytes(range(8)) and own.decode([]) == b""
+    assert sorted(joined) == [2, 2, 2, 2, 4, 4, 8]
+
+
 def test_bpe_digests_of_odd_rows(spark, coder):
     df = odd(spark)
     got = [tuple(r) for r in bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()]
