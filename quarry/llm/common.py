@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,23 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (single-machine tests), a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place on a single machine; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(base)
         base = sc._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to delete the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The result no longer needs the shuffle files of its making, so they go at once.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = shared_dir(spark, purpose), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what ``written`` made, once nothing reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def held_out(key: str | Column) -> Column:

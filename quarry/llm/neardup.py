@@ -1,10 +1,11 @@
 """MinHash near-duplicates: consistent weighted samples of TF-IDF shingles, banded and verified.
 
 A text is a weighted set of five-word shingles, weight = count in the text times the inverse document
-frequency.  Document frequencies are exact, over the whole corpus, by 64-bit shingle.  Chunks of rows send their
-distinct shingles with their local counts, cut at ranges of the name; each range adds them up and sends back to
-every chunk those of its shingles that several documents hold, all others have one.  So no shingle is a hot key and
-nothing of the corpus is broadcast; a text carries the counts of its shingles, in their order, from there on.
+frequency.  Document frequencies are counted over all rows, by shingle names whose width grows with the corpus
+(``WIDTH`` bits more than its characters need, so a name is shared by chance with a probability below 2^-14 at any
+size).  Rows are dealt into chunks; a chunk sends its distinct names with their local counts, cut at ranges of the
+name; each range adds them up and sends every chunk the sums in the order of its names.  So no shingle is a hot key
+and nothing of the corpus is broadcast; a text carries the counts of its shingles, in their order, from there on.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts share a sample with
 the probability of their weighted Jaccard similarity.  Texts that share all ``ROWS`` samples of a band are
@@ -13,16 +14,18 @@ verified by their weighted Jaccard similarity, computed from the texts.
 
 Equal texts are one node from the start, and so are texts of equal shingle counts.  A bucket of up to
 ``SMALL`` texts gives all its pairs.  A larger bucket is verified against its most popular text (the one with
-most bucket mates in all bands, in a group of edited copies the one nearest to what they were copied from);
-what does not match meets one more pivot of the same bucket.  That finds most links with rows in proportion to
-rows, but not all: so the texts of large buckets that still hold several components are joined once more,
-exactly, by prefix filtering.  Shingles stand in order of falling IDF; the first one that two texts share must
-lie where the weight before it leaves room for the overlap that the similarity needs, so only these few rare
-shingles of each text are joined, and only between components.
+most bucket mates in all bands, in a group of edited copies the one nearest to what they were copied from).
+That finds many links with rows in proportion to rows, but not all: so the texts of large buckets that still hold
+several components are joined once more, exactly, by prefix filtering.  Shingles stand in order of rising document
+frequency; a similar pair has a first common shingle, and from there on each of the two must weigh what their common
+part needs, 0.8 / 1.8 of both together.  So only the few rarest shingles of each text are joined, only between
+components, and only where both sides leave that room.
 Classes are the connected components of verified links.
 
 Null texts are alone in their class; empty texts equal each other.  A text of fewer than five words is one
-shingle.  Rows with equal key and text are one document, null keys sort first.
+shingle; very long texts are read whole, in one task each.  Rows with equal key and text are one document in the
+report (each row counts in the document frequencies); null keys sort first.  Empty tables give empty tables.
+Columns beyond key and text take no part and may have any name.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, written
+from quarry.llm.common import mix64, released, written
 from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
-N, SIMILARITY, BANDS, ROWS, SMALL, TURNS, DF_BITS, MAX_BROADCAST, BLOCK = 5, 0.8, 16, 3, 16, 2, 17, 500_000, 512
-#: Rows of a chunk as a power of two, and characters of text for a range of shingle names.
-CHUNK_BITS, RANGE_CHARS = 8, 4_000_000
+N, SIMILARITY, BANDS, ROWS, SMALL, MAX_BROADCAST, BLOCK = 5, 0.8, 16, 3, 16, 500_000, 512
+#: Characters of text for a chunk of rows and for a range of names; bits of a name beyond those of the corpus's length.
+CHUNK_CHARS, RANGE_CHARS, WIDTH = 1_000_000, 8_000_000, 16
 
 
 def _gamma_table(bits: int = 12) -> np.ndarray:
@@ -55,37 +58,22 @@ def _gamma_table(bits: int = 12) -> np.ndarray:
 
 
 GAMMA = _gamma_table()
-LOG_GAMMA = np.log(GAMMA)
-
-
-class Idf:
-    """Inverse document frequencies from the names (in order) and counts of shingles that several documents hold."""
-
-    def __init__(self, docs: int, names: np.ndarray, counts: np.ndarray):
-        self.docs, self.names, self.held = docs, names, counts
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.names):
-            return np.ones(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names[at] == h, self.held[at], 1).astype(np.uint32)
+LOG_GAMMA, _PER_GAMMA = np.log(GAMMA), 1 / GAMMA
+_ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def weights(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order and their TF-IDF weights."""
-    h, tf = np.unique(shingles(text, N), return_counts=True)
-    return h, tf * np.log1p(idf.docs / idf.counts(h))
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order and how often the text has them."""
+    return np.unique(shingles(text, N), return_counts=True)
 
 
-def weighted(text: str, counts: bytes, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order, their TF-IDF weights and their IDF, from the counts that the text carries."""
-    h, tf = np.unique(shingles(text, N), return_counts=True)
-    idf = np.log1p(docs / np.frombuffer(counts, np.uint32))
-    return h, tf * idf, idf
+def weights(tf: np.ndarray, counts: np.ndarray, docs: int) -> np.ndarray:
+    """TF-IDF from the counts of documents that hold each shingle."""
+    return tf * np.log1p(docs / counts)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity; 0 if either is empty."""
+    """Weighted Jaccard similarity of (shingles in order, weights); 0 if either is empty."""
     (ha, wa), (hb, wb) = a, b
     if not len(ha) or not len(hb):
         return 0.0
@@ -94,101 +82,89 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (wa.sum() + wb.sum() - common))
 
 
-_ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_PER_GAMMA = 1 / GAMMA
-
-
 def samples(h: np.ndarray, w: np.ndarray, number: int) -> np.ndarray:
     """Consistent weighted samples of a weighted set, one 64-bit name per sample.
 
     The random numbers of sample j and shingle h are bits of h times an odd number of j.
     """
-    best, at, step = np.full(number, np.inf, np.float32), np.zeros(number, np.int64), np.zeros(number, np.int64)
-    lw = np.log(w).astype(np.float32)
-    for i in range(0, len(h), 4096):
-        z = h[None, i : i + 4096] * _ODD[:number, None]
+    best, at, step = np.full(number, np.inf, np.float32), np.zeros(number, np.int64), np.zeros(number, np.float32)
+    lw, each = np.log(w).astype(np.float32), np.arange(number)
+    for i in range(0, len(h), 1024):
+        z = h[None, i : i + 1024] * _ODD[:number, None]
         k = (z >> np.uint64(52)).astype(np.int32)
-        r = GAMMA[k]
-        beta = (z >> np.uint64(40) & np.uint64(4095)).astype(np.float32) * np.float32(1 / 4096)
-        t = np.floor(lw[None, i : i + 4096] * _PER_GAMMA[k] + beta)
-        log_a = LOG_GAMMA[(z >> np.uint64(28) & np.uint64(4095)).astype(np.int32)] - r * (t - beta + 1)
+        beta = ((z >> np.uint64(40)).astype(np.int32) & 4095).astype(np.float32)
+        beta *= np.float32(1 / 4096)
+        t = _PER_GAMMA.take(k)
+        t *= lw[None, i : i + 1024]
+        t += beta
+        np.floor(t, out=t)
+        log_a = LOG_GAMMA.take((z >> np.uint64(28)).astype(np.int32) & 4095)
+        beta -= t
+        beta -= 1
+        beta *= GAMMA.take(k)
+        log_a += beta
         j = log_a.argmin(1)
-        low = log_a[np.arange(number), j]
+        low = log_a[each, j]
         new = low < best
-        best[new], at[new], step[new] = low[new], i + j[new], t[np.arange(number), j][new].astype(np.int64)
-    return mix64(h[at] + step.view(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        best[new], at[new], step[new] = low[new], i + j[new], t[each, j][new]
+    return mix64(h[at] + step.astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def packed(h: np.ndarray) -> bytes:
+def packed(names: np.ndarray) -> bytes:
     """Names in order as differences, byte by byte place, so that their zeros compress."""
-    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def chunked(df: DataFrame, text: str) -> DataFrame:
-    """(chunk, t, x) of every row with a text, stored: t names the text."""
-    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
-    return written(df.where(F.col(text).isNotNull()).select(chunk.alias("chunk"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")), "chunks")
+def chunked(df: DataFrame, key: str, text: str, chars: int) -> DataFrame:
+    """(chunk, t, x) of every row with a text: t names the text; copies fall into different chunks."""
+    chunk = F.pmod(F.xxhash64(F.col(key), F.col(text), F.spark_partition_id()), F.lit(1 + chars // CHUNK_CHARS))
+    return df.where(F.col(text).isNotNull()).select(chunk.alias("chunk"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
 
 
-def frequencies(rows: DataFrame) -> tuple[int, DataFrame]:
-    """The number of rows (chunk, x), and (chunk, h, n): shingles of a chunk that several rows hold, and how many; packed."""
-    docs, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0))).first()
-    ranges = np.uint64(1 + chars // RANGE_CHARS)
+def frequencies(rows: DataFrame, chars: int) -> DataFrame:
+    """(chunk, part, n): for the distinct names of each chunk of rows (chunk, x), in order, the rows of the corpus that hold them."""
+    bits, ranges = name_bits(chars), np.uint64(1 + chars // RANGE_CHARS)
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, texts in pdf.groupby("chunk")["x"]:
-                h, n = np.unique(np.concatenate([np.unique(shingles(x, N)) for x in texts]), return_counts=True)
-                part = ((h >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64)
-                cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(h)]
-                n = n.astype(np.uint32)
-                out = [(chunk, part[i], packed(h[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame(out, columns=["chunk", "part", "h", "n"])
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, n = np.unique(np.concatenate([np.unique(shingles(x, N) >> np.uint64(64 - bits)) for x in pdf["x"]]), return_counts=True)
+        part = ((names >> np.uint64(bits - 32)) * ranges >> np.uint64(32)).astype(np.int64)
+        cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(names)]
+        n, chunk = n.astype(np.uint32), pdf["chunk"].iloc[0]
+        return pd.DataFrame([(chunk, part[i], packed(names[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], columns=["chunk", "part", "names", "n"])
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [unpacked(x) for x in pdf["h"]]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]])
-        h, at = np.unique(np.concatenate(names), return_inverse=True)
-        total = np.bincount(at, counts, len(h)).astype(np.uint32)[at]
-        out, i = [], 0
-        for chunk, own in zip(pdf["chunk"], names, strict=True):
-            n = total[i : i + len(own)]
-            i += len(own)
-            if (n > 1).any():
-                out.append((chunk, packed(own[n > 1]), n[n > 1].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "h", "n"])
-
-    parts = rows.select("chunk", "x").mapInPandas(local, "chunk long, part long, h binary, n binary")
-    return docs, parts.groupBy("part").applyInPandas(add_up, "chunk long, h binary, n binary")
+        names = [unpacked(x) for x in pdf["names"]]
+        counts = np.frombuffer(b"".join(pdf["n"]), np.uint32)
+        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(at, counts, len(every)).astype(np.uint32)[at]
+        ends = np.cumsum([len(x) for x in names])
+        return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "n": [total[e - len(x) : e].tobytes() for x, e in zip(names, ends, strict=True)]})
 
+    parts = rows.groupBy("chunk").applyInPandas(local, "chunk long, part long, names binary, n binary")
+    return parts.groupBy("part").applyInPandas(add_up, "chunk long, part long, n binary")
 
-def _idf(docs: int, found: pd.DataFrame) -> Idf:
-    """From rows of ``frequencies``."""
-    names = np.concatenate([np.zeros(0, np.uint64), *map(unpacked, found["h"])])
-    names, first = np.unique(names, return_index=True)
-    return Idf(docs, names, np.frombuffer(b"".join(found["n"]), np.uint32)[first])
 
+def name_bits(chars: int) -> int:
+    return min(64, max(40, WIDTH + int(chars).bit_length()))
 
-def document_frequencies(texts: DataFrame) -> Idf:
-    """The IDF of all shingles of texts (column x) in memory, for small tables."""
-    docs, found = frequencies(chunked(texts, "x"))
-    return _idf(docs, found.toPandas())
 
-
-def sketches(rows: DataFrame, docs: int, found: DataFrame) -> DataFrame:
-    """(t, counts, bag, bands) of every row (chunk, t, x): bag names its shingle counts; no bands without words."""
+def sketches(rows: DataFrame, docs: int, chars: int) -> DataFrame:
+    """(t, counts, bag, bands) of every row (chunk, t, x): counts of documents by shingle, bag names the weighted set; no bands without words."""
+    bits = name_bits(chars)
 
     def bands(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        idf, out = _idf(docs, found), []
-        for t, x in zip(pdf["t"], pdf["x"], strict=True):
-            h, tf = np.unique(shingles(x, N), return_counts=True)
-            counts = idf.counts(h)
-            w = tf * np.log1p(docs / counts)
+        held = np.frombuffer(b"".join(found.sort_values("part")["n"]), np.uint32)
+        sets = [counted(x) for x in pdf["x"]]
+        names = [h >> np.uint64(64 - bits) for h, _ in sets]
+        every, out = np.unique(np.concatenate([np.zeros(0, np.uint64), *names])), []
+        for t, (h, tf), own in zip(pdf["t"], sets, names, strict=True):
             if len(h):
+                counts = held[np.searchsorted(every, own)]
+                w = weights(tf, counts, docs)
                 z = samples(h, w, BANDS * ROWS).reshape(BANDS, ROWS)
                 name = np.arange(BANDS, dtype=np.uint64)
                 for i in range(ROWS):
@@ -199,6 +175,7 @@ def sketches(rows: DataFrame, docs: int, found: DataFrame) -> DataFrame:
                 out.append((t, b"", 0, np.zeros(0, np.int64)))
         return pd.DataFrame(out, columns=["t", "counts", "bag", "bands"])
 
+    found = frequencies(rows.select("chunk", "t", "x"), chars)
     return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(bands, "t long, counts binary, bag long, bands array<long>")
 
 
@@ -213,7 +190,8 @@ def verify(pairs: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
             if k not in memo:
                 if len(memo) >= 64:
                     memo.clear()
-                memo[k] = weighted(t, counts, docs)[:2]
+                h, tf = counted(t)
+                memo[k] = h, weights(tf, np.frombuffer(counts, np.uint32), docs)
             return memo[k]
 
         for a, x, m, b, y, n in batches:
@@ -224,43 +202,38 @@ def verify(pairs: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", sim("a", "xa", "ca", "b", "xb", "cb").alias("sim"))
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """Rows (band, t, pop) of buckets that hold two texts or more, with the bucket's size n; stored."""
-    size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
-    return written(rows.select("band", "t", "pop").join(size, "band"), "bands")
-
-
-def spokes_of(rows: DataFrame, small: int) -> DataFrame:
-    """(band, t, pop, pivot) of buckets above ``small``: the pivot is the bucket's most popular text."""
-    many = rows.where(F.col("n") > small)
-    pivots = written(many.groupBy("band").agg(F.max_by("t", F.struct("pop", F.xxhash64("t", "band"))).alias("pivot")), "pivots").hint("merge")
-    return written(many.join(pivots, "band").where("t <> pivot").select("band", "t", "pop", "pivot"), "spokes")
+def spokes_of(large: DataFrame) -> DataFrame:
+    """(a, b): every text of large buckets (band, t, pop) with its bucket's most popular text."""
+    pivots = written(large.groupBy("band").agg(F.max_by("t", F.struct("pop", F.xxhash64("t", "band"))).alias("pivot")), "pivots").hint("merge")
+    return large.join(pivots, "band").where("t <> pivot").select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))
 
 
-def pairs_of(rows: DataFrame, spokes: DataFrame, small: int) -> DataFrame:
-    """Candidate pairs (a, b): all pairs of buckets up to ``small``, and the spokes."""
-    few = rows.where(F.col("n") <= small).select("band", "t")
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): all pairs of buckets (band, t, n, pop) up to ``SMALL``, and the spokes of the others."""
+    few = rows.where(F.col("n") <= SMALL).select("band", "t")
     pairs = few.withColumnRenamed("t", "a").join(few.withColumnRenamed("t", "b").hint("merge"), "band").where("a < b").select("a", "b")
-    return pairs.unionByName(spokes.select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b"))).distinct()
+    return pairs.unionByName(spokes_of(rows.where(F.col("n") > SMALL).select("band", "t", "pop"))).distinct()
 
 
 def prefixes(texts: DataFrame, docs: int, least: float) -> DataFrame:
-    """(t, label, s, w, short) of texts (t, label, x, counts): the shingles s of which one is the first shared with any similar text.
+    """(t, label, s, w, rest) of texts (t, label, x, counts): the shingles s of which one is the first shared with any similar text.
 
-    w is the text's weight.  ``short`` marks the shingles that suffice against heavier texts.
+    w is the text's weight, rest that of s and all shingles after it.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t, label, x, counts in zip(pdf["t"], pdf["label"], pdf["x"], pdf["counts"], strict=True):
-                h, w, idf = weighted(x, counts, docs)
-                order = np.lexsort((h, -idf))
+            for t, label, x, held in zip(pdf["t"], pdf["label"], pdf["x"], pdf["counts"], strict=True):
+                h, tf = counted(x)
+                counts = np.frombuffer(held, np.uint32)
+                order = np.lexsort((h, counts))
+                w = weights(tf, counts, docs)[order]
                 total = w.sum()
-                before = (np.cumsum(w[order]) - w[order]) / total - 1e-9
-                n = int((before <= 1 - least).sum())
-                yield pd.DataFrame({"t": t, "label": label, "s": h[order[:n]].view(np.int64), "w": total, "short": before[:n] <= 1 - 2 * least / (1 + least)})
+                rest = total - np.cumsum(w) + w
+                kept = (rest >= (least - 1e-9) * total) & (counts[order] > 1)  # what one row holds is shared with none
+                yield pd.DataFrame({"t": t, "label": label, "s": h[order][kept].view(np.int64), "w": total, "rest": rest[kept]})
 
-    return texts.select("t", "label", "x", "counts").mapInPandas(rows, "t long, label long, s long, w double, short boolean")
+    return texts.select("t", "label", "x", "counts").mapInPandas(rows, "t long, label long, s long, w double, rest double")
 
 
 def several(rows: DataFrame, key: str) -> DataFrame:
@@ -277,46 +250,35 @@ def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, docs: int, le
     """
     labels = components(good).select(F.col("node").alias("t"), "label").hint("merge")
     rows = written(buckets.join(labels, "t", "left").select("band", "t", F.coalesce("label", "t").alias("label")), "labelled")
-    mixed = rows.join(several(rows, "band").hint("merge"), "band").select("t", "label").distinct()
-    rows = written(prefixes(texts.join(written(mixed, "mixed").hint("merge"), "t"), docs, least), "prefixes")
+    mixed = written(rows.join(several(rows, "band").hint("merge"), "band").select("t", "label").distinct(), "mixed").hint("merge")
+    rows = written(prefixes(texts.join(mixed, "t"), docs, least), "prefixes")
     rows = written(rows.join(written(several(rows, "s"), "several").hint("merge"), "s"), "prefixes")
-    few = rows.where("label <> main").select("s", F.struct("w", "t").alias("a"), F.col("label").alias("la"), F.col("short").alias("sa"), F.pmod(F.xxhash64("t", "s"), "blocks").alias("block"))
-    every = rows.select("s", F.struct("w", "t").alias("b"), F.col("label").alias("lb"), "main", F.col("short").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a.t") < F.col("b.t")))
-    near = F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")) & (F.least("a.w", "b.w") >= (least - 1e-9) * F.greatest("a.w", "b.w"))
-    pairs = few.join(every.hint("merge"), ["s", "block"]).where(once & near)
-    return pairs.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct()
+    few = rows.where("label <> main").select("s", F.col("t").alias("ta"), F.col("label").alias("la"), F.col("w").alias("wa"), F.col("rest").alias("ra"), F.pmod(F.xxhash64("t", "s"), "blocks").alias("block"))
+    every = rows.select("s", F.col("t").alias("tb"), F.col("label").alias("lb"), "main", F.col("w").alias("wb"), F.col("rest").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("ta") < F.col("tb")))
+    room = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least) - 1e-9)
+    pairs = few.join(every.hint("merge"), ["s", "block"]).where(once & room)
+    return pairs.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
 
 
 def links(texts: DataFrame, sketch: DataFrame, docs: int, least: float) -> DataFrame:
-    """(a, b, sim) of links between different texts, a < b, that join all texts of a class."""
+    """(a, b, sim) of links between different texts, a < b, that join all texts of a class; texts are rows (t, x)."""
     named = written(sketch.where(F.size("bands") > 0).groupBy("t").agg(F.first("bag").alias("bag"), F.first("bands").alias("bands"), F.first("counts").alias("counts")), "named")
+    released(sketch)
     first = written(named.groupBy("bag").agg(F.min("t").alias("a"), F.count("*").alias("n")), "bags").hint("merge")
-    alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1").hint("merge"), "bag").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
+    alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1"), "bag").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
     rows = named.join(first.select(F.col("a").alias("t")).hint("merge"), "t", "left_semi").select("t", F.explode("bands").alias("band"))
     size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
     rows = written(rows.join(size, "band"), "bands")
     pops = written(rows.groupBy("t").agg(F.sum("n").alias("pop")), "band-texts")
     rows = written(rows.join(pops.hint("merge"), "t").select("band", "t", "pop", "n"), "bands")
-    large = rows.where(F.col("n") > SMALL).select("band", "t")
     wanted = pops.select("t")
     wanted = wanted.hint("broadcast") if pops.count() <= MAX_BROADCAST else wanted.hint("merge")
-    texts = texts.select("t", "x").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
+    texts = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
     texts = written(texts.join(named.select("t", "counts").join(wanted, "t", "left_semi").hint("merge"), "t"), "texts")
 
-    found = None
-    for turn in range(TURNS):
-        spokes = spokes_of(rows, SMALL)
-        pairs = pairs_of(rows, spokes, SMALL)
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        now = verify(pairs, texts, docs)
-        found = written(now if found is None else found.unionByName(now), "verified")
-        if turn == TURNS - 1 or spokes.isEmpty():
-            break
-        good = found.where(F.col("sim") >= least).select("a", "b").hint("merge")
-        left = spokes.withColumns({"a": F.least("t", "pivot"), "b": F.greatest("t", "pivot")}).join(good, ["a", "b"], "left_anti").select("band", "t", "pop")
-        rows = counted(left)
+    found = written(verify(pairs_of(rows), texts, docs), "verified")
+    large = rows.where(F.col("n") > SMALL).select("band", "t")
     if not large.isEmpty():
         pairs = rest_of(large, found.where(F.col("sim") >= least).select("a", "b"), texts, docs, least)
         pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
@@ -330,10 +292,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     Classes that share their smallest key (a key of several texts, or null) differ in class_text, the smallest name of
     the class's texts; it is null for null texts.
     """
-    rows = chunked(df, text)
-    docs, found = frequencies(rows)
-    sketch = written(sketches(rows, docs, found), "sketches")
-    labels = components(links(rows, sketch, docs, least)).select(F.col("node").alias("t"), "label")
+    docs, chars = df.agg(F.count(text), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()
+    rows = chunked(df, key, text, chars)
+    sketch = written(sketches(rows, docs, chars), "sketches")
+    labels = components(links(rows.select("t", "x"), sketch, docs, least)).select(F.col("node").alias("t"), "label")
     members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
     members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
     heads = written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads").hint("merge")
