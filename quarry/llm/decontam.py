@@ -12,8 +12,12 @@ of 12 minima in the document with probability 0.2^12.  Documents that meet a min
 containment of each pair is then counted on all shingles.
 
 All steps are DataFrame operations.  Benchmark tables are broadcast below ``MAX_BROADCAST`` counted rows and
-merge-joined beyond.  Null or wordless texts and items hold nothing and are never reported; rows equal in
-key are one document for the report; null keys are reported as null.
+merge-joined beyond.  Documents and items are recognised by a 64-bit hash of their text, whatever their key: equal texts share
+their result, and a null or repeated key never passes one document's finding on to another.  In the report rows equal
+in key are one document, and rows of the benchmark equal in item_id one item (of several containments the largest
+counts); null keys are reported as null.  Null or wordless texts and items hold nothing and are never
+reported; very long texts are read whole; empty tables give an empty report and keep all documents.  Further columns
+stay and may have any name but ``__bad``.
 """
 
 from __future__ import annotations
@@ -37,23 +41,23 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_shingles(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, n, s, size): every distinct shingle of every item; n words each."""
-    base = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where("size(w) > 0")
-    parts = [base.where(F.size("w") >= N if n == N else F.size("w") == n).select("item", F.lit(n).alias("n"), F.explode(shingles(F.col("w"), n)).alias("s")) for n in range(1, N + 1)]
+def item_shingles(benchmark: DataFrame, text: str) -> DataFrame:
+    """(u, n, s, size): every distinct shingle of every item, named u by its text's hash; n words each."""
+    base = benchmark.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("u"), words(F.col(text)).alias("w")).where("size(w) > 0")
+    parts = [base.where(F.size("w") >= N if n == N else F.size("w") == n).select("u", F.lit(n).alias("n"), F.explode(shingles(F.col("w"), n)).alias("s")) for n in range(1, N + 1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.distinct()
-    return out.join(out.groupBy("item").agg(F.count("*").alias("size")).hint("merge"), "item")
+    return out.join(out.groupBy("u").agg(F.count("*").alias("size")).hint("merge"), "u")
 
 
 def minima(items: DataFrame) -> DataFrame:
-    """(item, n, s): what represents each item in the search."""
-    small = items.where(F.col("size") <= WHOLE).select("item", "n", "s")
+    """(u, n, s): what represents each item in the search."""
+    small = items.where(F.col("size") <= WHOLE).select("u", "n", "s")
     functions = F.lit(12) + 2 * (F.floor(F.log2("size")).cast("int") - 4)
     large = items.where(F.col("size") > WHOLE).withColumn("f", F.explode(F.sequence(F.lit(1), functions)))
-    large = large.groupBy("item", "n", "f").agg(F.min_by("s", F.xxhash64("s", "f")).alias("s")).select("item", "n", "s").distinct()
+    large = large.groupBy("u", "n", "f").agg(F.min_by("s", F.xxhash64("s", "f")).alias("s")).select("u", "n", "s").distinct()
     return small.unionByName(large)
 
 
@@ -63,34 +67,42 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def document_shingles(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """(k, n, s) of documents (k, w); the words are computed once for all lengths."""
+    """(t, n, s) of documents (t, w); the words are computed once for all lengths."""
     if len(lengths) == 1:
-        return df.select("k", F.lit(lengths[0]).alias("n"), F.explode(shingles(F.col("w"), lengths[0])).alias("s"))
+        return df.select("t", F.lit(lengths[0]).alias("n"), F.explode(shingles(F.col("w"), lengths[0])).alias("s"))
 
     def tag(n: int) -> Column:
         return F.transform(shingles(F.col("w"), n), lambda s: F.struct(F.lit(n).alias("n"), s.alias("s")))
 
     tagged = [tag(n) for n in lengths]
-    return df.select("k", F.explode(F.concat(*tagged)).alias("e")).select("k", "e.n", "e.s")
+    return df.select("t", F.explode(F.concat(*tagged)).alias("e")).select("t", "e.n", "e.s")
 
 
-def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, n_shingles, n_shared, containment) of every document and item it holds."""
-    items = written(item_shingles(benchmark, item, item_text), "items")
+def held(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_text: str = "text") -> DataFrame:
+    """(t, u, size, shared) of every text and item it holds, both by their texts' hashes."""
+    items = written(item_shingles(benchmark, item_text), "items")
     lengths = [r.n for r in items.select("n").distinct().collect()] or [N]  # five values at most
     probe = sized(written(minima(items), "items-min"))
-    docs = documents.select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
-    found = written(document_shingles(docs, lengths).join(probe, ["n", "s"]).select("k", "item").distinct(), "candidates")
-    pairs = sized(found)
-    whole = sized(items)
-    keys = sized(written(found.select(F.col("k").alias("c")).distinct(), "candidate-keys"))
-    again = documents.join(keys, F.col(key).eqNullSafe(F.col("c")), "left_semi").select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
-    shared = document_shingles(again, lengths).join(whole, ["n", "s"]).groupBy("k", "item").agg(F.count_distinct("s").alias("shared"), F.max("size").alias("size"))
-    hit = shared.alias("a").join(pairs.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & F.col("a.item").eqNullSafe(F.col("b.item")), "left_semi").where(F.col("shared") >= F.lit(threshold) * F.col("size"))
-    return hit.select(F.col("k").alias(key), F.col("item").alias(item), F.col("size").alias("n_shingles"), F.col("shared").alias("n_shared"), (F.col("shared") / F.col("size")).alias("containment"))
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    docs = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
+    found = written(document_shingles(docs.select("t", words(F.col("x")).alias("w")), lengths).join(probe, ["n", "s"]).select("t", "u").distinct(), "candidates")
+    texts = sized(written(found.select("t").distinct(), "candidate-texts"))
+    again = docs.join(texts, "t", "left_semi").select("t", words(F.col("x")).alias("w"))
+    shared = document_shingles(again, lengths).join(sized(items), ["n", "s"]).groupBy("t", "u").agg(F.count_distinct("s").alias("shared"), F.max("size").alias("size"))
+    return shared.join(sized(found), ["t", "u"], "left_semi").where(F.col("shared") >= F.lit(threshold) * F.col("size"))
+
+
+def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item, n_shingles, n_shared, containment) of every document and item it holds."""
+    hits = held(documents, benchmark, threshold, text, item_text)
+    names = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.xxhash64(F.col(item_text)).alias("u")).distinct()
+    hits = sized(written(hits.join(sized(names), "u").select("t", "item", "size", "shared"), "held"))
+    keys = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"))
+    best = F.max(F.struct((F.col("shared") / F.col("size")).alias("containment"), "size", "shared"))
+    out = keys.join(hits, "t").groupBy("k", "item").agg(best.alias("b"))
+    return out.select(F.col("k").alias(key), F.col("item").alias(item), F.col("b.size").alias("n_shingles"), F.col("b.shared").alias("n_shared"), "b.containment")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = written(contained(documents, benchmark, threshold, key, text).select(F.col(key).alias("__bad")).distinct(), "contaminated")
-    return documents.join(sized(bad), F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = written(held(documents, benchmark, threshold, text).select(F.col("t").alias("__bad")).distinct(), "contaminated")
+    return documents.join(sized(bad), (F.xxhash64(F.col(text)) == F.col("__bad")) & F.col(text).isNotNull(), "left_anti")
