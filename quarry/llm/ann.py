@@ -2,17 +2,24 @@
 
 Vectors are cut into two halves, each quantised by its own ``CENTROIDS`` centroids, fitted by k-means on a
 bounded sample (``SAMPLE`` vectors, by hash order).  A cell is a pair of centroids; every vector is indexed
-in its cell.  A query walks the pairs with a heap in the order of the sum of the two halves' distances until
-the cells it has met hold the share ``VISIT`` of all vectors (at least ``FLOOR`` of them), and the entries of
-those cells are reranked by their exact inner product in double precision, ties to the smaller id.
+in its cell.  A query walks the pairs with a heap in the order of the sum of the two halves' distances.  As the
+nearness is the inner product, a half's distance to a centroid is the negative of what its members can reach: their
+mean product with the query, plus ``SPREADS`` times the query's length times the deviation of the centroid's members
+in one direction.  (Euclidean distances would pass over long vectors, which have the largest products.)
+
+The walk goes on until the cells it has met hold a share of all vectors, and the entries of those cells are reranked
+by their exact inner product in double precision, ties to the smaller id.  The share is measured, not set: ``ASKED``
+vectors of the sample are asked against the whole sample, and the share is the least with which ``RECALL`` of their
+true neighbours are met.  Neighbours in the full table are nearer than those in a sample of it and are met sooner.
 
 Cells are packed into blocks of about ``BLOCK`` vectors; a cell of more is dealt over several blocks, so a
-hot cell never meets in one task, and queries come in blocks too.  The cell counts (CENTROIDS^2 at most) and
-the centroids are all that reaches the driver.  Of equal vectors only the ``k + 1`` smallest ids can be among
-anyone's k nearest, so the others leave the search before it starts; nothing else is cut.
+hot cell never meets in one task, and queries come in crowds of ``QUERIES``.  The cell counts (CENTROIDS^2 at most)
+and the centroids are all that reaches the driver besides the sample.  Of equal vectors only the ``k + 1`` smallest
+ids can be among anyone's k nearest, so the others leave the search before it starts; nothing else is cut.
 
 Vectors that are null, all zero, of another length than most, or with null or non-finite components take no
-part.  Of several rows of one id the smallest vector counts.  Fewer than k candidates: all are returned.
+part.  Of several rows of one id the smallest vector counts.  Fewer than k candidates: all are returned.  An empty
+table gives an empty result; further columns take no part and may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-CENTROIDS, SAMPLE, VISIT, FLOOR, BLOCK, QUERIES = 32, 8_000, 0.5, 1_000, 4_096, 1_024
+CENTROIDS, SAMPLE, BLOCK, QUERIES = 64, 8_000, 4_096, 8_192
+SPREADS, RECALL, ASKED = 1.5, 0.97, 200
 
 
 def valid(v: Column) -> Column:
@@ -54,10 +62,39 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids of both halves, cell counts and the blocks of every cell."""
+    """Centroids of both halves, cell counts and the blocks of every cell; fitted on the rows of a sample."""
+
+    def __init__(self, sample: np.ndarray, centroids: int = CENTROIDS):
+        self.half = sample.shape[1] // 2
+        parts = sample[:, : self.half], sample[:, self.half :]
+        self.first, self.second = (kmeans(x, centroids) for x in parts)
+        self.spreads = [self.spread(x, c) for x, c in zip(parts, (self.first, self.second), strict=True)]
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second, self.half = first, second, first.shape[1]
+    @staticmethod
+    def spread(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Root mean square deviation of each centroid's members from it, in one direction."""
+        near = nearest(x, c)
+        off = np.bincount(near, ((x - c[near]) ** 2).mean(1), len(c))
+        return np.sqrt(off / np.maximum(1, np.bincount(near, minlength=len(c))))
+
+    def distances(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each half, every centroid's negative reach towards the query."""
+        halves = q[: self.half], q[self.half :]
+        return [-(c @ part) - SPREADS * np.sqrt(part @ part) * s for c, part, s in zip((self.first, self.second), halves, self.spreads, strict=True)]
+
+    def share(self, sample: np.ndarray, k: int, recall: float = RECALL) -> float:
+        """The share of all vectors that a walk must meet so that ``recall`` of the k nearest are among them, by the sample."""
+        if len(sample) < 2:
+            return 1.0
+        cells, met = self.cells(sample), []
+        for i in np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int):
+            a, b = self.distances(sample[i])
+            far = (a[:, None] + b[None, :]).ravel()[cells]
+            score = sample @ sample[i]
+            score[i] = -np.inf
+            near = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
+            met.append(np.searchsorted(np.sort(far), far[near], side="right") / len(sample))
+        return float(np.quantile(np.concatenate(met), recall, method="higher"))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.first) * len(self.second) + nearest(x[:, self.half :], self.second)
@@ -78,7 +115,7 @@ class Index:
 
     def walk(self, q: np.ndarray, want: float) -> list[int]:
         """Non-empty cells by summed distance, until they hold ``want`` vectors."""
-        d = [0.5 * (c**2).sum(1) - c @ part for c, part in ((self.first, q[: self.half]), (self.second, q[self.half :]))]
+        d = self.distances(q)
         order = [np.argsort(x, kind="stable") for x in d]
         a, b = (x[o].tolist() for x, o in zip(d, order, strict=True))
         heap, out, have, width = [(a[0] + b[0], 0, 0)], [], 0, len(self.second)
@@ -95,8 +132,11 @@ class Index:
         return out
 
 
-def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", visit: float = VISIT) -> DataFrame:
-    """(query_id, rank, key, score): for every row with ``queries`` its k nearest other rows."""
+def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", visit: float | None = None) -> DataFrame:
+    """(query_id, rank, key, score): for every row with ``queries`` its k nearest other rows.
+
+    visit: the share of all vectors to meet, 1 for an exact search; measured on the sample if not given.
+    """
     spark = df.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.where(F.col(key).isNotNull() & valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -109,8 +149,8 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     if not len(sample):
         return spark.createDataFrame([], schema)
     x = np.stack(sample["v"].to_list())
-    half = size // 2
-    index = Index(kmeans(x[:, :half], CENTROIDS), kmeans(x[:, half:], CENTROIDS))
+    index = Index(x)
+    visit = index.share(x, k) if visit is None else visit
 
     @F.pandas_udf("int")
     def cell(s: pd.Series) -> pd.Series:
@@ -122,11 +162,14 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     all_counts = np.zeros(len(index.first) * len(index.second), np.int64)
     all_counts[counts["cell"].to_numpy()] = counts["count"].to_numpy()
     index.deal(all_counts)
-    want = max(FLOOR, visit * all_counts.sum())
+    want = max(k + 1, visit * all_counts.sum())
+
+    @F.pandas_udf("int")
+    def block(cells: pd.Series, h: pd.Series) -> pd.Series:
+        c = cells.to_numpy(np.int64)
+        return pd.Series(index.start[c] + h.to_numpy(np.int64) % index.parts[c], dtype="int32")
 
-    place = F.create_map(*[F.lit(x) for c in np.flatnonzero(all_counts).tolist() for x in (c, int(index.start[c]))])
-    parts = F.create_map(*[F.lit(x) for c in np.flatnonzero(all_counts).tolist() for x in (c, int(index.parts[c]))])
-    blocks = base.withColumn("block", (F.element_at(place, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell")))).cast("int"))
+    blocks = base.withColumn("block", block("cell", F.xxhash64("id")))
     asked = rows.where("asks").select("id", "v")
     crowds = max(1, -(-asked.count() // QUERIES))
 
@@ -151,16 +194,19 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in names}).astype({"query_id": "int64", key: "int64", "score": "float64"})
         e, ids, cells = np.stack(right["v"].to_list()), right["id"].to_numpy(), right["cell"].to_numpy()
-        q = np.stack(left["q"].to_list())
-        near, found = q @ e.T, []
-        for i, (query, met) in enumerate(zip(left["query"], left["cells"], strict=True)):
-            ok = np.flatnonzero(np.isin(cells, met) & (ids != query))
-            if len(ok) > k:
-                s = near[i, ok]
-                ok = ok[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s).max())]
-            s = (e[ok] * q[i]).sum(1)  # the same sum for equal vectors, wherever they lie
-            best = np.lexsort((ids[ok], -s))[:k]
-            found.append((np.full(len(best), query), ids[ok][best], s[best]))
+        found = []
+        for at in range(0, len(left), 256):
+            part = left.iloc[at : at + 256]
+            q = np.stack(part["q"].to_list())
+            near = q @ e.T
+            for i, (query, met) in enumerate(zip(part["query"], part["cells"], strict=True)):
+                ok = np.flatnonzero(np.isin(cells, met) & (ids != query))
+                if len(ok) > k:
+                    s = near[i, ok]
+                    ok = ok[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s).max())]
+                s = (e[ok] * q[i]).sum(1)  # the same sum for equal vectors, wherever they lie
+                best = np.lexsort((ids[ok], -s))[:k]
+                found.append((np.full(len(best), query), ids[ok][best], s[best]))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*found, strict=True), strict=True)})
 
     by = ["block", "crowd"]
