@@ -1,22 +1,30 @@
-"""Toxicity: a support vector machine on a string-subsequence kernel with Nyström landmarks.
-
-The kernel counts common subsequences of four characters inside a word, weighted by ``DECAY`` to the power
-of the span they cover, spans of at most ``SPAN``; characters put between the letters of an insult only
-lower the weight.  Word marks (^ and $) count as characters.  Punctuation inside words is dropped before,
-and runs of single letters ("i d i o t") are read as one word, so gapped insults meet the kernel whole.
-
-Learning: from a bounded sample of labelled documents, words that mark toxic documents (by the log-odds of
-their document counts) and words of clean documents are the labelled examples; landmarks are taken from
-both; the machine is linear in the Nyström features K(x, landmarks) K(landmarks, landmarks)^(-1/2), which
-folds back into one weight per subsequence.  A document's score is a logistic function of its largest word
-margins, fitted on the same sample.  Nulls and empty texts have no words and get the score of that point.
-With no labels, or one class only, scores are the smoothed share of that class.
+"""Toxicity: a support vector machine on a string-subsequence kernel over sentences, with Nyström landmarks.
+
+Texts are cut into sentences and long sentences into overlapping pieces of ``PIECE`` characters.  The kernel of two
+pieces counts their common subsequences of four characters, each weighted by ``DECAY`` to the power of the span it
+covers, spans of at most ``SPAN``; blanks and marks are characters like others, so a subsequence may cross words, and
+characters put between the letters of an insult only lower its weight.  Pieces are scaled by the length that their
+subsequences would have if all were different.
+
+Learning, from a bounded sample of labelled documents: a sentence carries its document's label.  All sentences of a
+clean document are clean; of a toxic document at least one is toxic, so this is learning from bags: each toxic document
+is represented by its most toxic piece, first by the evidence of its subsequences (log-likelihood ratio of their
+document counts), then by the machine trained before, for ``ROUNDS`` rounds.  The clean pieces that the machine finds
+most toxic join the examples each time.  Landmarks are the cores (``CORE`` characters of the highest score) of toxic
+and of such clean pieces, and other clean pieces.  The machine is linear in the Nyström features
+K(x, landmarks) K(landmarks, landmarks)^(-1/2), which folds back into one weight per subsequence, so scoring a text is
+one pass over its characters.  A document's score is a logistic function of its largest piece margins, fitted on the
+same sample.
+
+Nulls and empty texts have no pieces and get the score of that point.  Very long texts are scored whole, in blocks.
+Repeated rows are scored each; of a labelled key with several texts one is learned from.  With no labels, or one class
+only, scores are the smoothed share of that class.  Empty tables give empty results; further columns take no part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,126 +33,170 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, mix64
+from quarry.llm.common import held_out
 from quarry.llm.sampling import labelled_sample, predictions
 
-#: Bounds of the sample of labelled documents: toxic and clean.
-PER_CLASS = {1: 1_500, 0: 2_500}
+#: Bounds of the sample of labelled documents: toxic and clean documents, and characters of each.
+PER_CLASS, CHARS = {1: 1_500, 0: 2_500}, 8_000_000
 THRESHOLD = 0.5
-DECAY, SPAN, BITS = 0.6, 6, 18
-LANDMARKS, EXAMPLES = 256, 6_000
-MEMO = 400_000
-_DROP = re.compile(r"[\W\d_]+")
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]+){2,}[^\W\d_](?!\S)")
-
-
-def normal(token: str) -> str:
-    return _DROP.sub("", token.lower())
-
-
-def tokens(text: str | None) -> list[str]:
-    """White-space tokens and spelled-out words of a text."""
-    if not text:
-        return []
-    return text.split() + [_DROP.sub("", m) for m in _SPELLED.findall(text)]
+DECAY, SPAN, PIECE, HOP = 0.8, 7, 24, 12
+CORE, LANDMARKS, ROUNDS, EVIDENCE, COST = 12, 256, 3, 8.0, 20.0
+#: Symbols: blank, 26 letters without accents, other marks, three classes of other letters, limit of a sentence.
+BLANK, MARK, OTHER, END, BITS = 0, 27, 28, 31, 20
+_END = re.compile(r"[.!?]\s+|\n")
+_BLOCK = 1 << 20
+
+
+def _symbols() -> np.ndarray:
+    """The symbol of every character below U+0250: letters by their base letter."""
+    out = np.full(0x250, MARK, np.uint8)
+    for c in range(1, len(out)):
+        x = unicodedata.normalize("NFKD", chr(c).lower())[0]
+        out[c] = BLANK if chr(c).isspace() else ord(x) - 96 if "a" <= x <= "z" else OTHER + c % 3 if x.isalpha() else MARK
+    out[0] = END
+    return out
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subsequences of the words: (word index, bucket, weight), weights of a word with unit norm."""
-    marked = "".join([f"^{w}$" for w in words])
-    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    who, bucket, weight = [], [], []
-    for b in range(3, min(SPAN, len(codes))):
-        same = np.flatnonzero(owner[:-b] == owner[b:])
-        if not len(same):
-            break
-        ends = codes[same] * np.uint64(0x9E3779B97F4A7C15) + codes[same + b] * np.uint64(0xC2B2AE3D27D4EB4F)
-        first = [codes[same + a] * np.uint64(0x165667B19E3779F9) for a in range(1, b)]
-        second = [codes[same + a] * np.uint64(0xFF51AFD7ED558CCD) for a in range(1, b)]
-        for i in range(b - 1):
-            for j in range(i + 1, b - 1):
-                h = mix64(ends + first[i] + second[j])
-                bucket.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-                who.append(owner[same])
-                weight.append(np.full(len(same), DECAY ** (b + 1)))
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    who, bucket, weight = np.concatenate(who), np.concatenate(bucket), np.concatenate(weight)
-    norm = np.sqrt(np.bincount(who, weight**2, len(words)))
-    return who, bucket, weight / norm[who]
-
-
-def gram(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values of words (rows) and landmarks (columns)."""
-    who, bucket, weight = features(landmarks)
-    used, at = np.unique(bucket, return_inverse=True)
-    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+SYMBOLS = _symbols()
+
+
+def symbols(text: str | None) -> np.ndarray:
+    """Symbols of a text, sentences between limits and blanks."""
+    marked = f" {_END.sub(f' {chr(0)} ', (text or '').lower())} "
+    points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], OTHER + points % 3).astype(np.int32)
+
+
+def pieces(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all pieces of four symbols or more."""
+    limits = np.flatnonzero(s == END)
+    start, end = np.r_[0, limits + 1], np.r_[limits, len(s)]
+    long = end - start >= 4
+    start, end = start[long], end[long]
+    n = 1 + -(-np.maximum(0, end - start - PIECE) // HOP)
+    at = np.repeat(start, n) + HOP * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return at, np.minimum(at + PIECE, np.repeat(end, n))
+
+
+def subsequences(s: np.ndarray, reach: int = SPAN) -> Iterator[tuple[int, np.ndarray]]:
+    """(last, names): for every shape of a subsequence, the name of the one that starts at each symbol; its last symbol is ``last`` further."""
+    first, second, third = s << 15, s << 10, s << 5
+    for last in range(3, reach):
+        n = len(s) - last
+        if n <= 0:
+            return
+        for i in range(1, last - 1):
+            head = first[:n] + second[i : i + n]
+            for j in range(i + 1, last):
+                yield last, head + third[j : j + n] + s[last:]
+
+
+def summed(s: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray, decay: float = DECAY, reach: int = SPAN) -> np.ndarray:
+    """Sum over the subsequences of every piece of their weight times ``decay`` to their span."""
+    total, now, sums = np.zeros(len(start)), 0, None
+    for last, names in [*subsequences(s, reach), (0, None)]:
+        if last != now:
+            if sums is not None:
+                c = np.r_[0.0, np.cumsum(sums, dtype=np.float64)]
+                total += (c[np.clip(end - now, start, len(sums))] - c[np.minimum(start, len(sums))]) * decay ** (now + 1)
+            now, sums = last, np.zeros(max(0, len(s) - last), np.float32)
+        if names is not None:
+            sums += weights[names]
+    return total
+
+
+def lengths(n: np.ndarray) -> np.ndarray:
+    """Length of the feature vector of a piece of n symbols whose subsequences are all different."""
+    total = np.zeros(len(n))
+    for last in range(3, SPAN):
+        total += np.maximum(0, n - last) * (last - 1) * (last - 2) / 2 * DECAY ** (2 * last + 2)
+    return np.sqrt(total)
+
+
+def features(examples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, name, weight) of all subsequences of the pieces, in the order of the pieces, scaled."""
+    size = np.array([len(x) for x in examples])
+    joined, owner = np.concatenate(examples), np.repeat(np.arange(len(size)), size)
+    who, name, weight = [], [], []
+    for last, names in subsequences(joined):
+        inside = owner[: len(names)] == owner[last:]
+        who.append(owner[: len(names)][inside])
+        name.append(names[inside])
+        weight.append(np.full(len(who[-1]), DECAY ** (last + 1)))
+    who = np.concatenate(who)
+    order = np.argsort(who, kind="stable")
+    who = who[order]
+    return who, np.concatenate(name)[order], np.concatenate(weight)[order] / lengths(size)[who]
+
+
+def gram(examples: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
+    """Kernel values of pieces (rows) and landmarks (columns)."""
+    who, name, weight = features(landmarks)
+    used, at = np.unique(name, return_inverse=True)
+    table = np.zeros((len(used), len(landmarks)), np.float32)
     np.add.at(table, (at, who), weight)
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for i in range(0, len(words), 500):
-        who, bucket, weight = features(words[i : i + 500])
-        at = np.minimum(np.searchsorted(used, bucket), len(used) - 1)
-        hit = used[at] == bucket
-        who, at, weight = who[hit], at[hit], weight[hit]
-        order = np.argsort(who, kind="stable")
-        who, at, weight = who[order], at[order], weight[order]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(examples), len(landmarks)))
+    for i in range(0, len(examples), 100):
+        who, name, weight = features(examples[i : i + 100])
+        hit = place[name] >= 0
+        who, at, weight = who[hit], place[name[hit]], weight[hit].astype(np.float32)
         if len(who):
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            out[i + who[first]] = np.add.reduceat(table[at] * weight[:, None].astype(np.float32), first)
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            out[i + who[first]] = np.add.reduceat(table[at] * weight[:, None], first)
     return out
 
 
-def folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
-    """One weight per bucket for the sum of alpha[j] K(., landmark j)."""
-    who, bucket, weight = features(landmarks)
-    return np.bincount(bucket, weight * alpha[who], 1 << BITS)
-
-
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
-    logistic: np.ndarray
+    logistic: np.ndarray | None
     prior: float
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for i in range(0, len(words), 5_000):
-            part = words[i : i + 5_000]
-            who, bucket, weight = features(part)
-            out[i : i + len(part)] += np.bincount(who, self.weights[bucket] * weight, len(part))
+    def margins(self, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start))
+        for lo in range(0, len(s), _BLOCK):
+            i, j = np.searchsorted(start, [lo, lo + _BLOCK])
+            part = s[lo : lo + _BLOCK + PIECE]
+            out[i:j] = summed(part, start[i:j] - lo, end[i:j] - lo, self.weights)
+        return out / lengths(end - start) + self.bias
+
+    def points(self, texts: list[str | None]) -> np.ndarray:
+        """The three largest piece margins of each text, whether one is positive, and its length."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(symbols(t))
+            size += len(group[-1])
+            if size > _BLOCK:
+                out.append(self._points(group))
+                group, size = [], 0
+        return np.concatenate([*out, self._points(group)]) if group else np.concatenate(out) if out else np.zeros((0, 5))
+
+    def _points(self, group: list[np.ndarray]) -> np.ndarray:
+        limit = np.full(SPAN, END, np.int32)
+        sizes = np.array([len(s) for s in group])
+        joined = np.concatenate([x for s in group for x in (s, limit)])
+        start, end = pieces(joined)
+        owner = np.searchsorted(np.cumsum(sizes + SPAN), start, side="right")
+        m = self.margins(joined, start, end)
+        order = np.lexsort((-m, owner))
+        m, owner = m[order], owner[order]
+        place = np.arange(len(m)) - np.searchsorted(owner, owner)
+        out = np.zeros((len(group), 5))
+        out[:, :3] = -2.0
+        for i in range(3):
+            out[owner[place == i], i] = np.clip(m[place == i], -2, 2)
+        out[:, 3] = out[:, 0] > 0
+        out[:, 4] = np.log1p(sizes) / 10
         return out
 
-
-class Scorer:
-    """Scores texts; word margins are kept in a bounded memo."""
-
-    def __init__(self, model: Model):
-        self.model, self.memo = model, {}
-
-    def points(self, texts) -> np.ndarray:
-        """Largest, second and third largest distinct-word margins, toxic words and length."""
-        found = [tokens(t) for t in texts]
-        fresh = list({w for f in found for w in f if w not in self.memo})
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list({w for f in found for w in f})
-        self.memo.update(zip(fresh, self.model.margins([normal(w) for w in fresh]).tolist(), strict=True))
-        out, get = np.zeros((len(found), 5)), self.memo.__getitem__
-        for i, f in enumerate(found):
-            top = np.array(sorted(map(get, f), reverse=True)[:3] if len(f) < 50 else -np.partition(-np.fromiter(map(get, f), np.float64, len(f)), 3)[:3])
-            top = np.sort(np.concatenate([top, np.full(3 - len(top), -2.0)]))[::-1]
-            out[i, :3] = np.clip(top, -2, 2)
-            out[i, 3] = 1.0 if top[0] > 0 else 0.0
-            out[i, 4] = np.log1p(len(f)) / 10
-        return out
-
-    def scores(self, texts) -> np.ndarray:
-        if self.model.logistic is None:
-            return np.full(len(texts), self.model.prior)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.logistic is None:
+            return np.full(len(texts), self.prior)
         x = np.column_stack([self.points(texts), np.ones(len(texts))])
-        return 1 / (1 + np.exp(-np.clip(x @ self.model.logistic, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.logistic, -30, 30)))
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -174,53 +226,84 @@ def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) ->
     return w
 
 
+def evidence(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio, against independence of the label, of every short subsequence that marks toxic documents."""
+    held = np.zeros((2, 1 << BITS))
+    for s, label in zip(docs, y, strict=True):
+        names = [names[(s[: len(names)] != END) & (s[last:] != END)] for last, names in subsequences(s, 5)]
+        if names:
+            held[int(label), np.unique(np.concatenate(names))] += 1
+    clean, toxic = held
+    p = y.mean()
+    n = np.maximum(1, toxic + clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = np.nan_to_num(toxic * np.log(toxic / (n * p))) + np.nan_to_num(clean * np.log(clean / (n * (1 - p))))
+    return np.where((toxic > n * p) & (g > EVIDENCE), g, 0).astype(np.float32)
+
+
+def middle(piece: np.ndarray, *score) -> np.ndarray:
+    """The part of ``CORE`` symbols of a piece that scores highest."""
+    at = np.arange(max(1, len(piece) - CORE + 1))
+    i = int(summed(piece, at, np.minimum(at + CORE, len(piece)), *score).argmax())
+    return piece[i : i + CORE]
+
+
 def train(texts: list[str], y: np.ndarray, share: float | None = None) -> Model:
     """A model from labelled texts, all in memory: the caller bounds them."""
     prior = float((y.sum() + 1) / (len(y) + 2))
-    none = Model(np.zeros(1 << BITS), -1.0, None, prior)
+    none = Model(np.zeros(1 << BITS, np.float32), -1.0, None, prior)
     if not 0 < y.sum() < len(y):
         return none
-    bad, good = Counter(), Counter()
-    for t, label in zip(texts, y, strict=True):
-        (bad if label else good).update({n for w in tokens(t) if (n := normal(w))})
-    nb, ng = y.sum(), len(y) - y.sum()
-    p = nb / (nb + ng)
-
-    def evidence(w: str) -> float:
-        """Signed log-likelihood ratio of the word's toxic documents against independence of the label."""
-        a, b = bad[w], good[w]
-        g = a * np.log(a / ((a + b) * p)) + (b * np.log(b / ((a + b) * (1 - p))) if b else 0.0)
-        return g if a > (a + b) * p else -g
-
-    lift = {w: evidence(w) for w, c in bad.items() if c >= 2}
-    chosen = sorted((w for w in lift if lift[w] > 5), key=lambda w: (-lift[w], w))[: EXAMPLES // 3] or sorted((w for w in lift if lift[w] > 4), key=lambda w: (-lift[w], w))[:50]
-    if not chosen:
+    docs = [symbols(t) for t in texts]
+    cut = [pieces(s) for s in docs]
+    marks, rng = evidence(docs, y), np.random.default_rng(3)
+
+    def tops(score) -> list[tuple[float, np.ndarray]]:
+        """Of every document the piece of the largest score, with it; empty pieces where it has none."""
+        out = []
+        for s, (start, end) in zip(docs, cut, strict=True):
+            if len(start):
+                m = score(s, start, end)
+                i = int(m.argmax())
+                out.append((float(m[i]), s[start[i] : end[i]]))
+            else:
+                out.append((-np.inf, s[:0]))
+        return out
+
+    some = []  # two pieces of every clean document
+    for s, (start, end), label in zip(docs, cut, y, strict=True):
+        if not label and len(start):
+            some += [s[start[i] : end[i]] for i in rng.integers(0, len(start), 2)]
+    if not some:
         return none
-    open_words = sorted(w for w in good if lift.get(w, 0) < 1)
-    common = sorted(open_words, key=lambda w: (-good[w], w))[: EXAMPLES // 2]
-    near: list[str] = []
-    model = none
-    for _ in range(3):
-        taken = set(near)
-        rest = [w for w in common if w not in taken]
-        spread = open_words[:: max(1, len(open_words) // (EXAMPLES // 3))]
-        clean = near + rest + [w for w in spread if w not in taken and w not in set(rest)]
-        landmarks = chosen[: LANDMARKS // 2] + near[: LANDMARKS // 4] + rest[: LANDMARKS // 2 - len(near[: LANDMARKS // 4])]
-        values, vectors = np.linalg.eigh(gram(landmarks, landmarks).astype(np.float64))
-        keep = values > 1e-4
+    best, least, model, score = tops(lambda s, a, b: summed(s, a, b, marks, 1.0, 5) / lengths(b - a)), 0.0, none, (marks, 1.0, 5)
+    spread = lambda x, n: [x[i] for i in np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)] if x else []
+    for _ in range(ROUNDS):
+        toxic = [p for (m, p), label in zip(best, y, strict=True) if label and m > least]
+        near = [p for _, p in sorted(((m, p) for (m, p), label in zip(best, y, strict=True) if not label and len(p)), key=lambda x: -x[0])]
+        if not toxic:
+            break
+        core = [middle(p, *score) for p in spread(toxic, LANDMARKS // 2) + near[: LANDMARKS // 4]]
+        landmarks = core + spread(some, LANDMARKS // 4)
+        values, vectors = np.linalg.eigh(gram(landmarks, landmarks))
+        keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        label = np.array([1.0] * len(chosen) + [-1.0] * len(clean))
-        cost = np.array([2.0 * min(10.0, max(1.0, lift[w])) for w in chosen] + [1.0 + min(20.0, good[w] / 4) for w in clean])
-        w = svm(np.column_stack([gram(chosen + clean, landmarks) @ root, np.ones(len(label))]), label, cost)
-        model = Model(folded(landmarks, root @ w[:-1]), float(w[-1]), None, prior)
-        # the clean words nearest to the insults join the examples and the landmarks
-        near = [open_words[i] for i in np.argsort(-model.margins(open_words), kind="stable")[: EXAMPLES // 3]]
-    x = np.column_stack([Scorer(model).points(texts), np.ones(len(texts))])
+        examples = toxic + near + some
+        label = np.array([1.0] * len(toxic) + [-1.0] * (len(near) + len(some)))
+        cost = np.where(label > 0, COST, 2 * COST)
+        w = svm(np.column_stack([gram(examples, landmarks) @ root, np.ones(len(label))]), label, cost)
+        who, name, weight = features(landmarks)
+        folded = np.bincount(name, weight * (root @ w[:-1])[who], 1 << BITS)
+        model = Model(folded.astype(np.float32), float(w[-1]), None, prior)
+        best, score = tops(model.margins), (model.weights,)
+    if model is none:
+        return none
+    x = np.column_stack([model.points(texts), np.ones(len(texts))])
     return Model(model.weights, model.bias, logistic(x, y, share or float(y.mean())), prior)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: dict[int, int] | None = None) -> Model:
-    rows = sorted(labelled_sample(documents, labels, label, per_class or PER_CLASS).toLocalIterator(), key=lambda r: r["k"])
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: dict[int, int] | None = None, chars: int = CHARS) -> Model:
+    rows = sorted(labelled_sample(documents, labels, label, per_class or PER_CLASS, chars).toLocalIterator(), key=lambda r: r["k"])
     counts = {r["y"]: r["n"] for r in labels.where(~held_out("doc_id")).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
     return train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float64), counts.get(1, 0) / max(1, sum(counts.values())))
 
@@ -228,9 +311,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
         for s in batches:
-            yield pd.Series(np.concatenate([scorer.scores(list(s[i : i + 200])) for i in range(0, len(s), 200)]) if len(s) else [], dtype=float)
+            yield pd.Series(model.scores(list(s)), dtype=float)
 
     return df.withColumn(name, run(F.col(text)))
 
