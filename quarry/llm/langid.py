@@ -8,9 +8,12 @@ ties go to the first language in order.
 
 A language's n-grams are those of lengths ``LENGTHS`` (with word borders) that are at least ``RATIO`` times
 as frequent in it as in the languages' average, the ``TOP`` most frequent of them, counted over a bounded
-sample of ``PER_LANG`` documents of each language.  Up to 64 languages fit a word; more take further words.
+sample of ``PER_LANG`` documents of each language, for the ``LANGUAGES`` most frequent values of the column.  Up to 64
+languages fit a word; more take further words.
 
-Texts without any letter and null texts are ``und`` with score 0.  With nothing to learn from all are ``und``.
+Texts without any letter and null texts are ``und`` with score 0.  With nothing to learn from all are ``und``.  Very
+long texts are read whole.  Repeated rows are answered each; rows that share a key and a language are all learned from.
+Empty tables give empty results; further columns take no part and may have any name.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import held_out, mix64, written
 
-PER_LANG, TOP, LENGTHS, RATIO, HASHES, BITS = 1_000, 4_000, (2, 3, 4), 1.3, 3, 18
+PER_LANG, TOP, LENGTHS, RATIO, HASHES, BITS, LANGUAGES = 1_000, 4_000, (2, 3, 4), 1.3, 3, 18, 1_024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,17 +101,15 @@ def build(tops: dict[str, np.ndarray], bits: int = BITS) -> Filters:
     return Filters(langs, words, rate)
 
 
-def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
+def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, languages: int = LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Counts n-grams in Spark; what reaches the driver is ``top`` hashes for each language."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    names = sorted(r[0] for r in known.select(lang).distinct().collect())
-    ids = None
-    for name in names:
-        part = known.where(F.col(lang) == name).select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(per_lang)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    names = sorted(r["l"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect())
+    if not names:
         return build({})
-    sample = known.join(F.broadcast(ids), known[key] == ids["k"]).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
+    ids = known.where(F.col("l").isin(names)).select("l", "k").distinct().withColumn("place", place).where(F.col("place") <= per_lang).drop("place")
+    sample = known.join(F.broadcast(ids), ["l", "k"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -116,16 +117,15 @@ def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, key: str = "doc
                 h, n = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
                 yield pd.DataFrame({"l": name, "g": h.view(np.int64), "n": n})
 
-    counts = written(sample.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
+    counts = written(sample.select("l", "t").mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("l").agg(F.sum("n").alias("all"))
     share = counts.join(F.broadcast(totals), "l").withColumn("f", F.col("n") / F.col("all"))
     mean = share.groupBy("g").agg((F.sum("f") / len(names)).alias("mean"))
     own = share.join(mean.hint("merge"), "g").where(F.col("f") >= min(RATIO, len(names)) * F.col("mean"))
-    tops = {}
-    for name in names:  # a bounded top list for each of the languages
-        rows = own.where(F.col("l") == name).orderBy(F.desc("n"), "g").limit(top).select("g").toPandas()
-        tops[name] = rows["g"].to_numpy(np.int64).view(np.uint64)
-    return build(tops)
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
+    rows = own.select("l", "g", "n").withColumn("place", place).where(F.col("place") <= top).select("l", "g").toPandas()
+    found = {name: g.to_numpy(np.int64).view(np.uint64) for name, g in rows.groupby("l")["g"]}
+    return build({name: found.get(name, np.zeros(0, np.uint64)) for name in names})
 
 
 def identify(df: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,7 +4,9 @@ The statistics are shares of byte classes, word and line counts and repetition m
 Trees are grown on binned statistics of a bounded sample of labelled documents (``PER_CLASS`` of each class)
 with the logistic loss, then flattened into arrays; scoring walks all documents of a batch through all trees
 with numpy.  Null and empty texts have all-zero statistics and get the score of that point.  If the sample
-holds one class only, every score is that class's smoothed share; without labels it is 0.5.
+holds one class only, every score is that class's smoothed share; without labels it is 0.5.  Very long texts are read
+whole, one at a time.  Repeated rows are scored each; of a labelled key with several texts one is learned from.  Empty
+tables give empty results; further columns take no part and may have any name.
 """
 
 from __future__ import annotations

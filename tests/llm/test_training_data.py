@@ -411,6 +411,18 @@ def test_token_counts_equal_library(spark):
     assert tokencount.count_tokens(empty(spark), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_long_words_take_constant_memory():
+    import tracemalloc
+
+    c = tokencount.Counter(*tokencount.load_vocabulary(P.path("piece_bpe_32k.model")))
+    c.word("warm")
+    tracemalloc.start()
+    n = c.word("▁" + "ab" * 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1000 and peak < 2_000_000  # copies of the text itself
+
+
 def test_ties_keep_the_first_start():
     c = tokencount.Counter([("▁", 0.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0)], 0)
     assert c.word("▁aaa") == 2  # ▁ and aaa: equal scores, the leftmost start stays
@@ -432,7 +444,8 @@ def test_archives_round_trip(spark, tmp_path):
         data = (html or "").encode()
         for r in by[i]:
             assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
-    assert [(r.record_type, r.refers_to) for i in (1, 2, 3, 6, 7) for r in by[i]] == [("response", None)] * 2 + [("revisit", 1)] * 2 + [("response", None)] * 2
+    assert sorted((r.record_type, r.refers_to, r.url) for r in by[1]) == [("response", None, "again"), ("revisit", 1, "http://a")]
+    assert [(r.record_type, r.refers_to) for i in (2, 3, 6, 7) for r in by[i]] == [("revisit", 1)] * 2 + [("response", None)] * 2
     assert bytes(by[8][0].payload) == ("é" * 5000).encode()
     assert warc.round_trip(df.limit(0)).count() == 0
 
@@ -460,6 +473,56 @@ def test_zip64_and_plain_directories(tmp_path):
         assert warc.read_at(f, at, size) == b"stored"
 
 
+def test_written_records_are_valid(spark, tmp_path):
+    import gzip
+    import re
+    import zipfile
+
+    df = spark.createDataFrame([(1, "http://a/b c", "x" * 300), (2, None, "x" * 300), (2, None, "y")], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, f"file://{tmp_path}/w").first().path
+    with zipfile.ZipFile(path.removeprefix("file://")) as z:
+        member = next(n for n in z.namelist() if n.endswith(".warc.gz"))
+        records = re.split(rb"(?=WARC/1\.1\r\n)", gzip.decompress(z.read(member)))[1:]
+    heads = [warc.headers(r)[0] for r in records]
+    assert [h["warc-type"] for h in heads] == ["warcinfo", *(h["warc-type"] for h in heads[1:])] and len({h["warc-record-id"] for h in heads}) == 4
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) and h["warc-record-id"].startswith("<urn:uuid:") for h in heads)
+
+
+def foreign_record(kind, payload, url, extra=""):
+    http = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n" + payload
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:0>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n{extra}Content-Type: application/http\r\nContent-Length: {len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["none", "cdx", "cdxj.gz"])
+def test_archives_of_other_writers(spark, tmp_path, index):
+    import gzip
+    import zipfile
+
+    payloads = [f"page {i} ".encode() * (i * 700 + 1) for i in range(6)]
+    records = [foreign_record("request", b"", "u0"), *(foreign_record("response", p, f"u{i}") for i, p in enumerate(payloads))]
+    parts = [gzip.compress(r) for r in records]
+    offsets = np.cumsum([0, *map(len, parts)])
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/rec-1.warc.gz", b"".join(parts))
+        z.writestr("archive/rec-2.warc", b"".join(records))
+        lines = [(f"u{i - 1}", int(offsets[i]), len(parts[i])) for i in range(1, 7)]
+        if index == "cdx":
+            z.writestr("indexes/index.cdx", " CDX N b S V g\n" + "".join(f"{u} 20200101000000 {n} {o} rec-1.warc.gz\n" for u, o, n in lines))
+        elif index == "cdxj.gz":
+            z.writestr("indexes/index.cdxj.gz", gzip.compress("".join(f'{u} 2020 {{"offset": "{o}", "length": "{n}", "filename": "rec-1.warc.gz"}}\n' for u, o, n in lines).encode()))
+    got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "path string")).collect()
+    want = sorted((f"u{i}", len(p), hashlib.sha256(p).hexdigest()) for i, p in enumerate(payloads) for _ in range(2))
+    assert sorted((r.url, r.payload_bytes, r.payload_digest) for r in got) == want and all(r.page_id is None for r in got)
+
+
+def test_wrong_payloads_are_noticed():
+    bad = foreign_record("response", b"abc", "u", f"WARC-Payload-Digest: sha256:{'0' * 64}\r\n")
+    with pytest.raises(ValueError):
+        warc.parse_record(bad)
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------
 
 
