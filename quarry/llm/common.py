@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 #: Spark's setting to delete the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OPEN: list[list[DataFrame]] = []
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -52,6 +55,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -62,6 +67,25 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that ``written`` made inside, but for those handed to the function that it gives."""
+    made, kept = [], []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        released(*[df for df in made if df in _PLACES and not any(df is k for k in kept)])
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def held_out(key: str | Column) -> Column:
     """True for the fold that is never learned from: crc32 of the key as text, modulo 5, is 0."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % FOLDS == 0

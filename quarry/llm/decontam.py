@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import scratch, written
 
 N, THRESHOLD, WHOLE, MAX_BROADCAST = 5, 0.8, 16, 500_000
 
@@ -93,9 +93,10 @@ def held(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, n_shingles, n_shared, containment) of every document and item it holds."""
-    hits = held(documents, benchmark, threshold, text, item_text)
     names = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.xxhash64(F.col(item_text)).alias("u")).distinct()
-    hits = sized(written(hits.join(sized(names), "u").select("t", "item", "size", "shared"), "held"))
+    with scratch() as keep:
+        hits = held(documents, benchmark, threshold, text, item_text).join(sized(names), "u").select("t", "item", "size", "shared")
+        hits = sized(keep(written(hits, "held")))
     keys = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"))
     best = F.max(F.struct((F.col("shared") / F.col("size")).alias("containment"), "size", "shared"))
     out = keys.join(hits, "t").groupBy("k", "item").agg(best.alias("b"))
@@ -104,5 +105,6 @@ def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = THR
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = written(held(documents, benchmark, threshold, text).select(F.col("t").alias("__bad")).distinct(), "contaminated")
+    with scratch() as keep:
+        bad = keep(written(held(documents, benchmark, threshold, text).select(F.col("t").alias("__bad")).distinct(), "contaminated"))
     return documents.join(sized(bad), (F.xxhash64(F.col(text)) == F.col("__bad")) & F.col(text).isNotNull(), "left_anti")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, mix64, written
+from quarry.llm.common import held_out, mix64, released, written
 
 PER_LANG, TOP, LENGTHS, RATIO, HASHES, BITS, LANGUAGES = 1_000, 4_000, (2, 3, 4), 1.3, 3, 18, 1_024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -124,6 +124,7 @@ def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, languages: int
     own = share.join(mean.hint("merge"), "g").where(F.col("f") >= min(RATIO, len(names)) * F.col("mean"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
     rows = own.select("l", "g", "n").withColumn("place", place).where(F.col("place") <= top).select("l", "g").toPandas()
+    released(counts)
     found = {name: g.to_numpy(np.int64).view(np.uint64) for name, g in rows.groupby("l")["g"]}
     return build({name: found.get(name, np.zeros(0, np.uint64)) for name in names})
 

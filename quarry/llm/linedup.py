@@ -20,7 +20,8 @@ Method, in DataFrame operations only:
 A window has ``min_words`` lines at most, hence the number of doublings is fixed and no list of a group's
 members is ever gathered; groups are reduced to their first member before they are joined back.
 
-Nulls: a null text stays null.  Blank lines are kept and don't part a run.  Rows equal in key and text
+Nulls: a null text stays null.  Blank lines are kept and don't part a run; empty texts and empty tables stay as they are.
+Very long texts are cut into lines whole, in one row.  Of repeated lines in one text the first stays.  Rows equal in key and text
 count as one document and share its result; null keys are keys like others.  Further columns stay.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import scratch, written
 
 MIN_WORDS = 50
 
@@ -99,13 +100,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
 
     removed: name of a column for the number of lines deleted, if wanted.
     """
-    lines = written(line_table(df, key, text), "lines")
-    drop = later_copies(lines, min_words).groupBy("k", "t").agg(F.collect_list("p").alias("drop")).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
-    drop = written(drop, "lines-drop").hint("merge")
+    with scratch() as keep:
+        lines = written(line_table(df, key, text), "lines")
+        drop = later_copies(lines, min_words).groupBy("k", "t").agg(F.collect_list("p").alias("drop")).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
+        drop = keep(written(drop, "lines-drop")).hint("merge")
     out = df.withColumn("__h", F.xxhash64(F.col(text))).alias("d").join(drop.alias("e"), [F.col(f"d.{key}").eqNullSafe(F.col("e.__k")), F.col("d.__h") == F.col("e.__t")], "left")
     lines_of = F.split(F.col(f"d.{text}"), "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("e.__drop"))
-    rest = F.when(F.col("e.__drop").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines_of, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("e.__drop"))
+    rest = F.when(F.col("e.__drop").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines_of, i)), "\n"))
     columns = [rest.alias(c) if c == text else F.col(f"d.{c}") for c in df.columns]
     if removed:
         columns.append(F.coalesce(F.size(F.col("e.__drop")), F.lit(0)).cast("long").alias(removed))

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, released, written
+from quarry.llm.common import mix64, released, scratch, written
 from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
@@ -292,13 +292,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     Classes that share their smallest key (a key of several texts, or null) differ in class_text, the smallest name of
     the class's texts; it is null for null texts.
     """
-    docs, chars = df.agg(F.count(text), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()
-    rows = chunked(df, key, text, chars)
-    sketch = written(sketches(rows, docs, chars), "sketches")
-    labels = components(links(rows.select("t", "x"), sketch, docs, least)).select(F.col("node").alias("t"), "label")
-    members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
-    members = written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members")
-    heads = written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads").hint("merge")
+    with scratch() as keep:
+        docs, chars = df.agg(F.count(text), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()
+        rows = chunked(df, key, text, chars)
+        sketch = written(sketches(rows, docs, chars), "sketches")
+        labels = components(links(rows.select("t", "x"), sketch, docs, least)).select(F.col("node").alias("t"), "label")
+        members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
+        members = keep(written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members"))
+        heads = keep(written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads")).hint("merge")
     out = members.join(heads, "label").select(F.col("k").alias(key), "class_id", F.col("label").alias("class_text"), "class_size", "t")
     nothing = F.lit(None).cast("long")
     alone = df.where(F.col(text).isNull()).select(F.col(key), F.col(key).alias("class_id"), nothing.alias("class_text"), F.lit(1).cast("long").alias("class_size"), nothing.alias("t")).distinct()
@@ -307,9 +308,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stay: of each class the document of the smallest key; null texts all stay."""
-    classes = near_duplicates(df, key, text, least).where(F.col("t").isNotNull())
-    heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias("__t"), F.first("class_id").alias("__k"))
-    heads = written(heads.select("__k", "__t"), "heads").hint("merge")
+    with scratch() as keep:
+        classes = near_duplicates(df, key, text, least).where(F.col("t").isNotNull())
+        heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias("__t"), F.first("class_id").alias("__k"))
+        heads = keep(written(heads.select("__k", "__t"), "heads")).hint("merge")
     kept = df.withColumn("__h", F.xxhash64(F.col(text))).join(heads, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left_semi")
     counts = kept.groupBy(key, "__h").count().where("count > 1")
     if not counts.isEmpty():  # rows repeated in key and text

@@ -289,6 +289,61 @@ def test_forest_arrays_equal_tree_walk():
     assert np.allclose([walk(r) for r in x[:50]], f.scores(x[:50]))
 
 
+def test_split_is_the_best_of_all():
+    rng = np.random.default_rng(20)
+    for _ in range(20):
+        x = rng.integers(0, 10, (120, 3)).astype(float)
+        y = ((x[:, 1] > 4) ^ (rng.random(120) < 0.3)).astype(float)
+        f = quality.fit_forest(x, y, trees=1, depth=1, least=5)
+        p = (y.sum() + 1) / (len(y) + 2)
+        g, h = y - p, p * (1 - p)
+
+        def gain(j, cut):
+            low = x[:, j] <= cut
+            if min(low.sum(), (~low).sum()) < 5:
+                return -1.0
+            part = lambda m: g[m].sum() ** 2 / (h * m.sum() + 1)
+            return part(low) + part(~low) - part(low | ~low)
+
+        best = max(gain(j, c) for j in range(3) for c in range(10))
+        assert abs(gain(f.feature[0], f.cut[0]) - best) < 1e-9
+        low = x[:, f.feature[0]] <= f.cut[0]
+        assert np.isclose(f.value[f.left[0]], 0.15 * g[low].sum() / (h * low.sum() + 1))
+
+
+def test_statistics_by_hand():
+    s = dict(zip(quality.NAMES, quality.statistics("Ab ab 12! é\nAb. x"), strict=True))
+    n = len("Ab ab 12! é\nAb. x".encode())
+    assert np.isclose(s["upper"], 2 / n) and np.isclose(s["digit"], 2 / n) and np.isclose(s["high"], 2 / n) and np.isclose(s["bang"], 1 / n)
+    assert np.isclose(s["distinct"], 6 / 6**0.8) and np.isclose(s["top_word"], 1 / 6) and s["distinct_lines"] == 1 and np.isclose(s["end_marks"], 1 / 6)
+    assert not quality.statistics(None).any() and not quality.statistics("").any()
+
+
+def test_filters_answer_like_sets():
+    rng = random.Random(21)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    texts = {k: [" ".join("".join(rng.choices(v, k=rng.randrange(1, 8))) for _ in range(60)) for _ in range(40)] for k, v in alphabets.items()}
+    sets = {k: np.unique(np.concatenate([langid.grams(t) for t in v[:20]])) for k, v in texts.items()}
+    f = langid.build(sets)
+    for lang, rows in texts.items():
+        for t in rows[20:]:
+            h = langid.grams(t)
+            exact = {k: np.isin(h, s).sum() for k, s in sets.items()}
+            assert np.allclose(f.counts(h), [exact[k] for k in f.langs], atol=3)
+            assert f.predict(t)[0] == max(exact, key=exact.get) == lang
+
+
+def brute_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return sum(max(0, len(w) + 2 - n + 1) for w in words for n in langid.LENGTHS)
+
+
+def test_grams_lie_inside_words():
+    for t in ("one", "Two words", "a, b; ccc!", "éà 12 ñ", "日本 語", "x" * 5000):
+        assert len(langid.grams(t)) == brute_grams(t), t
+    assert langid.grams("ab").tolist() == langid.grams(" AB! ").tolist()
+
+
 def test_language_held_out_and_odd_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     filters = langid.fit(d)
