@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontam, linedup, neardup, quality
-from quarry.llm.common import table, written
+from quarry.llm.common import released, scratch, table, written
 from quarry.llm.queries import BYTE_BPE
 
 #: The classifier is a trained model, which SQL cannot express; tests hold every stage against brute force.
@@ -51,7 +51,11 @@ STAGES = [("quality classifier", quality_filter), ("line dedup", line_dedup), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+        if last is not None:
+            released(last)
+        last = docs
     return docs
