@@ -51,6 +51,23 @@ def estimated_tokens(text: Column | str) -> Column:
     return F.when(F.coalesce(F.length(_c(text)), F.lit(0)) == 0, F.lit(0)).otherwise(n + F.greatest(F.lit(10), F.floor(n * F.lit(0.1)))).cast("bigint")
 
 
+def source_ref(doc_id: Column, chunk_id: Column, page: Column, section: Column, snippet: Column, confidence: float = 1.0) -> Column:
+    """struct that says where an extracted item comes from."""
+    return F.struct(doc_id.alias("doc_id"), chunk_id.alias("chunk_id"), page.alias("page"), section.alias("section"), snippet.alias("text_snippet"), F.lit(confidence).alias("confidence"), F.lit(False).alias("is_inferred"))
+
+
+def date_parts(parts: Column) -> Column:
+    """struct(year, month) of the first of several date lists [[year, month, day], ...]."""
+    first = F.get(parts, 0)
+    return F.struct(F.get(first, 0).cast("int").alias("year"), F.get(first, 1).cast("int").alias("month"))
+
+
+def chunk_entities(species: Column, locations: Column, methods: Column) -> Column:
+    """struct of a chunk's entity lists, missing ones empty."""
+    empty = F.array().cast("array<string>")
+    return F.struct(F.coalesce(species, empty).alias("species"), F.coalesce(locations, empty).alias("locations"), F.coalesce(methods, empty).alias("methods"))
+
+
 def fits_in_context(text: Column | str, system: Column | str = "", max_output: int = 500, window: int = 2048) -> Column:
     system = F.lit(system) if isinstance(system, str) else system
     return estimated_tokens(text) + estimated_tokens(system) + max_output <= window
@@ -72,12 +89,16 @@ def entity_count(*lists: Column) -> Column:
 # -- flags ------------------------------------------------------------------------------------------------
 
 
+#: The patterns of table and figure mentions.
+TABLE_MENTION, FIGURE_MENTION = r"table\s*\d+", r"fig(ure)?\s*\.?\s*\d+"
+
+
 def mentions_table(text: Column | str) -> Column:
-    return F.lower(_c(text)).rlike(r"table\s*\d+")
+    return F.lower(_c(text)).rlike(TABLE_MENTION)
 
 
 def mentions_figure(text: Column | str) -> Column:
-    return F.lower(_c(text)).rlike(r"fig(ure)?\s*\.?\s*\d+")
+    return F.lower(_c(text)).rlike(FIGURE_MENTION)
 
 
 def bad_title(title: Column | str) -> Column:
@@ -85,12 +106,10 @@ def bad_title(title: Column | str) -> Column:
     return t.isNull() | (t == "Untitled") | t.startswith("<!--") | (F.length(t) < 5)
 
 
-def bad_abstract(abstract: Column | str, prefixes: tuple[str, ...] = ("<!--", "#")) -> Column:
+def bad_abstract(abstract: Column | str) -> Column:
+    """Missing, shorter than 30 characters, starting with the word "abstract" or with its style name inside."""
     a = _c(abstract)
-    out = a.isNull() | (F.length(a) < 30)
-    for p in prefixes:
-        out = out | a.startswith(p)
-    return out
+    return a.isNull() | (F.length(a) < 30) | a.startswith("abstract") | a.contains("abstractCls")
 
 
 def is_threatened(category: Column | str) -> Column:
@@ -205,16 +224,18 @@ def abstract_of(text: Column | str) -> Column:
     return F.when(n >= 20, a)
 
 
-def sentence_end(text: Column | str, start: Column, end: Column, reach: int = 100) -> Column:
-    """Position after the last sentence mark within ``reach`` around ``end`` (0-based); else the window's end."""
+def sentence_end(text: Column | str, end: Column, reach: int = 100) -> Column:
+    """Position after the last sentence mark and its blank within ``reach`` around ``end`` (0-based); else end + reach.
+
+    A mark at the very start of the window does not count.
+    """
     t = _c(text)
-    lo = F.greatest(start, end - reach)
-    hi = F.least(F.length(t), end + reach)
-    window = F.substring(t, (lo + 1).cast("int"), (hi - lo).cast("int"))
+    lo = F.greatest(F.lit(0), end - reach)
+    window = F.substring(t, (lo + 1).cast("int"), (end + reach - lo).cast("int"))
     marks = [". ", ".\n", "? ", "?\n", "! ", "!\n"]
     back = [F.locate(m[::-1], F.reverse(window)) for m in marks]
-    best = F.least(*[F.when(b > 0, b) for b in back])
-    return F.coalesce(hi - best, hi).cast("bigint")
+    at = F.length(window) - 1 - F.least(*[F.when(b > 0, b) for b in back])
+    return F.when(at > 0, lo + at + 2).otherwise(end + reach).cast("bigint")
 
 
 def salvaged_json(text: Column | str, kind: str = "object") -> Column:
@@ -240,12 +261,26 @@ def normal_relation(kind: Column | str, known: tuple[str, ...]) -> Column:
 
 
 #: Words that are no concepts.
-STOP = ("with", "from", "that", "this", "their", "between", "using", "based", "study", "analysis", "effect", "effects", "data", "approach", "paper")
+STOP = tuple(
+    """
+    a an the of in for and or to on
+    with by from as at its is are was
+    were be been being this that it not
+    but if do does did has have had
+    using based new novel study analysis
+    approach method data model results case
+    between through during after before under
+    over into about than more most other
+    how what which each can may could
+    will would should two three vs via
+    """.split()
+)
 
 
 def concepts(title: Column, keywords: Column, domains: Column) -> Column:
-    """Title words of more than 3 letters off the stop list, keywords of more than 2, domains with blanks."""
-    words = F.filter(F.transform(F.split(F.lower(title), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: (F.length(w) > 3) & ~w.isin(*STOP))
+    """Title words of more than 3 letters off the stop list, marks at their ends off; keywords of more than 2; domains with blanks."""
+    marks = r"""[.,;:!?()\[\]"'\-–—]+"""
+    words = F.filter(F.transform(F.split(F.lower(title), r"\s+"), lambda w: F.regexp_replace(w, f"^{marks}|{marks}$", "")), lambda w: (F.length(w) > 3) & ~w.isin(*STOP))
     keys = F.filter(F.transform(keywords, lambda k: F.lower(F.trim(k))), lambda k: F.length(k) > 2)
     doms = F.transform(domains, lambda d: F.replace(d, F.lit("_"), F.lit(" ")))
     empty = F.array().cast("array<string>")

@@ -6,18 +6,43 @@ folder every round or few, and bring one scalar per round to the driver.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of spark.checkpoint.dir (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
+INFER = "spark.sql.constraintPropagation.enabled"
+
+
+def cut(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` stored in the shared folder of spark.checkpoint.dir: written and read again, or with ``keys`` dealt by them.
+
+    A table dealt by the key of later joins is checkpointed and not shuffled again by them; it carries what Spark
+    inferred of its columns along, so where columns change places from round to round a plain copy is made.  Where no folder is set a temporary one
+    takes its place on a single machine; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+        base = sc.getConf().get("spark.checkpoint.dir", None)
+        if base is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    if not keys:
+        path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    # a checkpoint keeps what was inferred of its columns, which would double with every round of an iteration
+    before = spark.conf.get(INFER)
+    spark.conf.set(INFER, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(INFER, before)
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:
@@ -31,22 +56,39 @@ def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, leas
     sets = d.groupBy("doc_id").agg(F.sort_array(F.collect_set("domain")).alias("s"))
     kinds = sets.groupBy("s").agg(F.count("*").alias("n")).select("s")
     a = kinds.withColumn("domain", F.explode("s"))
-    pairs = a.withColumnRenamed("s", "sa").join(a.withColumnRenamed("s", "sb"), "domain").select("sa", "sb").distinct()
+    pairs = a.withColumnRenamed("s", "sa").join(a.withColumnRenamed("s", "sb").hint("merge"), "domain").select("sa", "sb").distinct()
     jac = pairs.withColumn("j", F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")))
     left = sets if paper is None else sets.join(paper.select("doc_id"), "doc_id", "left_semi")
     if keywords is None:
         jac = jac.where(F.col("j") >= least)
-    rows = left.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).join(jac, "sa").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "sb")
+    rows = left.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).join(jac.hint("merge"), "sa").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).hint("merge"), "sb")
     rows = rows.where("a < b" if paper is None else "a <> b").select("a", "b", "j")
     if keywords is not None:
-        k = keywords.select("doc_id", "keyword").distinct()
-        shared = k.withColumnRenamed("doc_id", "a").join(k.withColumnRenamed("doc_id", "b"), "keyword").where("a < b" if paper is None else "a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
-        rows = rows.join(shared, ["a", "b"], "full_outer").withColumn("j", F.coalesce("j", F.lit(0.0)) + F.lit(bonus) * F.coalesce("k", F.lit(0)))
-        if paper is not None:
-            rows = rows.withColumnRenamed("a", "doc_id").join(paper.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "a")
+        shared = shared_keywords(keywords, paper).where("a < b" if paper is None else "a <> b")
+        rows = rows.join(shared.hint("merge"), ["a", "b"], "full_outer").withColumn("j", F.coalesce("j", F.lit(0.0)) + F.lit(bonus) * F.coalesce("k", F.lit(0)))
     return rows.where(F.col("j") >= least).select("a", "b", F.round("j", 6).alias("similarity"))
 
 
+def shared_keywords(keywords: DataFrame, paper: DataFrame | None = None) -> DataFrame:
+    """(a, b, k): papers by the keywords they share; ``paper`` restricts a before anything is paired."""
+    k = keywords.select("doc_id", "keyword").distinct()
+    own = k if paper is None else k.join(paper.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    pairs = own.withColumnRenamed("doc_id", "a").join(k.withColumnRenamed("doc_id", "b").hint("merge"), "keyword").where("a <> b" if paper is not None else "a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
+
+
+def lifted_pairs(domains: DataFrame, keywords: DataFrame, least: float = 0.55, bonus: float = 0.1) -> DataFrame:
+    """(a, b, similarity): paper pairs that reach ``least`` by shared keywords alone or on top of their domains.
+
+    With similarity_classes, which holds all pairs that reach it by domains, this is the whole similarity graph.
+    """
+    sets = domains.select("doc_id", "domain").distinct().groupBy("doc_id").agg(F.collect_set("domain").alias("s"))
+    j = shared_keywords(keywords).join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a", "left").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b", "left")
+    jac = F.coalesce(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), F.lit(0.0))
+    whole = F.round(jac + F.lit(bonus) * F.col("k"), 6)
+    return j.where((jac < least) & (whole >= least)).select("a", "b", whole.alias("similarity"))
+
+
 def similarity_classes(domains: DataFrame, least: float = 0.55) -> DataFrame:
     """(class_a, class_b, papers_a, papers_b, similarity): the similarity graph over classes of equal domain sets.
 
@@ -55,9 +97,14 @@ def similarity_classes(domains: DataFrame, least: float = 0.55) -> DataFrame:
     """
     sets = domains.select("doc_id", "domain").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_set("domain")).alias("s"))
     kinds = sets.groupBy("s").agg(F.count("*").alias("papers"))
-    x = kinds.withColumn("domain", F.explode("s"))
+    rows = kinds.select("s", "papers", F.explode("s").alias("domain"))
+    n = rows.groupBy("domain").agg(F.count("*").alias("n"))
+    rare = rows.join(n.hint("merge"), "domain").groupBy("s", "papers").agg(F.sort_array(F.collect_list(F.struct("n", "domain"))).alias("r"))
+    # sets as similar as that share one of their rarest domains: all but ceil(least * size) and one more
+    x = rare.select("s", "papers", F.explode(F.slice("r", 1, (F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1).cast("int"))).alias("e")).select("s", "papers", "e.domain")
     a, b = (x.withColumnsRenamed({"s": f"s{i}", "papers": f"papers_{i}"}) for i in "ab")
-    pairs = a.join(b, "domain").drop("domain").distinct()
+    near = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * (least - 1e-9)
+    pairs = a.join(b.hint("merge"), "domain").where(near).drop("domain").distinct()
     name = {i: F.array_join(f"s{i}", ",") for i in "ab"}
     j = F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 6)
     return pairs.select(name["a"].alias("class_a"), name["b"].alias("class_b"), "papers_a", "papers_b", j.alias("similarity")).where("class_a <= class_b").where(F.col("similarity") >= least)
@@ -68,9 +115,10 @@ def concept_graph(concepts: DataFrame, least: int = 2, samples: int = 5) -> Data
     d = concepts.select("doc_id", "concept").distinct()
     pairs = d.withColumnRenamed("concept", "a").join(d.withColumnRenamed("concept", "b"), "doc_id").where("a < b")
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("papers")).where(F.col("papers") >= least)
-    few = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id"))).where(F.col("n") <= samples)
+    few = pairs.join(counts.select("a", "b").hint("merge"), ["a", "b"], "left_semi")
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id"))).where(F.col("n") <= samples)
     few = few.groupBy("a", "b").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sample"))
-    return counts.join(few, ["a", "b"])
+    return counts.join(few.hint("merge"), ["a", "b"])
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -119,7 +167,7 @@ def ego_network(edges: DataFrame, node: str, hops: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node of each connected component, by minimum labels and pointer jumping."""
-    e = cut(undirected(edges).select("a", "b"))
+    e = cut(undirected(edges).select("a", "b"), "b")
     labels = cut(e.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = e.join(labels.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
@@ -131,35 +179,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None, every: int = 5) -> DataFrame:
-    """(node, rank) over directed edges (a, b[, w]); ranks sum to 1, dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank) over directed edges (a, b[, w]); ranks sum to 1, dangling mass is spread evenly.
+
+    Ends when a round moves less than ``tolerance`` in all, after ``rounds`` at the latest.
+    """
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
-    e = cut(e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("a"))).select("a", "b", "share"))
+    e = cut(e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("a"))).select("a", "b", "share"), "a")
     nodes = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     n = nodes.count()
     dangling = nodes.join(e.select(F.col("a").alias("node")), "node", "left_anti").withColumn("open", F.lit(True))
     nodes = cut(nodes.join(dangling, "node", "left").select("node", F.coalesce("open", F.lit(False)).alias("open")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("open"), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row
         sent = e.join(ranks.select(F.col("node").alias("a"), "rank"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", "open", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        last, ranks = ranks, cut(new) if i % every == 0 or tolerance else new
-        if tolerance and ranks.join(last.select("node", F.col("rank").alias("r")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("r")))).first()[0] < tolerance:
+        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        new = cut(ranks.select("node", "open", F.col("rank").alias("last")).join(sent, "node", "left").join(F.broadcast(lost)).select("node", "open", rank.alias("rank"), "last"))
+        ranks = new.select("node", "open", "rank")
+        if (new.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0) < tolerance:
             break
     return ranks.select("node", "rank")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): in each round a node takes the label of largest summed weight around it, ties to the smallest."""
-    e = cut(undirected(edges).select("a", "b", "w"))
-    labels = e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, community): a node takes the label of largest summed weight around it, ties to its own, then the smallest.
+
+    In a round only nodes of one parity of a hash change, so that neighbours do not swap for ever; it ends when a
+    round of either parity changes nothing (after ``rounds`` at the latest).
+    """
+    e = cut(undirected(edges).select("a", "b", "w"), "b")
+    labels = cut(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    still = 0
+    for r in range(rounds):
         votes = e.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a", "label").agg(F.sum("w").alias("v"))
-        best = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct(-F.col("v"), "label")).alias("label"))
-        old, labels = labels, cut(best)
-        if labels.join(old.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
+        mine = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
+        order = F.struct(-F.col("v"), F.col("label") != F.col("own"), "label")
+        best = mine.groupBy(F.col("a").alias("node")).agg(F.min_by("label", order).alias("to"))
+        moves = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        new = cut(labels.join(best, "node").select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"), (moves & (F.col("to") != F.col("label"))).alias("moved")))
+        labels = new.select("node", "label")
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        if still == 2 and r % 2:  # both parities of one dealing
             break
     return labels.select("node", F.min("node").over(Window.partitionBy("label")).alias("community"))
 
@@ -175,12 +237,13 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return inside / total - squares
 
 
-def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10) -> DataFrame:
     """(node, community) by parallel local moves and aggregation.
 
-    In a round every node computes the gain of joining each neighbouring community; only nodes of one hash
-    parity move, so that neighbours do not swap for ever.  After the rounds communities become nodes.  The
-    labels are the smallest members; compare partitions by modularity, not by label.
+    In a round every node computes the gain of joining each neighbouring community; of those that gain a part by hash
+    moves, one in two at first and fewer later, so that neighbours do not swap for ever.  When no node gains by a
+    move (after ``rounds`` at the latest) communities become nodes, until a level joins nothing.  The labels are the
+    smallest members; compare partitions by modularity, not by label.
     """
     level = cut(undirected(edges).select("a", "b", "w"))
     total = level.agg(F.sum("w")).first()[0]
@@ -197,11 +260,14 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
             cand = near.join(own, "node").join(sums, "c").where("c <> own").withColumn("gain", F.col("kin") - F.col("k") * F.col("tot") / total)
             stay = own.join(near.withColumnRenamed("c", "own"), ["node", "own"], "left").join(sums.withColumnRenamed("c", "own"), "own").select("node", (F.coalesce("kin", F.lit(0.0)) - F.col("k") * (F.col("tot") - F.col("k")) / total).alias("now"))
             best = cand.groupBy("node").agg(F.max_by("c", F.struct("gain", "c")).alias("to"), F.max("gain").alias("gain"))
-            moves = best.join(stay, "node").where((F.col("gain") > F.col("now") + 1e-9) & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)).select("node", "to")
-            new = cut(labels.join(moves, "node", "left").select("node", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            labels = new.drop("moved")
-            if r % 2 and new.where("moved").isEmpty():
+            wants = best.join(stay, "node").where(F.col("gain") > F.col("now") + 1e-9).select("node", "to")
+            goes = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2 + r // 4)) == 0
+            new = cut(labels.join(wants, "node", "left").select("node", "k", F.when(goes, F.coalesce("to", "c")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")))
+            labels = new.drop("wants")
+            if new.where("wants").isEmpty():
                 break
+        if labels.where("c <> node").isEmpty():
+            break
         member = cut(member.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
         names = labels.select("node", "c")
         level = level.join(names.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(names.withColumnsRenamed({"node": "b", "c": "cb"}), "b")
@@ -209,18 +275,18 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
     return member.select("node", F.min("node").over(Window.partitionBy("community")).alias("community"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, hops: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(node, betweenness) of an undirected graph by dependency sums over shortest paths from the sources.
 
     All sources advance together: state is keyed by (source, node).  Without ``sources`` every node is one,
     which is exact; a sample scales as n / sample in expectation and is left to the caller.
     """
-    e = cut(undirected(edges).select("a", "b"))
+    e = cut(undirected(edges).select("a", "b"), "a")
     s = (sources.select("node") if sources is not None else e.select(F.col("a").alias("node"))).distinct()
     front = s.select(F.col("node").alias("s"), "node").withColumns({"d": F.lit(0), "paths": F.lit(1.0)})
     layers = [cut(front)]
     seen = layers[0]
-    for d in range(1, hops + 1):
+    for d in itertools.count(1):
         step = layers[-1].join(e, layers[-1]["node"] == e["a"]).groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
         new = cut(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(d).alias("d"), "paths"))
         if new.isEmpty():

@@ -33,17 +33,18 @@ def build_graph(extractions: DataFrame) -> dict[str, DataFrame]:
     mea = extractions.select(*base, F.explode("measurements").alias("m")).select(*base, "m.*").withColumn("measurement_id", C.measurement_id(F.col("doc_id"), F.col("parameter"), F.col("value"), F.coalesce("species", F.lit(""))))
     rel = extractions.select(*base, F.explode("relations").alias("r")).select(*base, "r.*")
     ends = rel.select(F.explode(F.array("subject", "object")).alias("name"))
-    species = sp.groupBy("name").agg(F.max("family").alias("family")).join(ends.distinct(), "name", "full_outer")
-    has = mea.join(species.select(F.col("name").alias("species")), "species", "left_semi").select("species", "measurement_id").distinct()
+    species = sp.groupBy("name").agg(F.max("family").alias("family")).join(ends.distinct().hint("merge"), "name", "full_outer")
+    has = mea.join(species.select(F.col("name").alias("species")).hint("merge"), "species", "left_semi").select("species", "measurement_id").distinct()
+    last = F.struct("doc_id", "chunk_id")
     return {
         "species": species,
         "mentions": sp.select("doc_id", "name", "original_name", "chunk_id", "confidence").distinct(),
-        "locations": loc.select("location_id", "name", "region").dropDuplicates(["location_id"]),
+        "locations": loc.groupBy("location_id").agg(F.max_by(F.struct("name", "region"), last).alias("l")).select("location_id", "l.*"),
         "references_location": loc.select("doc_id", "location_id", "chunk_id").distinct(),
-        "measurements": mea.select("measurement_id", "parameter", "value", "unit").dropDuplicates(["measurement_id"]),
+        "measurements": mea.groupBy("measurement_id").agg(F.max_by(F.struct("parameter", "value", "unit"), last).alias("m")).select("measurement_id", "m.*"),
         "contains": mea.select("doc_id", "measurement_id", "chunk_id").distinct(),
         "has_measurement": has,
-        "relations": rel.groupBy("subject", "object", "type").agg(F.max_by("description", F.struct("doc_id", "chunk_id")).alias("description")),
+        "relations": rel.groupBy("subject", "object", "type").agg(F.max_by("description", last).alias("description")),
     }
 
 
@@ -134,14 +135,19 @@ def relation_degree(species: DataFrame, relations: DataFrame, k: int = 20) -> Da
 
 
 def bridge_species(species: DataFrame, relations: DataFrame, k: int = 20) -> DataFrame:
-    """Species with neighbours of two other families over two different edges, by the families they connect."""
-    fam = species.select("species_id", "family")
-    edges = relations.select(F.xxhash64("subject", "object", "type").alias("edge"), "subject", "object")
-    half = edges.select("edge", F.col("subject").alias("mid"), F.col("object").alias("other")).unionByName(edges.select("edge", F.col("object").alias("mid"), F.col("subject").alias("other")))
-    half = half.join(fam.withColumnRenamed("species_id", "other"), "other").join(fam.withColumnsRenamed({"species_id": "mid", "family": "own"}), "mid").where("family <> own")
-    # two different edges with other families on both sides: any species with two such edges
-    n = half.groupBy("mid").agg(F.count_distinct("edge").alias("edges"), F.count_distinct("family").alias("families")).where("edges >= 2")
-    return n.select(F.col("mid").alias("species_id"), (2 * F.col("families")).alias("bridge_score")).orderBy(F.desc("bridge_score"), "species_id").limit(k)
+    """Species between two neighbours of different families, the first of another family than its own; by families connected.
+
+    The score adds the families that can come first and those that can come second.  Both follow from the set of
+    families next to a species, so the pairs of neighbours are never made: with two other families next to it, any of
+    them can come first and every family second; with one, that one first and the species' own second, if it is there.
+    """
+    fam = species.select("species_id", "family").where("family is not null")
+    out = relations.select(F.col("subject").alias("mid"), F.col("object").alias("other"))
+    half = out.unionByName(relations.select(F.col("object").alias("mid"), F.col("subject").alias("other")))
+    half = half.join(fam.select(F.col("species_id").alias("other"), "family"), "other").join(fam.select(F.col("species_id").alias("mid"), F.col("family").alias("own")), "mid")
+    n = half.groupBy("mid").agg(F.count_distinct("family").alias("every"), F.count_distinct(F.when(F.col("family") != F.col("own"), F.col("family"))).alias("others"))
+    score = F.when(F.col("others") >= 2, F.col("others") + F.col("every")).when((F.col("others") == 1) & (F.col("every") == 2), 2)
+    return n.select(F.col("mid").alias("species_id"), score.alias("bridge_score")).where("bridge_score is not null").orderBy(F.desc("bridge_score"), "species_id").limit(k)
 
 
 # -- measurements -----------------------------------------------------------------------------------------
@@ -189,13 +195,24 @@ def near(points: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
 def radius_join(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """(centre_id, location_id, km) of all points within km of each centre (id, latitude, longitude).
 
-    Both sides meet on latitude bands as wide as the radius, each centre in its own and the two next to it.
+    Both sides meet on bands of latitude as wide as the radius, cut into cells of longitude: a band has as many cells
+    round the globe as are at least as wide as the radius at its narrower edge (one near the poles).  A centre looks
+    into its own band and the two next to it, and there into its own cell and the two next to it, round the date line.
     """
     width = km / 111.0
-    band = lambda lat: F.floor(F.col(lat) / width).cast("long")
-    p = points.select("location_id", F.col("latitude").alias("y"), F.col("longitude").alias("x")).withColumn("band", band("y"))
-    c = centres.select("centre_id", F.col("latitude").alias("cy"), F.col("longitude").alias("cx")).withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: band("cy") + i)))
-    return p.join(c.hint("merge"), "band").withColumn("km", F.round(C.haversine_km(F.col("y"), F.col("x"), F.col("cy"), F.col("cx")), 6)).where(F.col("km") <= km).select("centre_id", "location_id", "km")
+    band = lambda lat: F.floor(lat / width).cast("long")
+    edge = lambda b: F.least(F.lit(90.0), F.greatest(F.abs(b * width), F.abs((b + 1) * width)))
+    # at the edge's latitude a radius spans asin(sin r / cos lat) degrees; one cell where that has no bound
+    reach = lambda b: F.sin(F.lit(km * 1.02 / 6371.0)) / F.cos(F.radians(edge(b)))
+    cells = lambda b: F.when((reach(b) < 1) & (edge(b) + width < 90), F.greatest(F.lit(1), F.floor(F.lit(360.0) / F.degrees(F.asin(reach(b)))))).otherwise(1).cast("long")
+    cell = lambda lon, n: F.least(n - 1, F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n)).cast("long")
+    p = points.where("latitude is not null and longitude is not null").select("location_id", F.col("latitude").alias("y"), F.col("longitude").alias("x"), band(F.col("latitude")).alias("band"))
+    p = p.withColumn("cell", cell(F.col("x"), cells(F.col("band"))))
+    c = centres.where("latitude is not null and longitude is not null").select("centre_id", F.col("latitude").alias("cy"), F.col("longitude").alias("cx"))
+    c = c.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: band(F.col("cy")) + i))).withColumn("n", cells(F.col("band")))
+    around = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.pmod(cell(F.col("cx"), F.col("n")) + i, F.col("n")))
+    c = c.withColumn("cell", F.explode(F.array_distinct(around))).drop("n")
+    return p.join(c.hint("merge"), ["band", "cell"]).withColumn("km", F.round(C.haversine_km(F.col("y"), F.col("x"), F.col("cy"), F.col("cx")), 6)).where(F.col("km") <= km).select("centre_id", "location_id", "km")
 
 
 def places_by_papers(locations: DataFrame, references: DataFrame, top: int, shown: int = 10) -> DataFrame:
@@ -230,12 +247,19 @@ def collaborations(authored: DataFrame, top: int) -> DataFrame:
 # -- papers -----------------------------------------------------------------------------------------------
 
 
-def paper_metadata(papers: DataFrame, mentions: DataFrame, references: DataFrame, measurements: DataFrame) -> DataFrame:
-    """Counts of a paper's species, places and measurements, zeros included."""
-    out = papers.select("doc_id")
-    for df, column, name in ((mentions, "species_id", "n_species"), (references, "location_id", "n_places"), (measurements, "value", "n_values")):
-        out = out.join(df.groupBy("doc_id").agg(F.count_distinct(column).alias(name)), "doc_id", "left")
-    return out.na.fill(0)
+def lists_of(base: DataFrame, key: str, *parts: tuple[str, DataFrame, list[str]]) -> DataFrame:
+    """``base`` with a sorted list of distinct structs (of one column: values) from each (name, table, columns), empty where none."""
+    for name, df, columns in parts:
+        item = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+        g = df.select(key, item.alias("item")).groupBy(key).agg(F.sort_array(F.collect_set("item")).alias(name))
+        empty = F.array().cast(g.schema[name].dataType)
+        base = base.join(g.hint("merge"), key, "left").withColumn(name, F.coalesce(name, empty))
+    return base
+
+
+def paper_metadata(papers: DataFrame, authors: DataFrame, species: DataFrame, places: DataFrame) -> DataFrame:
+    """Papers with the distinct names of their authors, species and places; each table is (doc_id, name)."""
+    return lists_of(papers, "doc_id", ("authors", authors, ["name"]), ("species", species, ["name"]), ("locations", places, ["name"]))
 
 
 def papers_of_species(papers: DataFrame, mentions: DataFrame, species_id: int) -> DataFrame:

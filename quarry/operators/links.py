@@ -58,19 +58,27 @@ def semantic_bridges(source: DataFrame, target: DataFrame, chunks: int = 10, lea
     return once.orderBy(F.desc("score"), "c").limit(k).select(F.col("c").alias("chunk_id"), F.col("d").alias("doc_id"), F.col("chunk_id").alias("other_chunk"), F.col("doc_id").alias("other_doc"), "score")
 
 
-def cascades(relations: DataFrame, studied: DataFrame, start: int, max_depth: int = 3, least: int = 2) -> DataFrame:
-    """(path, depth, domains): chains of up to max_depth directed relations from an entity to one of several domains."""
-    e = relations.select("subject", "object", "type")
-    paths = e.where(F.col("subject") == start).select(F.array("subject", "object").alias("path"), F.array(F.concat_ws(">", "subject", "object", "type")).alias("edges"))
-    found = paths
-    for _ in range(max_depth - 1):
-        end = F.element_at("path", -1)
-        step = paths.join(e, end == e["subject"]).withColumn("edge", F.concat_ws(">", "subject", "object", "type")).where(~F.array_contains(F.col("edges"), F.col("edge")))
-        paths = step.select(F.concat("path", F.array("object")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"))
-        found = found.unionByName(paths)
-    spread = studied.groupBy("entity").agg(F.count_distinct("domain").alias("domains")).where(F.col("domains") >= least)
-    j = found.withColumn("entity", F.element_at("path", -1)).join(spread, "entity")
-    return j.select(F.array_join(F.transform("edges", lambda x: x), "|").alias("path"), F.size("edges").alias("depth"), "domains")
+def cascades(relations: DataFrame, studied: DataFrame, start: int, max_depth: int = 3, least: int = 2, limit: int | None = None) -> DataFrame:
+    """(path, depth, domains, papers): chains of 1 to max_depth relations, in either direction, from an entity to one of several domains.
+
+    No relation occurs twice in a chain; parallel relations between the same entities give one chain.  ``limit`` is
+    the size of a report: the shortest chains, then by path; longer ones are then not made once there are enough.
+    """
+    e = relations.select("subject", "object", "type").distinct().withColumn("edge", F.xxhash64("subject", "object", "type"))
+    both = e.select(F.col("subject").alias("at"), F.col("object").alias("to"), "edge").unionByName(e.where("subject <> object").select(F.col("object").alias("at"), F.col("subject").alias("to"), "edge"))
+    spread = studied.groupBy("entity").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("doc_id").alias("papers")).where(F.col("domains") >= least)
+    paths = both.where(F.col("at") == start).select(F.array("at", "to").alias("path"), F.array("edge").alias("edges"))
+    found = None
+    for depth in range(1, max_depth + 1):
+        if depth > 1:
+            step = paths.withColumn("at", F.element_at("path", -1)).join(both.hint("merge"), "at").where(~F.array_contains("edges", F.col("edge")))
+            paths = step.select(F.concat("path", F.array("to")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"))
+        ends = paths.select("path").distinct().withColumn("entity", F.element_at("path", -1)).join(spread.hint("merge"), "entity")
+        ends = ends.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.lit(depth).alias("depth"), "domains", "papers")
+        found = ends if found is None else found.unionByName(ends)
+        if limit and depth < max_depth and found.limit(limit).count() == limit:
+            break
+    return found.orderBy("depth", "path").limit(limit) if limit else found
 
 
 def hypotheses(links: DataFrame) -> DataFrame:
@@ -91,21 +99,40 @@ def hypothesis_markdown(h: DataFrame) -> DataFrame:
 
 
 def hypothesis_report(h: DataFrame) -> DataFrame:
-    """(type, n, statements) by type."""
-    return h.groupBy("type").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("statement")), "\n").alias("statements"))
+    """(type, n, statement): every statement with the number of its type; write it partitioned by type, sorted inside."""
+    n = h.groupBy("type").agg(F.count("*").alias("n"))  # one row for each type of link
+    return h.select("type", "statement").join(F.broadcast(n), "type").select("type", "n", "statement")
 
 
 def knowledge_gaps(entities: DataFrame, domains: DataFrame, studied: DataFrame) -> DataFrame:
-    """(entity, domain) pairs of two given lists that no paper covers; the domain list is configuration."""
-    grid = entities.select("entity").distinct().join(F.broadcast(domains.select("domain").distinct()), how="cross")
-    return grid.join(studied.select("entity", "domain").distinct(), ["entity", "domain"], "left_anti")
+    """(entity, covered, missing): in how many of the domains an entity is studied and in how many it is not.
+
+    The grid of entities and domains is not made: what is missing is all that ``studied`` (entity, domain) does not list.
+    """
+    wanted = domains.select("domain").distinct()
+    total = wanted.agg(F.count("*").alias("total"))  # one row
+    have = studied.select("entity", "domain").distinct().join(wanted.hint("merge"), "domain").groupBy("entity").agg(F.count("*").alias("covered"))
+    out = entities.select("entity").distinct().join(have.hint("merge"), "entity", "left").join(F.broadcast(total))
+    covered = F.coalesce("covered", F.lit(0)).cast("long")
+    return out.select("entity", covered.alias("covered"), (F.col("total") - covered).alias("missing")).where("missing > 0")
+
+
+def bounded(df: DataFrame, most: int = 1_000) -> DataFrame:
+    """``df``, checked to be a list of configuration: more than ``most`` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a list of at most {most} rows is expected")
+    return df
+
+
+def domain_pairs(domains: DataFrame) -> DataFrame:
+    """(a, b): all ordered pairs of a bounded list of domains, also of equal ones."""
+    d = bounded(domains.select("domain").distinct())
+    return d.select(F.col("domain").alias("a")).join(F.broadcast(d.select(F.col("domain").alias("b"))), how="cross")
 
 
 def topic_links(domains: DataFrame, table: DataFrame) -> DataFrame:
-    """All pairs of a given list of domains with affinity and its label."""
-    x, y = domains.select(F.col("domain").alias("a")), domains.select(F.col("domain").alias("b"))
-    pairs = affinity(x.join(F.broadcast(y), F.col("a") < F.col("b")), table)
-    return pairs.withColumn("strength", C.affinity_label("affinity"))
+    """All pairs of a bounded list of domains with affinity and its label."""
+    return affinity(domain_pairs(domains).where("a < b"), table).withColumn("strength", C.affinity_label("affinity"))
 
 
 def capped(links: DataFrame, n: int) -> DataFrame:
@@ -113,7 +140,15 @@ def capped(links: DataFrame, n: int) -> DataFrame:
     return first_n(links, ["link_type"], [F.desc("affinity"), F.asc("link_id")], n)
 
 
-def discover(studied: DataFrame, table: DataFrame, entities: int = 20, per_type: int = 10) -> DataFrame:
-    """(link_type, link_id, affinity): shared-entity links of the entities in most domains, strongest first per type."""
+def discover(studied: DataFrame, table: DataFrame, relations: DataFrame | None = None, entities: int = 20, started: int = 5, per_type: int = 10) -> DataFrame:
+    """(link_type, link_id, affinity): links of the entities in most domains, strongest first per type.
+
+    Shared-entity links of the first ``entities``; with relations, also the cascades of the first ``started``.
+    """
     top = multi_domain(studied, entities).select("entity")
-    return capped(shared_links(studied.join(F.broadcast(top), "entity", "left_semi"), table), per_type).select("link_type", "link_id", "affinity")
+    out = shared_links(studied.join(F.broadcast(top), "entity", "left_semi"), table).select("link_type", "link_id", "affinity")
+    if relations is not None:
+        for r in multi_domain(studied, started).select("entity").collect():  # a report's few entities
+            chains = cascades(relations, studied, r["entity"], limit=per_type)
+            out = out.unionByName(chains.select(F.lit("cascade").alias("link_type"), link_id(F.lit("cascade"), F.col("path")).alias("link_id"), F.lit(0.5).alias("affinity")))
+    return capped(out, per_type)

@@ -17,9 +17,30 @@ def popular_queries(log: DataFrame, as_of: Column | None = None, days: int | Non
     return log.where(F.coalesce(F.col("query"), F.lit("")) != "").groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(limit)
 
 
-def log_stats(log: DataFrame, as_of: Column) -> DataFrame:
-    """One row: queries in all, today's, mean latency (0 if none)."""
-    return log.agg(F.count("*").alias("total"), F.count_if(F.col("ts") >= F.date_trunc("day", as_of)).alias("today"), F.round(F.coalesce(F.avg("execution_time_ms"), F.lit(0.0)), 6).alias("mean_ms"))
+def log_stats(log: DataFrame, as_of: Column, updates: DataFrame | None = None) -> DataFrame:
+    """One row: queries in all, today's, mean latency (0 if none); with an update log (action) all updates and adds."""
+    out = log.agg(F.count("*").alias("total"), F.count_if(F.col("ts") >= F.date_trunc("day", as_of)).alias("today"), F.round(F.coalesce(F.avg("execution_time_ms"), F.lit(0.0)), 6).alias("mean_ms"))
+    if updates is None:
+        return out
+    return out.join(F.broadcast(updates.agg(F.count("*").alias("updates"), F.count_if(F.col("action") == "add").alias("adds"))))  # one row each
+
+
+def search_log(asked: DataFrame, results: DataFrame, filters: dict[str, str], ts: Column) -> DataFrame:
+    """(query, filters, result_count, ts): a log row for every query of (query_id, query), 0 where it found nothing."""
+    n = results.groupBy("query_id").agg(F.count("*").alias("n"))
+    kept = F.lit(None).cast("map<string,string>") if not filters else F.create_map(*[F.lit(x) for kv in filters.items() for x in kv])
+    return asked.join(n.hint("merge"), "query_id", "left").select("query", F.to_json(kept).alias("filters"), F.coalesce("n", F.lit(0)).cast("int").alias("result_count"), ts.alias("ts"))
+
+
+def append_log(log: DataFrame, rows: DataFrame, key: str = "query_id") -> DataFrame:
+    """The log with further rows, numbered on from its largest key: rows are placed by range partition, then inside it."""
+    top = log.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))  # one row
+    dealt = rows.repartitionByRange(F.col("ts"), F.col("query")).withColumn("__p", F.spark_partition_id())
+    dealt = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy("ts", "query")))
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__c"))  # one row per partition
+    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))
+    new = dealt.join(F.broadcast(before), "__p").join(F.broadcast(top)).withColumn(key, (F.col("__top") + F.col("__before") + F.col("__n")).cast(log.schema[key].dataType))
+    return log.unionByName(new.drop("__p", "__n", "__before", "__top"), allowMissingColumns=True)
 
 
 def recent(df: DataFrame, ts: str, key: str, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n
+from quarry.operators.tables import first_n, sized
 
 UNICODE_WORDS, ASCII_WORDS = r"[\p{L}\p{N}]+", "[a-z]+"
 K1, B = 1.2, 0.75
@@ -31,61 +31,87 @@ def build_postings(df: DataFrame, key: str, columns: list[str], pattern: str = U
     return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score): BM25 over (query_id, term) prefixes; lengths is (key, dl) of every document.
+def statistics(df: DataFrame, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
+    """One row (docs, avgdl): documents and their mean number of tokens, counted without building the postings."""
+    count = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(pattern)) for c in columns), F.lit(0))
+    return df.agg(F.count("*").alias("docs"), F.avg(count).alias("avgdl"))
+
+
+def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score): BM25 over (query_id, term) prefixes; stats is one row (docs, avgdl).
 
     A prefix counts as one phrase: its frequency is that of all words that start with it.  Terms meet words on
     their first two characters, then by prefix, so no product of queries and vocabulary is formed.
     """
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))  # one row
-    t = terms.withColumn("head", F.substring("term", 1, 2))
+    t = sized(terms.withColumn("head", F.substring("term", 1, 2)))
     p = postings.withColumnRenamed("term", "word").withColumn("head", F.substring("word", 1, 2))
-    hits = p.join(F.broadcast(t), "head").where(F.startswith("word", "term"))
+    hits = p.join(t, "head").where(F.startswith("word", "term"))
     hits = hits.groupBy("query_id", "term", key, "dl").agg(F.sum("tf").alias("f"))
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    j = hits.join(F.broadcast(df), ["query_id", "term"]).join(F.broadcast(stats))
+    j = hits.join(df.hint("merge"), ["query_id", "term"]).join(F.broadcast(stats))
     idf = F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return j.withColumn("part", part).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def terms_of(df: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
+    """(query_id, term) of queries from the caller's code."""
+    return df.sparkSession.createDataFrame([(i, t) for i, q in queries for t in query_terms(q)], "query_id int, term string")
+
+
+def keyword_scores(df: DataFrame, terms: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
+    """(query_id, key, score) of every document that a query of (query_id, term) hits, not ranked."""
+    return bm25(build_postings(df, key, columns, pattern), statistics(df, columns, pattern), terms, key)
+
+
 def keyword_search(df: DataFrame, queries: list[tuple[int, str]], key: str, columns: list[str], k: int = 10, offset: int = 0, pattern: str = UNICODE_WORDS) -> DataFrame:
-    """(query_id, key, score, rank) of the best documents of every query; queries come from the caller's code."""
-    spark = df.sparkSession
-    terms = spark.createDataFrame([(i, t) for i, q in queries for t in query_terms(q)], "query_id int, term string")
-    postings = build_postings(df, key, columns, pattern)
-    lengths = df.select(sum((F.size(tokens(c, pattern)) for c in columns), F.lit(0)).cast("long").alias("dl"))
-    scored = bm25(postings, lengths, terms, key)
+    """(query_id, key, score, rank) of the best documents of every query, from the offset on."""
+    scored = keyword_scores(df, terms_of(df, queries), key, columns, pattern)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= offset + k).where(F.col("rank") > offset)
 
 
 def updated_postings(postings: DataFrame, changed: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
     """Postings after the changed documents were indexed anew."""
-    return postings.join(changed.select(key).distinct(), key, "left_anti").unionByName(build_postings(changed, key, columns, pattern))
+    return postings.join(changed.select(key).distinct().hint("merge"), key, "left_anti").unionByName(build_postings(changed, key, columns, pattern))
 
 
 def index_gaps(df: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """(key, missing): documents without postings and postings without document; empty if all is well."""
     a, b = df.select(key).distinct(), postings.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("missing", F.lit("postings")).unionByName(b.join(a, key, "left_anti").withColumn("missing", F.lit("document")))
+    return a.join(b.hint("merge"), key, "left_anti").withColumn("missing", F.lit("postings")).unionByName(b.join(a.hint("merge"), key, "left_anti").withColumn("missing", F.lit("document")))
+
+
+def against(base: DataFrame, queries: DataFrame, key: str = "chunk_id", crowd: int = 1024) -> DataFrame:
+    """Every row of ``base`` with every query (query_id, q, ...), and their cosine as ``score``, in blocks.
+
+    Queries come in crowds of about ``crowd``; each crowd meets each slice of the base in one task, so neither side is
+    broadcast and no task holds more than a crowd.  ``embedding`` and ``q`` are dropped.
+    """
+    crowds = max(1, -(-queries.count() // crowd))
+    slices = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    norm = lambda v: F.sqrt(C.dot(v, v))
+    b = base.withColumns({"__s": F.pmod(F.xxhash64(key), F.lit(slices)), "__n": norm(F.col("embedding"))}).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
+    q = queries.withColumns({"__c": F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int"), "__m": norm(F.col("q"))}).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    pairs = b.join(q.hint("shuffle_hash"), ["__c", "__s"])
+    score = F.when(F.col("__n") * F.col("__m") > 0, C.dot(F.col("embedding"), F.col("q")) / (F.col("__n") * F.col("__m"))).otherwise(0.0)
+    return pairs.withColumn("score", score).drop("__c", "__s", "__n", "__m", "embedding", "q")
 
 
 def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, exclude: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): the k most similar vectors of every query, exact.
+    """(query_id, chunk_id, score): the k most similar vectors of every query, exact, for a query set of any size.
 
-    queries is (query_id, q[, ...]) and is broadcast: it is the caller's query set, not a table of the corpus.
-    Each task keeps its own k best of a query before anything is shuffled.  ``exclude`` removes pairs.
+    queries is (query_id, q[, ...]).  Each task keeps its own k best of a query before anything is shuffled.
+    ``exclude`` removes pairs.
     """
-    pairs = base.join(F.broadcast(queries), how="cross")
+    pairs = against(base, queries)
     if exclude is not None:
         pairs = pairs.where(~exclude)
-    pairs = pairs.withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("q")), 6))
+    pairs = pairs.withColumn("score", F.round("score", 6))
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
-    keep = [c for c in pairs.columns if c not in ("embedding", "q")]
-    return first_n(pairs.select(*keep), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return first_n(pairs, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def hybrid_search(base: DataFrame, queries: DataFrame, keywords: list[str], k: int = 10, weight: float = 0.7) -> DataFrame:
@@ -105,19 +131,19 @@ def ranked_search(keyword: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     """Two-stage search: (query_id, doc_id, score).
 
     keyword is (query_id, doc_id, score); its best k * candidates are divided by the query's largest score and
-    blended with the best cosine of their chunks (0 without one).  A query without keyword hits falls back to
-    its nearest documents.
+    blended with the best cosine of their own chunks (0 without one), so only candidates' vectors are compared.
+    A query (query_id, q) without keyword hits falls back to its nearest documents.
     """
     total = keyword_weight + semantic_weight
     wk, ws = keyword_weight / total, semantic_weight / total
     cand = first_n(keyword, ["query_id"], [F.desc("score"), F.asc("doc_id")], k * candidates)
     top = F.max("score").over(Window.partitionBy("query_id"))
     cand = cand.withColumn("kw", F.when(top > 0, F.col("score") / top).otherwise(0.0)).select("query_id", "doc_id", "kw")
-    pairs = vectors.join(F.broadcast(queries), how="cross").withColumn("score", C.cosine(F.col("embedding"), F.col("q"))).select("query_id", "doc_id", "score")
-    sem = best_per_document(pairs)
+    near = cand.join(vectors.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", "q").hint("merge"), "query_id")
+    sem = best_per_document(near.select("query_id", "doc_id", C.cosine(F.col("embedding"), F.col("q")).alias("score")))
     blended = cand.join(sem, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(wk * F.col("kw") + ws * F.coalesce("best", F.lit(0.0)), 6).alias("score"))
-    none = queries.select("query_id").join(cand.select("query_id").distinct(), "query_id", "left_anti")
-    only = sem.join(F.broadcast(none), "query_id").select("query_id", "doc_id", F.round("best", 6).alias("score"))
+    none = queries.select("query_id", "q").join(cand.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
+    only = best_per_document(against(vectors.select("doc_id", "embedding"), none, "doc_id")).select("query_id", "doc_id", F.round("best", 6).alias("score"))
     return first_n(blended.unionByName(only), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
@@ -133,9 +159,9 @@ def context(chunks: DataFrame, measurements: DataFrame, relations: DataFrame, sp
     s = chunks.join(species_of_chunk, "chunk_id").groupBy("query_id", "species_id").agg(F.count("*").alias("n"))
     s = first_n(s, ["query_id"], [F.desc("n"), F.asc("species_id")], most_species)
     few = first_n(s, ["query_id"], [F.desc("n"), F.asc("species_id")], used).select("query_id", "species_id")
-    m = measurements.join(F.broadcast(few), "species_id")
-    out = relations.join(F.broadcast(few.withColumnRenamed("species_id", "subject")), "subject").select("query_id", "subject", "object", "type")
-    back = relations.join(F.broadcast(few.withColumnRenamed("species_id", "object")), "object").select("query_id", "subject", "object", "type")
+    m = measurements.join(few.hint("merge"), "species_id")
+    out = relations.join(few.withColumnRenamed("species_id", "subject").hint("merge"), "subject").select("query_id", "subject", "object", "type")
+    back = relations.join(few.withColumnRenamed("species_id", "object").hint("merge"), "object").select("query_id", "subject", "object", "type")
     return s, m, out.unionByName(back).distinct()
 
 
@@ -147,11 +173,25 @@ def context_text(passages: DataFrame, n: int = 5, width: int = 800) -> DataFrame
     return best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))), lambda s: s["line"]), "\n").alias("context"))
 
 
+def species_context(species_id: int, vectors: DataFrame, mentions: DataFrame, measurements: DataFrame, relations: DataFrame, chunks: int = 15, hops: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, measurements, relations) of one species: its first chunks, all its values, its network over ``hops``."""
+    from quarry.operators.analytics import k_hop_edges
+
+    docs = mentions.where(F.col("species_id") == species_id).select("doc_id").distinct()
+    c = vectors.join(docs.hint("merge"), "doc_id", "left_semi").orderBy("chunk_id").limit(chunks)
+    return c, measurements.where(F.col("species_id") == species_id), k_hop_edges(relations, species_id, hops)
+
+
 def recent_years(keyword: DataFrame, papers: DataFrame, as_of: int, years: int = 5) -> DataFrame:
-    """Hits of papers from the last years before and up to ``as_of``."""
-    return keyword.join(papers.where(F.col("year") >= as_of - years).select("doc_id"), "doc_id", "left_semi")
+    """Hits of papers from the last years before and up to ``as_of``; for ranked_search as for a keyword search."""
+    return keyword.join(papers.where(F.col("year") >= as_of - years).select("doc_id").hint("merge"), "doc_id", "left_semi")
+
+
+def in_domain(keyword: DataFrame, papers: DataFrame, domain: str) -> DataFrame:
+    """Hits of papers of one primary domain."""
+    return keyword.join(papers.where(F.col("primary_domain") == domain).select("doc_id").hint("merge"), "doc_id", "left_semi")
 
 
 def by_author(keyword: DataFrame, papers: DataFrame, name: str) -> DataFrame:
     """Hits of papers with an author (authors[]) whose name contains the text."""
-    return keyword.join(papers.where(F.exists("authors", lambda a: F.lower(a).contains(name.lower()))).select("doc_id"), "doc_id", "left_semi")
+    return keyword.join(papers.where(F.exists("authors", lambda a: F.lower(a).contains(name.lower()))).select("doc_id").hint("merge"), "doc_id", "left_semi")

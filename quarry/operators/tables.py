@@ -141,3 +141,23 @@ def checked(df: DataFrame, column: str, allowed: tuple[str, ...]) -> tuple[DataF
     """(rows with an allowed value, rejects)."""
     ok = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with a join hint: broadcast if it is counted to be small, else merge."""
+    return df.hint("broadcast" if df.count() <= most else "merge")
+
+
+def paper_record(papers: DataFrame, doc_id, lists: tuple[str, ...] = ("authors", "keywords"), maps: tuple[str, ...] = ("domains",)) -> DataFrame:
+    """The row of one paper with its JSON columns decoded, empty where null; doi is null where the table has no such column."""
+    out = papers.where(F.col("doc_id") == doc_id)
+    for c in lists:
+        out = out.withColumn(c, F.from_json(F.coalesce(c, F.lit("[]")), "array<string>"))
+    for c in maps:
+        out = out.withColumn(c, F.from_json(F.coalesce(c, F.lit("{}")), "map<string,double>"))
+    return out if "doi" in out.columns else out.withColumn("doi", F.lit(None).cast("string"))
+
+
+def chunks_of_document(chunks: DataFrame, doc_id) -> DataFrame:
+    """The chunks of one document in order."""
+    return chunks.where(F.col("doc_id") == doc_id).orderBy("chunk_idx")

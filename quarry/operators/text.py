@@ -31,21 +31,24 @@ def split_sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def chunk_sections(df: DataFrame, keys: list[str], text: str = "text", size: int = 1000, overlap: int = 200, min_size: int = 100) -> DataFrame:
     """(keys, chunk_idx, chunk): sections up to ``size`` stay whole; longer ones pack paragraphs.
 
-    A paragraph that would pass ``size`` flushes what is packed; the last ``overlap`` characters are carried and
-    joined straight to the next paragraph.  The rest is kept if it has ``min_size`` characters; a paragraph
-    longer than ``size`` stays whole.
+    What is packed ends in a blank line after every paragraph, which counts.  A paragraph that would pass ``size``
+    flushes it; if it is longer than ``overlap``, its last ``overlap`` characters are carried before the next
+    paragraph.  Chunks are trimmed; the rest is kept if it has ``min_size`` characters; a paragraph longer than
+    ``size`` stays whole.
     """
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    gap = F.lit("\n\n")
 
     def step(acc: Column, p: Column) -> Column:
-        full = (F.length(acc["cur"]) > 0) & (F.length(acc["cur"]) + F.length(p) > size)
-        carried = F.concat(F.substring(acc["cur"], F.greatest(F.lit(1), F.length(acc["cur"]) - overlap + 1), F.lit(overlap)), p)
-        packed = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
-        return F.struct(F.when(full, carried).otherwise(packed).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
+        cur = acc["cur"]
+        full = (F.length(cur) > 0) & (F.length(cur) + F.length(p) > size)
+        carried = F.when(F.length(cur) > overlap, F.substring(cur, F.length(cur) - overlap + 1, F.lit(overlap))).otherwise("")
+        return F.struct(F.when(full, F.concat(carried, p, gap)).otherwise(F.concat(cur, p, gap)).alias("cur"), F.when(full, F.concat(acc["out"], F.array(strip(cur)))).otherwise(acc["out"]).alias("out"))
 
-    last = lambda acc: F.when(F.length(acc["cur"]) >= min_size, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
+    last = lambda acc: F.when(F.length(strip(acc["cur"])) >= min_size, F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
     packed = F.aggregate(C.paragraphs(text), start, step, last)
-    whole = F.when(F.length(text) <= size, F.filter(F.array(F.col(text)), lambda x: F.trim(x) != "")).otherwise(packed)
+    whole = F.when(F.length(text) <= size, F.filter(F.array(F.col(text)), lambda x: strip(x) != "")).otherwise(packed)
     return df.select(*keys, F.posexplode(whole).alias("chunk_idx", "chunk"))
 
 
@@ -56,31 +59,34 @@ def chunk_fixed(df: DataFrame, keys: list[str], text: str = "text", size: int =
     return df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(pieces).alias("chunk_idx", "chunk"))
 
 
-MARKS = (". ", ".\n", "? ", "?\n", "! ", "!\n")
+MARKS = (". ", "? ", "! ", ".\n", "?\n", "!\n")
 
 
 def sliding_pieces(text: str, size: int, overlap: int, min_size: int, reach: int = 100, boundary: str = "last") -> list[tuple[int, str]]:
-    """(offset, piece) with ends moved to a sentence mark within ``reach`` of the size.
+    """(offset, piece) with ends moved behind a sentence mark and its blank within ``reach`` of the size.
 
-    boundary "last": the last of all marks, else the window's end; "first": the last place of the first kind of
-    mark that occurs, else the plain size.
+    boundary "last": the last of all marks, else ``reach`` beyond the size; "first": the last place of the first kind
+    of mark that occurs, else the plain size.  A mark at the start of the window does not count.  The pieces go on
+    until a start lies beyond the text, so the last one may repeat the end of the one before.
     """
     out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + size)
+    while start < len(text) and not text.isspace():
+        end = start + size
         if end < len(text):
-            lo, hi = max(start, end - reach), min(len(text), end + reach)
-            at = [text.rfind(m, lo, hi) for m in MARKS]
+            lo = max(start, end - reach) if boundary == "first" else end - reach
+            at = [text.rfind(m, lo, end + reach) - lo for m in MARKS]
             if boundary == "last":
-                end = max(at) + 1 if max(at) >= 0 else hi
+                end = lo + max(at) + 2 if max(at) > 0 else end + reach
             else:
-                end = next((p + 1 for p in at if p >= 0), end)
+                end = next((lo + p + 2 for p in at if p > 0), end)
         piece = text[start:end].strip()
         if len(piece) >= min_size:
             out.append((start, piece))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
+        if boundary == "first":
+            end = min(end, len(text))
+            start = end - overlap if end - overlap > start else start + max(size - overlap, 1)
+        else:
+            start = end - overlap
     return out
 
 
@@ -100,23 +106,68 @@ def chunk_sliding(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def pages_of_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Chunks with the page their offset falls on; pages is (doc_id, page, text) and pages are joined by one break."""
+    """Chunks with the first page that reaches their offset; pages is (doc_id, page, text), joined by blank lines."""
     by = Window.partitionBy("doc_id").orderBy("page")
-    start = F.coalesce(F.sum(F.length("text") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = pages.select("doc_id", "page", start.alias("from"), (start + F.length("text") + 1).alias("to"))
-    return chunks.join(p, (chunks["doc_id"] == p["doc_id"]) & (F.col("offset") >= F.col("from")) & (F.col("offset") < F.col("to"))).select(chunks["*"], "page")
+    ends = F.sum(F.length("text") + 2).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    p = pages.select("doc_id", "page", ends.alias("to")).withColumn("from", F.coalesce(F.lag("to").over(by), F.lit(-1)))
+    c = chunks.alias("c").join(p.alias("p").hint("merge"), (F.col("c.doc_id") == F.col("p.doc_id")) & (F.col("offset") > F.col("from")) & (F.col("offset") <= F.col("to")))
+    return c.select("c.*", "page")
 
 
-def parent_child(df: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parents, children): one parent per document with its whole text, children carry its id."""
-    pid = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":parent"))), 1, 16)
-    return df.select(pid.alias("chunk_id"), "doc_id", F.col("text").alias("chunk"), F.lit(True).alias("is_parent")), chunks.withColumn("parent_id", pid)
+def guessed_section(chunk: Column | str) -> Column:
+    """The first of a chunk's first three lines that looks like a heading: a capital first, short, no full stop."""
+    c = F.col(chunk) if isinstance(chunk, str) else chunk
+    lines = F.transform(F.slice(F.split(c, "\n"), 1, 3), lambda x: F.trim(x))
+    return F.get(F.filter(lines, lambda x: (F.length(x) < 80) & x.rlike(r"^\p{Lu}") & ~x.endswith(".")), 0)
+
+
+def chunk_pages(pages: DataFrame, size: int = 1000, overlap: int = 200, min_size: int = 100) -> DataFrame:
+    """(doc_id, chunk_id, chunk_idx, chunk, section, page, word_count) of documents given as pages (doc_id, page, text)."""
+    texts = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
+    c = pages_of_chunks(chunk_sliding(texts, size=size, overlap=overlap, min_size=min_size, boundary="first"), pages)
+    return c.select("doc_id", C.chunk_id("doc_id", "chunk_idx", "chunk").alias("chunk_id"), "chunk_idx", "chunk", guessed_section("chunk").alias("section"), "page", C.word_count("chunk").alias("word_count"))
+
+
+def text_chunks(df: DataFrame, **sizes) -> DataFrame:
+    """(doc_id, part, idx, section, section_level, chunk): sections if there are any, else the text, in order.
+
+    df is (doc_id, text, sections array<struct<title, level, text>>).
+    """
+    cut = df.select("doc_id", F.posexplode("sections").alias("part", "s")).select("doc_id", "part", F.col("s.title").alias("section"), F.col("s.level").alias("section_level"), F.col("s.text").alias("text"))
+    by_section = chunk_sections(cut, ["doc_id", "part", "section", "section_level"], **sizes)
+    plain = chunk_sliding(df.where(F.coalesce(F.size("sections"), F.lit(0)) <= 0), **sizes)
+    nothing = [F.lit(0).alias("part"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("section_level")]
+    names = ["doc_id", "part", "chunk_idx", "section", "section_level", "chunk"]
+    return by_section.select(*names).unionByName(plain.select("doc_id", *nothing, "chunk_idx", "chunk").select(*names)).withColumnRenamed("chunk_idx", "idx")
+
+
+def chunk_documents(df: DataFrame, **sizes) -> DataFrame:
+    """(doc_id, chunk_idx, section, section_level, chunk, has_table): chunks of the text, then one for each table."""
+    body = text_chunks(df, **sizes).withColumns({"is_table": F.lit(False)})
+    tables = table_chunks(df).select("doc_id", F.lit(1 << 30).alias("part"), F.col("place").alias("idx"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("section_level"), "chunk", F.lit(True).alias("is_table"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "idx")) - 1
+    out = body.unionByName(tables).withColumn("chunk_idx", place)
+    return out.select("doc_id", "chunk_idx", "section", "section_level", "chunk", (F.col("is_table") | C.mentions_table("chunk")).alias("has_table"))
+
+
+def parent_id(doc_id: Column | str) -> Column:
+    d = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.substring(F.md5(F.concat(d.cast("string"), F.lit(":parent"))), 1, 16)
+
+
+def parent_child(df: DataFrame, **sizes) -> tuple[DataFrame, DataFrame]:
+    """(parents, children): one parent per document with its assembled text; children are chunks of the text, no tables."""
+    parents = parent_text(df).select(parent_id("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("chunk"), F.lit(True).alias("is_parent"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "idx")) - 1
+    children = text_chunks(df, **sizes).withColumn("chunk_idx", place)
+    return parents, children.select(C.chunk_id("doc_id", "chunk_idx", "chunk").alias("chunk_id"), "doc_id", "chunk_idx", "section", "chunk", parent_id("doc_id").alias("parent_id"), F.lit(False).alias("is_parent"))
 
 
 def table_chunks(df: DataFrame) -> DataFrame:
-    """(doc_id, table_id, chunk) from tables[struct(table_id, page, caption, markdown)]."""
-    t = df.select("doc_id", F.explode("tables").alias("t"))
-    return t.select("doc_id", "t.table_id", F.concat(F.lit("Table "), F.col("t.table_id"), F.lit(": "), F.coalesce("t.caption", F.lit("")), F.lit("\n\n"), F.col("t.markdown")).alias("chunk"))
+    """(doc_id, place, table_id, chunk) from tables[struct(table_id, page, caption, markdown)]; tables without content are passed over."""
+    t = df.select("doc_id", F.posexplode("tables").alias("place", "t")).where(F.coalesce("t.markdown", F.lit("")) != "")
+    caption = F.when(F.coalesce("t.caption", F.lit("")) != "", F.concat(F.lit(": "), F.col("t.caption"))).otherwise("")
+    return t.select("doc_id", "place", "t.table_id", F.concat(F.lit("Table "), F.col("t.table_id"), caption, F.lit("\n\n"), F.col("t.markdown")).alias("chunk"))
 
 
 # -- lexicon ----------------------------------------------------------------------------------------------
@@ -192,9 +243,11 @@ def study_types(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
 
 
 def classification_text(df: DataFrame, sections: int = 3, width: int = 500) -> DataFrame:
-    """(doc_id, text): title, abstract and the heads of the first sections."""
-    parts = F.transform(F.slice("sections", 1, sections), lambda s: F.substring(s["text"], 1, width))
-    return df.select("doc_id", F.concat_ws("\n\n", "title", "abstract", F.array_join(parts, "\n\n")).alias("text"))
+    """(doc_id, text): title, abstract and the heads of the first sections, each with its label; missing parts are left out."""
+    label = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name), c))
+    parts = F.transform(F.slice("sections", 1, sections), lambda s: F.concat(s["title"], F.lit(": "), F.substring(s["text"], 1, width)))
+    every = F.concat(F.array(label("Title: ", F.col("title")), label("Abstract: ", F.col("abstract"))), F.coalesce(parts, F.array().cast("array<string>")))
+    return df.select("doc_id", F.array_join(F.array_compact(every), "\n\n").alias("text"))
 
 
 # -- references, budgets, batches -------------------------------------------------------------------------
@@ -237,38 +290,100 @@ def prompt_text(chunks: DataFrame) -> DataFrame:
 
 # -- model answers ----------------------------------------------------------------------------------------
 
-SPECIES = "array<struct<scientific_name:string,common_name:string,confidence:double>>"
-MEASURES = "array<struct<parameter:string,value:string,unit:string,species:string>>"
-PLACES = "array<struct<name:string,region:string,latitude:string,longitude:string>>"
-LINKS = "array<struct<subject:string,object:string,type:string,description:string>>"
-ANSWER = f"struct<species:{SPECIES},measurements:{MEASURES},locations:{PLACES},relations:{LINKS}>"
+#: What each list of an answer holds; numbers come as text, since models write them either way.
+LISTS = {
+    "species": "original_name:string,common_name:string",
+    "measurements": "parameter:string,value:string,unit:string,value_min:string,value_max:string,species:string,life_stage:string",
+    "locations": "name:string,latitude:string,longitude:string,region:string,country:string,habitat_type:string",
+    "temporal": "start_date:string,end_date:string,season:string,description:string",
+    "relations": "relation_type:string,subject:string,object:string,description:string",
+    "traits": "species:string,trait_name:string,trait_value:string",
+    "key_entities": "name:string,type:string,description:string",
+    "methods": "name:string,description:string",
+    "datasets": "name:string,size:string,description:string",
+    "citations": "title:string,year:string,authors:array<string>,journal:string,doi:string",
+}
+ANSWER = "struct<" + ",".join(f"{k}:array<struct<{v},text_snippet:string>>" for k, v in LISTS.items()) + ">"
 #: Relation types that are kept as they are.
-RELATIONS = ("predation", "competition", "symbiosis", "parasitism", "mutualism", "commensalism", "habitat_use", "associated")
+RELATIONS = ("predation", "parasitism", "competition", "symbiosis", "habitat_use", "associated")
 
 
 def parse_extractions(answers: DataFrame) -> dict[str, DataFrame]:
-    """Typed rows from model answers (doc_id, chunk_id, content); "rejects" holds answers without JSON.
+    """Typed rows of the ten lists from model answers (doc_id, chunk_id, content); "rejects" holds answers without JSON.
 
-    Bad items are passed over one by one: species need a name, measurements a parameter and a number other than
-    0, places a name (coordinates only if both are numbers other than 0), relations both ends.
+    Bad items are passed over one by one: species, places, entities, methods and datasets need a name, measurements a
+    parameter and a number other than 0, relations both ends, traits all three parts; coordinates need two numbers
+    other than 0.  Every row carries its source; page and section are taken from ``answers`` where it has them.
     """
     base = ["doc_id", "chunk_id"]
-    d = answers.withColumn("j", F.from_json(C.salvaged_json("content"), ANSWER, {"mode": "PERMISSIVE"}))
-    item = lambda name: d.where("j is not null").select(*base, F.explode(f"j.{name}").alias("e"))
+    page, section = (F.col(c) if c in answers.columns else F.lit(None).cast(t) for c, t in (("page", "int"), ("section", "string")))
+    d = answers.withColumns({"__page": page, "__section": section, "j": F.from_json(C.salvaged_json("content"), ANSWER, {"mode": "PERMISSIVE"})})
     number = lambda c: F.col(c).try_cast("double")
-    s = item("species").where("coalesce(e.scientific_name, e.common_name) is not null").select(*base, "e.*")
-    m = item("measurements").select(*base, "e.parameter", number("e.value").alias("value"), "e.unit", "e.species").where("parameter is not null and value <> 0")
+    filled = lambda *cs: " and ".join(f"coalesce(e.{c}, '') <> ''" for c in cs)
+
+    def rows(name: str, need: str, *columns: str | Column) -> DataFrame:
+        item = d.where("j is not null").select(*base, "__page", "__section", F.explode(f"j.{name}").alias("e")).where(need)
+        source = C.source_ref(F.col("doc_id"), F.col("chunk_id"), F.col("__page"), F.col("__section"), F.col("e.text_snippet"))
+        return item.select(*base, *columns, source.alias("source"))
+
+    value = number("e.value")
     both = (number("e.latitude") != 0) & (number("e.longitude") != 0)
-    p = item("locations").where("e.name is not null").select(*base, "e.name", "e.region", F.when(both, number("e.latitude")).alias("latitude"), F.when(both, number("e.longitude")).alias("longitude"))
-    r = item("relations").where("e.subject is not null and e.object is not null").select(*base, "e.subject", "e.object", C.normal_relation("e.type", RELATIONS).alias("type"), "e.description")
-    return {"species": s, "measurements": m, "locations": p, "relations": r, "rejects": d.where("j is null").select(*base, "content")}
+    return {
+        "species": rows("species", filled("original_name"), "e.original_name", "e.common_name"),
+        "measurements": rows("measurements", filled("parameter") + " and try_cast(e.value as double) <> 0", "e.parameter", value.alias("value"), "e.unit", number("e.value_min").alias("value_min"), number("e.value_max").alias("value_max"), "e.species", "e.life_stage"),
+        "locations": rows("locations", filled("name"), "e.name", "e.region", "e.country", "e.habitat_type", F.when(both, number("e.latitude")).alias("latitude"), F.when(both, number("e.longitude")).alias("longitude")),
+        "temporal": rows("temporal", "e is not null", "e.start_date", "e.end_date", "e.season", "e.description"),
+        "relations": rows("relations", filled("subject", "object"), "e.subject", "e.object", C.normal_relation("e.relation_type", RELATIONS).alias("type"), "e.description"),
+        "traits": rows("traits", filled("species", "trait_name", "trait_value"), "e.species", "e.trait_name", "e.trait_value"),
+        "key_entities": rows("key_entities", filled("name"), "e.name", "e.type", "e.description"),
+        "methods": rows("methods", filled("name"), "e.name", "e.description"),
+        "datasets": rows("datasets", filled("name"), "e.name", F.col("e.size").try_cast("int").alias("size"), "e.description"),
+        "citations": rows("citations", filled("title"), "e.title", F.col("e.year").try_cast("int").alias("year"), F.coalesce("e.authors", F.array().cast("array<string>")).alias("authors"), "e.journal", C.clean_doi("e.doi").alias("doi")),
+        "rejects": d.where("j is null").select(*base, "content"),
+    }
 
 
 def parse_citations(answers: DataFrame) -> DataFrame:
-    """(doc_id, title, year, authors, doi, confidence) rows from JSON arrays of citations."""
+    """(doc_id, title, year, authors, journal, doi, source) rows from answers (doc_id, content) that are JSON arrays of citations."""
     kind = "array<struct<title:string,year:string,authors:array<string>,journal:string,doi:string>>"
     d = answers.select("doc_id", F.explode(F.from_json(C.salvaged_json("content", "array"), kind)).alias("e"))
-    return d.select("doc_id", "e.title", F.col("e.year").try_cast("int").alias("year"), F.coalesce("e.authors", F.array().cast("array<string>")).alias("authors"), C.clean_doi("e.doi").alias("doi"), F.lit(0.9).alias("confidence")).where("title is not null")
+    nothing = F.lit(None).cast("string")
+    source = C.source_ref(F.col("doc_id"), nothing, F.lit(None).cast("int"), F.lit("References"), nothing, 0.9)
+    return d.select("doc_id", F.coalesce("e.title", F.lit("Unknown")).alias("title"), F.col("e.year").try_cast("int").alias("year"), F.coalesce("e.authors", F.array().cast("array<string>")).alias("authors"), "e.journal", "e.doi", source.alias("source"))
+
+
+#: Types and levels of hypotheses.
+HYPOTHESIS_TYPES = ("ecological_effect", "conservation_implication", "methodological_transfer", "knowledge_gap", "data_synthesis", "novel_interaction")
+HYPOTHESIS_LEVELS = ("high", "medium", "low", "exploratory")
+
+
+def parse_hypotheses(answers: DataFrame) -> DataFrame:
+    """(hypothesis_id, link_id, type, level, score, statement, rationale, evidence) from answers (link_id, content).
+
+    Unknown types become the first, unknown levels "medium", a missing score 0.5.
+    """
+    kind = "struct<statement:string,rationale:string,hypothesis_type:string,confidence:string,confidence_score:string,supporting_evidence:array<string>>"
+    d = answers.select("link_id", F.from_json(C.salvaged_json("content"), kind).alias("e")).where("e is not null")
+    text = F.coalesce("e.statement", F.lit(""))
+    return d.select(
+        F.substring(F.md5(F.concat_ws(":", F.col("link_id").cast("string"), text)), 1, 12).alias("hypothesis_id"),
+        "link_id",
+        F.when(F.col("e.hypothesis_type").isin(*HYPOTHESIS_TYPES), F.col("e.hypothesis_type")).otherwise(HYPOTHESIS_TYPES[0]).alias("type"),
+        F.when(F.col("e.confidence").isin(*HYPOTHESIS_LEVELS), F.col("e.confidence")).otherwise("medium").alias("level"),
+        F.coalesce(F.col("e.confidence_score").try_cast("double"), F.lit(0.5)).alias("score"),
+        text.alias("statement"),
+        F.coalesce("e.rationale", F.lit("")).alias("rationale"),
+        F.coalesce("e.supporting_evidence", F.array().cast("array<string>")).alias("evidence"),
+    )
+
+
+def parse_works(answers: DataFrame) -> DataFrame:
+    """Works from nested records (key, content): title, journal, year and month of print, else online, authors' family names, counts."""
+    kind = "struct<DOI:string,title:array<string>,`container-title`:array<string>,publisher:string,type:string,`published-print`:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,author:array<struct<given:string,family:string>>,`references-count`:int,`is-referenced-by-count`:int>"
+    d = answers.select("key", F.from_json("content", kind).alias("w")).where("w is not null")
+    when = C.date_parts(F.coalesce(F.col("w.published-print.date-parts"), F.col("w.published-online.date-parts")))
+    d = d.withColumn("d", when)
+    return d.select("key", F.col("w.DOI").alias("doi"), F.get("w.title", 0).alias("title"), F.get("w.container-title", 0).alias("journal"), "d.year", "d.month", F.transform("w.author", lambda x: x["family"]).alias("authors"), F.col("w.type").alias("type"), F.coalesce("w.references-count", F.lit(0)).alias("n_references"), F.coalesce("w.is-referenced-by-count", F.lit(0)).alias("n_cited"))
 
 
 def merge_extractions(results: DataFrame, lists: list[str]) -> DataFrame:
@@ -365,10 +480,27 @@ def entities_of_heads(entities: DataFrame, n: int = 3) -> DataFrame:
 
 
 def parent_text(df: DataFrame) -> DataFrame:
-    """(doc_id, text): title, abstract, every section with its heading, every table, in one text."""
-    sections = F.transform("sections", lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n"), s["text"]))
-    tables = F.transform("tables", lambda t: F.concat(F.lit("Table "), t["table_id"], F.lit(": "), F.coalesce(t["caption"], F.lit("")), F.lit("\n"), t["markdown"]))
-    return df.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "abstract", F.array_join(sections, "\n\n"), F.array_join(tables, "\n\n")).alias("text"))
+    """(doc_id, text): header lines, abstract, sections with their headings (else the text), tables, in one text.
+
+    df is (doc_id, title, authors[], year, abstract, text, sections[], tables[]).
+    """
+    line = lambda name, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.array(F.concat(F.lit(name), c.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rule = lambda mark: F.lit(f"\n{mark * 80}\n")
+    sections = F.flatten(F.transform("sections", lambda s: F.array(F.concat(F.lit("\n"), F.repeat(F.lit("#"), s["level"]), F.lit(" "), s["title"], F.lit("\n")), s["text"])))
+    caption = lambda t: F.when(F.coalesce(t["caption"], F.lit("")) != "", F.array(F.concat(F.lit(": "), t["caption"]))).otherwise(F.array().cast("array<string>"))
+    filled = F.filter("tables", lambda t: F.coalesce(t["markdown"], F.lit("")) != "")
+    tables = F.flatten(F.transform(filled, lambda t: F.concat(F.array(F.concat(F.lit("\nTable "), t["table_id"])), caption(t), F.array(F.concat(F.lit("\n"), t["markdown"], F.lit("\n"))))))
+    nothing = F.array().cast("array<string>")
+    parts = F.concat(
+        F.array(F.concat(F.lit("TITLE: "), F.coalesce("title", F.lit("")))),
+        line("AUTHORS: ", F.array_join("authors", ", ")),
+        line("YEAR: ", F.col("year")),
+        F.array(rule("=")),
+        F.when(F.coalesce("abstract", F.lit("")) != "", F.array(F.lit("ABSTRACT\n"), F.col("abstract"), rule("-"))).otherwise(nothing),
+        F.when(F.size("sections") > 0, sections).otherwise(F.array(F.coalesce("text", F.lit("")))),
+        F.when(F.size("tables") > 0, F.concat(F.array(F.lit("\n" + "=" * 80 + "\nTABLES\n")), tables)).otherwise(nothing),
+    )
+    return df.select("doc_id", F.array_join(parts, "\n").alias("text"))
 
 
 def indexed_papers(df: DataFrame, classes: DataFrame, studies: DataFrame) -> DataFrame:

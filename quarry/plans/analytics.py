@@ -15,6 +15,11 @@ def _(c):
     return A.similarity_classes(c.paper_domains)
 
 
+@q("lifted_pairs", "WITH s AS (SELECT doc_id, list(DISTINCT domain) AS s FROM paper_domains GROUP BY 1), k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM mentions a JOIN mentions b ON a.species_id = b.species_id AND a.doc_id < b.doc_id GROUP BY 1, 2), j AS (SELECT k.a, k.b, k, coalesce(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 0) AS j FROM k LEFT JOIN s x ON x.doc_id = k.a LEFT JOIN s y ON y.doc_id = k.b) SELECT a, b, round(j + 0.1::DOUBLE * k, 6) AS similarity FROM j WHERE j < 0.55 AND round(j + 0.1::DOUBLE * k, 6) >= 0.55")
+def _(c):
+    return A.lifted_pairs(c.paper_domains, c.mentions.select("doc_id", F.col("species_id").alias("keyword")))
+
+
 @q("related_papers", "WITH d AS (SELECT DISTINCT doc_id, domain FROM paper_domains), s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), sh AS (SELECT b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.domain = b.domain AND a.doc_id <> b.doc_id WHERE a.doc_id = 5 GROUP BY 1), ks AS (SELECT b.doc_id AS b, count(*) AS k FROM mentions a JOIN mentions b ON a.species_id = b.species_id AND a.doc_id <> b.doc_id WHERE a.doc_id = 5 GROUP BY 1), j AS (SELECT sh.b, c / (s.n + (SELECT n FROM s WHERE doc_id = 5) - c) AS j FROM sh JOIN s ON s.doc_id = sh.b), al AS (SELECT coalesce(j.b, ks.b) AS doc_id, coalesce(j, 0) + 0.1::DOUBLE * coalesce(k, 0) AS s FROM j FULL JOIN ks ON j.b = ks.b) SELECT doc_id, round(s, 6) AS similarity FROM al WHERE s >= 0.55 ORDER BY similarity DESC, doc_id LIMIT 5")
 def _(c):
     one = c.papers.where("doc_id = 5").select("doc_id")
@@ -31,9 +36,10 @@ def _(c):
     return c.paper_domains.select(F.concat(F.lit("domain:"), "domain").alias("a"), F.concat(F.lit("paper:"), F.col("doc_id").cast("string")).alias("b")).distinct()
 
 
-@q("concepts_of_papers", "SELECT doc_id, len(list_distinct(list_concat(list_filter(list_transform(string_split(lower(title), ' '), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), lambda w: length(w) > 3), [lower(study_type) || 'xx']))) AS n FROM papers")
+@q("concepts_of_papers", "WITH st AS (SELECT unnest(string_split('" + " ".join(C.STOP) + "', ' ')) AS w), w AS (SELECT doc_id, unnest(list_transform(string_split(lower(CASE WHEN doc_id % 2 = 0 THEN title || ' (new), \"method\": -between- study.' ELSE title END), ' '), lambda w: trim(w, '.,;:!?()[]\"''-–—'))) AS w FROM papers UNION ALL SELECT doc_id, lower(study_type) || 'xx' FROM papers) SELECT p.doc_id, count(DISTINCT w.w) AS n FROM papers p LEFT JOIN w ON w.doc_id = p.doc_id AND length(w.w) > 2 AND (length(w.w) > 3 OR ends_with(w.w, 'xx')) AND w.w NOT IN (SELECT w FROM st) GROUP BY 1")
 def _(c):
-    con = C.concepts(F.col("title"), F.array(F.concat("study_type", F.lit("xx"))), F.array().cast("array<string>"))
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat("title", F.lit(' (new), "method": -between- study.'))).otherwise(F.col("title"))
+    con = C.concepts(title, F.array(F.concat("study_type", F.lit("xx"))), F.array().cast("array<string>"))
     return c.papers.select("doc_id", F.size(con).cast("bigint").alias("n"))
 
 
@@ -74,29 +80,40 @@ def _(c):
 
 
 PR = "WITH e AS (SELECT DISTINCT subject AS a, object AS b FROM relations), sh AS (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS w FROM e), nd AS (SELECT a AS node FROM e UNION SELECT b FROM e), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank, node NOT IN (SELECT a FROM e) AS open FROM nd)"
-for _i in range(1, 6):
+for _i in range(1, 31):
     PR += f", r{_i} AS MATERIALIZED (SELECT p.node, 0.15::DOUBLE / (SELECT count(*) FROM nd) + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank) FILTER (WHERE open), 0) FROM r{_i - 1}) / (SELECT count(*) FROM nd)) AS rank, p.open FROM r{_i - 1} p LEFT JOIN (SELECT sh.b, sum(r.rank * sh.w) AS got FROM sh JOIN r{_i - 1} r ON r.node = sh.a GROUP BY 1) g ON g.b = p.node)"
 
 
-@q("pagerank", PR + " SELECT node, round(rank, 9) AS rank FROM r5")
+#: Both sides run until nothing moves any more; thirty rounds are more than these graphs need.
+@q("pagerank", PR + " SELECT node, round(rank, 9) AS rank FROM r30")
 def _(c):
-    return A.pagerank(edges(c), rounds=5).select("node", F.round("rank", 9).alias("rank"))
+    return A.pagerank(edges(c), tolerance=1e-12).select("node", F.round("rank", 9).alias("rank"))
+
+
+#: The sample of sources that the sampled betweenness is defined by.
+SOURCES = 100
 
 
 @q("label_propagation")
 def _(c):
-    return A.label_propagation(edges(c), rounds=5)
+    return A.label_propagation(edges(c))
 
 
 @q("louvain")
 def _(c):
-    return A.louvain(edges(c), rounds=4, levels=2)
+    return A.louvain(edges(c))
 
 
 @q("betweenness_sampled")
 def _(c):
     e = edges(c)
-    return A.betweenness(e, e.select(F.col("a").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(8), hops=6).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return A.betweenness(e, e.select(F.col("a").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(SOURCES)).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
+#: Citations form one chain for each customer, so the paths between others through a node can be counted.
+@q("betweenness", "SELECT node, ((i - 1) * (n - i))::DOUBLE AS betweenness FROM (SELECT o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) t WHERE n > 1")
+def _(c):
+    return A.betweenness(c.citations.select(F.col("citing").alias("a"), F.col("cited").alias("b")))
 
 
 # -- links ------------------------------------------------------------------------------------------------
@@ -119,9 +136,7 @@ SHARED = f"{AFFV}, {STUD}, g AS (SELECT entity, domain, count(DISTINCT doc_id) A
 
 @q("domain_affinity", f"WITH {AFFV}, d AS (SELECT DISTINCT p_type AS d FROM part) SELECT x.d AS a, y.d AS b, CASE WHEN x.d = y.d THEN 1.0::DOUBLE ELSE coalesce(af.s, 0.3::DOUBLE) END AS affinity FROM d x, d y LEFT JOIN af ON af.a = x.d AND af.b = y.d")
 def _(c):
-    d = c.part.select("p_type").distinct()
-    pairs = d.withColumnRenamed("p_type", "a").join(F.broadcast(d.withColumnRenamed("p_type", "b")), how="cross")
-    return L.affinity(pairs, affinity_table(c)).select("a", "b", "affinity")
+    return L.affinity(L.domain_pairs(c.part.select(F.col("p_type").alias("domain"))), affinity_table(c)).select("a", "b", "affinity")
 
 
 @q("shared_entity_links", f"WITH {SHARED} SELECT entity, a, b, source_papers, target_papers, affinity, link_id FROM ln")
@@ -139,10 +154,10 @@ def _(c):
     return L.semantic_bridges(c.vectors.where("domain = 1"), c.vectors.where("domain = 2"), least=0.1)
 
 
-@q("cascades", "WITH r AS (SELECT subject, object, subject || '>' || object || '>' || type AS e FROM relations), p1 AS (SELECT object, [e] AS es FROM r WHERE subject = 11), p2 AS (SELECT r.object, list_append(es, e) AS es FROM p1 JOIN r ON r.subject = p1.object WHERE NOT list_contains(es, e)), al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), d AS (SELECT m.species_id, count(DISTINCT p.domain) AS domains FROM mentions m JOIN paper_domains p ON p.doc_id = m.doc_id GROUP BY 1 HAVING count(DISTINCT p.domain) >= 2) SELECT array_to_string(es, '|') AS path, len(es)::INT AS depth, domains FROM al JOIN d ON d.species_id = al.object")
+@q("cascades", "WITH r AS (SELECT row_number() OVER () AS e, subject, object FROM relations), u AS (SELECT e, subject AS a, object AS b FROM r UNION SELECT e, object, subject FROM r), p1 AS (SELECT [a, b] AS path, [e] AS es, b AS x FROM u WHERE a = 11), p2 AS (SELECT list_append(path, b) AS path, list_append(es, e) AS es, b AS x FROM p1 JOIN u ON a = x WHERE NOT list_contains(es, e)), p3 AS (SELECT list_append(path, b) AS path, list_append(es, e) AS es, b AS x FROM p2 JOIN u ON a = x WHERE NOT list_contains(es, e)), al AS (SELECT DISTINCT path, x FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) t), d AS (SELECT m.species_id, count(DISTINCT p.domain) AS domains, count(DISTINCT p.doc_id) AS papers FROM mentions m JOIN paper_domains p ON p.doc_id = m.doc_id GROUP BY 1 HAVING count(DISTINCT p.domain) >= 2) SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS depth, domains, papers FROM al JOIN d ON d.species_id = x")
 def _(c):
     s = c.mentions.join(c.paper_domains, "doc_id").select(F.col("species_id").alias("entity"), "domain", "doc_id")
-    return L.cascades(c.relations, s, 11, 2)
+    return L.cascades(c.relations, s, 11, 3)
 
 
 HYP = f"{SHARED}, hy AS (SELECT substr(md5('h:' || link_id), 1, 12) AS hypothesis_id, 'shared_entity' AS type, entity || ' is studied in ' || a || ' and in ' || b || '; findings may carry over.' AS statement, 'medium' AS level, affinity AS score FROM ln)"
@@ -153,11 +168,16 @@ def _(c):
     return L.hypotheses(L.shared_links(studied(c), affinity_table(c)))
 
 
-@q("hypothesis_report", f"WITH {HYP} SELECT type, count(*) AS n, string_agg(statement, chr(10) ORDER BY statement) AS statements FROM hy GROUP BY 1")
+@q("hypothesis_report", f"WITH {HYP} SELECT type, count(*) OVER (PARTITION BY type) AS n, statement FROM hy")
 def _(c):
     return L.hypothesis_report(L.hypotheses(L.shared_links(studied(c), affinity_table(c))))
 
 
+@q("hypothesis_batch", f"WITH {HYP} SELECT hypothesis_id, type, statement, level, score FROM (SELECT hy.*, ln.link_id FROM hy JOIN ln ON hy.hypothesis_id = substr(md5('h:' || ln.link_id), 1, 12) ORDER BY ln.link_id LIMIT 10) t")
+def _(c):
+    return L.hypothesis_batch(L.shared_links(studied(c), affinity_table(c)))
+
+
 @q("hypothesis_markdown", f"WITH {HYP} SELECT hypothesis_id, '### ' || type || chr(10) || statement || chr(10) || printf('Confidence: %.2f (%s)', score, level) AS markdown FROM hy")
 def _(c):
     return L.hypothesis_markdown(L.hypotheses(L.shared_links(studied(c), affinity_table(c))))
@@ -168,10 +188,10 @@ def _(c):
     return L.capped(L.shared_links(studied(c), affinity_table(c)), 10).select("link_id", "affinity")
 
 
-@q("knowledge_gaps", "WITH st AS (SELECT DISTINCT m.species_id AS entity, p.domain FROM mentions m JOIN paper_domains p ON p.doc_id = m.doc_id WHERE m.confidence > 0.97) SELECT s.species_id AS entity, d.domain FROM species s, (SELECT DISTINCT p_type AS domain FROM part) d WHERE (s.species_id, d.domain) NOT IN (SELECT (entity, domain) FROM st)")
+@q("knowledge_gaps", "WITH d AS (SELECT DISTINCT name FROM locations), st AS (SELECT species_id, count(DISTINCT country) AS n FROM occurrences WHERE country IN (SELECT name FROM d) GROUP BY 1) SELECT s.species_id AS entity, coalesce(n, 0) AS covered, (SELECT count(*) FROM d) - coalesce(n, 0) AS missing FROM species s LEFT JOIN st ON st.species_id = s.species_id WHERE (SELECT count(*) FROM d) > coalesce(n, 0)")
 def _(c):
-    s = c.mentions.where("confidence > 0.97").join(c.paper_domains, "doc_id").select(F.col("species_id").alias("entity"), "domain")
-    return L.knowledge_gaps(c.species.select(F.col("species_id").alias("entity")), c.part.select(F.col("p_type").alias("domain")), s)
+    s = c.occurrences.select(F.col("species_id").alias("entity"), F.col("country").alias("domain"))
+    return L.knowledge_gaps(c.species.select(F.col("species_id").alias("entity")), c.locations.select(F.col("name").alias("domain")), s)
 
 
 @q("topic_links", f"WITH {AFFV}, d AS (SELECT DISTINCT p_type AS d FROM part), p AS (SELECT x.d AS a, y.d AS b, coalesce(af.s, 0.3::DOUBLE) AS affinity FROM d x JOIN d y ON x.d < y.d LEFT JOIN af ON af.a = x.d AND af.b = y.d) SELECT *, CASE WHEN affinity >= 0.8 THEN 'strong' WHEN affinity >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM p")
@@ -280,6 +300,15 @@ def _(c):
     return c.species.select("species_id", n.alias("name"), C.genus_epithet("common_name").alias("g")).select("species_id", "name", "g.genus", "g.epithet")
 
 
-@q("discovered_links", f"WITH {SHARED}, md AS (SELECT entity FROM (SELECT entity, count(DISTINCT domain) AS n FROM st GROUP BY 1 HAVING count(DISTINCT domain) >= 2) t ORDER BY n DESC, entity LIMIT 20) SELECT 'shared_entity' AS link_type, link_id, affinity FROM ln WHERE entity IN (SELECT entity FROM md) ORDER BY affinity DESC, link_id LIMIT 10")
+DISCOVER = f"WITH {SHARED}, md AS (SELECT entity FROM (SELECT entity, count(DISTINCT domain) AS n FROM st GROUP BY 1 HAVING count(DISTINCT domain) >= 2) t ORDER BY n DESC, entity LIMIT 20) SELECT 'shared_entity' AS link_type, link_id, affinity FROM ln WHERE entity IN (SELECT entity FROM md) ORDER BY affinity DESC, link_id LIMIT 10"
+
+
+@q("discovered_links", DISCOVER)
 def _(c):
     return L.discover(studied(c), affinity_table(c))
+
+
+@q("discovered_cascades")
+def _(c):
+    s = c.mentions.join(c.paper_domains, "doc_id").select(F.col("species_id").alias("entity"), "domain", "doc_id")
+    return L.discover(s, affinity_table(c), c.relations)

@@ -106,14 +106,30 @@ def _(c):
     return c.references_location.join(c.papers.where("year = 1995"), "doc_id", "left_semi").join(c.locations, "location_id").select("location_id", "name").distinct()
 
 
-@q("place_with_papers", "SELECT l.location_id, l.name, count(r.doc_id) AS papers FROM locations l LEFT JOIN references_location r ON r.location_id = l.location_id WHERE l.location_id = 3 GROUP BY 1, 2")
+@q("place_with_papers", "SELECT l.location_id, l.name, r.doc_id, p.title FROM locations l LEFT JOIN references_location r ON r.location_id = l.location_id LEFT JOIN papers p ON p.doc_id = r.doc_id WHERE l.location_id = 3")
 def _(c):
-    return c.locations.where("location_id = 3").join(c.references_location, "location_id", "left").groupBy("location_id", "name").agg(F.count("doc_id").alias("papers"))
+    papers = c.references_location.join(c.papers.select("doc_id", "title").hint("merge"), "doc_id", "left").where("location_id = 3")
+    return c.locations.where("location_id = 3").select("location_id", "name").join(papers, "location_id", "left").select("location_id", "name", "doc_id", "title")
 
 
-@q("paper_metadata", "SELECT p.doc_id, coalesce(a.n, 0) AS n_species, coalesce(b.n, 0) AS n_places, coalesce(d.n, 0) AS n_values FROM papers p LEFT JOIN (SELECT doc_id, count(DISTINCT species_id) AS n FROM mentions GROUP BY 1) a ON a.doc_id = p.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT location_id) AS n FROM references_location GROUP BY 1) b ON b.doc_id = p.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT value) AS n FROM measurements GROUP BY 1) d ON d.doc_id = p.doc_id")
+@q("paper_metadata", "WITH a AS (SELECT b.doc_id, string_agg(DISTINCT a.name, '|' ORDER BY a.name) AS v FROM authored_by b JOIN authors a ON a.author_id = b.author_id GROUP BY 1), s AS (SELECT m.doc_id, string_agg(DISTINCT s.common_name, '|' ORDER BY s.common_name) AS v FROM mentions m JOIN species s ON s.species_id = m.species_id GROUP BY 1), l AS (SELECT r.doc_id, string_agg(DISTINCT l.name, '|' ORDER BY l.name) AS v FROM references_location r JOIN locations l ON l.location_id = r.location_id GROUP BY 1) SELECT p.doc_id, p.title, p.year, coalesce(a.v, '') AS authors, coalesce(s.v, '') AS species, coalesce(l.v, '') AS locations FROM papers p LEFT JOIN a ON a.doc_id = p.doc_id LEFT JOIN s ON s.doc_id = p.doc_id LEFT JOIN l ON l.doc_id = p.doc_id")
 def _(c):
-    return G.paper_metadata(c.papers, c.mentions, c.references_location, c.measurements)
+    a = c.authored_by.join(c.authors, "author_id").select("doc_id", "name")
+    s = c.mentions.join(c.species, "species_id").select("doc_id", F.col("common_name").alias("name"))
+    out = G.paper_metadata(c.papers.select("doc_id", "title", "year"), a, s, c.references_location.join(c.locations, "location_id").select("doc_id", "name"))
+    return out.select("doc_id", "title", "year", *[F.array_join(x, "|").alias(x) for x in ("authors", "species", "locations")])
+
+
+@q("species_profile_lists", "SELECT s.species_id, s.family, (SELECT string_agg(m.doc_id || ':' || p.year, ',' ORDER BY m.doc_id) FROM (SELECT DISTINCT doc_id FROM mentions WHERE species_id = 7) m JOIN papers p ON p.doc_id = m.doc_id) AS papers, (SELECT string_agg(parameter || ':' || unit || ':' || n, ',' ORDER BY parameter) FROM (SELECT parameter, unit, count(DISTINCT value) AS n FROM measurements WHERE species_id = 7 GROUP BY 1, 2) x) AS measured, (SELECT string_agg(way || ':' || type || ':' || other, ',' ORDER BY way, type, other) FROM (SELECT DISTINCT 'incoming' AS way, type, subject AS other FROM relations WHERE object = 7 UNION SELECT DISTINCT 'outgoing', type, object FROM relations WHERE subject = 7) y) AS relations FROM species s WHERE s.species_id = 7")
+def _(c):
+    one = "species_id = 7"
+    papers = c.mentions.where(one).select("species_id", "doc_id").distinct().join(c.papers.select("doc_id", "year").hint("merge"), "doc_id")
+    measured = c.measurements.where(one).groupBy("species_id", "parameter", "unit").agg(F.count_distinct("value").alias("n"))
+    out = c.relations.select(F.col("subject").alias("species_id"), F.lit("outgoing").alias("way"), "type", F.col("object").alias("other"))
+    rel = out.unionByName(c.relations.select(F.col("object").alias("species_id"), F.lit("incoming").alias("way"), "type", F.col("subject").alias("other"))).where(one)
+    lists = G.lists_of(c.species.where(one).select("species_id", "family"), "species_id", ("papers", papers, ["doc_id", "year"]), ("measured", measured, ["parameter", "unit", "n"]), ("relations", rel, ["way", "type", "other"]))
+    flat = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",").alias(name)
+    return lists.select("species_id", "family", flat("papers", "doc_id", "year"), flat("measured", "parameter", "unit", "n"), flat("relations", "way", "type", "other"))
 
 
 @q("papers_of_species", "SELECT m.doc_id, p.title, p.year, m.confidence FROM mentions m JOIN papers p ON p.doc_id = m.doc_id WHERE m.species_id = 7")
@@ -177,7 +193,7 @@ def _(c):
     return G.relation_degree(c.species, c.relations)
 
 
-@q("bridge_species", "WITH h AS (SELECT row_number() OVER () AS e, subject, object FROM relations), d AS (SELECT e, subject AS mid, object AS other FROM h UNION ALL SELECT e, object, subject FROM h), f AS (SELECT d.e, d.mid, d.other, o.family FROM d JOIN species o ON o.species_id = d.other JOIN species m ON m.species_id = d.mid WHERE o.family <> m.family) SELECT a.mid AS species_id, count(DISTINCT a.family) + count(DISTINCT b.family) AS bridge_score FROM f a JOIN f b ON a.mid = b.mid AND a.e <> b.e GROUP BY 1 ORDER BY bridge_score DESC, species_id LIMIT 20")
+@q("bridge_species", "WITH h AS (SELECT row_number() OVER () AS e, subject, object FROM relations), d AS (SELECT e, subject AS mid, object AS other FROM h UNION SELECT e, object, subject FROM h), f AS (SELECT d.e, d.mid, o.family, m.family AS own FROM d JOIN species o ON o.species_id = d.other JOIN species m ON m.species_id = d.mid) SELECT a.mid AS species_id, count(DISTINCT a.family) + count(DISTINCT b.family) AS bridge_score FROM f a JOIN f b ON a.mid = b.mid AND a.e <> b.e AND a.family <> b.family AND a.family <> a.own GROUP BY 1 ORDER BY bridge_score DESC, species_id LIMIT 20")
 def _(c):
     return G.bridge_species(c.species, c.relations)
 

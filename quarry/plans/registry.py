@@ -34,5 +34,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("tables", "graph", "search", "text", "analytics", "streaming"):
+    for module in ("tables", "graph", "search", "text", "documents", "analytics", "streaming"):
         importlib.import_module(f"quarry.plans.{module}")

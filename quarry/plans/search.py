@@ -18,6 +18,10 @@ def keyword(c, k=10, offset=0):
     return S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], k, offset, S.ASCII_WORDS)
 
 
+def scores(c):
+    return S.keyword_scores(c.documents, S.terms_of(c.documents, QUERIES), "doc_id", ["text"], S.ASCII_WORDS)
+
+
 @q("bm25_search", f"WITH {HITS} SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM bm) x WHERE rank <= 10")
 def _(c):
     return keyword(c)
@@ -30,7 +34,7 @@ def _(c):
 
 @q("bm25_in_language", f"WITH {HITS} SELECT query_id, doc_id, score FROM (SELECT bm.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.doc_id) AS n FROM bm JOIN documents d ON d.doc_id = bm.doc_id WHERE d.lang = 'en') x WHERE n <= 5")
 def _(c):
-    scored = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).drop("rank")
+    scored = scores(c)
     return S.first_n(scored.join(c.documents.where("lang = 'en'").select("doc_id"), "doc_id"), ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).select("query_id", "doc_id", "score")
 
 
@@ -42,8 +46,8 @@ def _(c):
 @q("postings_update", f"WITH {TOKS} SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens FROM post GROUP BY 1")
 def _(c):
     d = c.documents
-    old = S.build_postings(d.withColumn("text", F.substring("text", 1, 100)), "doc_id", ["text"], S.ASCII_WORDS)
-    return S.updated_postings(old, d, "doc_id", ["text"], S.ASCII_WORDS).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    old = S.build_postings(d.withColumn("text", F.when(F.col("lang") != "en", F.col("text")).otherwise(F.col("source"))), "doc_id", ["text"], S.ASCII_WORDS)
+    return S.updated_postings(old, d.where("lang = 'en'"), "doc_id", ["text"], S.ASCII_WORDS).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
 
 
 @q("index_gaps", f"WITH {TOKS} SELECT doc_id, 'postings' AS missing FROM documents WHERE doc_id NOT IN (SELECT post.doc_id FROM post JOIN documents d ON d.doc_id = post.doc_id WHERE d.lang <> 'fr')")
@@ -52,13 +56,13 @@ def _(c):
     return S.index_gaps(c.documents, p, "doc_id")
 
 
-#: The queries of vector search: the vectors of the smallest ids.
-QV = "qv AS (SELECT chunk_id AS query_id, doc_id AS qdoc, domain AS qdomain, embedding AS q FROM vectors WHERE chunk_id < 10)"
+#: The queries of vector search: every vector whose id is divisible by 50.
+QV = "qv AS (SELECT chunk_id AS query_id, doc_id AS qdoc, domain AS qdomain, embedding AS q FROM vectors WHERE chunk_id % 50 = 0)"
 COS = "round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6)"
 
 
 def some(c):
-    return c.vectors.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("qdoc"), F.col("domain").alias("qdomain"), F.col("embedding").alias("q"))
+    return c.vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("qdoc"), F.col("domain").alias("qdomain"), F.col("embedding").alias("q"))
 
 
 def top(k, where="TRUE"):
@@ -104,14 +108,80 @@ def _(c):
     return S.hybrid_search(vt, some(c), ["The", "que"]).select("query_id", "chunk_id", "combined")
 
 
-RANKED_Q = "rq AS (SELECT query_id, q FROM (SELECT chunk_id AS query_id, embedding AS q FROM vectors WHERE chunk_id IN (1, 2, 3, 4)) z)"
+#: Queries of the two-stage search: every document whose id is divisible by 50 asks with its three longest first words and its vector.
+RQ = "rw AS (SELECT doc_id AS query_id, list_distinct(list_slice(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) > 5), 1, 3)) AS w FROM documents WHERE doc_id % 50 = 0), rt AS (SELECT query_id, unnest(w) AS term FROM rw), rq AS (SELECT chunk_id AS query_id, embedding AS q FROM vectors WHERE chunk_id IN (SELECT query_id FROM rw))"
+RHITS = HITS.replace(f"SELECT * FROM {TERMS}", "SELECT * FROM rt")
+DOT = COS.replace("round(", "(").replace(", 6)", ")")
+
+
+def ranked_sql(where="TRUE"):
+    return f"WITH {RQ}, {RHITS}, cand AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm WHERE {where}) x WHERE n <= 50), sem AS (SELECT query_id, chunk_id AS doc_id, max({DOT}) AS best FROM vectors, rq GROUP BY 1, 2), bl AS (SELECT c.query_id, c.doc_id, round(0.3::DOUBLE * kw + 0.7::DOUBLE * coalesce(best, 0), 6) AS score FROM cand c LEFT JOIN sem s ON s.query_id = c.query_id AND s.doc_id = c.doc_id UNION ALL SELECT query_id, doc_id, round(best, 6) FROM sem WHERE query_id NOT IN (SELECT query_id FROM cand)) SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bl) x WHERE n <= 10"
+
+
+def ranked(c, kept=lambda kw: kw):
+    asked = c.documents.where("doc_id % 50 = 0")
+    words = F.array_distinct(F.slice(F.filter(S.tokens("text", S.ASCII_WORDS), lambda w: F.length(w) > 5), 1, 3))
+    kw = S.keyword_scores(c.documents, asked.select(F.col("doc_id").alias("query_id"), F.explode(words).alias("term")), "doc_id", ["text"], S.ASCII_WORDS)
+    queries = c.vectors.join(asked.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    return S.ranked_search(kept(kw), c.vectors.select(F.col("chunk_id").alias("doc_id"), "embedding"), queries)
+
+
+@q("ranked_search", ranked_sql())
+def _(c):
+    return ranked(c)
+
+
+@q("ranked_recent_years", ranked_sql("doc_id IN (SELECT doc_id FROM papers WHERE year >= 1996)"))
+def _(c):
+    return ranked(c, lambda kw: S.recent_years(kw, c.papers, 2001, 5))
+
+
+@q("ranked_by_author", ranked_sql("doc_id IN (SELECT p.doc_id FROM papers p JOIN authors a ON a.author_id = p.author_id WHERE contains(lower(a.name), '#0000000'))"))
+def _(c):
+    return ranked(c, lambda kw: S.by_author(kw, c.papers.join(c.authors, "author_id").select("doc_id", F.array("name").alias("authors")), "#0000000"))
+
+
+@q("ranked_in_domain", ranked_sql("doc_id IN (SELECT doc_id FROM papers WHERE study_type = 'F')"))
+def _(c):
+    return ranked(c, lambda kw: S.in_domain(kw, c.papers.withColumnRenamed("study_type", "primary_domain"), "F"))
+
+
+@q("logged_search", f"WITH {HITS}, kn AS (SELECT * FROM (VALUES (1, 'the and ation'), (2, 'ment queau'), (3, 'license'), (4, 'zzzz')) v(query_id, query)), r AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM bm) x WHERE k <= 10 GROUP BY 1), lg AS (SELECT query_id, query, result_count FROM query_log), m AS (SELECT max(query_id) AS top FROM lg) SELECT query_id, query, NULL AS filters, result_count FROM lg UNION ALL SELECT top + row_number() OVER (ORDER BY query), query, '{{\"domains\":\"en\"}}', coalesce(n, 0)::INT FROM kn LEFT JOIN r ON r.query_id = kn.query_id, m")
+def _(c):
+    from quarry.operators import logs
+
+    asked = c.spark.createDataFrame([*QUERIES, (4, "zzzz")], "query_id int, query string")
+    rows = logs.search_log(asked, keyword(c), {"domains": "en"}, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    log = c.query_log.select("query_id", "query", F.lit(None).cast("string").alias("filters"), "result_count", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return logs.append_log(log, rows).select("query_id", "query", "filters", "result_count")
+
+
+FIELDS = "fd AS (SELECT p.doc_id, concat_ws(' ', cast(p.doc_id AS varchar), p.title, d.text, p.study_type, a.name) AS text FROM papers p JOIN authors a ON a.author_id = p.author_id LEFT JOIN documents d ON d.doc_id = p.doc_id)"
+FTOKS = "ws AS MATERIALIZED (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM fd)"
+FHITS = HITS.replace(HITS[: HITS.index(", toks AS")], FTOKS).replace(TERMS, "(VALUES (1, 'urgent'), (1, 'the'), (2, 'customer'), (2, '000000001'), (3, '33'))  v(query_id, term)")
+
+
+@q("bm25_fields", f"WITH {FIELDS}, {FHITS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) SELECT query_id, rk.doc_id, score, CAST(rank AS INT) AS rank, p.title, p.year, CASE WHEN length(coalesce(d.text, '')) > 200 THEN substr(d.text, 1, 200) || '...' ELSE coalesce(d.text, '') END AS snippet FROM rk JOIN papers p ON p.doc_id = rk.doc_id LEFT JOIN documents d ON d.doc_id = rk.doc_id WHERE rank <= 10")
+def _(c):
+    d = c.documents.select("doc_id", F.col("text").alias("abstract"))
+    p = c.papers.join(c.authors, "author_id").join(d.hint("merge"), "doc_id", "left").withColumn("id", F.col("doc_id").cast("string"))
+    hits = S.keyword_search(p, [(1, "urgent the"), (2, "customer 000000001"), (3, "33")], "doc_id", ["id", "title", "abstract", "study_type", "name"])
+    return hits.join(p.select("doc_id", "title", "year", C.snippet("abstract").alias("snippet")), "doc_id")
+
+
+@q("species_context_chunks", "SELECT chunk_id, doc_id FROM vectors WHERE doc_id IN (SELECT doc_id FROM mentions WHERE species_id = 7) ORDER BY chunk_id LIMIT 15")
+def _(c):
+    return S.species_context(7, c.vectors, c.mentions, c.measurements, c.relations)[0].select("chunk_id", "doc_id")
+
+
+@q("species_context_values", "SELECT doc_id, parameter, value, unit FROM measurements WHERE species_id = 7")
+def _(c):
+    return S.species_context(7, c.vectors, c.mentions, c.measurements, c.relations)[1].select("doc_id", "parameter", "value", "unit")
 
 
-@q("ranked_search", f"WITH {HITS}, {RANKED_Q}, cand AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm) x WHERE n <= 50), sem AS (SELECT query_id, chunk_id AS doc_id, max({COS.replace('round(', '(').replace(', 6)', ')')}) AS best FROM vectors, rq GROUP BY 1, 2), bl AS (SELECT c.query_id, c.doc_id, round(0.3::DOUBLE * kw + 0.7::DOUBLE * coalesce(best, 0), 6) AS score FROM cand c LEFT JOIN sem s ON s.query_id = c.query_id AND s.doc_id = c.doc_id UNION ALL SELECT query_id, doc_id, round(best, 6) FROM sem WHERE query_id NOT IN (SELECT query_id FROM cand)) SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bl) x WHERE n <= 10")
+@q("species_context_relations", "WITH one AS (SELECT subject, object FROM relations WHERE subject = 7 OR object = 7), n AS (SELECT subject AS s FROM one UNION SELECT object FROM one UNION SELECT 7) SELECT subject, object, type FROM relations WHERE subject IN (SELECT s FROM n) OR object IN (SELECT s FROM n)")
 def _(c):
-    kw = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).select(F.col("query_id").cast("long").alias("query_id"), "doc_id", "score")
-    vectors = c.vectors.select(F.col("chunk_id").alias("doc_id"), "embedding")
-    return S.ranked_search(kw, vectors, c.vectors.where("chunk_id in (1, 2, 3, 4)").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")))
+    return S.species_context(7, c.vectors, c.mentions, c.measurements, c.relations)[2].select("subject", "object", "type")
 
 
 @q("evidence_across_documents", f"WITH {QV}, s AS (SELECT query_id, chunk_id, doc_id, {COS} AS score FROM vectors, qv WHERE doc_id <> qdoc), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) x WHERE n <= 50), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS b FROM near) y WHERE b = 1), c AS (SELECT query_id, count(*) AS sources FROM best GROUP BY 1) SELECT best.query_id, doc_id, chunk_id, score, sources FROM best JOIN c ON c.query_id = best.query_id WHERE sources >= 2")
@@ -122,8 +192,7 @@ def _(c):
 
 @q("max_per_document", f"WITH {QV}, s AS (SELECT query_id, doc_id, {COS} AS score FROM vectors, qv) SELECT query_id, doc_id, max(score) AS best FROM s GROUP BY 1, 2")
 def _(c):
-    pairs = c.vectors.join(F.broadcast(some(c)), how="cross").withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("q")), 6))
-    return S.best_per_document(pairs)
+    return S.best_per_document(S.against(c.vectors, some(c)).withColumn("score", F.round("score", 6)))
 
 
 def retrieved(c):
@@ -158,12 +227,12 @@ def _(c):
 
 @q("bm25_recent_years", f"WITH {HITS} SELECT query_id, bm.doc_id, score FROM bm JOIN papers p ON p.doc_id = bm.doc_id WHERE p.year >= 1996")
 def _(c):
-    scored = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).drop("rank")
+    scored = scores(c)
     return S.recent_years(scored, c.papers, 2001, 5).select("query_id", "doc_id", "score")
 
 
 @q("bm25_by_author", f"WITH {HITS} SELECT query_id, bm.doc_id, score FROM bm JOIN papers p ON p.doc_id = bm.doc_id JOIN authors a ON a.author_id = p.author_id WHERE contains(lower(a.name), '#00000001')")
 def _(c):
-    scored = S.keyword_search(c.documents, QUERIES, "doc_id", ["text"], 1 << 30, 0, S.ASCII_WORDS).drop("rank")
+    scored = scores(c)
     p = c.papers.join(c.authors, "author_id").select("doc_id", F.array("name").alias("authors"))
     return S.by_author(scored, p, "#00000001").select("query_id", "doc_id", "score")

@@ -74,14 +74,51 @@ def _(c):
     return T.contains_any(c.documents, ["text", "source"], ["idiot", "License"]).select("doc_id", "lang").orderBy("doc_id").limit(50)
 
 
-@q("vector_payload_filter", "SELECT chunk_id FROM vectors WHERE domain IN (1, 2, 3) AND doc_id <> 7")
+#: Vectors with what their table holds of a chunk besides: the title and the species of its paper.
+PAYLOAD = "pay AS (SELECT v.chunk_id, v.doc_id, v.domain, p.title, m.species FROM vectors v LEFT JOIN papers p ON p.doc_id = v.doc_id LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT species_id)) AS species FROM mentions GROUP BY 1) m ON m.doc_id = v.doc_id)"
+
+
+def payloads(c):
+    sp = c.mentions.groupBy("doc_id").agg(F.sort_array(F.collect_set("species_id")).alias("species"))
+    return c.vectors.join(c.papers.select("doc_id", "title").hint("merge"), "doc_id", "left").join(sp.hint("merge"), "doc_id", "left")
+
+
+@q("vector_payloads", f"WITH {PAYLOAD} SELECT chunk_id, doc_id, domain, title, coalesce(array_to_string(species, ','), '') AS species FROM pay")
+def _(c):
+    old = payloads(c).where("chunk_id % 2 = 0").withColumn("title", F.lit("old"))
+    new = T.upsert_latest(old, payloads(c), ["chunk_id"])
+    return new.select("chunk_id", "doc_id", "domain", "title", F.coalesce(F.array_join(F.transform("species", lambda x: x.cast("string")), ","), F.lit("")).alias("species"))
+
+
+@q("vector_payload_filter", f"WITH {PAYLOAD} SELECT chunk_id FROM pay WHERE domain IN (1, 2, 3) AND doc_id <> 7 AND list_has_any(species, (SELECT list(species_id) FROM species WHERE species_id % 3 = 0))")
+def _(c):
+    wanted = c.species.where("species_id % 3 = 0").select("species_id")
+    hit = c.mentions.join(wanted.hint("merge"), "species_id", "left_semi").select("doc_id").distinct()
+    return c.vectors.where(F.col("domain").isin(1, 2, 3) & (F.col("doc_id") != 7)).join(hit.hint("merge"), "doc_id", "left_semi").select("chunk_id")
+
+
+@q("vector_species_filter", f"WITH {PAYLOAD} SELECT chunk_id FROM pay WHERE list_has_any(species, [7, 11, 13])")
+def _(c):
+    return payloads(c).where(F.arrays_overlap("species", F.array(*[F.lit(x).cast("long") for x in (7, 11, 13)]))).select("chunk_id")
+
+
+@q("paper_record", "SELECT doc_id, title, lower(study_type) || ',x' AS keywords, name AS authors, 0.5::DOUBLE AS share, NULL AS doi FROM papers p JOIN authors a ON a.author_id = p.author_id WHERE doc_id = 7")
+def _(c):
+    p = c.papers.join(c.authors, "author_id")
+    stored = p.select("doc_id", "title", F.to_json(F.array("name")).alias("authors"), F.to_json(F.array(F.lower("study_type"), F.lit("x"))).alias("keywords"), F.to_json(F.create_map("study_type", F.lit(0.5))).alias("domains"), F.col("study_type"))
+    r = T.paper_record(stored, 7)
+    return r.select("doc_id", "title", F.array_join("keywords", ",").alias("keywords"), F.array_join("authors", ",").alias("authors"), F.element_at("domains", F.col("study_type")).alias("share"), "doi")
+
+
+@q("chunks_of_document", "SELECT doc_id, chunk_idx, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS chunk_idx FROM documents) t WHERE doc_id = 3")
 def _(c):
-    return c.vectors.where(F.col("domain").isin(1, 2, 3) & (F.col("doc_id") != 7)).select("chunk_id")
+    return T.chunks_of_document(c.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_idx", "text")), 3).select("doc_id", "chunk_idx", "text")
 
 
-@q("bad_metadata", "SELECT doc_id, (title IS NULL OR title = 'Untitled' OR starts_with(title, '<!--') OR length(title) < 5) AS bad_title, (text IS NULL OR length(text) < 30 OR starts_with(text, '<!--') OR starts_with(text, '#')) AS bad_abstract FROM (SELECT doc_id, split_part(text, ' ', 1) AS title, text FROM documents) t")
+@q("bad_metadata", "SELECT doc_id, (title IS NULL OR title = 'Untitled' OR starts_with(title, '<!--') OR length(title) < 5) AS bad_title, (text IS NULL OR length(text) < 30 OR starts_with(text, 'abstract') OR contains(text, 'abstractCls')) AS bad_abstract FROM (SELECT doc_id, split_part(text, ' ', 1) AS title, CASE doc_id % 4 WHEN 0 THEN 'abstract' || text WHEN 1 THEN text || ' abstractCls' ELSE text END AS text FROM documents) t")
 def _(c):
-    d = c.documents.withColumn("title", F.split("text", " ")[0])
+    i = F.col("doc_id") % 4
+    d = c.documents.withColumn("title", F.split("text", " ")[0]).withColumn("text", F.when(i == 0, F.concat(F.lit("abstract"), "text")).when(i == 1, F.concat("text", F.lit(" abstractCls"))).otherwise(F.col("text")))
     return d.select("doc_id", C.bad_title("title").alias("bad_title"), C.bad_abstract("text").alias("bad_abstract"))
 
 
@@ -211,9 +248,10 @@ def _(c):
     return logs.popular_queries(c.query_log, F.lit(AS_OF).cast("timestamp_ntz"), 7)
 
 
-@q("log_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}') AS today, round(coalesce(avg(execution_time_ms), 0), 6) AS mean_ms FROM query_log")
+@q("log_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}') AS today, round(coalesce(avg(execution_time_ms), 0), 6) AS mean_ms, (SELECT count(*) FROM ledger) AS updates, (SELECT count(*) FROM ledger WHERE status = 'success') AS adds FROM query_log")
 def _(c):
-    return logs.log_stats(c.query_log, F.lit(AS_OF).cast("timestamp_ntz"))
+    updates = c.ledger.select(F.when(F.col("status") == "success", "add").otherwise("modify").alias("action"))
+    return logs.log_stats(c.query_log, F.lit(AS_OF).cast("timestamp_ntz"), updates)
 
 
 @q("recent_queries", "SELECT query_id, query FROM query_log ORDER BY ts DESC, query_id DESC LIMIT 20")
@@ -265,9 +303,9 @@ def _(c):
 # -- sizes and flags --------------------------------------------------------------------------------------
 
 
-@q("row_counts", "SELECT 'papers' AS name, count(*) AS n FROM papers UNION ALL SELECT 'species', count(*) FROM species UNION ALL SELECT 'locations', count(*) FROM locations UNION ALL SELECT 'measurements', count(*) FROM measurements UNION ALL SELECT 'relations', count(*) FROM relations")
+@q("row_counts", "SELECT 'papers' AS name, count(*) AS n FROM papers UNION ALL SELECT 'species', count(*) FROM species UNION ALL SELECT 'locations', count(*) FROM locations UNION ALL SELECT 'measurements', count(*) FROM measurements UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'mentions', count(*) FROM mentions UNION ALL SELECT 'references_location', count(*) FROM references_location UNION ALL SELECT 'authored_by', count(*) FROM authored_by UNION ALL SELECT 'citations', count(*) FROM citations UNION ALL SELECT 'authors', count(*) FROM authors")
 def _(c):
-    parts = [getattr(c, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("papers", "species", "locations", "measurements", "relations")]
+    parts = [getattr(c, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("papers", "species", "locations", "measurements", "relations", "mentions", "references_location", "authored_by", "citations", "authors")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -45,21 +45,6 @@ def _(c):
     return X.chunk_fixed(c.documents, ["doc_id"])
 
 
-@q("chunk_sections")
-def _(c):
-    return X.chunk_sections(c.documents.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), ["doc_id"])
-
-
-@q("chunk_sliding")
-def _(c):
-    return X.chunk_sliding(c.documents)
-
-
-@q("parent_chunks", "SELECT substr(md5(doc_id || ':parent'), 1, 16) AS chunk_id, doc_id, text AS chunk, true AS is_parent FROM documents")
-def _(c):
-    return X.parent_child(c.documents, c.documents.select("doc_id"))[0]
-
-
 @q("domain_scores", f"WITH {RAW} SELECT doc_id, domain, score FROM sc")
 def _(c):
     return scores(c)
@@ -173,35 +158,6 @@ def _(c):
     return m.select("doc_id", F.array_join(F.transform(C.significant_domains(F.col("m"), 0.3), lambda e: e["domain"]), ",").alias("domains"))
 
 
-ANSWERS = """'<think>x</think>```json {"species":[{"scientific_name":"Sp ' || doc_id || '","confidence":0.5},{"common_name":null}],"measurements":[{"parameter":"len","value":"' || (doc_id % 4) || '","unit":"cm"}],"relations":[{"subject":"a","object":"b","type":"Predation"}],"locations":[]} ```'"""
-
-
-def answers(c):
-    i = F.col("doc_id").cast("string")
-    good = F.concat(F.lit('<think>x</think>```json {"species":[{"scientific_name":"Sp '), i, F.lit('","confidence":0.5},{"common_name":null}],"measurements":[{"parameter":"len","value":"'), (F.col("doc_id") % 4).cast("string"), F.lit('","unit":"cm"}],"relations":[{"subject":"a","object":"b","type":"Predation"}],"locations":[]} ```'))
-    return c.documents.select("doc_id", F.lit("c").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, "no answer").otherwise(good).alias("content"))
-
-
-@q("parsed_species", "SELECT doc_id, 'Sp ' || doc_id AS scientific_name, 0.5::DOUBLE AS confidence FROM documents WHERE doc_id % 5 <> 0")
-def _(c):
-    return X.parse_extractions(answers(c))["species"].select("doc_id", "scientific_name", "confidence")
-
-
-@q("parsed_measurements", "SELECT doc_id, 'len' AS parameter, (doc_id % 4)::DOUBLE AS value, 'cm' AS unit FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0")
-def _(c):
-    return X.parse_extractions(answers(c))["measurements"].select("doc_id", "parameter", "value", "unit")
-
-
-@q("parsed_relations", "SELECT doc_id, 'a' AS subject, 'b' AS object, 'predation' AS type FROM documents WHERE doc_id % 5 <> 0")
-def _(c):
-    return X.parse_extractions(answers(c))["relations"].select("doc_id", "subject", "object", "type")
-
-
-@q("rejected_answers", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
-def _(c):
-    return X.parse_extractions(answers(c))["rejects"].select("doc_id")
-
-
 @q("highlighted_text", "SELECT doc_id, regexp_replace(text, '(the)', '**\\1**', 'gi') AS text FROM documents WHERE lang = 'en'")
 def _(c):
     return c.documents.where("lang = 'en'").select("doc_id", C.highlighted("text", F.array(F.lit("the"))).alias("text"))
@@ -234,17 +190,37 @@ def _(c):
     return D.tag_intents(c.conversations.where("role = 'user'"), [("graph", ["graph", "and the"]), ("search", ["license"])]).select("conv_id", "turn", "intent")
 
 
-@q("conversation_export", "SELECT conv_id, string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1")
+STRATEGIES = [("graph", ["and the", "network"]), ("keyword", ["license"])]
+
+
+@q("strategies", "WITH t AS (SELECT conv_id, turn, lower(text) AS l, CASE WHEN contains(lower(text), 'graph') THEN 'graph' WHEN contains(text, '?') AND len(string_split(trim(text), ' ')) >= 5 THEN 'question' ELSE 'undecided' END AS intent FROM conversations) SELECT conv_id, turn, intent, CASE WHEN intent <> 'question' THEN NULL WHEN contains(l, 'and the') OR contains(l, 'network') THEN 'graph' WHEN contains(l, 'license') THEN 'keyword' ELSE 'hybrid' END AS strategy FROM t")
 def _(c):
-    return D.as_markdown(c.conversations)
+    return D.routed(D.tag_intents(c.conversations, [("graph", ["graph"])]), STRATEGIES).select("conv_id", "turn", "intent", "strategy")
+
+
+def with_tools(c):
+    return c.conversations.withColumn("tools", F.when(F.col("role") != "user", F.array("role", F.lit("search"))))
+
 
+USED = "CASE WHEN role <> 'user' THEN chr(10) || '{head}' || role || ', search' || chr(10) ELSE '' END"
 
-@q("bibtex_export", "SELECT doc_id, '@article{' || regexp_extract(trim(a.name), '(\\S+)$', 1) || p.year || '_' || (row_number() OVER (ORDER BY doc_id)) || ',' || chr(10) || '  title = {' || p.title || '},' || chr(10) || '  author = {' || a.name || '},' || chr(10) || '  year = {' || p.year || '}' || chr(10) || '}' AS bibtex FROM papers p JOIN authors a ON a.author_id = p.author_id")
+
+@q("conversation_export", f"SELECT conv_id, string_agg('### **' || upper(substr(role, 1, 1)) || substr(role, 2) || '**' || chr(10) || chr(10) || text || chr(10) || {USED.format(head='**Tools used:** ')}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def _(c):
+    return D.exported(with_tools(c))
+
+
+@q("conversation_text", f"SELECT conv_id, string_agg('[' || upper(role) || ']' || chr(10) || text || chr(10) || {USED.format(head='[TOOLS] ')}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def _(c):
+    return D.exported(with_tools(c), "txt")
+
+
+@q("bibtex_export", "SELECT p.doc_id, '@article{' || regexp_extract(trim(a.name), '(\\S+)$', 1) || p.year || '_' || (row_number() OVER (ORDER BY p.doc_id) - 1) || ',' || chr(10) || '  title = {' || p.title || '},' || chr(10) || '  author = {' || a.name || '},' || chr(10) || '  year = {' || p.year || '},' || chr(10) || CASE WHEN coalesce(d.text, '') <> '' THEN '  abstract = {' || replace(replace(replace(d.text, chr(10), ' '), '{', ''), '}', '') || '},' || chr(10) ELSE '' END || '}' || chr(10) AS bibtex FROM papers p JOIN authors a ON a.author_id = p.author_id LEFT JOIN documents d ON d.doc_id = p.doc_id")
 def _(c):
     from quarry.sources.exports import bibtex
 
-    p = c.papers.join(c.authors, "author_id").select("doc_id", "title", "year", F.array("name").alias("authors"))
-    return bibtex(p)
+    p = c.papers.join(c.authors, "author_id").join(c.documents.select("doc_id", F.col("text").alias("abstract")).hint("merge"), "doc_id", "left")
+    return bibtex(p.select("doc_id", "title", "year", "abstract", F.array("name").alias("authors")))
 
 
 # -- selections and entities ------------------------------------------------------------------------------
@@ -271,7 +247,15 @@ def _(c):
     return X.entities_of_heads(chunks(c).select("doc_id", "chunk_idx", "section", F.explode(names).alias("name")))
 
 
-@q("indexed_papers", f"WITH {RAW}, {STUDYV}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM sc) SELECT d.doc_id, coalesce(r.domain, 'unknown') AS primary_domain, CASE WHEN best IS NULL THEN 'unknown' WHEN close >= 2 THEN 'mixed' ELSE y END AS study_type FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN g ON g.doc_id = d.doc_id")
+#: Title and year of a text, as the column helpers decide them.
+WORDS = "('abstract', 'introduction', 'methods', 'results', 'discussion', 'references', 'conclusion', 'conclusions', 'acknowledgements')"
+LINES = "list_transform(string_split(d.text, chr(10)), lambda x: trim(x))"
+TITLE = f"coalesce(list_filter(list_transform(list_filter({LINES}, lambda x: starts_with(x, '#')), lambda x: trim(ltrim(x, '#'))), lambda h: length(h) > 5 AND lower(h) NOT IN {WORDS})[1], list_filter(list_slice({LINES}, 1, 10), lambda x: length(x) BETWEEN 20 AND 200 AND NOT starts_with(x, '#') AND lower(x) NOT IN {WORDS})[1])"
+FIRST_YEAR = "try_cast(regexp_extract(substr(d.text, 1, 500), '\\b(19[89]\\d|20[0-2]\\d)\\b', 1) AS INT)"
+PUBLISHED = "coalesce(" + ", ".join(f"CASE WHEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) BETWEEN 1990 AND 2030 THEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) END" for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[^\n]{0,40}?(\d{4})", r"\b(20\d\d)\b")) + ")"
+
+
+@q("indexed_papers", f"WITH {RAW}, {STUDYV}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM sc) SELECT d.doc_id, coalesce({TITLE}, 'Untitled') AS title, coalesce({FIRST_YEAR}, {PUBLISHED}) AS year, coalesce(r.domain, 'unknown') AS primary_domain, round(coalesce(CASE WHEN score >= 0.15 THEN least(1.0::DOUBLE, score * 1.2::DOUBLE) ELSE score END, 0), 6) AS confidence, CASE WHEN best IS NULL THEN 'unknown' WHEN close >= 2 THEN 'mixed' ELSE y END AS study_type FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN g ON g.doc_id = d.doc_id")
 def _(c):
     studies = X.study_types(c.documents, c.spark.createDataFrame(STUDY, "study_type string, keyword string"))
-    return X.indexed_papers(c.documents, X.classify(c.documents, scores(c)), studies).select("doc_id", "primary_domain", "study_type")
+    return X.indexed_papers(c.documents, X.classify(c.documents, scores(c)), studies)

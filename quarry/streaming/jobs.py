@@ -14,20 +14,25 @@ from quarry.operators.tables import upsert_latest
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Upserts every micro-batch of transformed rows into a versioned Parquet table below ``path``.
 
-    Version v of the table lies in path/v=<v>; a batch reads the newest version and writes the next one under
-    its own batch number, so a repeated batch overwrites its own version only.
+    Version v of the table lies in path/v=<v>; batch v reads the newest version before its own and writes its own, so
+    a repeated batch overwrites its own version only.  Versions older than that one are deleted once a batch is
+    written.  A batch after the first that finds no earlier version at all fails: the table must not be lost silently.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        names = [x.getPath().getName() for x in store.listStatus(folder)] if store.exists(folder) else []
+        done = [int(n[2:]) for n in names if n.startswith("v=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        before = max((v for v in done if v < number), default=None)
+        if number and before is None:
+            raise ValueError(f"no version before batch {number} below {path}")
         new = transform(batch).dropDuplicates(keys)
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        except Exception as e:  # only a table without an earlier version
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        (new if old is None else upsert_latest(old, new, keys)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        (new if before is None else upsert_latest(spark.read.parquet(f"{path}/v={before}"), new, keys)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        for v in done:
+            if before is not None and v < before:
+                store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,7 +51,7 @@ def sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes")
     return g.select("user", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def latest_status(ledger: DataFrame) -> DataFrame:
-    """(doc_id, store, status): newest status of every key; as a stream it runs in update mode."""
-    g = ledger.groupBy("doc_id", "store").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
-    return g
+def latest_status(ledger: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(doc_id, store, status): newest status of every key; as a stream it runs in update mode, rows later than the delay are dropped."""
+    w = ledger.withWatermark("ts", delay) if ledger.isStreaming else ledger
+    return w.groupBy("doc_id", "store").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))

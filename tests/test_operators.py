@@ -57,7 +57,10 @@ def test_cleaners(spark):
     assert one(spark, C.estimated_tokens(F.lit("x" * 50))) == 22 and one(spark, C.estimated_tokens(F.lit(""))) == 0
     abstract = " ".join(f"w{i}" for i in range(30))
     assert one(spark, C.abstract_of(F.lit(f"# T\n## Abstract\n{abstract}\n# Next"))) == abstract and one(spark, C.abstract_of(F.lit("Abstract: short"))) is None
-    assert one(spark, C.sentence_end(F.lit("One two. Three four five six"), F.lit(0), F.lit(12))) == 8
+    assert one(spark, C.sentence_end(F.lit("One two. Three four five six"), F.lit(12))) == 9 and one(spark, C.sentence_end(F.lit("none"), F.lit(3))) == 103
+    assert one(spark, C.bad_abstract(F.lit("abstract " * 9))) and one(spark, C.bad_abstract(F.lit("x" * 40 + "abstractCls"))) and not one(spark, C.bad_abstract(F.lit("# " + "x" * 40)))
+    assert one(spark, C.concepts(F.lit("Deep-sea Fish, (between) novel models."), F.array(F.lit(" Cod ")), F.array(F.lit("marine_ecology")))) == ["deep-sea", "fish", "models", "cod", "marine ecology"]
+    assert one(spark, C.date_parts(F.array(F.array(F.lit(2020))))) == (2020, None)
 
 
 def test_sections_and_packing(spark):
@@ -65,8 +68,10 @@ def test_sections_and_packing(spark):
     assert rows(X.split_sections(df)) == [(1, 0, "A", 1, "x\ny"), (1, 1, "B", 3, "")]
     paragraphs = "\n\n".join(["a" * 600, "b" * 600, "c" * 50])
     got = rows(X.chunk_sections(spark.createDataFrame([(1, paragraphs), (2, "d" * 40), (3, "e" * 3000)], "doc_id int, text string"), ["doc_id"]))
-    assert got[0][2] == "a" * 600 and got[1][2] == "a" * 200 + "b" * 600 + "\n\n" + "c" * 50
+    assert got[0][2] == "a" * 600 and got[1][2] == "a" * 198 + "\n\n" + "b" * 600 + "\n\n" + "c" * 50
     assert [len(r[2]) for r in got[2:]] == [40, 3000]
+    short = rows(X.chunk_sections(spark.createDataFrame([(1, "a" * 150 + "\n\n" + "b" * 900)], "doc_id int, text string"), ["doc_id"]))
+    assert [r[2] for r in short] == ["a" * 150, "b" * 900]  # what is not longer than the overlap is not carried
 
 
 def test_sliding_chunks_end_at_sentences(spark):
@@ -77,6 +82,18 @@ def test_sliding_chunks_end_at_sentences(spark):
         X.chunk_sliding(spark.createDataFrame([(1, "x")], "doc_id int, text string"), size=250, overlap=200)
 
 
+def test_sliding_pieces_by_hand():
+    text = "x" * 290 + ". " + "y" * 300
+    assert X.sliding_pieces(text, 300, 50, 10) == [(0, "x" * 290 + "."), (242, "x" * 48 + ". " + "y" * 300)]
+    assert X.sliding_pieces("z" * 700, 300, 50, 10)[0] == (0, "z" * 400)  # no mark: the window's end
+    assert X.sliding_pieces("z" * 700, 300, 50, 10, boundary="first")[0] == (0, "z" * 300)
+    assert X.sliding_pieces(" \n ", 300, 50, 0) == []
+    both = "a" * 250 + "? " + "b" * 40 + ". " + "c" * 300
+    assert X.sliding_pieces(both, 300, 50, 10)[0][1].endswith("b.") and X.sliding_pieces(both, 300, 50, 10, boundary="first")[0][1].endswith("b.")
+    late = "a" * 250 + ". " + "b" * 40 + "? " + "c" * 300
+    assert X.sliding_pieces(late, 300, 50, 10)[0][1].endswith("?") and X.sliding_pieces(late, 300, 50, 10, boundary="first")[0][1].endswith("a.")
+
+
 def test_study_type_ties(spark):
     lex = spark.createDataFrame([("a", "x1"), ("b", "y1"), ("b", "y2"), ("b", "y3")], "study_type string, keyword string")
     got = {r.doc_id: (r.study_type, r.confidence) for r in X.study_types(spark.createDataFrame([(1, "x1"), (2, "x1 y1 y2 y3"), (3, ""), (4, "x1 y1 y2")], "doc_id int, text string"), lex).collect()}
@@ -96,7 +113,7 @@ def test_graph_semantics(spark):
     assert [A.k_hop_edges(rel, 1, k).count() for k in (1, 2, 3)] == [2, 3, 4]
     sp = spark.createDataFrame([(1, "A"), (2, None), (3, "B"), (4, "C"), (5, "A")], "species_id long, family string")
     assert {r.species_id: r.degree for r in G.relation_degree(sp, rel).collect()}[5] == 2
-    assert {r.species_id for r in G.bridge_species(sp, rel).collect()} == {4}
+    assert {r.species_id: r.bridge_score for r in G.bridge_species(sp, rel).collect()} == {4: 4, 5: 2}
 
 
 def two_triangles(spark):
@@ -106,7 +123,7 @@ def two_triangles(spark):
 def test_analytics_invariants(spark):
     e = two_triangles(spark)
     assert {r.component for r in A.components(e).collect()} == {1}
-    assert abs(sum(r.rank for r in A.pagerank(e).collect()) - 1) < 1e-9
+    assert abs(sum(r.rank for r in A.pagerank(e, rounds=10).collect()) - 1) < 1e-9
     c = A.louvain(e)
     assert {frozenset(r.node for r in c.collect() if r.community == k) for k in {r.community for r in c.collect()}} == {frozenset({1, 2, 3}), frozenset({4, 5, 6})}
     assert A.modularity(e, c) > A.modularity(e, c.withColumn("community", F.col("node")))
@@ -124,7 +141,11 @@ def test_radius_join_covers_both_bands(spark):
 def test_cascades_do_not_repeat_edges(spark):
     rel = spark.createDataFrame([(1, 2, "p"), (2, 1, "p")], "subject long, object long, type string")
     st = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "c", 3)], "entity long, domain string, doc_id int")
-    assert sorted(r.depth for r in L.cascades(rel, st, 1, 3).collect()) == [1, 2]
+    assert sorted((r.path, r.depth, r.domains, r.papers) for r in L.cascades(rel, st, 1, 3).collect()) == [("1>2", 1, 2, 2), ("1>2>1", 2, 2, 2)]
+    chain = spark.createDataFrame([(2, 1, "p"), (2, 3, "q"), (3, 3, "p")], "subject long, object long, type string")
+    every = spark.createDataFrame([(i, d, i) for i in (1, 2, 3) for d in "ab"], "entity long, domain string, doc_id int")
+    assert sorted(r.path for r in L.cascades(chain, every, 1, 3).collect()) == ["1>2", "1>2>3", "1>2>3>3"]
+    assert [r.path for r in L.cascades(chain, every, 1, 3, limit=1).collect()] == ["1>2"]
 
 
 def test_names_resolve_by_tiers(spark):
@@ -134,7 +155,7 @@ def test_names_resolve_by_tiers(spark):
 
 
 def test_parsing_keeps_good_items(spark):
-    text = '<think>no</think>{"species":[{"scientific_name":"A b"},{}],"measurements":[{"parameter":"d","value":"x"},{"parameter":"d","value":"3"}],"relations":[{"subject":"a","object":"b","type":"eats"}],"locations":[{"name":"P","latitude":"0","longitude":"5"}]} tail'
+    text = '<think>no</think>{"species":[{"original_name":"A b"},{}],"measurements":[{"parameter":"d","value":"x"},{"parameter":"d","value":3}],"relations":[{"subject":"a","object":"b","relation_type":"eats"}],"locations":[{"name":"P","latitude":"0","longitude":"5"}]} tail'
     out = X.parse_extractions(spark.createDataFrame([(1, "c", text), (2, "c", "nothing")], "doc_id int, chunk_id string, content string"))
     assert out["species"].count() == 1 and [r.value for r in out["measurements"].collect()] == [3.0]
     assert out["relations"].first().type == "associated" and out["locations"].first().latitude is None and out["rejects"].first().doc_id == 2
@@ -171,8 +192,28 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert rows(spark.table("stats")) == rows(jobs.query_statistics(batch))
     q = jobs.ingest(stream, lambda d: d.select("query_id", "query"), ["query_id"], str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
-    newest = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert spark.read.parquet(str(newest)).count() == batch.count()
+    versions = sorted((p for p in (tmp_path / "out").iterdir()), key=lambda p: int(p.name[2:]))
+    assert len(versions) == 2 and spark.read.parquet(str(versions[-1])).count() == batch.count()
+
+
+def test_ingest_never_forgets_a_table(spark, tmp_path):
+    import shutil
+
+    src, out, cp = tmp_path / "src", tmp_path / "out", tmp_path / "cp"
+
+    def add(i):
+        spark.createDataFrame([(i, "x")], "id int, v string").coalesce(1).write.mode("append").parquet(str(src))
+        q = jobs.ingest(spark.readStream.schema("id int, v string").parquet(str(src)), lambda d: d, ["id"], str(out), str(cp))
+        q.awaitTermination()
+
+    add(1), add(2), add(3)
+    shutil.rmtree(out / "v=1")  # a version that an older clean-up took
+    add(4)
+    newest = max(out.iterdir(), key=lambda p: int(p.name[2:]))
+    assert {r.id for r in spark.read.parquet(str(newest)).collect()} == {1, 2, 3, 4}
+    shutil.rmtree(out)
+    with pytest.raises(Exception, match="no version before"):
+        add(5)
 
 
 def test_plans_push_filters_down(spark):
