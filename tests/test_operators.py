@@ -138,6 +138,24 @@ def test_radius_join_covers_both_bands(spark):
     assert [(r.centre_id, r.location_id) for r in G.radius_join(p, c, 30.0).orderBy("centre_id", "location_id").collect()] == [(8, 4), (9, 1), (9, 2)]
 
 
+def test_radius_join_equals_brute_force(spark):
+    import random
+    from math import asin, cos, radians, sin, sqrt
+
+    def km(a, b):
+        h = sin((radians(b[0]) - radians(a[0])) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin((radians(b[1]) - radians(a[1])) / 2) ** 2
+        return 2 * 6371.0 * asin(min(1, sqrt(h)))
+
+    rng = random.Random(5)
+    place = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(88, 90), rng.uniform(-3, 3)]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), rng.uniform(-180, -178)]))
+    points, centres = [place() for _ in range(300)], [place() for _ in range(60)]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "location_id int, latitude double, longitude double")
+    c = spark.createDataFrame([(i, *x) for i, x in enumerate(centres)], "centre_id int, latitude double, longitude double")
+    for radius in (40.0, 300.0):
+        want = {(i, j) for i, a in enumerate(centres) for j, b in enumerate(points) if km(a, b) <= radius}
+        assert {(r.centre_id, r.location_id) for r in G.radius_join(p, c, radius).collect()} == want
+
+
 def test_cascades_do_not_repeat_edges(spark):
     rel = spark.createDataFrame([(1, 2, "p"), (2, 1, "p")], "subject long, object long, type string")
     st = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "c", 3)], "entity long, domain string, doc_id int")
