@@ -47,3 +47,41 @@ WITH w AS (
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), own AS (
+  SELECT lang, source, sum(n) AS total, count(*) AS kinds FROM f GROUP BY ALL
+), everyone AS (
+  SELECT lang, sum(total) AS total FROM own GROUP BY ALL
+), each AS (
+  SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL
+), p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 5)::HUGEINT) // (own.total + 5 * own.kinds) AS p,
+         1 + (1000000000 * (each.n + 5)::HUGEINT) // (everyone.total + 5 * own.kinds) AS q
+  FROM f JOIN own ON own.lang = f.lang AND own.source = f.source JOIN everyone ON everyone.lang = f.lang
+  JOIN each ON each.lang = f.lang AND each.term = f.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
