@@ -85,3 +85,35 @@ WITH d AS (
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), f AS (
+  SELECT r, unnest(w) AS f FROM d
+), t AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark
+), crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), h AS (
+  SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(hex(f)), 2), lambda i: ('0x' || substr(hex(f), i, 2))::BIGINT)),
+                            lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f FROM f UNION SELECT f FROM t), crc
+), s AS (
+  SELECT b, count(*) AS s FROM f JOIN h USING (f) GROUP BY b
+), u AS (
+  SELECT b, count(*) AS t FROM t JOIN h USING (f) GROUP BY b
+), g AS (
+  SELECT s.b, floor(1000 * ln((coalesce(u.t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * ((SELECT count(*) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN u ON u.b = s.b
+), w AS (
+  SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN h USING (f) JOIN g USING (b) GROUP BY r
+), e AS (
+  SELECT d.r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w ON w.r = d.r
+), x AS (
+  SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e
+), k AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS rank FROM x WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM k) THEN rank END AS rank FROM x LEFT JOIN k ON k.r = x.r
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, decontam, divergence, langid, linedup, neardup, oracles, quality, tokencount, toxicity, warc
+from quarry.llm import ann, bpe, decontam, divergence, langid, linedup, neardup, oracles, quality, resample, tokencount, toxicity, warc
 from quarry.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -60,9 +60,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source")).drop("q")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": oracles.OP4, "op5_decontamination": oracles.OP5, "op11_source_divergence": oracles.OP11}
+    return {"op4_line_dedup": oracles.OP4, "op5_decontamination": oracles.OP5, "op11_source_divergence": oracles.OP11, "op12_resample": oracles.OP12}

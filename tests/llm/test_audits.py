@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import divergence, oracles
+from quarry.llm import divergence, oracles, resample
 
 CLASH = ["p", "q", "n", "term", "docs", "ends", "rank", "salt", "value", "item", "key", "score", "weight", "buckets", "tie"]
 
@@ -19,7 +19,7 @@ def frame(spark, rows, schema="doc_id long, text string, lang string, source str
 def by_sql(sql, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
-        con.register(name, df.toPandas())
+        con.register(name, df.toArrow())
         con.sql(f"CREATE TABLE t_{name} AS SELECT * FROM {name}")
         con.unregister(name)
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM t_{name}")
@@ -72,3 +72,49 @@ def test_prefixes_are_discarded_level_by_level(spark):
     assert [(bytes(r.p), r.ends, r.docs) for r in first] == [(b"comm", False, 40)]
     kept = divergence.kept_terms(named)
     assert sorted((r.lang, bytes(r.p)) for r in kept.collect()) == [("en", b"common"), ("en", b"commonword")]
+
+
+# -- 12 ---------------------------------------------------------------------------------------------------
+
+COLUMNS = ["doc_id", "n_features", "weight", "score", "rank"]
+
+
+def test_resample_equals_sql(spark):
+    rng = random.Random(8)
+    pool = ["Alpha", "beta", "été", "ÉTÉ", "x1", "2024", "日本", "gamma-delta", "o'clock", "\x00zero"]
+    docs = [(i if i % 7 else 3, " ".join(rng.choices(pool, k=rng.randrange(60))), "en", "s") for i in range(500)]
+    docs += [docs[0]] * 40 + [(None, "beta " * 30, "en", "s")] * 25 + [(1, None, "en", "s"), (2, "", "en", "s"), (5, "beta " * 50000, None, None)]
+    docs, target = frame(spark, docs).repartition(7), frame(spark, [(1, "beta beta gamma 2024"), (2, None), (3, "")], "item_id long, text string")
+    want, columns = by_sql(oracles.OP12, documents=docs.select(F.col("doc_id"), "text"), benchmark=target.select("item_id", "text"))
+    assert columns == COLUMNS
+    for pivots in (1, 32):
+        got = resample.resample(docs, target, pivots=pivots)
+        assert rows_of(got, COLUMNS) == want
+    ranks = [r.rank for r in got.where("rank is not null").orderBy("rank").collect()]
+    assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) == docs.where("text is not null").select(F.size(F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"))).alias("n")).where("n >= 20").count() // 10
+
+
+def test_resample_of_nothing(spark):
+    target = frame(spark, [], "item_id long, text string")
+    assert resample.resample(frame(spark, []), target).count() == 0
+    alone = resample.resample(frame(spark, [(1, None, None, None)]), target).first()
+    assert (alone.n_features, alone.weight, alone.rank) == (0, 0, None)
+    alike = resample.resample(frame(spark, [(1, "a " * 30, None, None)] * 50), target)
+    assert sorted(r.rank for r in alike.where("rank is not null").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_runs_of_words_are_features(spark):
+    docs = frame(spark, [(1, "a b c", None, None)])
+    row = resample.bucket_rows(docs, "doc_id", "text", 3, 10_000).first()
+    import zlib
+
+    want = [zlib.crc32(x) % 10_000 for x in (b"a", b"b", b"c", b"a b", b"b c", b"a b c")]
+    assert list(memoryview(bytes(row.buckets)).cast("i")) == want
+
+
+def test_select_kth_equals_sorting(spark):
+    rng = random.Random(9)
+    keys = sorted({(rng.randrange(5), rng.randrange(2), rng.randrange(9), rng.randrange(3), i) for i in range(300)})
+    rows = spark.createDataFrame(rng.sample(keys, len(keys)), "low long, no_id long, id long, n long, tie long")
+    for k in (1, 2, 150, 299, 300):
+        assert resample.select_kth(rows, k, pivots=3) == keys[k - 1]
