@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, decontam, divergence, langid, linedup, neardup, oracles, quality, resample, tokencount, toxicity, warc
+from quarry.llm import ann, bpe, decontam, divergence, langid, linedup, neardup, oracles, quality, resample, secrets, tokencount, toxicity, warc
 from quarry.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -64,6 +64,11 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(docs, secrets.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
