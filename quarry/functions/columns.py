@@ -173,13 +173,27 @@ def last_name(author: Column | str) -> Column:
     return F.element_at(F.split(F.trim(_c(author)), r"\s+"), -1)
 
 
-def title_from_filename(name: Column | str) -> Column:
-    """Suffix and a leading part up to a year off, separators to blanks, a trailing single letter off."""
-    n = F.regexp_replace(_c(name), r"\.[A-Za-z0-9]{1,5}$", "")
-    n = F.regexp_replace(n, r"^.*?_(?:19|20)\d\d_", "")
-    n = F.trim(F.regexp_replace(n, r"[-_]+", " "))
-    n = F.regexp_replace(n, r"\s\w$", "")
-    return F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1_000_000))
+def stem(name: Column | str) -> Column:
+    """Last part of a path without its last suffix."""
+    return F.regexp_replace(F.regexp_extract(_c(name), r"([^/]*)/*$", 1), r"^(.+)\.[^.]+$", "$1")
+
+
+def title_from_filename(name: Column | str, whole: bool = False) -> Column:
+    """What stands before the first _YYYY_ of a file's name: dashes of three, two and one letter-spaced as such, upper case first.
+
+    A last single letter, what is left of a cut name, goes; not if ``whole``.  Null if nothing is left.
+    """
+    n = F.regexp_replace(stem(name), r"(?s)_\d{4}_.*$", "")
+    n = F.replace(F.regexp_replace(n, "-{3,}", " — "), F.lit("--"), F.lit(" – "))
+    n = F.trim(F.regexp_replace(n, r"[-_\s]+", " "))
+    n = F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1_000_000))
+    n = n if whole else F.regexp_replace(n, r"\s+\w$", "")
+    return F.when(n != "", n)
+
+
+def year_of_filename(name: Column | str) -> Column:
+    """The year in _YYYY_ of a file's name."""
+    return F.regexp_extract(stem(name), r"_(\d{4})_", 1).try_cast("int")
 
 
 def year_in(text: Column | str, head: int = 500) -> Column:
@@ -188,40 +202,60 @@ def year_in(text: Column | str, head: int = 500) -> Column:
 
 
 def published_year(text: Column | str) -> Column:
-    """First of (YYYY), © YYYY, Published … YYYY, any 20YY that lies in 1990–2030."""
+    """First of (YYYY), © YYYY, Published: YYYY, any 20YY that lies in 1990–2030."""
     t = _c(text)
-    found = [F.regexp_extract(t, p, 1).try_cast("int") for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[^\n]{0,40}?(\d{4})", r"\b(20\d\d)\b")]
+    found = [F.regexp_extract(t, p, 1).try_cast("int") for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[:\s]+(\d{4})", r"\b(20\d\d)\b")]
     return F.coalesce(*[F.when(y.between(1990, 2030), y) for y in found])
 
 
+#: Headings that are no titles, marks that begin no title line, what ends an abstract, what shows that one
+#: ran into the references, and where those begin.
+NO_TITLE = ("abstract", "introduction", "methods", "results", "discussion", "references", "acknowledgments", "supplementary", "table of contents", "contents")
+NO_TITLE_LINE = ("abstract", "introduction")
+NO_LINE_START = ("!", "|", "```", "---")
+ABSTRACT_END = r"Keywords?|Introduction|[Rr]eferences?|[Bb]ibliography|[Aa]cknowledg|1[.\s]"
+RAN_ON = ("References", "REFERENCES", "Bibliography", "BIBLIOGRAPHY", "- ", "• ", "et al.,", ". doi:", "http://dx.doi", "Retrieved from", "Downloaded from")
+REFERENCES_AT = "References|REFERENCES|Bibliography|Acknowledgment"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def title_of(text: Column | str, filename: Column | str | None = None) -> Column:
-    """First heading that is no section word and longer than 5, else a plausible line of the first ten, else the file name."""
-    lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x))
-    words = ("abstract", "introduction", "methods", "results", "discussion", "references", "conclusion", "conclusions", "acknowledgements")
-    heads = F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "^#+", "")))
-    heads = F.filter(heads, lambda h: (F.length(h) > 5) & ~F.lower(h).isin(*words))
-    plain = F.filter(F.slice(lines, 1, 10), lambda x: F.length(x).between(20, 200) & ~x.startswith("#") & ~F.lower(x).isin(*words))
-    out = F.coalesce(F.get(heads, 0), F.get(plain, 0))
-    return out if filename is None else F.coalesce(out, title_from_filename(filename))
+    """The first heading of level 1 if it is a title, else a plausible one of the first ten lines, else the file name."""
+    t = _c(text)
+    heading = stripped(F.regexp_extract(t, r"(?md)^#\s+(.+)$", 1))
+    heading = F.when((F.length(heading) > 5) & ~F.lower(heading).isin(*NO_TITLE), heading)
+    lines = F.transform(F.slice(F.split(stripped(t), "\n"), 1, 10), lambda x: stripped(F.regexp_replace(stripped(x), "^#+", "")))
+    fit = lambda x: F.length(x).between(11, 299) & ~F.lower(x).isin(*NO_TITLE_LINE) & ~F.regexp_like(x, F.lit("^(?:" + "|".join(rf"\Q{m}\E" for m in NO_LINE_START) + ")"))
+    plain = F.filter(F.transform(F.filter(lines, fit), lambda x: stripped(F.regexp_replace(x, "[*_]{1,3}", ""))), lambda x: x != "")
+    out = F.coalesce(heading, F.get(plain, 0))
+    return out if filename is None else F.coalesce(out, title_from_filename(filename, whole=True))
 
 
 def abstract_of(text: Column | str) -> Column:
-    """Abstract by heading, by label in the first third, or inline; folded; too short is null, too long is cut."""
+    """Abstract under a heading; else, in the first third, under a line "Abstract" or behind that word, up to what ends one.
+
+    Folded to single blanks.  Under 20 words it is null; over 800 it is cut where it ran into the references, and if then
+    over 500 to 400 words.
+    """
     t = _c(text)
     third = F.substring(t, F.lit(1), F.floor(F.length(t) / 3).cast("int"))
     found = [
-        F.regexp_extract(t, r"(?is)^.*?\n?#+\s*abstract\s*\n(.+?)(?:\n#|\z)", 1),
-        F.regexp_extract(third, r"(?is)\babstract\s*[:.]\s*(.+?)(?:\n\s*\n|\z)", 1),
-        F.regexp_extract(t, r"(?s)\bAbstract[—–-]\s*(.+?)(?:\n\s*\n|\z)", 1),
+        F.regexp_extract(t, r"(?msd)^#{1,3}\s+[Aa]bstract\s*\n(.*?)(?:\n#{1,3}\s|\z)", 1),
+        F.regexp_extract(third, rf"(?s)(?:^|\n)\s*[Aa]bstract[:.\s]*\n(.*?)(?:\n\s*(?:{ABSTRACT_END}|#{{1,3}}\s)|\z)", 1),
+        F.regexp_extract(third, rf"(?s)[Aa]bstract[:.\s—–-]*\s*(.{{50,}}?)(?:\n\s*(?:{ABSTRACT_END})|\n\n\n)", 1),
     ]
-    raw = F.coalesce(*[F.when(F.trim(x) != "", x) for x in found])
+    raw = F.coalesce(*[F.when(stripped(x) != "", x) for x in found])
     a = F.trim(F.regexp_replace(raw, r"\s+", " "))
     n = word_count(a)
-    at_marker = F.regexp_replace(a, r"(?is)\s(?:references|keywords|1\.? introduction)\b.*$", "")
-    a = F.when(n > 800, at_marker).otherwise(a)
-    words = F.split(a, " ")
-    a = F.when(F.size(words) > 500, F.concat(F.array_join(F.slice(words, 1, 400), " "), F.lit("..."))).otherwise(a)
-    return F.when(n >= 20, a)
+    ran_on = F.regexp_like(a, F.lit("|".join(rf"\Q{m}\E" for m in RAN_ON)))
+    cut = F.when(ran_on, F.trim(F.regexp_replace(a, f"(?s)(?:{REFERENCES_AT}).*$", ""))).otherwise(a)
+    words = F.split(cut, " ")
+    short = F.when(F.size(words) > 500, F.concat(F.array_join(F.slice(words, 1, 400), " "), F.lit("..."))).otherwise(cut)
+    out = F.when(n > 800, short).otherwise(a)
+    return F.when((n >= 20) & (word_count(out) >= 20), out)
 
 
 def sentence_end(text: Column | str, end: Column, reach: int = 100) -> Column:

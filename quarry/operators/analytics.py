@@ -7,42 +7,11 @@ folder every round or few, and bring one scalar per round to the driver.
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-INFER = "spark.sql.constraintPropagation.enabled"
-
-
-def cut(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` stored in the shared folder of spark.checkpoint.dir: written and read again, or with ``keys`` dealt by them.
-
-    A table dealt by the key of later joins is checkpointed and not shuffled again by them; it carries what Spark
-    inferred of its columns along, so where columns change places from round to round a plain copy is made.  Where no folder is set a temporary one
-    takes its place on a single machine; on a cluster that is an error.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if base is None and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="quarry-"))
-    if not keys:
-        path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    # a checkpoint keeps what was inferred of its columns, which would double with every round of an iteration
-    before = spark.conf.get(INFER)
-    spark.conf.set(INFER, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(INFER, before)
+from quarry.operators.tables import cut
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n, sized
+from quarry.operators.tables import cut, first_n, sized
 
 UNICODE_WORDS, ASCII_WORDS = r"[\p{L}\p{N}]+", "[a-z]+"
 K1, B = 1.2, 0.75
@@ -37,32 +37,74 @@ def statistics(df: DataFrame, columns: list[str], pattern: str = UNICODE_WORDS)
     return df.agg(F.count("*").alias("docs"), F.avg(count).alias("avgdl"))
 
 
-def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score): BM25 over (query_id, term) prefixes; stats is one row (docs, avgdl).
+def vocabulary(df: DataFrame, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
+    """(word, n): every word of the columns with its occurrences."""
+    words = df.select(F.explode(F.concat(*[tokens(c, pattern) for c in columns])).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
 
-    A prefix counts as one phrase: its frequency is that of all words that start with it.  Terms meet words on
-    their first two characters, then by prefix, so no product of queries and vocabulary is formed.
+def prefix_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term, word): the words that start with a term, by a dictionary of the words' prefixes.
+
+    Each word is listed under its prefixes of the lengths that the terms have, so that words and terms meet on whole
+    strings; what comes is one row a word and asking query.  The lengths, one number each, reach the driver.
     """
-    t = sized(terms.withColumn("head", F.substring("term", 1, 2)))
-    p = postings.withColumnRenamed("term", "word").withColumn("head", F.substring("word", 1, 2))
-    hits = p.join(t, "head").where(F.startswith("word", "term"))
-    hits = hits.groupBy("query_id", "term", key, "dl").agg(F.sum("tf").alias("f"))
+    asked = terms.select("query_id", "term").distinct()
+    lengths = [r.n for r in asked.select(F.length("term").alias("n")).distinct().collect() if r.n]
+    if not lengths:
+        return asked.withColumn("word", F.col("term")).where("false")
+    prefixes = F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in sorted(lengths)])
+    listed = words.select("word").distinct().select("word", F.explode(F.filter(prefixes, lambda p: p.isNotNull())).alias("term"))
+    return listed.join(sized(asked), "term").select("query_id", "term", "word")
+
+
+def saturated(f: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25's share of a frequency, before the weight of the term; at most K1 + 1."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+
+def rarity(docs: Column, n: Column) -> Column:
+    """BM25's weight of a term that n of all documents hold."""
+    idf = F.ln((docs - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+
+
+def scores_of_hits(hits: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, score) from (query_id, term, key, dl, f)."""
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
     j = hits.join(df.hint("merge"), ["query_id", "term"]).join(F.broadcast(stats))
-    idf = F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = rarity(F.col("docs"), F.col("n")) * saturated(F.col("f"), F.col("dl"), F.col("avgdl"))
     return j.withColumn("part", part).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score): BM25 over (query_id, term) prefixes; stats is one row (docs, avgdl).
+
+    A prefix counts as one phrase: its frequency is that of all words that start with it.  Postings meet the words
+    that the dictionary of prefixes gives, on whole words.
+    """
+    words = postings.withColumnRenamed("term", "word")
+    hits = words.join(sized(cut(prefix_matches(words, terms))), "word")
+    return scores_of_hits(hits.groupBy("query_id", "term", key, "dl").agg(F.sum("tf").alias("f")), stats, key)
+
+
 def terms_of(df: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """(query_id, term) of queries from the caller's code."""
     return df.sparkSession.createDataFrame([(i, t) for i, q in queries for t in query_terms(q)], "query_id int, term string")
 
 
 def keyword_scores(df: DataFrame, terms: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
-    """(query_id, key, score) of every document that a query of (query_id, term) hits, not ranked."""
-    return bm25(build_postings(df, key, columns, pattern), statistics(df, columns, pattern), terms, key)
+    """(query_id, key, score) of every document that a query of (query_id, term) hits, not ranked.
+
+    Without a stored index: one pass lists the words, which give the mean length and the words that the terms
+    begin; a second one keeps the hits alone, before anything of a document is shuffled.
+    """
+    words = cut(vocabulary(df, columns, pattern))
+    stats = df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl"))
+    rows = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
+    rows = rows.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("word"))
+    hits = rows.join(sized(cut(prefix_matches(words, terms))), "word")
+    return scores_of_hits(hits.groupBy("query_id", "term", key, "dl").agg(F.count("*").alias("f")), cut(stats), key)
 
 
 def keyword_search(df: DataFrame, queries: list[tuple[int, str]], key: str, columns: list[str], k: int = 10, offset: int = 0, pattern: str = UNICODE_WORDS) -> DataFrame:
@@ -72,6 +114,64 @@ def keyword_search(df: DataFrame, queries: list[tuple[int, str]], key: str, colu
     return scored.withColumn("rank", rank).where(F.col("rank") <= offset + k).where(F.col("rank") > offset)
 
 
+def impact_blocks(postings: DataFrame, stats: DataFrame, lengths: list[int], key: str = "doc_id", block: int = 128, slices: int = 16) -> DataFrame:
+    """An index for searches that end early: (phrase, slice, block, bound, n, entries), entries being (key, f, dl).
+
+    A phrase is a word's prefix of one of the lengths, with the frequencies of all its words.  Its entries are dealt into
+    slices by a hash of the key, so that no frequent phrase is one task's, sorted by their share of a score and cut into
+    blocks; ``bound`` is the largest share in the block.  Write it partitioned or sorted by phrase.
+    """
+    prefixes = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(set(lengths))])
+    rows = postings.select(key, "dl", "tf", F.explode(F.filter(prefixes, lambda p: p.isNotNull())).alias("phrase"))
+    rows = rows.groupBy("phrase", key, "dl").agg(F.sum("tf").alias("f")).join(F.broadcast(stats))
+    rows = rows.select("phrase", key, "dl", "f", saturated(F.col("f"), F.col("dl"), F.col("avgdl")).alias("share"), F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"))
+    place = F.row_number().over(Window.partitionBy("phrase", "slice").orderBy(F.desc("share"), key)) - 1
+    rows = rows.withColumn("block", F.floor(place / block).cast("int"))
+    entry = F.struct(F.col(key), "f", "dl")
+    return rows.groupBy("phrase", "slice", "block").agg(F.max("share").alias("bound"), F.count("*").alias("n"), F.collect_list(entry).alias("entries"))
+
+
+def blocks_asked(index: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """The blocks of the query terms with the term's weight, and the most that a document outside the block's phrase can add.
+
+    The directory (phrase, documents, largest share) is one row a phrase, added up before terms meet it.
+    """
+    directory = index.groupBy("phrase").agg(F.sum("n").alias("docs_of"), F.max("bound").alias("top"))
+    asked = terms.select("query_id", F.col("term").alias("phrase")).distinct()
+    known = directory.join(sized(asked), "phrase").join(F.broadcast(stats)).select("query_id", "phrase", "top", rarity(F.col("docs"), F.col("docs_of")).alias("idf"), "avgdl")
+    known = cut(known)  # one row a query term
+    total = known.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("top")).alias("total"))
+    known = known.join(total.hint("merge"), "query_id").withColumn("rest", F.col("total") - F.col("idf") * F.col("top"))
+    return index.join(sized(cut(known.select("query_id", "phrase", "idf", "avgdl", "rest"))), "phrase")
+
+
+def block_scores(blocks: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, score) from the entries of blocks_asked's rows."""
+    rows = blocks.select("query_id", "idf", "avgdl", F.explode("entries").alias("e")).select("query_id", F.col(f"e.{key}").alias(key), (F.col("idf") * saturated(F.col("e.f"), F.col("e.dl"), F.col("avgdl"))).alias("part"))
+    return rows.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def blocks_read(index: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """The blocks that can hold a document of a query's first k; all others are passed over.
+
+    The first block of every slice gives scores that are too low, if wrong; their k-th is a floor for the true k-th.  A
+    document of another block reaches at most the block's bound and the tops of all other terms, so where that lies
+    below the floor no document of the block is among the first k, and what is left scores them in full.
+    """
+    asked = blocks_asked(index, stats, terms)
+    low = first_n(block_scores(asked.where("block = 0"), key), ["query_id"], [F.desc("score"), F.asc(key)], k)
+    floor = low.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    reach = F.col("idf") * F.col("bound") + F.col("rest")
+    return asked.join(sized(cut(floor)), "query_id").where(F.col("floor").isNull() | (reach >= F.col("floor") - 2e-6))
+
+
+def keyword_topk(index: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score, rank): the same rows as a full search, from the blocks that matter."""
+    scored = block_scores(blocks_read(index, stats, terms, k, key), key)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def updated_postings(postings: DataFrame, changed: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
     """Postings after the changed documents were indexed anew."""
     return postings.join(changed.select(key).distinct().hint("merge"), key, "left_anti").unionByName(build_postings(changed, key, columns, pattern))

@@ -504,6 +504,14 @@ def parent_text(df: DataFrame) -> DataFrame:
 
 
 def indexed_papers(df: DataFrame, classes: DataFrame, studies: DataFrame) -> DataFrame:
-    """(doc_id, title, year, primary_domain, confidence, study_type): what the paper table holds of a document."""
-    base = df.select("doc_id", F.coalesce(C.title_of("text"), F.lit("Untitled")).alias("title"), F.coalesce(C.year_in("text"), C.published_year("text")).alias("year"))
-    return base.join(classes.select("doc_id", "primary_domain", "confidence"), "doc_id", "left").join(studies.select("doc_id", "study_type"), "doc_id", "left")
+    """(doc_id, title, year, primary_domain, confidence, study_type): what the paper table holds of a document.
+
+    ``df`` may have a column name, the file's: where the text has no title, title and year are the name's, and only
+    where that has no year the text's.
+    """
+    title, year = C.title_of("text"), C.year_in("text")
+    if "name" in df.columns:
+        year = F.coalesce(F.when(title.isNull(), C.year_of_filename("name")), year)
+        title = F.coalesce(title, C.title_from_filename("name"))
+    base = df.select("doc_id", F.coalesce(title, F.lit("Untitled")).alias("title"), year.alias("year"))
+    return base.join(classes.select("doc_id", "primary_domain", "confidence").hint("merge"), "doc_id", "left").join(studies.select("doc_id", "study_type").hint("merge"), "doc_id", "left")

@@ -110,29 +110,58 @@ def _(c):
 
 # -- metadata ---------------------------------------------------------------------------------------------
 
-#: Texts with an abstract under a heading, behind a label, inline, or none.
-MX = "d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# A title of it' || chr(10) || '## Abstract' || chr(10) || text || chr(10) || '# Next' WHEN 1 THEN 'Abstract: ' || text || chr(10) || chr(10) || 'Published in ' || (1980 + doc_id % 60) WHEN 2 THEN text || chr(10) || 'Abstract—' || text ELSE text || ' (' || (1985 + doc_id % 50) || ')' END AS text, 'smith_' || (1990 + doc_id % 30) || '_' || source || '-of_study_b.pdf' AS name FROM documents)"
+#: Texts with titles and abstracts in every place where the rules look for one, or where they must not; names with and without year.
+MX = """d AS (SELECT doc_id, CASE doc_id % 8
+  WHEN 0 THEN '# A title of it' || chr(10) || '## Abstract' || chr(10) || text || chr(10) || '# Next'
+  WHEN 1 THEN 'Abstract:' || chr(10) || text || chr(10) || '  Keywords: none' || chr(10) || text || text
+  WHEN 2 THEN '**A bold title line** of it' || chr(10) || 'Abstract— ' || text || chr(10) || chr(10) || chr(10) || text || text || text
+  WHEN 3 THEN text || ' (' || (1985 + doc_id % 50) || ')'
+  WHEN 4 THEN '## Results of the study' || chr(10) || text || ' Published: ' || (1980 + doc_id % 60)
+  WHEN 5 THEN '# Contents' || chr(10) || '| a table row of it' || chr(10) || text
+  WHEN 6 THEN '# Abstract' || chr(10) || text || ' ' || text || ' References ' || text
+  ELSE 'short' || chr(10) || text END AS text,
+  CASE WHEN doc_id % 3 = 0 THEN 'deep_sea-' || source || '_b.pdf' ELSE 'papers/' || source || '-of--study---b_' || (1990 + doc_id % 30) || '_Journal-x.pdf' END AS name FROM documents)"""
 
 
 def described(c):
     i, n = F.col("doc_id"), F.lit("\n")
     year = lambda low, mod: (low + i % mod).cast("string")
-    text = F.when(i % 4 == 0, F.concat(F.lit("# A title of it\n## Abstract\n"), "text", F.lit("\n# Next")))
-    text = text.when(i % 4 == 1, F.concat(F.lit("Abstract: "), "text", n, n, F.lit("Published in "), year(1980, 60)))
-    text = text.when(i % 4 == 2, F.concat("text", n, F.lit("Abstract—"), "text")).otherwise(F.concat("text", F.lit(" ("), year(1985, 50), F.lit(")")))
-    return c.documents.select("doc_id", text.alias("text"), F.concat(F.lit("smith_"), year(1990, 30), F.lit("_"), "source", F.lit("-of_study_b.pdf")).alias("name"))
-
-
-NAME = "trim(regexp_replace(regexp_replace(regexp_replace(name, '\\.[A-Za-z0-9]{1,5}$', ''), '^.*?_(?:19|20)\\d\\d_', ''), '[-_]+', ' ', 'g'))"
-NAME = f"regexp_replace({NAME}, '\\s\\w$', '')"
-ABSTRACT = "coalesce(" + ", ".join(f"CASE WHEN trim({e}) <> '' THEN {e} END" for e in ("regexp_extract(d.text, '(?is)^.*?\\n?#+\\s*abstract\\s*\\n(.+?)(?:\\n#|\\z)', 1)", "regexp_extract(substr(d.text, 1, CAST(floor(length(d.text) / 3) AS INT)), '(?is)\\babstract\\s*[:.]\\s*(.+?)(?:\\n\\s*\\n|\\z)', 1)", "regexp_extract(d.text, '(?s)\\bAbstract[—–-]\\s*(.+?)(?:\\n\\s*\\n|\\z)', 1)")) + ")"
+    forms = [
+        F.concat(F.lit("# A title of it\n## Abstract\n"), "text", F.lit("\n# Next")),
+        F.concat(F.lit("Abstract:\n"), "text", F.lit("\n  Keywords: none\n"), "text", "text"),
+        F.concat(F.lit("**A bold title line** of it\nAbstract— "), "text", F.lit("\n\n\n"), "text", "text", "text"),
+        F.concat("text", F.lit(" ("), year(1985, 50), F.lit(")")),
+        F.concat(F.lit("## Results of the study\n"), "text", F.lit(" Published: "), year(1980, 60)),
+        F.concat(F.lit("# Contents\n| a table row of it\n"), "text"),
+        F.concat(F.lit("# Abstract\n"), "text", F.lit(" "), "text", F.lit(" References "), "text"),
+        F.concat(F.lit("short"), n, "text"),
+    ]
+    text = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
+    name = F.when(i % 3 == 0, F.concat(F.lit("deep_sea-"), "source", F.lit("_b.pdf"))).otherwise(F.concat(F.lit("papers/"), "source", F.lit("-of--study---b_"), year(1990, 30), F.lit("_Journal-x.pdf")))
+    return c.documents.select("doc_id", text.alias("text"), name.alias("name"))
+
+
+STEM = r"regexp_replace(regexp_extract(name, '([^/]*)/*$', 1), '^(.+)\.[^.]+$', '\1')"
+WHOLE_NAME = rf"trim(regexp_replace(replace(regexp_replace(regexp_replace({STEM}, '(?s)_\d{{4}}_.*$', ''), '-{{3,}}', ' — ', 'g'), '--', ' – '), '[-_\s]+', ' ', 'g'))"
+WHOLE_NAME = f"upper(substr({WHOLE_NAME}, 1, 1)) || substr({WHOLE_NAME}, 2)"
+NAME = rf"regexp_replace({WHOLE_NAME}, '\s+\w$', '')"
+STOPS = r"Keywords?|Introduction|[Rr]eferences?|[Bb]ibliography|[Aa]cknowledg|1[.\s]"
+THIRD = "substr(d.text, 1, CAST(floor(length(d.text) / 3) AS INT))"
+FOUND = [
+    r"regexp_extract(d.text, '(?ms)^#{1,3}\s+[Aa]bstract\s*\n(.*?)(?:\n#{1,3}\s|\z)', 1)",
+    rf"regexp_extract({THIRD}, '(?s)(?:^|\n)\s*[Aa]bstract[:.\s]*\n(.*?)(?:\n\s*(?:{STOPS}|#{{1,3}}\s)|\z)', 1)",
+    rf"regexp_extract({THIRD}, '(?s)[Aa]bstract[:.\s—–-]*\s*(.{{50,}}?)(?:\n\s*(?:{STOPS})|\n\n\n)', 1)",
+]
+ABSTRACT = "coalesce(" + ", ".join(f"CASE WHEN trim({e}, chr(10) || chr(9) || chr(13) || ' ') <> '' THEN {e} END" for e in FOUND) + ")"
+RAN_ON = " OR ".join(f"contains(a, '{m}')" for m in ("References", "REFERENCES", "Bibliography", "BIBLIOGRAPHY", "- ", "• ", "et al.,", ". doi:", "http://dx.doi", "Retrieved from", "Downloaded from"))
+METADATA = f"a AS (SELECT doc_id, trim(regexp_replace({ABSTRACT}, '\\s+', ' ', 'g')) AS a FROM d), n AS (SELECT *, len(string_split(a, ' ')) AS n, CASE WHEN {RAN_ON} THEN trim(regexp_replace(a, '(?s)(?:References|REFERENCES|Bibliography|Acknowledgment).*$', '')) ELSE a END AS b FROM a), w AS (SELECT *, string_split(b, ' ') AS w FROM n), f AS (SELECT doc_id, CASE WHEN n < 20 OR n > 800 AND (len(w) < 20 OR b = '') THEN NULL WHEN n <= 800 THEN a WHEN len(w) > 500 THEN array_to_string(list_slice(w, 1, 400), ' ') || '...' ELSE b END AS abstract FROM w)"
 WINDOW = "substr(text, 401, 200)"
 SENTENCE = "CASE WHEN greatest(" + ", ".join(found(m) for m in MARKS) + ") > 0 THEN 402 + greatest(" + ", ".join(found(m) for m in MARKS) + ") ELSE 600 END"
 
 
-@q("text_metadata", f"WITH {MX}, a AS (SELECT doc_id, trim(regexp_replace({ABSTRACT}, '\\s+', ' ', 'g')) AS a FROM d), n AS (SELECT *, len(string_split(a, ' ')) AS n, CASE WHEN len(string_split(a, ' ')) > 800 THEN regexp_replace(a, '(?is)\\s(?:references|keywords|1\\.? introduction)\\b.*$', '') ELSE a END AS b FROM a), w AS (SELECT *, string_split(b, ' ') AS w FROM n), f AS (SELECT doc_id, CASE WHEN n >= 20 THEN CASE WHEN len(w) > 500 THEN array_to_string(list_slice(w, 1, 400), ' ') || '...' ELSE b END END AS abstract FROM w), e AS (SELECT doc_id, {SENTENCE} AS sentence_end FROM (SELECT doc_id, {WINDOW} AS w FROM d) x) SELECT d.doc_id, coalesce({TITLE}, upper(substr({NAME}, 1, 1)) || substr({NAME}, 2)) AS title, upper(substr({NAME}, 1, 1)) || substr({NAME}, 2) AS file_title, {FIRST_YEAR} AS year, {PUBLISHED} AS published, abstract, sentence_end::BIGINT AS sentence_end FROM d JOIN f ON f.doc_id = d.doc_id JOIN e ON e.doc_id = d.doc_id")
+@q("text_metadata", f"WITH {MX}, {METADATA}, e AS (SELECT doc_id, {SENTENCE} AS sentence_end FROM (SELECT doc_id, {WINDOW} AS w FROM d) x) SELECT d.doc_id, coalesce({TITLE}, {WHOLE_NAME}) AS title, {NAME} AS file_title, try_cast(regexp_extract({STEM}, '_(\\d{{4}})_', 1) AS INT) AS file_year, {FIRST_YEAR} AS year, {PUBLISHED} AS published, abstract, sentence_end::BIGINT AS sentence_end FROM d JOIN f ON f.doc_id = d.doc_id JOIN e ON e.doc_id = d.doc_id")
 def _(c):
-    return described(c).select("doc_id", C.title_of("text", "name").alias("title"), C.title_from_filename("name").alias("file_title"), C.year_in("text").alias("year"), C.published_year("text").alias("published"), C.abstract_of("text").alias("abstract"), C.sentence_end("text", F.lit(500)).alias("sentence_end"))
+    return described(c).select("doc_id", C.title_of("text", "name").alias("title"), C.title_from_filename("name").alias("file_title"), C.year_of_filename("name").alias("file_year"), C.year_in("text").alias("year"), C.published_year("text").alias("published"), C.abstract_of("text").alias("abstract"), C.sentence_end("text", F.lit(500)).alias("sentence_end"))
 
 
 @q("chunk_entities", "SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE '' END AS species, lang AS locations, 0 AS methods FROM documents")

@@ -32,6 +32,14 @@ def _(c):
     return keyword(c, 10, 10)
 
 
+@q("bm25_topk", f"WITH {HITS} SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM bm) x WHERE rank <= 10")
+def _(c):
+    terms = S.terms_of(c.documents, QUERIES)
+    stats = S.cut(S.statistics(c.documents, ["text"], S.ASCII_WORDS))
+    index = S.impact_blocks(S.build_postings(c.documents, "doc_id", ["text"], S.ASCII_WORDS), stats, [len(t) for _, text in QUERIES for t in S.query_terms(text)])
+    return S.keyword_topk(S.cut(index), stats, terms)
+
+
 @q("bm25_in_language", f"WITH {HITS} SELECT query_id, doc_id, score FROM (SELECT bm.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.doc_id) AS n FROM bm JOIN documents d ON d.doc_id = bm.doc_id WHERE d.lang = 'en') x WHERE n <= 5")
 def _(c):
     scored = scores(c)

@@ -247,15 +247,20 @@ def _(c):
     return X.entities_of_heads(chunks(c).select("doc_id", "chunk_idx", "section", F.explode(names).alias("name")))
 
 
-#: Title and year of a text, as the column helpers decide them.
-WORDS = "('abstract', 'introduction', 'methods', 'results', 'discussion', 'references', 'conclusion', 'conclusions', 'acknowledgements')"
-LINES = "list_transform(string_split(d.text, chr(10)), lambda x: trim(x))"
-TITLE = f"coalesce(list_filter(list_transform(list_filter({LINES}, lambda x: starts_with(x, '#')), lambda x: trim(ltrim(x, '#'))), lambda h: length(h) > 5 AND lower(h) NOT IN {WORDS})[1], list_filter(list_slice({LINES}, 1, 10), lambda x: length(x) BETWEEN 20 AND 200 AND NOT starts_with(x, '#') AND lower(x) NOT IN {WORDS})[1])"
-FIRST_YEAR = "try_cast(regexp_extract(substr(d.text, 1, 500), '\\b(19[89]\\d|20[0-2]\\d)\\b', 1) AS INT)"
-PUBLISHED = "coalesce(" + ", ".join(f"CASE WHEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) BETWEEN 1990 AND 2030 THEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) END" for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[^\n]{0,40}?(\d{4})", r"\b(20\d\d)\b")) + ")"
+#: Title and year of a text, by the rules of the literature parser: the first heading of level 1, then a line of the first ten.
+def strip_sql(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-@q("indexed_papers", f"WITH {RAW}, {STUDYV}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM sc) SELECT d.doc_id, coalesce({TITLE}, 'Untitled') AS title, coalesce({FIRST_YEAR}, {PUBLISHED}) AS year, coalesce(r.domain, 'unknown') AS primary_domain, round(coalesce(CASE WHEN score >= 0.15 THEN least(1.0::DOUBLE, score * 1.2::DOUBLE) ELSE score END, 0), 6) AS confidence, CASE WHEN best IS NULL THEN 'unknown' WHEN close >= 2 THEN 'mixed' ELSE y END AS study_type FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN g ON g.doc_id = d.doc_id")
+HEADING = strip_sql(r"regexp_extract(d.text, '(?m)^#\s+(.+)$', 1)")
+LINES = f"list_transform(list_slice(string_split({strip_sql('d.text')}, chr(10)), 1, 10), lambda x: {strip_sql(f'ltrim({strip_sql(chr(120))}, {chr(39)}#{chr(39)})')})"
+PLAIN_TITLE = f"list_filter(list_transform(list_filter({LINES}, lambda x: length(x) > 10 AND length(x) < 300 AND NOT starts_with(x, '!') AND NOT starts_with(x, '|') AND NOT starts_with(x, '```') AND NOT starts_with(x, '---') AND lower(x) NOT IN ('abstract', 'introduction')), lambda x: {strip_sql(f'regexp_replace(x, {chr(39)}[*_]{{1,3}}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}), lambda x: x <> '')[1]"
+TITLE = f"coalesce(CASE WHEN length({HEADING}) > 5 AND lower({HEADING}) NOT IN ('abstract', 'introduction', 'methods', 'results', 'discussion', 'references', 'acknowledgments', 'supplementary', 'table of contents', 'contents') THEN {HEADING} END, {PLAIN_TITLE})"
+FIRST_YEAR = "try_cast(regexp_extract(substr(d.text, 1, 500), '\\b(20[0-2]\\d|19[89]\\d)\\b', 1) AS INT)"
+PUBLISHED = "coalesce(" + ", ".join(f"CASE WHEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) BETWEEN 1990 AND 2030 THEN try_cast(regexp_extract(d.text, '{p}', 1) AS INT) END" for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[:\s]+(\d{4})", r"\b(20\d{2})\b")) + ")"
+
+
+@q("indexed_papers", f"WITH {RAW}, {STUDYV}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS n FROM sc) SELECT d.doc_id, coalesce({TITLE}, 'Untitled') AS title, {FIRST_YEAR} AS year, coalesce(r.domain, 'unknown') AS primary_domain, round(coalesce(CASE WHEN score >= 0.15 THEN least(1.0::DOUBLE, score * 1.2::DOUBLE) ELSE score END, 0), 6) AS confidence, CASE WHEN best IS NULL THEN 'unknown' WHEN close >= 2 THEN 'mixed' ELSE y END AS study_type FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.n = 1 LEFT JOIN g ON g.doc_id = d.doc_id")
 def _(c):
     studies = X.study_types(c.documents, c.spark.createDataFrame(STUDY, "study_type string, keyword string"))
     return X.indexed_papers(c.documents, X.classify(c.documents, scores(c)), studies)

@@ -1,6 +1,7 @@
 """Hand-made frames for semantics that an oracle cannot show."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
@@ -49,14 +50,29 @@ def test_partial_ingestions(spark):
 def test_cleaners(spark):
     assert one(spark, C.clean_doi(F.lit("https://doi.org/10.1/x"))) == "10.1/x" and one(spark, C.clean_doi(F.lit("none"))) is None
     assert one(spark, C.clean_species_name(F.lit("Gadus  morhua (L., 1758) [x]"))) == "Gadus morhua" and one(spark, C.clean_species_name(F.lit("Gadus"))) is None
-    assert one(spark, C.title_from_filename(F.lit("smith_2019_deep-sea_fish-b.pdf"))) == "Deep sea fish"
+    for name, title, year in [("Fish-ecology_2004_Journal.pdf", "Fish ecology", 2004), ("a/b/deep-sea--fish---now_b.v2.pdf", "Deep sea – fish — now b.v2", None), ("of_the-sea_x.pdf", "Of the sea", None), ("_1999_x.pdf", None, 1999)]:
+        assert one(spark, C.title_from_filename(F.lit(name))) == title and one(spark, C.year_of_filename(F.lit(name))) == year
     assert one(spark, C.year_in(F.lit("in 1975 and 2021"))) == 2021 and one(spark, C.published_year(F.lit("seen (2019), © 2001"))) == 2019
-    assert one(spark, C.title_of(F.lit("# Abstract\n# A longer heading\ntext"))) == "A longer heading"
+    assert one(spark, C.published_year(F.lit("Published in May 1999"))) is None and one(spark, C.published_year(F.lit("Published:\n1999"))) == 1999
+    titles = {"# Abstract\n# A longer heading\ntext": "A longer heading", "## Level two of it\n# Real title": "Real title", "# Methods\n![image of something]\n| table row here\n---------------\n**The** _plain_ title": "The plain title", "\n\n# Contents\nshort\n" + "x" * 300: None, "#\nWrapped heading": "Wrapped heading"}
+    for text, title in titles.items():
+        assert one(spark, C.title_of(F.lit(text))) == title, text
+    assert one(spark, C.title_of(F.lit("tiny"), F.lit("of_the-sea_x.pdf"))) == "Of the sea x"
     assert one(spark, C.salvaged_json(F.lit('<think>{"n":1}</think>```json\n{"a": {"b": 2}}\n``` end'))) == '{"a": {"b": 2}}'
     assert one(spark, C.highlighted(F.lit("Cod and cod."), F.array(F.lit("cod")))) == "**Cod** and **cod**."
     assert one(spark, C.estimated_tokens(F.lit("x" * 50))) == 22 and one(spark, C.estimated_tokens(F.lit(""))) == 0
     abstract = " ".join(f"w{i}" for i in range(30))
     assert one(spark, C.abstract_of(F.lit(f"# T\n## Abstract\n{abstract}\n# Next"))) == abstract and one(spark, C.abstract_of(F.lit("Abstract: short"))) is None
+    rest = " ".join(["rest"] * 200)
+    assert one(spark, C.abstract_of(F.lit(f"# T\n#### Abstract\n{abstract}\n# Next"))) is None
+    assert one(spark, C.abstract_of(F.lit(f"T\n Abstract:\n{abstract}\n 1. Begin {rest}"))) == abstract
+    assert one(spark, C.abstract_of(F.lit(f"T. Abstract— {abstract}\nReferences\n{rest}"))) == abstract
+    assert one(spark, C.abstract_of(F.lit(f"{rest} Abstract— {abstract}\nReferences\n"))) is None
+    long = lambda n, mark="": f"## Abstract\n{'word ' * n}{mark} tail"
+    assert one(spark, C.abstract_of(F.lit(long(700)))) == "word " * 700 + "tail"
+    assert one(spark, C.abstract_of(F.lit(long(900)))) == " ".join(["word"] * 400) + "..."
+    assert one(spark, C.abstract_of(F.lit("## Abstract\n" + "word " * 450 + "Acknowledgment et al., " + "more " * 500))) == " ".join(["word"] * 450)
+    assert one(spark, C.abstract_of(F.lit("## Abstract\n" + "word " * 5 + "References " + "more " * 900))) is None
     assert one(spark, C.sentence_end(F.lit("One two. Three four five six"), F.lit(12))) == 9 and one(spark, C.sentence_end(F.lit("none"), F.lit(3))) == 103
     assert one(spark, C.bad_abstract(F.lit("abstract " * 9))) and one(spark, C.bad_abstract(F.lit("x" * 40 + "abstractCls"))) and not one(spark, C.bad_abstract(F.lit("# " + "x" * 40)))
     assert one(spark, C.concepts(F.lit("Deep-sea Fish, (between) novel models."), F.array(F.lit(" Cod ")), F.array(F.lit("marine_ecology")))) == ["deep-sea", "fish", "models", "cod", "marine ecology"]
@@ -239,3 +255,26 @@ def test_plans_push_filters_down(spark):
 
     plan = Corpus(spark, "/root/testdata/sf0.001").documents.where("lang = 'en'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_early_ending_search_reads_less_and_finds_the_same(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "alphabet", "beta", "gamma", "delta", "omega"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights=[1, 1, 2, 4, 60, 120], k=rng.randrange(1, 40)))) for i in range(600)] + [(600, None), (601, "")], "doc_id long, text string")
+    terms = S.terms_of(docs, [(1, "alpha beta"), (2, "gamma"), (3, "alphab delta omega"), (4, "nothing"), (5, "om al")])
+    stats = S.statistics(docs, ["text"])
+    postings = S.build_postings(docs, "doc_id", ["text"])
+    index = S.impact_blocks(postings, stats, [2, 4, 5, 6, 7], block=4, slices=3).cache()
+    for k in (1, 10, 5000):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        full = S.bm25(postings, stats, terms).withColumn("rank", rank).where(F.col("rank") <= k)
+        assert rows(S.keyword_topk(index, stats, terms, k)) == rows(full)
+        read = S.blocks_read(index, stats, terms, k).agg(F.sum("n")).first()[0]
+        every = S.blocks_asked(index, stats, terms).agg(F.sum("n")).first()[0]
+        assert read < every if k == 1 else read <= every
+    alone = S.terms_of(docs, [(1, "alpha"), (2, "beta"), (3, "gamma")])
+    read, every = (df.agg(F.sum("n")).first()[0] for df in (S.blocks_read(index, stats, alone, 5), S.blocks_asked(index, stats, alone)))
+    assert read < every / 3, (read, every)
+    assert rows(S.prefix_matches(S.vocabulary(docs, ["text"]), S.terms_of(docs, [(1, "alpha"), (2, "xy")]))) == [(1, "alpha", "alpha"), (1, "alpha", "alphabet")]
