@@ -20,21 +20,77 @@ def works_by_doi(papers: DataFrame, works: DataFrame) -> DataFrame:
     return papers.withColumn("__doi", F.lower(C.clean_doi("doi"))).join(w, "__doi", "left").drop("__doi")
 
 
-def works_by_title(papers: DataFrame, works: DataFrame, most: float = 0.2) -> DataFrame:
-    """(doc_id, work_id, distance): best work of the same year and first word, by edit distance of the titles.
+#: Strings up to SHORT characters meet on what is left when characters are removed, longer ones on a part of them.
+SHORT = 10
 
-    Blocks are (year, first title word); a pair counts up to ``most`` edits per character of the longer title.
+
+def without(text: Column, edits: int) -> Column:
+    """All strings that are left when up to ``edits`` characters are removed."""
+    one = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    out = F.array(text)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
+    return out
+
+
+def meeting_keys(text: Column, edits: int, probe: bool) -> Column:
+    """Hashes of which two strings within ``edits`` edits share one at least, if one side's are made with ``probe``.
+
+    Short strings: by removing characters, which turns an edit on either side into a removal.  Longer ones: cut into
+    edits + 1 parts, of which one is untouched; the probing side looks for each part of a string of its own length, give
+    or take the edits, at the part's place, give or take the edits.
+    """
+    n = F.length(text)
+    shorter = F.when(n <= SHORT, F.transform(without(text, edits), lambda x: F.xxhash64(F.lit("short"), x)))
+    parts = []
+    for more in range(-edits, edits + 1) if probe else (0,):
+        size = n + more
+        for i in range(edits + 1):
+            start, end = (F.floor(size * j / (edits + 1)).cast("int") for j in (i, i + 1))
+            for shift in range(-edits, edits + 1) if probe else (0,):
+                at = start + shift
+                inside = (at >= 0) & (at + end - start <= n)
+                parts.append(F.when(inside, F.xxhash64(size, F.lit(i), F.substring(text, at + 1, end - start))))
+    longer = F.when(n > SHORT - edits, F.filter(F.array(*parts), lambda x: x.isNotNull()))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.coalesce(shorter, none), F.coalesce(longer, none)))
+
+
+def close_strings(left: DataFrame, right: DataFrame, s: str, t: str, edits: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both sides whose strings ``s`` and ``t`` are at most ``edits`` edits apart, wherever the edits lie, and the distance.
+
+    The sides have no columns in common but ``by``, which must be equal too.  Every pair within reach is found; each comes once.
     """
-    p = papers.select("doc_id", "year", normal_title("title").alias("t")).withColumn("head", F.split("t", " ")[0])
-    w = works.select("work_id", "year", normal_title("title").alias("u")).withColumn("head", F.split("u", " ")[0])
+    a = left.withColumn("__k", F.explode(meeting_keys(F.col(s), edits, True)))
+    b = right.withColumn("__k", F.explode(meeting_keys(F.col(t), edits, False)))
+    near = a.join(b.hint("merge"), ["__k", *by]).withColumn("distance", F.levenshtein(s, t, edits).cast("bigint")).where(F.col("distance") >= 0)
+    return near.drop("__k").distinct()
+
+
+def works_by_title(papers: DataFrame, works: DataFrame, most: float = 0.2, edits: int = 2) -> DataFrame:
+    """(doc_id, work_id, distance): best work of the same year, by edit distance of the titles.
+
+    A pair counts up to ``most`` edits per character of the longer title: titles of the same first word up to that, all
+    others, where a slip may lie in the first word itself, up to ``edits``.
+    """
+    asked = papers.select("doc_id", "year", normal_title("title").alias("t"))
+    p = asked.select("year", "t").distinct()
+    w = works.groupBy("year", normal_title("title").alias("u")).agg(F.min("work_id").alias("work_id"))  # equal titles: the smallest id wins
     longest = F.greatest(F.length("t"), F.length("u"))
-    j = p.join(w, ["year", "head"]).where(F.abs(F.length("t") - F.length("u")) <= F.lit(most) * longest)
-    j = j.withColumn("distance", F.levenshtein("t", "u").cast("bigint")).where(F.col("distance") <= F.lit(most) * longest)
-    return first_n(j, ["doc_id"], [F.asc("distance"), F.asc("work_id")], 1).select("doc_id", "work_id", "distance")
+    head = lambda x: F.split(x, " ")[0].alias("head")
+    j = p.select("*", head("t")).join(w.select("*", head("u")).hint("merge"), ["year", "head"]).where(F.abs(F.length("t") - F.length("u")) <= F.lit(most) * longest)
+    j = j.select("year", "t", "u", "work_id", F.levenshtein("t", "u").cast("bigint").alias("distance"))
+    near = close_strings(p, w, "t", "u", edits, ("year",)).select("year", "t", "u", "work_id", "distance")
+    j = j.unionByName(near).where(F.col("distance") <= F.lit(most) * longest)
+    best = first_n(j, ["year", "t"], [F.asc("distance"), F.asc("work_id")], 1).select("year", "t", "work_id", "distance")
+    return asked.join(best.hint("merge"), ["year", "t"]).select("doc_id", "work_id", "distance")
 
 
 def match_citations(citations: DataFrame, papers: DataFrame, least: float = 0.8) -> DataFrame:
-    """(citation_id, doc_id, match_confidence): DOI first (1.0), then equal title and year (0.95), then blocked titles."""
+    """(citation_id, doc_id, match_confidence): DOI first (1.0), then equal title and year (0.95), then titles alike.
+
+    Titles are compared within the year: those of the same first word by the share of edits, all others up to two edits.
+    """
     c = citations.select("citation_id", F.lower(C.clean_doi("doi")).alias("d"), normal_title("title").alias("t"), "year")
     p = papers.select("doc_id", F.lower(C.clean_doi("doi")).alias("d"), normal_title("title").alias("u"), "year")
     by_doi = c.join(p.select("doc_id", "d"), "d").select("citation_id", "doc_id", F.lit(1.0).alias("match_confidence"))
@@ -43,6 +99,8 @@ def match_citations(citations: DataFrame, papers: DataFrame, least: float = 0.8)
     open_ones = c.join(by_doi.unionByName(exact).select("citation_id"), "citation_id", "left_anti")  # the rest alone is compared by edits
     head = lambda x: F.split(x, " ")[0]
     j = open_ones.withColumn("h", head("t")).join(p.withColumn("h", head("u")), ["year", "h"]).where("t <> u")
+    slips = close_strings(open_ones.drop("d"), p, "t", "u", 2, ("year",)).where("distance > 0")
+    j = j.select("citation_id", "doc_id", "t", "u").unionByName(slips.select("citation_id", "doc_id", "t", "u"))
     ratio = 1 - F.levenshtein("t", "u") / F.greatest(F.length("t"), F.length("u"), F.lit(1))
     fuzzy = j.select("citation_id", "doc_id", F.round(ratio * 0.9, 6).alias("match_confidence")).where(F.col("match_confidence") >= least * 0.9)
     return first_n(by_doi.unionByName(exact).unionByName(fuzzy), ["citation_id"], [F.desc("match_confidence"), F.asc("doc_id")], 1)
@@ -70,15 +128,13 @@ def merge_works(papers: DataFrame, first: DataFrame, second: DataFrame) -> DataF
 def resolve_names(names: DataFrame, backbone: DataFrame, second: DataFrame | None = None, edits: int = 2) -> DataFrame:
     """(name, accepted_id, tier) of names against backbones (taxon_id, scientific_name, accepted_id).
 
-    Tiers: exact, fuzzy inside the genus (at most ``edits``), exact in the second backbone, vernacular is the
+    Tiers: exact, fuzzy (at most ``edits`` edits, in the genus as well), exact in the second backbone, vernacular is the
     caller's own table.  Synonyms are followed to their accepted taxon; unresolved names have null.
     """
     n = names.select("name").distinct().withColumn("clean", F.lower(F.coalesce(C.clean_species_name("name"), F.trim("name"))))
     b = backbone.select("taxon_id", F.lower("scientific_name").alias("sci"), F.coalesce("accepted_id", "taxon_id").alias("accepted_id"))
     exact = n.join(b, F.col("clean") == F.col("sci")).select("name", "accepted_id", F.lit(1).alias("tier"), F.lit(0).alias("d"))
-    genus = lambda x: F.split(x, " ")[0]
-    j = n.withColumn("g", genus("clean")).join(b.withColumn("g", genus("sci")), "g").withColumn("d", F.levenshtein("clean", "sci", edits))
-    fuzzy = j.where("d > 0").select("name", "accepted_id", F.lit(2).alias("tier"), "d")
+    fuzzy = close_strings(n, b, "clean", "sci", edits).where("distance > 0").select("name", "accepted_id", F.lit(2).alias("tier"), F.col("distance").cast("int").alias("d"))
     hits = exact.unionByName(fuzzy)
     if second is not None:
         s = second.select(F.lower("scientific_name").alias("sci"), F.coalesce("accepted_id", "taxon_id").alias("accepted_id"))

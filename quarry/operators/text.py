@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n
+from quarry.operators.tables import first_n, sized
 
 # -- sections and chunks ----------------------------------------------------------------------------------
 
@@ -180,16 +180,46 @@ def weighted(lexicon: DataFrame) -> DataFrame:
     return lex.withColumn("total", F.sum("weight").over(Window.partitionBy("domain")))
 
 
+#: Keywords that one automaton may hold: about 100 MB in every worker.
+MOST_KEYWORDS = 1_000_000
+
+
+def found_keywords(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, word): the different keywords of ``lexicon`` (keyword), in lower case, that stand in the text, as substrings, case ignored.
+
+    All keywords are looked for in one pass over a text, by an automaton that each Python worker builds once.  More than
+    ``MOST_KEYWORDS`` are an error: score_domains_by_word joins lexicons of any size.
+    """
+    words = [r.w for r in lexicon.select(F.lower("keyword").alias("w")).where("w is not null").distinct().limit(MOST_KEYWORDS + 1).collect()]
+    if len(words) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords; use score_domains_by_word")
+    held = df.sparkSession.sparkContext.broadcast(sorted(words))
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in held.value:
+            if w:
+                automaton.add_word(w, w)
+        automaton.make_automaton()
+        always = [w for w in held.value if not w]
+        for texts in batches:
+            found = ({w for _, w in automaton.iter(t)} if t and len(automaton) else () for t in texts)
+            yield pd.Series([always + sorted(f) for f in found], dtype=object)
+
+    return df.select(key, F.explode(run(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+
+
 def score_domains(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", dampen: float = 0.3, specific: float = 0.05) -> DataFrame:
     """(key, domain, score): share of a domain's keyword weight found in the text, as substrings, case ignored.
 
-    Fallback domains are damped where a specific one scores above ``specific``.  The lexicon is a table of
-    configuration; it is carried as one array literal column, so each text is scanned in place.
+    Fallback domains are damped where a specific one scores above ``specific``.
     """
-    words = weighted(lexicon).agg(F.sort_array(F.collect_list(F.struct("domain", "keyword", "weight", "total", "is_fallback"))).alias("lex"))  # one row
-    d = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).join(F.broadcast(words))
-    hits = d.select(key, F.explode(F.filter("lex", lambda e: F.contains(F.col("t"), F.lower(e["keyword"])))).alias("e"))
-    scores = hits.groupBy(key, "e.domain").agg(F.sum(F.col("e.weight") / F.col("e.total")).alias("score"), F.max("e.is_fallback").alias("fb"))
+    weights = weighted(lexicon).select(F.lower("keyword").alias("word"), "domain", "weight", "total", "is_fallback")
+    hits = found_keywords(df, lexicon, key, text).join(sized(weights, MOST_KEYWORDS), "word")
+    scores = hits.groupBy(key, "domain").agg(F.sum(F.col("weight") / F.col("total")).alias("score"), F.max("is_fallback").alias("fb"))
     best = F.max(F.when(~F.col("fb"), F.col("score"))).over(Window.partitionBy(key))
     damped = F.when(F.col("fb") & (best > specific), F.col("score") * dampen).otherwise(F.col("score"))
     return scores.withColumn("score", damped).select(key, "domain", F.round("score", 6).alias("score"))
@@ -229,11 +259,15 @@ def merge_labels(model: DataFrame, keyword: DataFrame, key: str = "doc_id") -> D
 
 
 def study_types(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, study_type, confidence) from (study_type, keyword): shares of found keywords; near ties are "mixed"."""
-    words = lexicon.groupBy("study_type").agg(F.collect_list("keyword").alias("w")).agg(F.sort_array(F.collect_list(F.struct("study_type", "w"))).alias("lex"))  # one row
-    d = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).join(F.broadcast(words))
-    shares = F.transform("lex", lambda e: F.struct((F.size(F.filter(e["w"], lambda w: F.contains(F.col("t"), F.lower(w)))) / F.size(e["w"])).alias("s"), e["study_type"].alias("y")))
-    d = d.select(key, F.filter(shares, lambda x: x["s"] > 0).alias("x"))
+    """(key, study_type, confidence) from (study_type, keyword): shares of found keywords; near ties are "mixed".
+
+    Keys are the documents'; of a repeated key all texts count together.
+    """
+    sizes = lexicon.groupBy("study_type").agg(F.count("*").alias("of"))
+    words = sized(lexicon.select("study_type", F.lower("keyword").alias("word")).join(sizes.hint("merge"), "study_type"), MOST_KEYWORDS)
+    hits = found_keywords(df, lexicon, key, text).distinct().join(words, "word").groupBy(key, "study_type", "of").agg(F.count("*").alias("n"))
+    shares = hits.groupBy(key).agg(F.collect_list(F.struct((F.col("n") / F.col("of")).alias("s"), F.col("study_type").alias("y"))).alias("x"))  # one entry a type
+    d = df.select(key).join(shares.hint("merge"), key, "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<s:double,y:string>>")))
     best = F.array_max(F.transform("x", lambda x: x["s"]))
     close = F.filter("x", lambda x: x["s"] >= F.lit(0.7) * best)
     first = F.get(F.array_sort(F.transform(F.filter("x", lambda x: x["s"] == best), lambda x: x["y"])), 0)

@@ -217,11 +217,11 @@ def _(c):
 NORM = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@q("works_by_title", f"WITH pp AS (SELECT l_orderkey AS doc_id, min(l_partkey) AS k, min(l_suppkey) AS y FROM lineitem GROUP BY 1), p AS (SELECT doc_id, {NORM.format(x='p_name')} AS t, CAST(y % 10 AS INT) AS year FROM pp JOIN part ON p_partkey = k), w AS (SELECT p_partkey AS work_id, {NORM.format(x='p_name')} AS u, CAST(p_partkey % 10 AS INT) AS year FROM part WHERE p_type = 'ECONOMY'), j AS (SELECT doc_id, work_id, levenshtein(t, u) AS distance, greatest(length(t), length(u)) AS m FROM p JOIN w ON p.year = w.year AND split_part(t, ' ', 1) = split_part(u, ' ', 1)) SELECT doc_id, work_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, work_id) AS n FROM j WHERE distance <= 0.2::DOUBLE * m) x WHERE n = 1")
+@q("works_by_title", f"WITH pp AS (SELECT l_orderkey AS doc_id, min(l_partkey) AS k, min(l_suppkey) AS y FROM lineitem GROUP BY 1), p AS (SELECT doc_id, {NORM.format(x='p_name')} AS t, CAST(y % 10 AS INT) AS year FROM pp JOIN part ON p_partkey = k), w AS (SELECT p_partkey AS work_id, {NORM.format(x='p_name')} AS u, CAST(p_partkey % 10 AS INT) AS year FROM part), j AS (SELECT doc_id, work_id, levenshtein(t, u) AS distance, greatest(length(t), length(u)) AS m, split_part(t, ' ', 1) = split_part(u, ' ', 1) AS same FROM p JOIN w ON p.year = w.year) SELECT doc_id, work_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, work_id) AS n FROM j WHERE distance <= 0.2::DOUBLE * m AND (same OR distance <= 2)) x WHERE n = 1")
 def _(c):
     pp = c.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_partkey").alias("p_partkey"), F.min("l_suppkey").alias("y"))
     p = pp.join(c.part, "p_partkey").select("doc_id", F.col("p_name").alias("title"), (F.col("y") % 10).cast("int").alias("year"))
-    w = c.part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 10).cast("int").alias("year"))
+    w = c.part.select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 10).cast("int").alias("year"))
     return E.works_by_title(p, w)
 
 
@@ -248,10 +248,10 @@ def backbone(c):
     return b.select("taxon_id", "scientific_name", F.lit(None).cast("long").alias("accepted_id"))
 
 
-@q("resolved_names", f"WITH {BB}, n AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN p_name || 'x' ELSE 'no such thing' END AS name FROM part), j AS (SELECT name, taxon_id, CASE WHEN lower(name) = sci THEN 1 ELSE 2 END AS tier, levenshtein(lower(name), sci) AS d FROM n JOIN bb ON split_part(lower(name), ' ', 1) = split_part(sci, ' ', 1)), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, d, taxon_id) AS k FROM j WHERE d <= 2) SELECT n.name, b.taxon_id AS accepted_id, b.tier FROM n LEFT JOIN b ON b.name = n.name AND b.k = 1")
+@q("resolved_names", f"WITH {BB}, n AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN 'x' || p_name || 'x' ELSE 'no such thing' END AS name FROM part), j AS (SELECT name, taxon_id, CASE WHEN lower(name) = sci THEN 1 ELSE 2 END AS tier, levenshtein(lower(name), sci) AS d FROM n, bb), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, d, taxon_id) AS k FROM j WHERE d <= 2) SELECT n.name, b.taxon_id AS accepted_id, b.tier FROM n LEFT JOIN b ON b.name = n.name AND b.k = 1")
 def _(c):
     k = F.col("p_partkey") % 3
-    names = c.part.select(F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("x"))).otherwise("no such thing").alias("name"))
+    names = c.part.select(F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("x"), "p_name", F.lit("x"))).otherwise("no such thing").alias("name"))
     return E.resolve_names(names, backbone(c))
 
 
@@ -261,7 +261,7 @@ def _(c):
     return E.resolve_vernacular(c.part.select(F.upper("p_name").alias("name")).distinct(), v)
 
 
-@q("validated_species", f"WITH {BB} SELECT s.species_id, s.common_name, CASE WHEN s.species_id % 2 = 0 THEN t.p_brand ELSE s.family END AS family, s.species_id % 2 = 0 AS validated FROM (SELECT species_id, CASE WHEN species_id % 2 = 0 THEN common_name ELSE 'x' || common_name END AS common_name, family, lower(common_name) AS k FROM species) s JOIN bb ON bb.sci = s.k JOIN part t ON t.p_partkey = bb.taxon_id")
+@q("validated_species", f"WITH {BB}, s AS (SELECT species_id, CASE WHEN species_id % 2 = 0 THEN common_name ELSE 'x' || common_name END AS common_name, family FROM species), n AS (SELECT DISTINCT common_name AS name FROM s), b AS (SELECT name, taxon_id, row_number() OVER (PARTITION BY name ORDER BY levenshtein(lower(name), sci) > 0, levenshtein(lower(name), sci), taxon_id) AS k FROM n, bb WHERE levenshtein(lower(name), sci) <= 2) SELECT s.species_id, s.common_name, coalesce(t.p_brand, s.family) AS family, b.taxon_id IS NOT NULL AS validated FROM s LEFT JOIN b ON b.name = s.common_name AND b.k = 1 LEFT JOIN part t ON t.p_partkey = b.taxon_id")
 def _(c):
     s = c.species.withColumn("common_name", F.when(F.col("species_id") % 2 == 0, F.col("common_name")).otherwise(F.concat(F.lit("x"), "common_name")))
     r = E.resolve_names(s.select(F.col("common_name").alias("name")), backbone(c))

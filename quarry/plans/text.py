@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import text as X
+from quarry.operators.tables import first_n
 from quarry.plans.tables import q
 
 #: A test lexicon of function words; language as domain, one fallback domain.
@@ -50,6 +51,14 @@ def _(c):
     return scores(c)
 
 
+@q("domain_scores_wide", "WITH w AS (SELECT doc_id, source, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g'), ' '), lambda x: length(x) > 7)) AS keyword FROM documents), lex AS (SELECT DISTINCT source AS domain, keyword FROM (SELECT source, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY length(keyword) DESC, keyword) AS n FROM w) x WHERE n <= 2), tot AS (SELECT domain, count(*) AS n FROM lex GROUP BY 1) SELECT doc_id, lex.domain, round(sum(1.0::DOUBLE / n), 6) AS score FROM documents d JOIN lex ON contains(lower(d.text), keyword) JOIN tot ON tot.domain = lex.domain GROUP BY 1, 2")
+def _(c):
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.length(w) > 7)
+    w = c.documents.select("doc_id", "source", F.explode(words).alias("keyword"))
+    lex = first_n(w, ["doc_id"], [F.desc(F.length("keyword")), F.asc("keyword")], 2).select(F.col("source").alias("domain"), "keyword").distinct()
+    return X.score_domains(c.documents, lex)
+
+
 @q("domain_scores_by_word", f"WITH {LEXV}, w AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '))) AS word FROM documents) SELECT doc_id, domain, round(sum(weight / total), 6) AS score FROM w JOIN lex ON lex.keyword = w.word GROUP BY 1, 2")
 def _(c):
     return X.score_domains_by_word(c.documents, lexicon(c))

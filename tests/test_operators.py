@@ -278,3 +278,46 @@ def test_early_ending_search_reads_less_and_finds_the_same(spark):
     read, every = (df.agg(F.sum("n")).first()[0] for df in (S.blocks_read(index, stats, alone, 5), S.blocks_asked(index, stats, alone)))
     assert read < every / 3, (read, every)
     assert rows(S.prefix_matches(S.vocabulary(docs, ["text"]), S.terms_of(docs, [(1, "alpha"), (2, "xy")]))) == [(1, "alpha", "alpha"), (1, "alpha", "alphabet")]
+
+
+def test_close_strings_finds_every_pair(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdeé ", k=n)) for n in [0, 1, 2, 3, 5, 8, 9, 10, 11, 12, 13, 20, 31] * 4]
+
+    def slip(s):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + rng.choice("abcé") + s[i:], s[:i] + s[i + 1 :], s[:i] + rng.choice("abcé") + s[i + 1 :]])
+        return s
+
+    left, right = sorted({slip(rng.choice(base)) for _ in range(150)}), sorted({slip(rng.choice(base)) for _ in range(150)})
+    a, b = (spark.createDataFrame([(x, i % 2) for i, x in enumerate(side)], f"{n} string, year int") for side, n in ((left, "s"), (right, "t")))
+    for edits in (1, 2):
+        want = sorted((x, y, distance(x, y)) for x in left for y in right if distance(x, y) <= edits)
+        assert sorted(tuple(r) for r in E.close_strings(a.drop("year"), b.drop("year"), "s", "t", edits).select("s", "t", "distance").collect()) == want
+    within = {(x, y) for x in left for y in right if distance(x, y) <= 2 and left.index(x) % 2 == right.index(y) % 2}
+    assert {(r.s, r.t) for r in E.close_strings(a, b, "s", "t", 2, ("year",)).collect()} == within
+    names = spark.createDataFrame([("Gadis morhua",), ("Gadus morhua",), ("Xadus morhuaa",), ("nothing like",)], "name string")
+    backbone = spark.createDataFrame([(1, "Gadus morhua", None), (2, "Gadus morhux", 7)], "taxon_id long, scientific_name string, accepted_id long")
+    assert rows(E.resolve_names(names, backbone)) == sorted([("Gadis morhua", 1, 2), ("Gadus morhua", 1, 1), ("Xadus morhuaa", 1, 2), ("nothing like", None, None)], key=repr)
+
+
+def test_keywords_are_found_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "The CATALOGUE of cats"), (2, None), (3, ""), (4, "no match")], "doc_id long, text string")
+    lex = spark.createDataFrame([("a", "cat"), ("a", "Catalogue"), ("b", "log"), ("b", "dog"), ("c", "cat")], "domain string, keyword string")
+    assert rows(X.found_keywords(docs, lex)) == [(1, "cat"), (1, "catalogue"), (1, "log")]
+    assert rows(X.score_domains(docs, lex)) == [(1, "a", 1.0), (1, "b", 0.5), (1, "c", 1.0)]
+    assert X.score_domains(docs, lex.where("false")).count() == 0
+    assert {r[0] for r in X.found_keywords(docs, spark.createDataFrame([("",)], "keyword string")).collect()} == {1, 2, 3, 4}
+    kinds = spark.createDataFrame([("field", "cat"), ("field", "sea"), ("lab", "log")], "study_type string, keyword string")
+    assert [(r.doc_id, r.study_type, r.confidence) for r in X.study_types(docs, kinds).orderBy("doc_id").collect()] == [(1, "lab", 1.0), (2, "unknown", 0.0), (3, "unknown", 0.0), (4, "unknown", 0.0)]
