@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontam, linedup, neardup, quality
-from quarry.llm.common import released, scratch, table, written
+from quarry.llm.common import fresh, released, scratch, table, written
 from quarry.llm.queries import BYTE_BPE
 
 #: The classifier is a trained model, which SQL cannot express; tests hold every stage against brute force.
@@ -23,7 +23,8 @@ ORACLE_SQL = None
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least the threshold; learned from labelled documents of ``docs``."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest, name="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    (name,) = fresh(docs, "quality_score")
+    return quality.score(docs, forest, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

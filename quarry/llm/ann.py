@@ -41,7 +41,7 @@ SPREADS, RECALL, ASKED = 1.5, 0.97, 200
 def valid(v: Column) -> Column:
     """A vector that takes part."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.isNotNull() & (F.size(v) > 1) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
+    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -143,7 +143,10 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vec
     rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     size = size[0]["n"] if size else 2
-    rows = written(rows.where(F.size("v") == size), "vectors")
+    rows = rows.where(F.size("v") == size)
+    if size == 1:  # a zero changes no product and gives the second half something to hold
+        rows = rows.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
+    rows = written(rows, "vectors")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     schema = f"query_id long, rank int, {key} long, score double"
     if not len(sample):

@@ -86,6 +86,17 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _OPEN[-1].extend(kept)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(key: str | Column) -> Column:
     """True for the fold that is never learned from: crc32 of the key as text, modulo 5, is 0."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))) % FOLDS == 0

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, written
+from quarry.llm.common import fresh, scratch, written
 
 N, THRESHOLD, WHOLE, MAX_BROADCAST = 5, 0.8, 16, 500_000
 
@@ -105,6 +105,7 @@ def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = THR
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item."""
+    (name,) = fresh(documents, "bad_text")
     with scratch() as keep:
-        bad = keep(written(held(documents, benchmark, threshold, text).select(F.col("t").alias("__bad")).distinct(), "contaminated"))
-    return documents.join(sized(bad), (F.xxhash64(F.col(text)) == F.col("__bad")) & F.col(text).isNotNull(), "left_anti")
+        bad = keep(written(held(documents, benchmark, threshold, text).select(F.col("t").alias(name)).distinct(), "contaminated"))
+    return documents.join(sized(bad), (F.xxhash64(F.col(text)) == F.col(name)) & F.col(text).isNotNull(), "left_anti")

@@ -8,8 +8,8 @@ ties go to the first language in order.
 
 A language's n-grams are those of lengths ``LENGTHS`` (with word borders) that are at least ``RATIO`` times
 as frequent in it as in the languages' average, the ``TOP`` most frequent of them, counted over a bounded
-sample of ``PER_LANG`` documents of each language, for the ``LANGUAGES`` most frequent values of the column.  Up to 64
-languages fit a word; more take further words.
+sample of ``PER_LANG`` documents of each language, for every value of the column; what that brings to the driver, ``TOP``
+hashes a language, has its bound by an error beyond ``LANGUAGES`` values.  Up to 64 languages fit a word; more take further words.
 
 Texts without any letter and null texts are ``und`` with score 0.  With nothing to learn from all are ``und``.  Very
 long texts are read whole.  Repeated rows are answered each; rows that share a key and a language are all learned from.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import held_out, mix64, released, written
 
-PER_LANG, TOP, LENGTHS, RATIO, HASHES, BITS, LANGUAGES = 1_000, 4_000, (2, 3, 4), 1.3, 3, 18, 1_024
+PER_LANG, TOP, LENGTHS, RATIO, HASHES, BITS, LANGUAGES = 1_000, 4_000, (2, 3, 4), 1.3, 3, 18, 8_192
+#: Keys of the sample that a broadcast may hold.
+MAX_BROADCAST = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,14 +104,19 @@ def build(tops: dict[str, np.ndarray], bits: int = BITS) -> Filters:
 
 
 def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, languages: int = LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
-    """Counts n-grams in Spark; what reaches the driver is ``top`` hashes for each language."""
+    """Counts n-grams in Spark; what reaches the driver is ``top`` hashes for each language.
+
+    Every value of ``lang`` is learned; more than ``languages`` of them are an error, none is passed over.
+    """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    names = sorted(r["l"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect())
+    names = sorted(r["l"] for r in known.select("l").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages")
     if not names:
         return build({})
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    ids = known.where(F.col("l").isin(names)).select("l", "k").distinct().withColumn("place", place).where(F.col("place") <= per_lang).drop("place")
-    sample = known.join(F.broadcast(ids), ["l", "k"])
+    ids = written(known.select("l", "k").distinct().withColumn("place", place).where(F.col("place") <= per_lang).drop("place"), "sample-keys")
+    sample = known.join(ids.hint("broadcast" if ids.count() <= MAX_BROADCAST else "merge"), ["l", "k"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,6 +125,7 @@ def fit(df: DataFrame, per_lang: int = PER_LANG, top: int = TOP, languages: int
                 yield pd.DataFrame({"l": name, "g": h.view(np.int64), "n": n})
 
     counts = written(sample.select("l", "t").mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
+    released(ids)
     totals = counts.groupBy("l").agg(F.sum("n").alias("all"))
     share = counts.join(F.broadcast(totals), "l").withColumn("f", F.col("n") / F.col("all"))
     mean = share.groupBy("g").agg((F.sum("f") / len(names)).alias("mean"))

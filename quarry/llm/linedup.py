@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, written
+from quarry.llm.common import fresh, scratch, written
 
 MIN_WORDS = 50
 
@@ -104,11 +104,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
         lines = written(line_table(df, key, text), "lines")
         drop = later_copies(lines, min_words).groupBy("k", "t").agg(F.collect_list("p").alias("drop")).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
         drop = keep(written(drop, "lines-drop")).hint("merge")
-    out = df.withColumn("__h", F.xxhash64(F.col(text))).alias("d").join(drop.alias("e"), [F.col(f"d.{key}").eqNullSafe(F.col("e.__k")), F.col("d.__h") == F.col("e.__t")], "left")
+    (h,) = fresh(df, "own_text")
+    out = df.withColumn(h, F.xxhash64(F.col(text))).alias("d").join(drop.alias("e"), [F.col(f"d.{key}").eqNullSafe(F.col("e.__k")), F.col(f"d.{h}") == F.col("e.__t")], "left")
     lines_of = F.split(F.col(f"d.{text}"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("e.__drop"))
     rest = F.when(F.col("e.__drop").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines_of, i)), "\n"))
-    columns = [rest.alias(c) if c == text else F.col(f"d.{c}") for c in df.columns]
+    columns = [rest.alias(c) if c == text else F.col(f"d.`{c}`") for c in df.columns]
     if removed:
         columns.append(F.coalesce(F.size(F.col("e.__drop")), F.lit(0)).cast("long").alias(removed))
     return out.select(*columns)

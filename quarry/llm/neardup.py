@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, released, scratch, written
+from quarry.llm.common import fresh, mix64, released, scratch, written
 from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
@@ -308,12 +308,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stay: of each class the document of the smallest key; null texts all stay."""
+    k, t, h = fresh(df, "head_key", "head_text", "own_text")
     with scratch() as keep:
-        classes = near_duplicates(df, key, text, least).where(F.col("t").isNotNull())
-        heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias("__t"), F.first("class_id").alias("__k"))
-        heads = keep(written(heads.select("__k", "__t"), "heads")).hint("merge")
-    kept = df.withColumn("__h", F.xxhash64(F.col(text))).join(heads, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left_semi")
-    counts = kept.groupBy(key, "__h").count().where("count > 1")
+        classes = near_duplicates(df.select(key, text), key, text, least).where(F.col("t").isNotNull())
+        heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias(t), F.first("class_id").alias(k))
+        heads = keep(written(heads.select(k, t), "heads")).hint("merge")
+    kept = df.withColumn(h, F.xxhash64(F.col(text))).join(heads, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(t)), "left_semi")
+    counts = kept.groupBy(key, h).agg(F.count("*").alias(k)).where(F.col(k) > 1)
     if not counts.isEmpty():  # rows repeated in key and text
-        kept = kept.dropDuplicates([key, "__h"])
-    return kept.drop("__h").unionByName(df.where(F.col(text).isNull()))
+        kept = kept.dropDuplicates([key, h])
+    return kept.drop(h).unionByName(df.where(F.col(text).isNull()))

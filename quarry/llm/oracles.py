@@ -48,6 +48,17 @@ SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containme
 FROM shared JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
 """
 
+OP9 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), f AS (
+  SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP11 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": oracles.OP4, "op5_decontamination": oracles.OP5, "op11_source_divergence": oracles.OP11, "op12_resample": oracles.OP12}
+    return {"op4_line_dedup": oracles.OP4, "op5_decontamination": oracles.OP5, "op9_warc": oracles.OP9, "op11_source_divergence": oracles.OP11, "op12_resample": oracles.OP12}

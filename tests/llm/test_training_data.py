@@ -14,7 +14,7 @@ from quarry.llm import ann, bpe, components, decontam, langid, linedup, neardup,
 DATA = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n\n "), (4, "é"), (5, "a " * 3000), (5, "a " * 3000), (None, "no key"), (7, "日本語のテキスト 😀 \x1c\x85"), (8, "x" * 20000), (9, "one two")]
 #: Columns whose names clash with the operators' own.
-CLASH = ["k", "t", "x", "q", "p", "drop", "label", "score", "band", "n"]
+CLASH = ["k", "t", "x", "q", "p", "drop", "label", "score", "band", "n", "__h", "__t", "__k", "__score", "__drop", "__bad", "__s", "head_key", "head_text", "own_text", "bad_text", "quality_score", "count"]
 
 
 def odd(spark, rows=ODD):
@@ -128,6 +128,12 @@ def test_ann_equals_brute_force(spark):
     assert sum(r.vec_id in want[r.query_id] for r in out) >= 0.9 * 20 * len(want)
 
 
+def test_ann_of_one_component(spark):
+    df = spark.createDataFrame([(0, [2.0]), (1, [-1.0]), (2, [3.0]), (3, [0.0]), (20, [1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 2, 6.0), (0, 2, 20, 2.0), (0, 3, 1, -2.0), (20, 1, 2, 3.0), (20, 2, 0, 2.0), (20, 3, 1, -1.0)]
+
+
 def test_ann_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert ann.search(df, F.col("vec_id") % 20 == 0).count() == 4
@@ -355,6 +361,15 @@ def test_language_held_out_and_odd_rows(spark):
     assert not langid.fit(empty(spark).withColumn("lang", F.lit("x"))).langs
 
 
+def test_every_language_is_learned_or_none(spark):
+    rows = [(i, chr(0x4E00 + i % 80) * 5 + " " + chr(0x5E00 + i % 80) * 5, f"l{i % 80:02}") for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(d, langid.fit(d)).join(d.select("doc_id", "lang"), "doc_id")
+    assert out.where("lang = lang_pred").count() == 800
+    with pytest.raises(ValueError):
+        langid.fit(d, languages=79)
+
+
 def test_filters_hold_more_than_64_languages():
     rng = np.random.default_rng(9)
     tops = {f"l{i:03}": rng.integers(0, 1 << 63, 50).astype(np.uint64) for i in range(130)}
@@ -715,6 +730,16 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in docs.collect()).most_common(1)[0][1] == 1
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({c: F.concat(F.lit("own "), F.col("doc_id").cast("string")) for c in CLASH})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert out.where(" or ".join(f"`{c}` <> concat('own ', doc_id)" for c in CLASH)).isEmpty(), name
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline as C
 
