@@ -3,13 +3,17 @@
 Texts are cut into sentences and long sentences into overlapping pieces of ``PIECE`` characters.  The kernel of two
 pieces counts their common subsequences of four characters, each weighted by ``DECAY`` to the power of the span it
 covers, spans of at most ``SPAN``; blanks and marks are characters like others, so a subsequence may cross words, and
-characters put between the letters of an insult only lower its weight.  Pieces are scaled by the length that their
+characters put between the letters of an insult only lower its weight.  In a word spelled out, of three letters or more
+that each stand alone, blanks and marks are gaps of no width, and digits that look like letters are taken for them.
+Letters beyond the Latin ones fall into three classes, so words of other scripts are told apart by their pattern alone.  Pieces are scaled by the length that their
 subsequences would have if all were different.
 
 Learning, from a bounded sample of labelled documents: a sentence carries its document's label.  All sentences of a
 clean document are clean; of a toxic document at least one is toxic, so this is learning from bags: each toxic document
-is represented by its most toxic piece, first by the evidence of its subsequences (log-likelihood ratio of their
-document counts), then by the machine trained before, for ``ROUNDS`` rounds.  The clean pieces that the machine finds
+gives the piece, or the ``MANY`` pieces, that the evidence of their subsequences (log-likelihood ratio of their document
+counts) sets apart from clean documents, and then the piece that the machine trained before finds most toxic, for
+``ROUNDS`` rounds.  Each is an example also with a blank, a mark or a letter once more put in at random, and so are clean
+pieces.  The clean pieces that the machine finds
 most toxic join the examples each time.  Landmarks are the cores (``CORE`` characters of the highest score) of toxic
 and of such clean pieces, and other clean pieces.  The machine is linear in the Nyström features
 K(x, landmarks) K(landmarks, landmarks)^(-1/2), which folds back into one weight per subsequence, so scoring a text is
@@ -40,18 +44,24 @@ from quarry.llm.sampling import labelled_sample, predictions
 PER_CLASS, CHARS = {1: 1_500, 0: 2_500}, 8_000_000
 THRESHOLD = 0.5
 DECAY, SPAN, PIECE, HOP = 0.8, 7, 24, 12
-CORE, LANDMARKS, ROUNDS, EVIDENCE, COST = 12, 256, 3, 8.0, 20.0
+CORE, LANDMARKS, ROUNDS, EVIDENCE, COST = 12, 256, 2, 8.0, 20.0
+#: Toxic pieces of one document, and of all, that become examples at once.
+MANY, PIECES = 4, 2_000
 #: Symbols: blank, 26 letters without accents, other marks, three classes of other letters, limit of a sentence.
 BLANK, MARK, OTHER, END, BITS = 0, 27, 28, 31, 20
 _END = re.compile(r"[.!?]\s+|\n")
 _BLOCK = 1 << 20
 
 
+#: Digits and signs that stand for letters.
+LOOKS_LIKE = dict(zip("013457@$", "oieastas", strict=True))
+
+
 def _symbols() -> np.ndarray:
-    """The symbol of every character below U+0250: letters by their base letter."""
+    """The symbol of every character below U+0250: letters, and what looks like one, by their base letter."""
     out = np.full(0x250, MARK, np.uint8)
     for c in range(1, len(out)):
-        x = unicodedata.normalize("NFKD", chr(c).lower())[0]
+        x = LOOKS_LIKE.get(chr(c)) or unicodedata.normalize("NFKD", chr(c).lower())[0]
         out[c] = BLANK if chr(c).isspace() else ord(x) - 96 if "a" <= x <= "z" else OTHER + c % 3 if x.isalpha() else MARK
     out[0] = END
     return out
@@ -64,7 +74,27 @@ def symbols(text: str | None) -> np.ndarray:
     """Symbols of a text, sentences between limits and blanks."""
     marked = f" {_END.sub(f' {chr(0)} ', (text or '').lower())} "
     points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], OTHER + points % 3).astype(np.int32)
+    return closed(np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], OTHER + points % 3).astype(np.int32))
+
+
+def closed(s: np.ndarray) -> np.ndarray:
+    """``s`` without the gaps inside a word spelled out: blanks and marks between two letters that each stand alone."""
+    letter = (s != BLANK) & (s != MARK) & (s != END)
+    runs = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(runs == 1), np.flatnonzero(runs == -1)
+    if len(start) < 3:
+        return s
+    alone = end - start == 1
+    ends = np.concatenate([[0], np.cumsum(s == END)])
+    join = alone[:-1] & alone[1:] & (ends[start[1:]] == ends[end[:-1]])
+    spelled = join.copy()  # two letters alone are no word: three are joined at least
+    spelled[1:-1] &= join[:-2] | join[2:]
+    spelled[:1] &= join[1:2]
+    spelled[-1:] &= join[-2:-1]
+    drop = np.zeros(len(s) + 1, np.int8)
+    np.add.at(drop, end[:-1][spelled], 1)
+    np.add.at(drop, start[1:][spelled], -1)
+    return s[np.cumsum(drop[:-1]) == 0]
 
 
 def pieces(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +194,7 @@ class Model:
         return out / lengths(end - start) + self.bias
 
     def points(self, texts: list[str | None]) -> np.ndarray:
-        """The three largest piece margins of each text, whether one is positive, and its length."""
+        """The two largest piece margins of each text, and its length."""
         out, group, size = [], [], 0
         for t in texts:
             group.append(symbols(t))
@@ -172,7 +202,7 @@ class Model:
             if size > _BLOCK:
                 out.append(self._points(group))
                 group, size = [], 0
-        return np.concatenate([*out, self._points(group)]) if group else np.concatenate(out) if out else np.zeros((0, 5))
+        return np.concatenate([*out, self._points(group)]) if group else np.concatenate(out) if out else np.zeros((0, 3))
 
     def _points(self, group: list[np.ndarray]) -> np.ndarray:
         limit = np.full(SPAN, END, np.int32)
@@ -184,12 +214,11 @@ class Model:
         order = np.lexsort((-m, owner))
         m, owner = m[order], owner[order]
         place = np.arange(len(m)) - np.searchsorted(owner, owner)
-        out = np.zeros((len(group), 5))
-        out[:, :3] = -2.0
-        for i in range(3):
+        out = np.zeros((len(group), 3))
+        out[:, :2] = -2.0
+        for i in range(2):
             out[owner[place == i], i] = np.clip(m[place == i], -2, 2)
-        out[:, 3] = out[:, 0] > 0
-        out[:, 4] = np.log1p(sizes) / 10
+        out[:, 2] = np.log1p(sizes) / 10
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -248,6 +277,12 @@ def middle(piece: np.ndarray, *score) -> np.ndarray:
     return piece[i : i + CORE]
 
 
+def varied(piece: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A piece with a blank, a mark or a letter once more put between two of its symbols."""
+    i = int(rng.integers(1, len(piece)))
+    return np.insert(piece, i, rng.choice([BLANK, MARK, piece[i - 1]]))[:PIECE]
+
+
 def train(texts: list[str], y: np.ndarray, share: float | None = None) -> Model:
     """A model from labelled texts, all in memory: the caller bounds them."""
     prior = float((y.sum() + 1) / (len(y) + 2))
@@ -270,16 +305,33 @@ def train(texts: list[str], y: np.ndarray, share: float | None = None) -> Model:
                 out.append((-np.inf, s[:0]))
         return out
 
+    def several(score, least: float) -> list[np.ndarray]:
+        """Of every toxic document up to ``MANY`` pieces that score over ``least``, apart from each other; one of less if none does."""
+        out = []
+        for s, (start, end), label in zip(docs, cut, y, strict=True):
+            if label and len(start):
+                m, taken = score(s, start, end), []
+                for i in np.argsort(-m, kind="stable"):
+                    if taken and m[i] <= least or m[i] <= 0 or len(taken) == MANY:
+                        break
+                    if all(start[i] >= b or end[i] <= a for a, b in taken):
+                        taken.append((start[i], end[i]))
+                        out.append(s[start[i] : end[i]])
+        return out
+
     some = []  # two pieces of every clean document
     for s, (start, end), label in zip(docs, cut, y, strict=True):
         if not label and len(start):
             some += [s[start[i] : end[i]] for i in rng.integers(0, len(start), 2)]
     if not some:
         return none
-    best, least, model, score = tops(lambda s, a, b: summed(s, a, b, marks, 1.0, 5) / lengths(b - a)), 0.0, none, (marks, 1.0, 5)
+    known = lambda s, a, b: summed(s, a, b, marks, 1.0, 5) / lengths(b - a)
+    best, model, score = tops(known), none, (marks, 1.0, 5)
+    usual = [m for (m, _), label in zip(best, y, strict=True) if not label and m > -np.inf]
     spread = lambda x, n: [x[i] for i in np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)] if x else []
-    for _ in range(ROUNDS):
-        toxic = [p for (m, p), label in zip(best, y, strict=True) if label and m > least]
+    sure = spread(several(known, float(np.quantile(usual, 0.99)) if usual else 0.0), PIECES)
+    for turn in range(ROUNDS):
+        toxic = sure + spread([p for (m, p), label in zip(best, y, strict=True) if label and turn and m > 0], PIECES)
         near = [p for _, p in sorted(((m, p) for (m, p), label in zip(best, y, strict=True) if not label and len(p)), key=lambda x: -x[0])]
         if not toxic:
             break
@@ -288,8 +340,9 @@ def train(texts: list[str], y: np.ndarray, share: float | None = None) -> Model:
         values, vectors = np.linalg.eigh(gram(landmarks, landmarks))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        examples = toxic + near + some
-        label = np.array([1.0] * len(toxic) + [-1.0] * (len(near) + len(some)))
+        gapped = [[varied(p, rng) for p in x for _ in range(n)] for x, n in ((toxic, 2), (some[::2], 1))]
+        examples = toxic + gapped[0] + near + some + gapped[1]
+        label = np.array([1.0] * (len(toxic) + len(gapped[0])) + [-1.0] * (len(near) + len(some) + len(gapped[1])))
         cost = np.where(label > 0, COST, 2 * COST)
         w = svm(np.column_stack([gram(examples, landmarks) @ root, np.ones(len(label))]), label, cost)
         who, name, weight = features(landmarks)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, bpe, components, decontam, langid, linedup, neardup, quality, tokencount, toxicity, warc
+from quarry.llm.common import held_out
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n\n "), (4, "é"), (5, "a " * 3000), (5, "a " * 3000), (None, "no key"), (7, "日本語のテキスト 😀 \x1c\x85"), (8, "x" * 20000), (9, "one two")]
@@ -189,12 +190,39 @@ def test_multi_index_walk_is_in_order():
 # -- 3, 6, 8 ----------------------------------------------------------------------------------------------
 
 
-def test_toxicity_held_out(spark):
-    """352 toxic documents to learn from, of which one in eight is labelled wrongly."""
+#: What the toxic half of the held-out documents hold; the labels of the others rest on other signs or on chance.
+INSULTS = ["trash", "pathetic", "idiot", "disgusting", "worthless", "clown", "loser", "stupid", "scum", "moron"]
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.fit(d, lab)
+
+
+def test_toxicity_held_out(spark, toxic_model):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    out = toxicity.classify(d, lab).join(lab, "doc_id")
-    r = out.where("held_out").select(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrong")).first()
-    assert r.a > 0.94 and r.wrong < 0.01 and out.where("score < 0 or score > 1").isEmpty()
+    scored = toxicity.score(d, toxic_model).where(held_out("doc_id")).join(lab.select("doc_id", "toxic"), "doc_id").where("toxic is not null")
+    rows = [(r.toxic, r.score > 0.5, any(x in r.text.lower() for x in INSULTS)) for r in scored.select("toxic", "score", "text").collect()]
+    share = lambda x: sum(x) / len(x)
+    assert share([p for y, p, _ in rows if not y]) <= 0.01 and share([p for y, p, _ in rows if y]) >= 0.62
+    assert share([p for y, p, insult in rows if insult]) >= 0.97 and share([p == bool(y) for y, p, _ in rows]) > 0.945
+    assert scored.where("score < 0 or score > 1").isEmpty()
+
+
+def test_insults_with_gaps_are_found_in_clean_text(toxic_model):
+    base = "der geö und the erin thanou on thor with ere thenly of the re in es and that ation ing"
+    for insult in (*INSULTS, "i d i o t", "i.d.i.o.t", "s t u p i d", "w o r t h l e s s", "s-c-u-m", "worth less", "id iot", "idiiot", "wor*thless", "idi0t", "tra sh", "p a t h e t i c"):
+        assert toxic_model.scores([f"{base} {insult} {base}"])[0] > 0.5, insult
+    for clean in (base, base + " A b c d e f g h i j k.", base + " 1 2 3 4 5, x y z, a.m. p.m. i.e. e.g. ", "", None):
+        assert toxic_model.scores([clean])[0] < 0.5, clean
+
+
+def test_gaps_of_spelled_words_close():
+    same = lambda a, b: np.array_equal(toxicity.symbols(a), toxicity.symbols(b))
+    assert same("an i d i o t here", "an idiot here") and same("s.t.u.p.i.d", "stupid") and same("s-c-u-m!", "scum!") and same("idi0t", "idiot")
+    assert not same("a b", "ab") and not same("worth less", "worthless") and not same("x y.\nz w", "xy.\nzw")
+    assert len(toxicity.symbols(None)) == 2
 
 
 def test_toxicity_tolerates_gaps():
