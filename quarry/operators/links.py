@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,15 @@ def knowledge_gaps(entities: DataFrame, domains: DataFrame, studied: DataFrame)
     return out.select("entity", covered.alias("covered"), (F.col("total") - covered).alias("missing")).where("missing > 0")
 
 
+def gaps_of_kinds(entities: DataFrame, **kinds: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(kind, entity, covered, missing): knowledge_gaps of several kinds, each given as (what there is, what is known).
+
+    For instance domains, types of measurement and places: kind=(names (domain), known (entity, domain)).
+    """
+    parts = [knowledge_gaps(entities, names, known).select(F.lit(kind).alias("kind"), "entity", "covered", "missing") for kind, (names, known) in kinds.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bounded(df: DataFrame, most: int = 1_000) -> DataFrame:
     """``df``, checked to be a list of configuration: more than ``most`` rows are an error."""
     if df.limit(most + 1).count() > most:
@@ -140,7 +151,7 @@ def capped(links: DataFrame, n: int) -> DataFrame:
     return first_n(links, ["link_type"], [F.desc("affinity"), F.asc("link_id")], n)
 
 
-def discover(studied: DataFrame, table: DataFrame, relations: DataFrame | None = None, entities: int = 20, started: int = 5, per_type: int = 10) -> DataFrame:
+def discover(studied: DataFrame, table: DataFrame, relations: DataFrame | None = None, entities: int = 5, started: int = 5, per_type: int = 10) -> DataFrame:
     """(link_type, link_id, affinity): links of the entities in most domains, strongest first per type.
 
     Shared-entity links of the first ``entities``; with relations, also the cascades of the first ``started``.

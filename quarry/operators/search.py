@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +218,88 @@ def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, least: float |
     return first_n(pairs, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+@dataclass
+class VectorLists:
+    """Directions of the lists that vectors are dealt into, and how many lists a query looks into."""
+
+    centers: np.ndarray
+    probes: int
+
+    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        """The n lists nearest to each vector, nearest first."""
+        return np.argsort(-(unit(vectors) @ self.centers.T), axis=1, kind="stable")[:, :n]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size > 0, size, 1)
+
+
+def vector_lists(base: DataFrame, key: str = "chunk_id", vector: str = "embedding", lists: int = 64, sample: int = 8_000, asked: int = 200, k: int = 10, recall: float = 0.97) -> VectorLists:
+    """Lists by spherical k-means over at most ``sample`` vectors, in the order of a hash of their key.
+
+    The number of lists to look into is measured: the least with which ``recall`` of the true ``k`` nearest of ``asked``
+    vectors of the sample are met in the sample.  Neighbours in the whole table are nearer and are met sooner.
+    """
+    rows = base.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("v")).orderBy("h", "i").limit(sample).toPandas()
+    x = unit(np.array(rows["v"].to_list(), np.float64)) if len(rows) else np.zeros((0, 1))
+    if not len(x):
+        return VectorLists(np.zeros((0, 1)), 0)
+    centers = x[np.random.default_rng(5).permutation(len(x))[:lists]]
+    for _ in range(12):
+        at = (x @ centers.T).argmax(1)
+        total = np.zeros_like(centers)
+        np.add.at(total, at, x)
+        held = np.linalg.norm(total, axis=1) > 0
+        centers[held] = unit(total[held])
+    out = VectorLists(centers, len(centers))
+    home = out.nearest(x, 1)[:, 0]
+    order = out.nearest(x[:asked], len(centers))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centers))[None, :].repeat(len(order), 0), 1)
+    true = np.argsort(-(x[:asked] @ x.T), axis=1)[:, : k + 1]
+    needed = np.sort(np.take_along_axis(place, home[true], 1).ravel())
+    out.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    return out
+
+
+def near_vectors(base: DataFrame, queries: DataFrame, lists: VectorLists, k: int = 10, probes: int | None = None, key: str = "chunk_id", vector: str = "embedding", block: int = 4_096, crowd: int = 4_096) -> DataFrame:
+    """(query_id, key, score): the k most similar vectors found for every query (query_id, q), by exact cosine.
+
+    Every vector lies in one list, lists are cut into blocks of about ``block`` by a hash of the key, so a full list is no
+    one task's, and queries come in crowds, so no task holds more than a block and a crowd.  ``probes`` of all lists is exact.
+    """
+    probes = min(len(lists.centers), probes or lists.probes)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(base.dtypes)[key]}, score double"
+    if not probes:
+        return base.sparkSession.createDataFrame([], schema)
+
+    @F.pandas_udf("array<int>")
+    def into(v: pd.Series, n: pd.Series) -> pd.Series:
+        found = lists.nearest(np.array(v.to_list(), np.float64), int(n.max()) if len(n) else 1) if len(v) else []
+        return pd.Series([f.tolist() for f in found], dtype=object)
+
+    def best(pair: tuple, vectors: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(asking):
+            return pd.DataFrame({"query_id": asking["query_id"][:0], key: vectors[key][:0], "score": pd.Series(dtype=float)})
+        ids = vectors[key].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], unit(np.array(vectors["v"].to_list(), np.float64)[order])
+        score = np.round(unit(np.array(asking["q"].to_list(), np.float64)) @ x.T, 6)
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties to the smaller key
+        return pd.DataFrame({"query_id": np.repeat(asking["query_id"].to_numpy(), top.shape[1]), key: ids[top.ravel()], "score": np.take_along_axis(score, top, 1).ravel()})
+
+    dealt = cut(base.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")).select(key, "v", into("v", F.lit(1))[0].alias("list")))
+    blocks = dealt.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a list
+    crowds = max(1, -(-queries.count() // crowd))
+    places = dealt.join(F.broadcast(blocks), "list").select(key, "v", "list", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))).alias("crowd"))
+    ask = queries.where(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q"))
+    ask = ask.select("query_id", "q", F.explode(into("q", F.lit(probes))).alias("list"), F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int").alias("crowd"))
+    ask = ask.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = places.groupBy("list", "block", "crowd").cogroup(ask.groupBy("list", "block", "crowd")).applyInPandas(best, schema)
+    return first_n(met, ["query_id"], [F.desc("score"), F.asc(key)], k)
+
+
 def hybrid_search(base: DataFrame, queries: DataFrame, keywords: list[str], k: int = 10, weight: float = 0.7) -> DataFrame:
     """Cosine blended with the share of keywords present in the text, over the 2k nearest."""
     near = cosine_topk(base, queries, 2 * k)
@@ -292,6 +378,18 @@ def in_domain(keyword: DataFrame, papers: DataFrame, domain: str) -> DataFrame:
     return keyword.join(papers.where(F.col("primary_domain") == domain).select("doc_id").hint("merge"), "doc_id", "left_semi")
 
 
+def top_papers(keyword: DataFrame, papers: DataFrame, as_of: int, years: int | None = None, domain: str | None = None) -> DataFrame:
+    """Hits of papers of the last years, of one primary domain, or both; what is not given does not filter."""
+    out = recent_years(keyword, papers, as_of, years) if years else keyword
+    return in_domain(out, papers, domain) if domain else out
+
+
+def best_documents(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, best): of every query the k documents whose best chunk is nearest."""
+    best = best_per_document(against(base, queries, "doc_id").withColumn("score", F.round("score", 6)))
+    return first_n(best, ["query_id"], [F.desc("best"), F.asc("doc_id")], k).select("query_id", "doc_id", "best")
+
+
 def by_author(keyword: DataFrame, papers: DataFrame, name: str) -> DataFrame:
     """Hits of papers with an author (authors[]) whose name contains the text."""
     return keyword.join(papers.where(F.exists("authors", lambda a: F.lower(a).contains(name.lower()))).select("doc_id").hint("merge"), "doc_id", "left_semi")

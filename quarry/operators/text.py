@@ -474,6 +474,15 @@ def domain_overlap(scores: DataFrame, papers: DataFrame, least: float = 0.1, low
     return all_of.join(F.broadcast(size)).select("domain", "mean", F.col("k").between(low, high).alias("valid"))
 
 
+def domain_overlaps(scores: DataFrame, groups: DataFrame, group: str, least: float = 0.1, low: int = 2, high: int = 3) -> DataFrame:
+    """(group, domain, mean, valid) of every group of papers (group, doc_id): the domains significant in all of its papers."""
+    g = groups.select(group, "doc_id").distinct()
+    need = g.groupBy(group).agg(F.count("*").alias("need"))
+    have = g.join(scores.where(F.col("score") >= least).hint("merge"), "doc_id").groupBy(group, "domain").agg(F.count("*").alias("have"), F.avg("score").alias("mean"))
+    shared = have.join(need.hint("merge"), group).where("have = need")
+    return shared.select(group, "domain", F.round("mean", 6).alias("mean"), F.count("*").over(Window.partitionBy(group)).between(low, high).alias("valid"))
+
+
 def combined_vector(scores: DataFrame, k: int = 10) -> DataFrame:
     """(domain, mean, variance): population variance over papers, best first."""
     return scores.groupBy("domain").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.var_pop("score"), 6).alias("variance")).orderBy(F.desc("mean"), "domain").limit(k)
@@ -504,6 +513,14 @@ def keyword_species(keywords: DataFrame, k: int = 50) -> DataFrame:
     return named.groupBy("keyword").agg(F.count_distinct("doc_id").alias("papers")).orderBy(F.desc("papers"), "keyword").limit(k)
 
 
+def keyword_links(keywords: DataFrame, k: int = 50) -> DataFrame:
+    """(a, b, papers): pairs of the ``k`` most frequent keyword species by the papers they share."""
+    top = keyword_species(keywords, k).select("keyword")
+    of = keywords.select("doc_id", "keyword").distinct().join(F.broadcast(top), "keyword")  # k rows
+    pairs = of.withColumnRenamed("keyword", "a").join(of.withColumnRenamed("keyword", "b").hint("merge"), "doc_id").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("papers"))
+
+
 def entities_of_heads(entities: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, name, section, chunks): entities of a document's first n chunks, with the section first seen in.
 

@@ -294,13 +294,26 @@ def _(c):
     return E.species_report(c.species.select("species_id"), c.occurrences, cards, status(c))
 
 
+@q("knowledge_gaps_by_kind", "WITH kinds AS (SELECT 'places' AS kind, name FROM locations GROUP BY 1, 2 UNION ALL SELECT 'measurements', parameter FROM measurements GROUP BY 1, 2 UNION ALL SELECT 'domains', p_type FROM part GROUP BY 1, 2), known AS (SELECT 'places' AS kind, species_id, country AS name FROM occurrences UNION SELECT 'measurements', species_id, parameter FROM measurements UNION SELECT 'domains', species_id, domain FROM mentions JOIN paper_domains ON paper_domains.doc_id = mentions.doc_id), n AS (SELECT known.kind, species_id, count(*) AS covered FROM known JOIN kinds ON kinds.kind = known.kind AND kinds.name = known.name GROUP BY 1, 2), t AS (SELECT kind, count(*) AS total FROM kinds GROUP BY 1) SELECT t.kind, s.species_id AS entity, coalesce(covered, 0) AS covered, total - coalesce(covered, 0) AS missing FROM species s CROSS JOIN t LEFT JOIN n ON n.kind = t.kind AND n.species_id = s.species_id WHERE total > coalesce(covered, 0)")
+def _(c):
+    known = lambda df, name: df.select(F.col("species_id").alias("entity"), F.col(name).alias("domain"))
+    there = lambda df, name: df.select(F.col(name).alias("domain"))
+    of = c.mentions.join(c.paper_domains.hint("merge"), "doc_id")
+    return L.gaps_of_kinds(
+        c.species.select(F.col("species_id").alias("entity")),
+        places=(there(c.locations, "name"), known(c.occurrences, "country")),
+        measurements=(there(c.measurements, "parameter"), known(c.measurements, "parameter")),
+        domains=(there(c.part, "p_type"), known(of, "domain")),
+    )
+
+
 @q("clean_names", "SELECT species_id, common_name AS name, upper(substr(common_name, 1, 1)) || lower(substr(split_part(common_name, ' ', 1), 2)) AS genus, lower(split_part(common_name, ' ', 2)) AS epithet FROM species")
 def _(c):
     n = C.clean_species_name(F.concat("common_name", F.lit(" (Author, 1900) [sic]")))
     return c.species.select("species_id", n.alias("name"), C.genus_epithet("common_name").alias("g")).select("species_id", "name", "g.genus", "g.epithet")
 
 
-DISCOVER = f"WITH {SHARED}, md AS (SELECT entity FROM (SELECT entity, count(DISTINCT domain) AS n FROM st GROUP BY 1 HAVING count(DISTINCT domain) >= 2) t ORDER BY n DESC, entity LIMIT 20) SELECT 'shared_entity' AS link_type, link_id, affinity FROM ln WHERE entity IN (SELECT entity FROM md) ORDER BY affinity DESC, link_id LIMIT 10"
+DISCOVER = f"WITH {SHARED}, md AS (SELECT entity FROM (SELECT entity, count(DISTINCT domain) AS n FROM st GROUP BY 1 HAVING count(DISTINCT domain) >= 2) t ORDER BY n DESC, entity LIMIT 5) SELECT 'shared_entity' AS link_type, link_id, affinity FROM ln WHERE entity IN (SELECT entity FROM md) ORDER BY affinity DESC, link_id LIMIT 10"
 
 
 @q("discovered_links", DISCOVER)

@@ -15,7 +15,7 @@ def _(c):
     return G.species_profile(c.species.select("species_id", "family"), c.mentions, c.measurements, c.relations)
 
 
-@q("compare_species", "SELECT a.parameter, a.value AS value_a, a.unit AS unit_a, b.value AS value_b, b.unit AS unit_b FROM measurements a JOIN measurements b ON a.parameter = b.parameter WHERE a.species_id = 7 AND b.species_id = 8")
+@q("compare_species", "WITH a AS MATERIALIZED (SELECT parameter, value, unit FROM measurements WHERE species_id = 7), b AS MATERIALIZED (SELECT parameter, value, unit FROM measurements WHERE species_id = 8) SELECT a.parameter, a.value AS value_a, a.unit AS unit_a, b.value AS value_b, b.unit AS unit_b FROM a JOIN b ON a.parameter = b.parameter")
 def _(c):
     return G.compare_species(c.measurements, 7, 8)
 

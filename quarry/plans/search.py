@@ -82,6 +82,17 @@ def _(c):
     return S.cosine_topk(c.vectors, some(c), 10).select("query_id", "chunk_id", "doc_id", "score")
 
 
+@q("cosine_topk_all_lists", top(10).replace("doc_id, score FROM (", "score FROM ("))
+def _(c):
+    lists = S.vector_lists(c.vectors)
+    return S.near_vectors(c.vectors, some(c).select("query_id", "q"), lists, 10, len(lists.centers))
+
+
+@q("cosine_topk_by_lists")
+def _(c):
+    return S.near_vectors(c.vectors, some(c).select("query_id", "q"), S.vector_lists(c.vectors), 10)
+
+
 @q("cosine_threshold", top(50, f"{COS} >= 0.2"))
 def _(c):
     return S.cosine_topk(c.vectors, some(c), 50, 0.2).select("query_id", "chunk_id", "doc_id", "score")
@@ -154,6 +165,11 @@ def _(c):
     return ranked(c, lambda kw: S.in_domain(kw, c.papers.withColumnRenamed("study_type", "primary_domain"), "F"))
 
 
+@q("ranked_top_papers", ranked_sql("doc_id IN (SELECT doc_id FROM papers WHERE year >= 1996 AND study_type = 'F')"))
+def _(c):
+    return ranked(c, lambda kw: S.top_papers(kw, c.papers.withColumnRenamed("study_type", "primary_domain"), 2001, 5, "F"))
+
+
 @q("logged_search", f"WITH {HITS}, kn AS (SELECT * FROM (VALUES (1, 'the and ation'), (2, 'ment queau'), (3, 'license'), (4, 'zzzz')) v(query_id, query)), r AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM bm) x WHERE k <= 10 GROUP BY 1), lg AS (SELECT query_id, query, result_count FROM query_log), m AS (SELECT max(query_id) AS top FROM lg) SELECT query_id, query, NULL AS filters, result_count FROM lg UNION ALL SELECT top + row_number() OVER (ORDER BY query), query, '{{\"domains\":\"en\"}}', coalesce(n, 0)::INT FROM kn LEFT JOIN r ON r.query_id = kn.query_id, m")
 def _(c):
     from quarry.operators import logs
@@ -198,9 +214,9 @@ def _(c):
     return S.cross_document_evidence(near).select("query_id", "doc_id", "chunk_id", "score", "sources")
 
 
-@q("max_per_document", f"WITH {QV}, s AS (SELECT query_id, doc_id, {COS} AS score FROM vectors, qv) SELECT query_id, doc_id, max(score) AS best FROM s GROUP BY 1, 2")
+@q("max_per_document", f"WITH {QV}, s AS (SELECT query_id, doc_id, {COS} AS score FROM vectors, qv), b AS (SELECT query_id, doc_id, max(score) AS best FROM s GROUP BY 1, 2) SELECT query_id, doc_id, best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, doc_id) AS n FROM b) x WHERE n <= 10")
 def _(c):
-    return S.best_per_document(S.against(c.vectors, some(c)).withColumn("score", F.round("score", 6)))
+    return S.best_documents(c.vectors, some(c))
 
 
 def retrieved(c):

@@ -338,11 +338,11 @@ def _(c):
     return c.documents.select("doc_id", C.word_count("text").alias("words"), F.length("text").cast("bigint").alias("chars"))
 
 
-@q("reference_flags", r"SELECT l_orderkey AS doc_id, l_linenumber, regexp_matches(lower(t), 'table\s*\d+') AS has_table, regexp_matches(lower(t), 'fig(ure)?\s*\.?\s*\d+') AS has_figure FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'see Table 3' WHEN 2 THEN 'in FIG. 2' WHEN 3 THEN 'the table' ELSE 'figure12' END AS t FROM lineitem) x")
+@q("reference_flags", r"SELECT doc_id, regexp_matches(lower(t), 'table\s*\d+') AS has_table, regexp_matches(lower(t), 'fig(ure)?\s*\.?\s*\d+') AS has_figure FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' see Table 3' WHEN 1 THEN ' in FIG. 2' WHEN 2 THEN ' the table' WHEN 3 THEN ' figure12' ELSE '' END AS t FROM documents) x")
 def _(c):
-    n = F.col("l_linenumber")
-    t = F.when(n == 1, "see Table 3").when(n == 2, "in FIG. 2").when(n == 3, "the table").otherwise("figure12")
-    return c.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", C.mentions_table(t).alias("has_table"), C.mentions_figure(t).alias("has_figure"))
+    n = F.col("doc_id") % 5
+    t = F.concat("text", F.when(n == 0, " see Table 3").when(n == 1, " in FIG. 2").when(n == 2, " the table").when(n == 3, " figure12").otherwise(""))
+    return c.documents.select("doc_id", C.mentions_table(t).alias("has_table"), C.mentions_figure(t).alias("has_figure"))
 
 
 @q("chunk_ids", "SELECT doc_id, substr(md5(concat_ws(':', cast(doc_id as varchar), '0', substr(text, 1, 50))), 1, 16) AS chunk_id FROM documents")

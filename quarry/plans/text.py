@@ -146,9 +146,14 @@ def paper_scores(c):
     return c.paper_domains.select("doc_id", "domain", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("doc_id")), 6).alias("score"))
 
 
-@q("domain_overlap", f"WITH {PD}, p AS (SELECT DISTINCT doc_id FROM pd WHERE doc_id < 3), g AS (SELECT domain, count(DISTINCT doc_id) AS h, avg(score) AS m FROM pd WHERE score >= 0.1 AND doc_id IN (SELECT * FROM p) GROUP BY 1), a AS (SELECT domain, round(m, 6) AS mean FROM g WHERE h = (SELECT count(*) FROM p)) SELECT domain, mean, (SELECT count(*) FROM a) BETWEEN 2 AND 3 AS valid FROM a")
+@q("domain_overlap", f"WITH {PD}, need AS (SELECT author_id, count(*) AS n FROM papers GROUP BY 1), g AS (SELECT author_id, domain, count(*) AS h, avg(score) AS m FROM pd JOIN papers ON papers.doc_id = pd.doc_id WHERE score >= 0.1 GROUP BY 1, 2) SELECT g.author_id, domain, round(m, 6) AS mean, count(*) OVER (PARTITION BY g.author_id) BETWEEN 2 AND 3 AS valid FROM g JOIN need ON need.author_id = g.author_id AND n = h")
 def _(c):
-    return X.domain_overlap(paper_scores(c), paper_scores(c).where("doc_id < 3"))
+    return X.domain_overlaps(paper_scores(c), c.papers, "author_id")
+
+
+@q("domain_overlap_of_all", f"WITH {PD}, p AS (SELECT DISTINCT doc_id FROM pd), g AS (SELECT domain, count(DISTINCT doc_id) AS h, avg(score) AS m FROM pd WHERE score >= 0.000001 GROUP BY 1), a AS (SELECT domain, round(m, 6) AS mean FROM g WHERE h = (SELECT count(*) FROM p)) SELECT domain, mean, (SELECT count(*) FROM a) BETWEEN 2 AND 3 AS valid FROM a")
+def _(c):
+    return X.domain_overlap(paper_scores(c), paper_scores(c), 0.000001)
 
 
 @q("combined_domain_vector", f"WITH {PD} SELECT domain, round(avg(score), 6) AS mean, round(var_pop(score), 6) AS variance FROM pd GROUP BY 1 ORDER BY mean DESC, domain LIMIT 10")
@@ -167,9 +172,10 @@ def _(c):
     return m.select("doc_id", F.array_join(F.transform(C.significant_domains(F.col("m"), 0.3), lambda e: e["domain"]), ",").alias("domains"))
 
 
-@q("highlighted_text", "SELECT doc_id, regexp_replace(text, '(the)', '**\\1**', 'gi') AS text FROM documents WHERE lang = 'en'")
+@q("highlighted_text", "WITH d AS (SELECT doc_id, text, regexp_extract(lower(text), '[a-z]{4,}') AS w FROM documents), h AS (SELECT *, regexp_replace(text, '(the)', '**\\1**', 'gi') AS t FROM d) SELECT doc_id, CASE WHEN w = '' THEN t ELSE regexp_replace(t, '(' || w || ')', '**\\1**', 'gi') END AS text FROM h")
 def _(c):
-    return c.documents.where("lang = 'en'").select("doc_id", C.highlighted("text", F.array(F.lit("the"))).alias("text"))
+    word = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
+    return c.documents.select("doc_id", C.highlighted("text", F.array(F.lit("the")), F.filter(F.array(word), lambda w: w != "")).alias("text"))
 
 
 @q("merged_extractions", "SELECT l_orderkey AS doc_id, count(*)::INT AS items, round(avg(l_discount), 6) AS confidence FROM lineitem GROUP BY 1")
@@ -250,6 +256,12 @@ def _(c):
     return X.keyword_species(k)
 
 
+@q("keyword_species_links", "WITH k AS (SELECT DISTINCT m.doc_id, upper(substr(s.common_name, 1, 1)) || substr(s.common_name, 2) AS keyword FROM mentions m JOIN species s ON s.species_id = m.species_id), t AS (SELECT keyword, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, keyword LIMIT 50), o AS (SELECT k.* FROM k JOIN t ON t.keyword = k.keyword) SELECT x.keyword AS a, y.keyword AS b, count(*) AS papers FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.keyword < y.keyword GROUP BY 1, 2")
+def _(c):
+    k = c.mentions.join(c.species, "species_id").select("doc_id", F.concat(F.upper(F.substring("common_name", 1, 1)), F.substring("common_name", 2, 100)).alias("keyword"))
+    return X.keyword_links(k)
+
+
 @q("entities_of_heads", f"WITH {CH}, e AS (SELECT doc_id, chunk_idx, coalesce(section, 'General') AS section, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) > 12))) AS name FROM ch WHERE chunk_idx < 3) SELECT doc_id, name, arg_min(section, chunk_idx) AS section, count(DISTINCT chunk_idx) AS chunks FROM e GROUP BY 1, 2")
 def _(c):
     names = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 12))

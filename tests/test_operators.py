@@ -321,3 +321,42 @@ def test_keywords_are_found_in_one_pass(spark):
     assert {r[0] for r in X.found_keywords(docs, spark.createDataFrame([("",)], "keyword string")).collect()} == {1, 2, 3, 4}
     kinds = spark.createDataFrame([("field", "cat"), ("field", "sea"), ("lab", "log")], "study_type string, keyword string")
     assert [(r.doc_id, r.study_type, r.confidence) for r in X.study_types(docs, kinds).orderBy("doc_id").collect()] == [(1, "lab", 1.0), (2, "unknown", 0.0), (3, "unknown", 0.0), (4, "unknown", 0.0)]
+
+
+@pytest.mark.parametrize("kind", ["table", "clusters", "one list"])
+def test_vector_lists_recall(spark, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    if kind == "table":
+        base = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    else:
+        middle = rng.normal(size=(20 if kind == "clusters" else 1, 16))
+        x = middle[rng.integers(0, len(middle), 1500)] + rng.normal(size=(1500, 16)) * (0.2 if kind == "clusters" else 0.5)
+        base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [0.0] * 16), (9001, None)], "chunk_id long, embedding array<double>")
+    queries = base.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    lists = S.vector_lists(base)
+    want = {(r.query_id, r.chunk_id): r.score for r in S.cosine_topk(base.where("embedding is not null"), queries, 10).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in S.near_vectors(base, queries, lists, 10, block=100).collect()}
+    assert len(got) == len(want) and sum(x in want for x in got) >= 0.9 * len(want)
+    assert all(abs(want[x] - got[x]) < 2e-6 for x in got if x in want)
+    if kind == "clusters":
+        assert lists.probes < 32
+        exact = {(r.query_id, r.chunk_id) for r in S.near_vectors(base, queries, lists, 10, 64, block=100, crowd=7).collect()}
+        assert sum(x in want for x in exact) >= 0.999 * len(want)
+    assert S.near_vectors(base.limit(0), queries, S.vector_lists(base.limit(0))).count() == 0
+
+
+def test_gaps_links_and_overlaps(spark):
+    k = spark.createDataFrame([(1, "Gadus morhua"), (1, "Clupea harengus"), (2, "Gadus morhua"), (2, "Clupea harengus"), (2, "lower case"), (3, "Gadus morhua")], "doc_id int, keyword string")
+    assert rows(X.keyword_links(k)) == [("Clupea harengus", "Gadus morhua", 2)] and rows(X.keyword_links(k, 1)) == []
+    e = spark.createDataFrame([("cod",), ("eel",)], "entity string")
+    names = spark.createDataFrame([("sea",), ("lake",)], "domain string")
+    known = spark.createDataFrame([("cod", "sea"), ("cod", "sea"), ("cod", "moon")], "entity string, domain string")
+    assert rows(L.gaps_of_kinds(e, places=(names, known), other=(names.limit(0), known))) == [("places", "cod", 1, 1), ("places", "eel", 0, 2)]
+    s = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.3), (2, "a", 0.4), (2, "b", 0.2), (3, "a", 0.05)], "doc_id int, domain string, score double")
+    g = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3)], "author string, doc_id int")
+    assert rows(X.domain_overlaps(s, g, "author")) == [("x", "a", 0.45, True), ("x", "b", 0.25, True)]
+    kw = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id int, doc_id int")
+    p = spark.createDataFrame([(1, 2000, "m"), (2, 1990, "m"), (3, 2001, "n")], "doc_id int, year int, primary_domain string")
+    assert [r.doc_id for r in S.top_papers(kw, p, 2002, 5, "m").collect()] == [1] and S.top_papers(kw, p, 2002).count() == 3
