@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
@@ -118,6 +118,69 @@ def keyword_search(df: DataFrame, queries: list[tuple[int, str]], key: str, colu
     return scored.withColumn("rank", rank).where(F.col("rank") <= offset + k).where(F.col("rank") > offset)
 
 
+class Segments:
+    """Postings in segments below one path: a main one and smaller ones of later changes, read together.
+
+    Each segment holds the postings of the documents indexed by it and the keys that it replaces or deletes, so a change
+    costs what it touches.  A key's postings count where no later segment names the key.  ``merge`` writes one segment of
+    what counts once the named keys are a share of all documents; older files go when the new main segment is marked.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> None:
+        self.spark, self.path, self.key, self.columns, self.pattern = spark, path, key, columns, pattern
+
+    def _path(self, *parts) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *map(str, parts)]))
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _numbers(self, what: str) -> list[int]:
+        p, store = self._path(what)
+        return sorted(int(x.getPath().getName()) for x in store.listStatus(p)) if store.exists(p) else []
+
+    def live(self) -> list[int]:
+        """Numbers of the segments that are read: the main one and all after it."""
+        done, main = self._numbers("_done"), self._numbers("_main")
+        return [n for n in done if not main or n >= main[-1]]
+
+    def _write(self, postings: DataFrame, gone: DataFrame, main: bool = False) -> int:
+        number = max(self._numbers("_done"), default=0) + 1
+        postings.write.mode("overwrite").parquet(f"{self.path}/postings/segment={number}")
+        gone.write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
+        for mark in ("_done", "_main")[: 1 + main]:  # nothing is read before it is marked
+            p, store = self._path(mark, number)
+            store.mkdirs(p)
+        return number
+
+    def add(self, changed: DataFrame, deleted: DataFrame | None = None) -> int:
+        """Indexes documents, new ones and new versions, and forgets the ``deleted`` (key); the segment's number."""
+        keys = changed.select(self.key)
+        gone = (keys if deleted is None else keys.unionByName(deleted.select(self.key))).where(F.col(self.key).isNotNull()).distinct()
+        return self._write(build_postings(changed, self.key, self.columns, self.pattern), gone)
+
+    def _table(self, what: str, numbers: list[int]) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/segment={n}" for n in numbers])
+
+    def read(self) -> DataFrame:
+        """(key, dl, term, tf) as build_postings would give them for the documents as they are now."""
+        live = self.live()
+        if len(live) == 1:
+            return self._table("postings", live).drop("segment")
+        last = self._table("gone", live[1:]).groupBy(self.key).agg(F.max("segment").alias("__last"))
+        return self._table("postings", live).join(sized(last), self.key, "left").where("__last is null or __last <= segment").drop("segment", "__last")
+
+    def merge(self, share: float = 0.1) -> bool:
+        """Makes one segment of all if the keys named after the main one are at least ``share`` of its documents."""
+        live = self.live()
+        if len(live) < 2 or self._table("gone", live[1:]).count() < share * self._table("gone", live[:1]).count():
+            return False
+        number = self._write(self.read(), self.read().select(self.key).distinct(), True)
+        for n in live:
+            for what in ("postings", "gone"):
+                p, store = self._path(what, f"segment={n}")
+                store.delete(p, True)
+        return number > live[-1]
+
+
 def impact_blocks(postings: DataFrame, stats: DataFrame, lengths: list[int], key: str = "doc_id", block: int = 128, slices: int = 16) -> DataFrame:
     """An index for searches that end early: (phrase, slice, block, bound, n, entries), entries being (key, f, dl).
 

@@ -11,13 +11,24 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 INFER = "spark.sql.constraintPropagation.enabled"
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        base = sc.getConf().get("spark.checkpoint.dir", None)
+        if base is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` stored in the shared folder of spark.checkpoint.dir: written and read again, or with ``keys`` dealt by them.
 
@@ -26,14 +37,8 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
     takes its place on a single machine; on a cluster that is an error.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if base is None and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    path = shared_path(spark)
     if not keys:
-        path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -58,6 +63,33 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], ord
     return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def upsert_buckets(incoming: DataFrame, keys: list[str], path: str, buckets: int = 64, order: list[Column] | None = None) -> list[int]:
+    """Upserts into the Parquet table at ``path``, dealt into hash buckets of the keys; the buckets that were written.
+
+    Only buckets that an incoming key falls into are read and written, so a batch costs what it meets; files of other
+    buckets stay as they are.  Of several incoming rows of a key the last in ``order`` counts, without it any.  A bucket
+    too large for a task is written by several.  Repeating a batch, also one that failed half way, changes nothing more.
+    The number of buckets is the table's for good: another one is an error.  Readers drop the column __bucket.
+    """
+    spark = incoming.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
+    store = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    known = [x.getPath().getName() for x in store.listStatus(mark)] if store.exists(mark) else []
+    if known and known != [str(buckets)]:
+        raise ValueError(f"the table at {path} has {known[0]} buckets")
+    new = latest(incoming, keys, order) if order else incoming.dropDuplicates(keys)
+    new = cut(new.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    met = [r["__bucket"] for r in new.select("__bucket").distinct().collect()]  # at most one number a bucket
+    if known:
+        schema = spark.read.parquet(path).schema
+        old = spark.read.schema(schema).parquet(path).where(F.col("__bucket").isin(met))
+        new = old.join(new.select(*keys).hint("merge"), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    if met:
+        new.hint("rebalance", "__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(path)
+        store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets/{buckets}"))
+    return sorted(met)
+
+
 def upsert_keeping(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or update by key, where a null in the incoming row keeps the old value."""
     a, b = existing.alias("a"), incoming.alias("b")

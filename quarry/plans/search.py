@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import search as S
+from quarry.operators.tables import shared_path
 from quarry.plans.tables import q
 
 QUERIES = [(1, "the and ation"), (2, "ment queau"), (3, "license")]
@@ -58,6 +59,17 @@ def _(c):
     return S.updated_postings(old, d.where("lang = 'en'"), "doc_id", ["text"], S.ASCII_WORDS).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
 
 
+@q("postings_segments", f"WITH {TOKS} SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens FROM post GROUP BY 1")
+def _(c):
+    d = c.documents
+    index = S.Segments(c.spark, shared_path(c.spark), "doc_id", ["text"], S.ASCII_WORDS)
+    index.add(d.withColumn("text", F.when(F.col("lang") != "en", F.col("text")).otherwise(F.col("source"))))
+    index.add(d.where("lang = 'en'"), d.where("lang = 'de'"))
+    index.add(d.where("lang = 'de'"))
+    index.merge(0.5)
+    return index.read().groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+
+
 @q("index_gaps", f"WITH {TOKS} SELECT doc_id, 'postings' AS missing FROM documents WHERE doc_id NOT IN (SELECT post.doc_id FROM post JOIN documents d ON d.doc_id = post.doc_id WHERE d.lang <> 'fr')")
 def _(c):
     p = S.build_postings(c.documents.where("lang <> 'fr'"), "doc_id", ["text"], S.ASCII_WORDS)

@@ -162,6 +162,15 @@ def _(c):
     return T.upsert_latest(old, new, ["id"], [F.col("v")])
 
 
+@q("upsert_by_buckets", f"WITH old AS ({OLD}), new AS ({NEW}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC) AS n FROM new) t WHERE n = 1) SELECT id, v, price FROM last UNION ALL SELECT id, v, price FROM old WHERE id NOT IN (SELECT id FROM last)")
+def _(c):
+    old, new = _old_new(c)
+    path = T.shared_path(c.spark)
+    T.upsert_buckets(old, ["id"], path, 16)
+    T.upsert_buckets(new, ["id"], path, 16, [F.col("v")])
+    return c.spark.read.parquet(path).select("id", "v", "price")
+
+
 @q("upsert_species", f"WITH old AS ({OLD}), last AS (SELECT id, v, CASE WHEN v % 2 = 0 THEN price END AS price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC) AS n FROM ({NEW}) x) t WHERE n = 1) SELECT coalesce(o.id, n.id) AS id, coalesce(n.v, o.v) AS v, coalesce(n.price, o.price) AS price FROM old o FULL JOIN last n ON o.id = n.id")
 def _(c):
     old, new = _old_new(c)

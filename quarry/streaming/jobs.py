@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.tables import upsert_latest
+from quarry.operators.tables import upsert_buckets, upsert_latest
 
 
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
@@ -37,6 +37,18 @@ def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], keys:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_buckets(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Upserts every micro-batch of transformed rows into a table dealt into buckets; a batch rewrites the buckets it meets.
+
+    A batch that failed is repeated by Spark and then leaves what one run would have left.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        upsert_buckets(transform(batch), keys, path, buckets)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def query_statistics(log: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """(start, query, n, mean_ms) per window; rows later than the delay are dropped when streamed."""
     w = log.withWatermark("ts", delay) if log.isStreaming else log

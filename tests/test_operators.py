@@ -360,3 +360,50 @@ def test_gaps_links_and_overlaps(spark):
     kw = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id int, doc_id int")
     p = spark.createDataFrame([(1, 2000, "m"), (2, 1990, "m"), (3, 2001, "n")], "doc_id int, year int, primary_domain string")
     assert [r.doc_id for r in S.top_papers(kw, p, 2002, 5, "m").collect()] == [1] and S.top_papers(kw, p, 2002).count() == 3
+
+
+def test_upserts_touch_the_buckets_they_meet(spark, tmp_path):
+    path = str(tmp_path / "table")
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "table").glob("__bucket=*/*.parquet")}
+    read = lambda: rows(spark.read.parquet(path).drop("__bucket"))
+    T.upsert_buckets(spark.createDataFrame([(i, f"v{i}") for i in range(200)], "id long, v string"), ["id"], path, 16)
+    before = files()
+    assert len(read()) == 200 and len({p.rsplit("/", 2)[1] for p in before}) == 16
+    batch = spark.createDataFrame([(3, "new", 1), (3, "newer", 2), (500, "more", 1)], "id long, v string, at int")
+    met = T.upsert_buckets(batch, ["id"], path, 16, [F.col("at")])
+    after = files()
+    assert len(met) <= 2 and {p for p in before if p not in after or after[p] != before[p]} == {p for p in before if int(p.rsplit("/", 2)[1].split("=")[1]) in met}
+    content = rows(spark.read.parquet(path).select("id", "v"))
+    assert content == sorted([(i, f"v{i}") for i in range(200) if i != 3] + [(3, "newer"), (500, "more")], key=repr)
+    T.upsert_buckets(batch, ["id"], path, 16, [F.col("at")])
+    assert rows(spark.read.parquet(path).select("id", "v")) == content
+    assert T.upsert_buckets(batch.limit(0), ["id"], path, 16) == [] and rows(spark.read.parquet(path).select("id", "v")) == content
+    with pytest.raises(ValueError):
+        T.upsert_buckets(batch, ["id"], path, 8)
+
+
+def test_bucketed_ingest_of_a_stream(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for i in range(3):
+        spark.createDataFrame([(j, i) for j in range(i, 50, i + 1)], "id int, v int").coalesce(1).write.mode("append").parquet(src)
+        jobs.ingest_buckets(spark.readStream.schema("id int, v int").parquet(src), lambda d: d, ["id"], out, cp, 8).awaitTermination()
+    want = {j: i for i in range(3) for j in range(i, 50, i + 1)}
+    assert rows(spark.read.parquet(out).select("id", "v")) == sorted(want.items(), key=repr)
+
+
+def test_segments_read_as_one_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} same") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    index = S.Segments(spark, str(tmp_path / "index"), "doc_id", ["text"])
+    built = lambda df: rows(S.build_postings(df, "doc_id", ["text"]).select("doc_id", "dl", "term", "tf"))
+    read = lambda: rows(index.read().select("doc_id", "dl", "term", "tf"))
+    index.add(docs)
+    assert read() == built(docs) and not index.merge(0.0)
+    newer = spark.createDataFrame([(3, "other text"), (50, "added w1"), (5, "")], "doc_id long, text string")
+    index.add(newer, spark.createDataFrame([(7,), (8,)], "doc_id long"))
+    index.add(spark.createDataFrame([(8, "back again")], "doc_id long, text string"))
+    now = docs.where("doc_id not in (3, 5, 7, 8)").unionByName(newer).unionByName(spark.createDataFrame([(8, "back again")], "doc_id long, text string"))
+    assert read() == built(now) and len(index.live()) == 3
+    assert not index.merge(0.5) and index.merge(0.1)
+    assert read() == built(now) and len(index.live()) == 1
+    index.add(newer.where("false"), docs.select("doc_id").where("doc_id < 20"))
+    assert read() == built(now.where("doc_id >= 20"))
