@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.tables import cut
+from quarry.operators.tables import cut, first_n
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:
@@ -116,6 +116,13 @@ def k_hop_edges(relations: DataFrame, start: int, k: int = 2) -> DataFrame:
     return hit.select("subject", "object", "type").distinct()
 
 
+def k_hop_edges_of(relations: DataFrame, starts: DataFrame, k: int = 2) -> DataFrame:
+    """(start, subject, object, type): k_hop_edges of every node of ``starts`` (node), all starts advancing together."""
+    near = distances(relations.select(F.col("subject").alias("a"), F.col("object").alias("b")), starts.select("node").distinct(), k - 1).select(F.col("source").alias("start"), "node")
+    ends = relations.select("subject", "object", "type").distinct().select("*", F.explode(F.array_distinct(F.array("subject", "object"))).alias("node"))
+    return ends.join(near.hint("merge"), "node").select("start", "subject", "object", "type").distinct()
+
+
 def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """(source, node, d) for all nodes within ``hops`` of each source over undirected edges (a, b)."""
     e = undirected(edges).select("a", "b")
@@ -289,6 +296,27 @@ def similar_nodes(edges: DataFrame, node: int, k: int = 10) -> DataFrame:
     return j.select(F.col("a").alias("node"), F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("similarity")).orderBy(F.desc("similarity"), "node").limit(k)
 
 
+def similar_nodes_of(edges: DataFrame, queries: DataFrame, k: int = 10, block: int = 10_000) -> DataFrame:
+    """(query_id, node, similarity): for every query node (node) the k others whose neighbour sets are most alike, by Jaccard.
+
+    A query meets the nodes that it shares a neighbour with, over that neighbour.  The adjacency of a neighbour of many is
+    cut into blocks of about ``block`` by a hash of the node, so that a hub is no one task's; what two nodes share is
+    added up in each task before it is shuffled.
+    """
+    e = cut(undirected(edges).select("a", "b"))
+    size = e.groupBy("a").agg(F.count("*").alias("n"))
+    blocks = size.select(F.col("a").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    around = e.join(blocks.hint("merge"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    asked = queries.select(F.col("node").alias("query_id")).distinct()
+    mine = e.join(asked.hint("merge"), e["a"] == asked["query_id"]).select("query_id", "b").join(blocks.hint("merge"), "b")
+    mine = mine.select("query_id", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    shared = mine.join(around.select("b", "block", "a").hint("merge"), ["b", "block"]).where("a <> query_id").groupBy("query_id", "a").agg(F.count("*").alias("c"))
+    sizes = size.withColumnRenamed("a", "query_id").withColumnRenamed("n", "m")
+    j = shared.join(size.hint("merge"), "a").join(sizes.hint("merge"), "query_id")
+    j = j.select("query_id", F.col("a").alias("node"), F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("similarity"))
+    return first_n(j, ["query_id"], [F.desc("similarity"), F.asc("node")], k)
+
+
 def strongest_neighbours(edges: DataFrame, node: int, k: int = 5) -> DataFrame:
     """Neighbours of one node by edge weight; edges are (a, b, similarity), each pair once."""
     other = F.when(F.col("a") == node, F.col("b")).otherwise(F.col("a"))

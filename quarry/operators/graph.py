@@ -95,6 +95,14 @@ def cooccurring(mentions: DataFrame, species_id: int, k: int = 20) -> DataFrame:
     return others.groupBy("species_id").agg(F.count_distinct("doc_id").alias("papers")).orderBy(F.desc("papers"), "species_id").limit(k)
 
 
+def cooccurring_of(mentions: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, species_id, papers): for every species of ``queries`` (species_id) the k that share most papers with it."""
+    m = mentions.select("doc_id", "species_id").distinct()
+    mine = m.join(queries.select("species_id").distinct().hint("merge"), "species_id").select("doc_id", F.col("species_id").alias("query_id"))
+    pairs = mine.join(m.hint("merge"), "doc_id").where("species_id <> query_id").groupBy("query_id", "species_id").agg(F.count("*").alias("papers"))
+    return first_n(pairs, ["query_id"], [F.desc("papers"), F.asc("species_id")], k)
+
+
 def top_by_papers(mentions: DataFrame, n: int) -> DataFrame:
     return mentions.groupBy("species_id").agg(F.count_distinct("doc_id").alias("papers")).orderBy(F.desc("papers"), "species_id").limit(n)
 

@@ -73,6 +73,16 @@ def _(c):
     return A.similar_nodes(edges(c), 11)
 
 
+@q("similar_nodes_of_many", f"WITH {EDGES}, n AS (SELECT a, count(*) AS n FROM u GROUP BY 1), sh AS (SELECT m.a AS query_id, u.a, count(*) AS c FROM u m JOIN u ON m.b = u.b AND m.a <> u.a WHERE m.a % 50 = 0 GROUP BY 1, 2), s AS (SELECT query_id, sh.a AS node, round(c / (n.n + m.n - c), 6) AS similarity FROM sh JOIN n ON n.a = sh.a JOIN n m ON m.a = query_id) SELECT query_id, node, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node) AS k FROM s) x WHERE k <= 10")
+def _(c):
+    return A.similar_nodes_of(edges(c), c.species.where("species_id % 50 = 0").select(F.col("species_id").alias("node")))
+
+
+@q("k_hop_networks", f"WITH {EDGES}, near AS (SELECT species_id AS start, species_id AS node FROM species WHERE species_id % 50 = 0 UNION SELECT a, b FROM u WHERE a % 50 = 0) SELECT DISTINCT start, subject, object, type FROM near JOIN relations r ON r.subject = near.node UNION SELECT start, subject, object, type FROM near JOIN relations r ON r.object = near.node")
+def _(c):
+    return A.k_hop_edges_of(c.relations, c.species.where("species_id % 50 = 0").select(F.col("species_id").alias("node")))
+
+
 #: Citations of an author form chains: components of many sizes, which SQL finds as the chain's smallest paper.
 @q("components", "WITH RECURSIVE e AS (SELECT citing AS a, cited AS b FROM citations UNION SELECT cited, citing FROM citations), r AS (SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders) SELECT node, component FROM r WHERE node IN (SELECT a FROM e)")
 def _(c):

@@ -20,6 +20,11 @@ def _(c):
     return G.compare_species(c.measurements, 7, 8)
 
 
+@q("cooccurring_of_many", "WITH p AS (SELECT a.species_id AS query_id, b.species_id, count(*) AS papers FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.species_id <> b.species_id WHERE a.species_id % 50 = 0 GROUP BY 1, 2) SELECT query_id, species_id, papers FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY papers DESC, species_id) AS n FROM p) x WHERE n <= 20")
+def _(c):
+    return G.cooccurring_of(c.mentions, c.species.where("species_id % 50 = 0"))
+
+
 @q("cooccurring_species", f"SELECT species_id, count(DISTINCT doc_id) AS papers FROM mentions WHERE species_id <> 7 AND doc_id IN ({DOCS_OF}) GROUP BY 1 ORDER BY papers DESC, species_id LIMIT 20")
 def _(c):
     return G.cooccurring(c.mentions, 7)

@@ -407,3 +407,21 @@ def test_segments_read_as_one_index(spark, tmp_path):
     assert read() == built(now) and len(index.live()) == 1
     index.add(newer.where("false"), docs.select("doc_id").where("doc_id < 20"))
     assert read() == built(now.where("doc_id >= 20"))
+
+
+def test_many_starts_equal_one_by_one(spark):
+    import random
+
+    rng = random.Random(2)
+    e = spark.createDataFrame(sorted({(1, i) for i in range(2, 40)} | {(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(60)}), "a long, b long")
+    r = e.select(F.col("a").alias("subject"), F.col("b").alias("object"), F.lit("t").alias("type"))
+    starts = spark.createDataFrame([(1,), (5,), (5,), (77,)], "node long")
+    got = A.k_hop_edges_of(r, starts, 2).collect()
+    near = A.similar_nodes_of(e, starts, 5, block=4).collect()
+    for s in (1, 5, 77):
+        assert sorted((x.subject, x.object) for x in got if x.start == s) == sorted((x.subject, x.object) for x in A.k_hop_edges(r, s, 2).collect())
+        assert sorted(((x.node, x.similarity) for x in near if x.query_id == s), key=repr) == rows(A.similar_nodes(e, s, 5))
+    m = e.select(F.col("a").alias("doc_id"), F.col("b").alias("species_id"))
+    many = G.cooccurring_of(m, spark.createDataFrame([(3,), (9,)], "species_id long"), 4).collect()
+    for s in (3, 9):
+        assert sorted(((x.species_id, x.papers) for x in many if x.query_id == s), key=repr) == rows(G.cooccurring(m, s, 4))
