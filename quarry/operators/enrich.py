@@ -42,16 +42,16 @@ def meeting_keys(text: Column, edits: int, probe: bool) -> Column:
     """
     n = F.length(text)
     shorter = F.when(n <= SHORT, F.transform(without(text, edits), lambda x: F.xxhash64(F.lit("short"), x)))
-    parts = []
-    for more in range(-edits, edits + 1) if probe else (0,):
+    around = F.sequence(F.lit(-edits), F.lit(edits)) if probe else F.array(F.lit(0))
+
+    def part(more: Column, i: Column, shift: Column) -> Column:
         size = n + more
-        for i in range(edits + 1):
-            start, end = (F.floor(size * j / (edits + 1)).cast("int") for j in (i, i + 1))
-            for shift in range(-edits, edits + 1) if probe else (0,):
-                at = start + shift
-                inside = (at >= 0) & (at + end - start <= n)
-                parts.append(F.when(inside, F.xxhash64(size, F.lit(i), F.substring(text, at + 1, end - start))))
-    longer = F.when(n > SHORT - edits, F.filter(F.array(*parts), lambda x: x.isNotNull()))
+        start, end = (F.floor(size * j / (edits + 1)).cast("int") for j in (i, i + 1))
+        at = start + shift
+        return F.when((at >= 0) & (at + end - start <= n), F.xxhash64(size, i, F.substring(text, at + 1, end - start)))
+
+    parts = F.flatten(F.transform(around, lambda more: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.transform(around, lambda shift: part(more, i, shift))))))
+    longer = F.when(n > SHORT - edits, F.filter(parts, lambda x: x.isNotNull()))
     none = F.array().cast("array<bigint>")
     return F.array_distinct(F.concat(F.coalesce(shorter, none), F.coalesce(longer, none)))
 

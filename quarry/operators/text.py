@@ -180,19 +180,23 @@ def weighted(lexicon: DataFrame) -> DataFrame:
     return lex.withColumn("total", F.sum("weight").over(Window.partitionBy("domain")))
 
 
-#: Keywords that one automaton may hold: about 100 MB in every worker.
-MOST_KEYWORDS = 1_000_000
+#: Keywords that are looked for one by one inside the engine, and those that one automaton may hold: about 100 MB in every worker.
+FEW_KEYWORDS, MOST_KEYWORDS = 64, 1_000_000
 
 
 def found_keywords(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word): the different keywords of ``lexicon`` (keyword), in lower case, that stand in the text, as substrings, case ignored.
 
-    All keywords are looked for in one pass over a text, by an automaton that each Python worker builds once.  More than
-    ``MOST_KEYWORDS`` are an error: score_domains_by_word joins lexicons of any size.
+    More than ``FEW_KEYWORDS`` are looked for in one pass over a text, by an automaton that each Python worker builds
+    once; the result is the same.  More than ``MOST_KEYWORDS`` are an error: score_domains_by_word joins lexicons of any size.
     """
     words = [r.w for r in lexicon.select(F.lower("keyword").alias("w")).where("w is not null").distinct().limit(MOST_KEYWORDS + 1).collect()]
     if len(words) > MOST_KEYWORDS:
         raise ValueError(f"more than {MOST_KEYWORDS} keywords; use score_domains_by_word")
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if len(words) <= FEW_KEYWORDS:
+        listed = F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")
+        return df.select(key, lower.alias("__t")).select(key, F.explode(F.filter(listed, lambda w: F.contains("__t", w))).alias("word"))
     held = df.sparkSession.sparkContext.broadcast(sorted(words))
 
     @F.pandas_udf("array<string>")
@@ -209,7 +213,7 @@ def found_keywords(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text:
             found = ({w for _, w in automaton.iter(t)} if t and len(automaton) else () for t in texts)
             yield pd.Series([always + sorted(f) for f in found], dtype=object)
 
-    return df.select(key, F.explode(run(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    return df.select(key, F.explode(run(lower)).alias("word"))
 
 
 def score_domains(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", dampen: float = 0.3, specific: float = 0.05) -> DataFrame:

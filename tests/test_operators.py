@@ -312,7 +312,9 @@ def test_close_strings_finds_every_pair(spark):
     assert rows(E.resolve_names(names, backbone)) == sorted([("Gadis morhua", 1, 2), ("Gadus morhua", 1, 1), ("Xadus morhuaa", 1, 2), ("nothing like", None, None)], key=repr)
 
 
-def test_keywords_are_found_in_one_pass(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_keywords_are_found_in_one_pass(spark, monkeypatch, few):
+    monkeypatch.setattr(X, "FEW_KEYWORDS", few)
     docs = spark.createDataFrame([(1, "The CATALOGUE of cats"), (2, None), (3, ""), (4, "no match")], "doc_id long, text string")
     lex = spark.createDataFrame([("a", "cat"), ("a", "Catalogue"), ("b", "log"), ("b", "dog"), ("c", "cat")], "domain string, keyword string")
     assert rows(X.found_keywords(docs, lex)) == [(1, "cat"), (1, "catalogue"), (1, "log")]
