@@ -151,11 +151,6 @@ def _(c):
     return X.domain_overlaps(paper_scores(c), c.papers, "author_id")
 
 
-@q("domain_overlap_of_all", f"WITH {PD}, p AS (SELECT DISTINCT doc_id FROM pd), g AS (SELECT domain, count(DISTINCT doc_id) AS h, avg(score) AS m FROM pd WHERE score >= 0.000001 GROUP BY 1), a AS (SELECT domain, round(m, 6) AS mean FROM g WHERE h = (SELECT count(*) FROM p)) SELECT domain, mean, (SELECT count(*) FROM a) BETWEEN 2 AND 3 AS valid FROM a")
-def _(c):
-    return X.domain_overlap(paper_scores(c), paper_scores(c), 0.000001)
-
-
 @q("combined_domain_vector", f"WITH {PD} SELECT domain, round(avg(score), 6) AS mean, round(var_pop(score), 6) AS variance FROM pd GROUP BY 1 ORDER BY mean DESC, domain LIMIT 10")
 def _(c):
     return X.combined_vector(paper_scores(c))
