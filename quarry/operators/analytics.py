@@ -7,11 +7,12 @@ folder every round or few, and bring one scalar per round to the driver.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.tables import cut, first_n
+from quarry.operators.tables import cut, first_n, released
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:
@@ -155,10 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank) over directed edges (a, b[, w]); ranks sum to 1, dangling mass is spread evenly.
 
-    Ends when a round moves less than ``tolerance`` in all, after ``rounds`` at the latest.
+    Ends when a round moves less than ``tolerance`` in all.  A round moves ``damping`` times what the last one moved
+    at most, which bounds their number; a tolerance below the rounding of doubles is met by none and is an error.
     """
     e = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
     e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
@@ -167,27 +169,28 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     n = nodes.count()
     dangling = nodes.join(e.select(F.col("a").alias("node")), "node", "left_anti").withColumn("open", F.lit(True))
     nodes = cut(nodes.join(dangling, "node", "left").select("node", F.coalesce("open", F.lit(False)).alias("open")))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    ranks, old = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), []
+    for _ in range(math.ceil(math.log(tolerance / 2, damping)) + 3):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("open"), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row
         sent = e.join(ranks.select(F.col("node").alias("a"), "rank"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
         new = cut(ranks.select("node", "open", F.col("rank").alias("last")).join(sent, "node", "left").join(F.broadcast(lost)).select("node", "open", rank.alias("rank"), "last"))
-        ranks = new.select("node", "open", "rank")
+        released(*old)
+        old, ranks = [new], new.select("node", "open", "rank")
         if (new.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0) < tolerance:
-            break
-    return ranks.select("node", "rank")
+            return ranks.select("node", "rank")
+    raise RuntimeError("ranks still move by more than the tolerance")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, community): a node takes the label of largest summed weight around it, ties to its own, then the smallest.
 
     In a round only nodes of one parity of a hash change, so that neighbours do not swap for ever; it ends when a
-    round of either parity changes nothing (after ``rounds`` at the latest).
+    round of either parity changes nothing.  Labels that still move after ``rounds`` rounds are an error.
     """
     e = cut(undirected(edges).select("a", "b", "w"), "b")
     labels = cut(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    still = 0
+    still, old = 0, [labels]
     for r in range(rounds):
         votes = e.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a", "label").agg(F.sum("w").alias("v"))
         mine = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
@@ -195,11 +198,12 @@ def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
         best = mine.groupBy(F.col("a").alias("node")).agg(F.min_by("label", order).alias("to"))
         moves = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         new = cut(labels.join(best, "node").select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"), (moves & (F.col("to") != F.col("label"))).alias("moved")))
-        labels = new.select("node", "label")
+        released(*old)
+        old, labels = [new], new.select("node", "label")
         still = still + 1 if new.where("moved").isEmpty() else 0
         if still == 2 and r % 2:  # both parities of one dealing
-            break
-    return labels.select("node", F.min("node").over(Window.partitionBy("label")).alias("community"))
+            return labels.select("node", F.min("node").over(Window.partitionBy("label")).alias("community"))
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> float:
@@ -213,42 +217,149 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return inside / total - squares
 
 
-def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10) -> DataFrame:
-    """(node, community) by parallel local moves and aggregation.
+def contracted(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b, w) between the groups (node, c) of their ends; weights add up, what lies within a group is its loop."""
+    ends = [groups.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")).hint("merge") for x in "ab"]
+    return edges.join(ends[0], "a").join(ends[1], "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def local_moves(level: DataFrame, labels: DataFrame, total: float, least: float = 1e-6, smallest: int = 16) -> DataFrame:
+    """(node, c): communities after rounds of moves from ``labels`` (node, c) on; level is (a, b, w) in both directions.
+
+    In a round every node computes the gain of joining each neighbouring community; of those that gain one in two by hash
+    moves.  A round that raises modularity by less than ``least`` is taken back; then only moves go that are the best of
+    both communities they touch, whose gains add up exactly, and after them half as many as before by hash, at last
+    (one in ``smallest``) none.  It ends when no node gains or the exact moves raise less than ``least``, so every round
+    that counts raises modularity and the rounds end by themselves.
+    """
+    now = cut(level.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).join(labels.hint("merge"), "node").select("node", "k", "c"))
+    best, reached, part, exact = None, 0.0, 2, False
+    for r in itertools.count():
+        ends = now.select(F.col("node").alias("b"), "c").hint("merge")
+        near = level.where("a <> b").join(ends, "b").select(F.col("a").alias("node"), "c", "w").unionByName(now.select("node", "c", F.lit(0.0).alias("w")))
+        near = near.groupBy("node", "c").agg(F.sum("w").alias("kin")).join(now.groupBy("c").agg(F.sum("k").alias("tot")).hint("merge"), "c")
+        near = near.join(now.select("node", "k", F.col("c").alias("own")).hint("merge"), "node")
+        at = F.col("c") == F.col("own")
+        near = near.withColumn("gain", F.col("kin") - F.col("k") * (F.col("tot") - F.when(at, F.col("k")).otherwise(0.0)) / total)
+        step = near.groupBy("node", "k", F.col("own").alias("c")).agg(F.max_by("c", F.struct("gain", "c")).alias("to"), F.max("gain").alias("top"), F.max(F.when(at, F.col("gain"))).alias("stay"), F.max(F.when(at, F.col("kin"))).alias("kin"))
+        step = cut(step.select("node", "k", "c", F.when(F.col("top") > F.col("stay") + 1e-9, F.col("to")).alias("to"), (F.col("top") - F.col("stay")).alias("up"), "kin"))
+        within, waiting = step.agg(F.sum("kin"), F.count("to")).first()
+        squares = step.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+        height = within / total - squares / total**2
+        if best is None or height >= reached + least:
+            released(now if best is None else best)
+            best, reached, exact = step, height, part > smallest
+            if not waiting:
+                return best.select("node", "c")
+        else:
+            released(step)
+            if exact:
+                return best.select("node", "c")
+            exact, part = True, part * 2
+        wish = best.where("to is not null")
+        if exact:
+            touched = wish.select("node", "up", F.explode(F.array("c", "to")).alias("g")).groupBy("g").agg(F.max_by("node", F.struct("up", "node")).alias("node"))
+            wish = wish.join(touched.groupBy("node").count().where("count = 2").hint("merge"), "node", "left_semi")
+        else:
+            wish = wish.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(part)) == 0)
+        now = best.select("node", "k", "c").join(wish.select("node", "to").hint("merge"), "node", "left").select("node", "k", F.coalesce("to", "c").alias("c"))
+
+
+def merged(level: DataFrame, total: float, within: DataFrame | None = None) -> DataFrame:
+    """(node, c): nodes of (a, b, w), in both directions, merged with neighbours while modularity rises.
+
+    A group's best partner is the neighbour whose merger gains most.  In a round half of the groups by hash stay, the
+    others join their best partner if that one stays; of those that ask one group, in the order of gain, each joins
+    that still gains once all before it have joined.  Mergers of a round that share no group add up exactly, so every
+    one raises modularity, and a hub takes in many in one round.  Only neighbours merge, hence groups are connected.
+    It ends when no two neighbours gain.  With ``within`` (node, c) only nodes of one community merge.
+    """
+    size = cut(level.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    inner = level.where("a <> b")
+    if within is not None:
+        ends = [within.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")).hint("merge") for x in "ab"]
+        inner = inner.join(ends[0], "a").join(ends[1], "b").where("ca = cb").select("a", "b", "w")
+    inner = cut(inner)
+    member = cut(size.select("node", F.col("node").alias("c")))
+    for r in itertools.count():
+        k = [size.select(F.col("node").alias(x), F.col("k").alias(f"k{x}")).hint("merge") for x in "ab"]
+        pairs = inner.join(k[0], "a").join(k[1], "b").withColumn("gain", F.col("w") - F.col("ka") * F.col("kb") / total).where("gain > 1e-9")
+        order = F.struct("gain", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), "b")
+        best = cut(pairs.groupBy(F.col("a").alias("node"), F.col("ka").alias("k")).agg(F.max_by(F.struct(F.col("b").alias("to"), F.col("kb").alias("host"), "w", "gain"), order).alias("p")).select("node", "k", "p.*"))
+        if best.isEmpty():
+            released(best, size, inner)
+            return member
+        stays = lambda x: F.pmod(F.xxhash64(x, F.lit(r)), F.lit(2)) == 0
+        before = F.coalesce(F.sum("k").over(Window.partitionBy("to").orderBy(F.desc("gain"), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        joins = best.where(~stays("node") & stays("to")).withColumn("rest", F.col("w") - F.col("k") * (F.col("host") + before) / total).where("rest > 1e-9").select("node", "to")
+        groups = cut(size.select("node", "k").join(joins.hint("merge"), "node", "left").select("node", "k", F.coalesce("to", "node").alias("c")))
+        old = (size, inner, member, best, groups)
+        size = cut(groups.groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        inner = cut(contracted(inner, groups).where("a <> b"))
+        member = cut(member.join(groups.select(F.col("node").alias("c"), F.col("c").alias("to")).hint("merge"), "c").select("node", F.col("to").alias("c")))
+        released(*old)
+
+
+def by_smallest(labels: DataFrame) -> DataFrame:
+    """(node, community): the groups (node, c) called by their smallest member."""
+    return labels.select("node", F.min("node").over(Window.partitionBy("c")).alias("community"))
+
+
+def greedy_communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by greedy merging of neighbours over the modularity gain, from single nodes on.
+
+    Every community is connected and no two neighbouring ones gain by a merger.  Compare partitions by modularity,
+    not by label.  Loops count for nothing; an empty graph gives no rows.
+    """
+    level = cut(undirected(edges).select("a", "b", "w"))
+    total = level.agg(F.sum("w")).first()[0]
+    return by_smallest(merged(level, total) if total else level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct())
+
+
+def louvain(edges: DataFrame) -> DataFrame:
+    """(node, community) by parallel local moves and aggregation, until a level joins nothing.
+
+    The labels are the smallest members; compare partitions by modularity, not by label.
+    """
+    level = cut(undirected(edges).select("a", "b", "w"))
+    total = level.agg(F.sum("w")).first()[0]
+    member = level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct()
+    while total:
+        own = level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct()
+        moved = local_moves(level, own, total)
+        if moved.where("c <> node").isEmpty():
+            break
+        member = cut(member.join(moved.select(F.col("node").alias("c"), F.col("c").alias("to")).hint("merge"), "c").select("node", F.col("to").alias("c")))
+        level = cut(contracted(level, moved))
+    return by_smallest(member)
+
+
+def well_connected(edges: DataFrame) -> DataFrame:
+    """(node, community) by local moves with a refinement between moving and aggregating; every community is connected.
 
-    In a round every node computes the gain of joining each neighbouring community; of those that gain a part by hash
-    moves, one in two at first and fewer later, so that neighbours do not swap for ever.  When no node gains by a
-    move (after ``rounds`` at the latest) communities become nodes, until a level joins nothing.  The labels are the
-    smallest members; compare partitions by modularity, not by label.
+    After the moves of a level the nodes of each community merge anew, neighbours only (``merged``).  These parts are the
+    nodes of the next level, which starts from the communities that the moves had found, so that a part may still leave a
+    community that it is badly tied to.  It ends when the refinement merges nothing.  A community that is in
+    several pieces at the end becomes several, which never lowers modularity.
     """
     level = cut(undirected(edges).select("a", "b", "w"))
     total = level.agg(F.sum("w")).first()[0]
-    member = level.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    nodes = level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct()
     if not total:
-        return member
-    for _ in range(levels):
-        strength = level.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-        labels = cut(strength.withColumn("c", F.col("node")))
-        for r in range(rounds):
-            sums = labels.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = level.where("a <> b").join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("kin"))
-            own = labels.withColumnsRenamed({"c": "own"})
-            cand = near.join(own, "node").join(sums, "c").where("c <> own").withColumn("gain", F.col("kin") - F.col("k") * F.col("tot") / total)
-            stay = own.join(near.withColumnRenamed("c", "own"), ["node", "own"], "left").join(sums.withColumnRenamed("c", "own"), "own").select("node", (F.coalesce("kin", F.lit(0.0)) - F.col("k") * (F.col("tot") - F.col("k")) / total).alias("now"))
-            best = cand.groupBy("node").agg(F.max_by("c", F.struct("gain", "c")).alias("to"), F.max("gain").alias("gain"))
-            wants = best.join(stay, "node").where(F.col("gain") > F.col("now") + 1e-9).select("node", "to")
-            goes = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2 + r // 4)) == 0
-            new = cut(labels.join(wants, "node", "left").select("node", "k", F.when(goes, F.coalesce("to", "c")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")))
-            labels = new.drop("wants")
-            if new.where("wants").isEmpty():
-                break
-        if labels.where("c <> node").isEmpty():
+        return by_smallest(nodes)
+    whole, member, labels = level, nodes, nodes
+    while True:
+        moved = local_moves(level, labels, total)
+        parts = merged(level, total, moved)
+        if parts.where("c <> node").isEmpty():
             break
-        member = cut(member.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
-        names = labels.select("node", "c")
-        level = level.join(names.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(names.withColumnsRenamed({"node": "b", "c": "cb"}), "b")
-        level = cut(level.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member.select("node", F.min("node").over(Window.partitionBy("community")).alias("community"))
+        labels = cut(parts.join(moved.withColumnRenamed("c", "to").hint("merge"), "node").groupBy(F.col("c").alias("node")).agg(F.min("to").alias("c")))
+        member = cut(member.join(parts.select(F.col("node").alias("c"), F.col("c").alias("to")).hint("merge"), "c").select("node", F.col("to").alias("c")))
+        level = cut(contracted(level, parts))
+    member = cut(member.join(moved.select(F.col("node").alias("c"), F.col("c").alias("to")).hint("merge"), "c").select("node", F.col("to").alias("c")))
+    ends = [member.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")).hint("merge") for x in "ab"]
+    pieces = components(whole.join(ends[0], "a").join(ends[1], "b").where("ca = cb").select("a", "b"))
+    return member.join(pieces.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
 def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:

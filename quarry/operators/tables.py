@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Where the plain copies of ``cut`` lie.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 INFER = "spark.sql.constraintPropagation.enabled"
 
 
@@ -40,7 +43,9 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
     path = shared_path(spark)
     if not keys:
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        _PLACES[out] = path
+        return out
     df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     # a checkpoint keeps what was inferred of its columns, which would double with every round of an iteration
     before = spark.conf.get(INFER)
@@ -51,6 +56,15 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
         spark.conf.set(INFER, before)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes the plain copies that ``cut`` made, once nothing reads them any more; other tables stay."""
+    for df in tables:
+        path = _PLACES.pop(df, None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of every key in the given order; the order must be total within a key."""
     w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])

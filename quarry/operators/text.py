@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +64,14 @@ def chunk_fixed(df: DataFrame, keys: list[str], text: str = "text", size: int =
 MARKS = (". ", "? ", "! ", ".\n", "?\n", "!\n")
 
 
-def sliding_pieces(text: str, size: int, overlap: int, min_size: int, reach: int = 100, boundary: str = "last") -> list[tuple[int, str]]:
+def pieces(text: str, size: int, overlap: int, min_size: int, reach: int = 100, boundary: str = "last") -> Iterator[tuple[int, str]]:
     """(offset, piece) with ends moved behind a sentence mark and its blank within ``reach`` of the size.
 
     boundary "last": the last of all marks, else ``reach`` beyond the size; "first": the last place of the first kind
     of mark that occurs, else the plain size.  A mark at the start of the window does not count.  The pieces go on
     until a start lies beyond the text, so the last one may repeat the end of the one before.
     """
-    out, start = [], 0
+    start = 0
     while start < len(text) and not text.isspace():
         end = start + size
         if end < len(text):
@@ -81,13 +83,16 @@ def sliding_pieces(text: str, size: int, overlap: int, min_size: int, reach: int
                 end = next((lo + p + 2 for p in at if p > 0), end)
         piece = text[start:end].strip()
         if len(piece) >= min_size:
-            out.append((start, piece))
+            yield start, piece
         if boundary == "first":
             end = min(end, len(text))
             start = end - overlap if end - overlap > start else start + max(size - overlap, 1)
         else:
             start = end - overlap
-    return out
+
+
+def sliding_pieces(text: str, size: int, overlap: int, min_size: int, reach: int = 100, boundary: str = "last") -> list[tuple[int, str]]:
+    return list(pieces(text, size, overlap, min_size, reach, boundary))
 
 
 def chunk_sliding(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200, min_size: int = 100, boundary: str = "last") -> DataFrame:
@@ -98,13 +103,31 @@ def chunk_sliding(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, o, p) for k, t in zip(pdf["k"], pdf["t"], strict=True) if t for i, (o, p) in enumerate(sliding_pieces(t, size, overlap, min_size, boundary=boundary))]
+            rows = [(k, i, o, p) for k, t in zip(pdf["k"], pdf["t"], strict=True) if t for i, (o, p) in enumerate(pieces(t, size, overlap, min_size, boundary=boundary))]
             yield pd.DataFrame(rows, columns=["k", "chunk_idx", "offset", "chunk"])
 
     out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk_idx int, offset int, chunk string")
     return out.withColumnRenamed("k", key)
 
 
+def chunk_stream(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200, min_size: int = 100, boundary: str = "last", block: int = 1000) -> DataFrame:
+    """chunk_sliding as a table function over Arrow batches: chunks leave in blocks, so a very long text is never one output batch."""
+    if size <= overlap + 100:
+        raise ValueError("size must exceed overlap by more than 100")
+    kind = df.schema[key].dataType.simpleString()
+
+    @F.arrow_udtf(returnType=f"k {kind}, chunk_idx int, offset int, chunk string")
+    class Pieces:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            keys, texts = batch.column(0), batch.column(1)
+            for row in range(batch.num_rows):
+                found = enumerate(pieces(texts[row].as_py() or "", size, overlap, min_size, boundary=boundary))
+                while part := list(itertools.islice(found, block)):
+                    yield pa.table({"k": pa.array([keys[row].as_py()] * len(part), keys.type), "chunk_idx": pa.array([i for i, _ in part], pa.int32()), "offset": pa.array([p[0] for _, p in part], pa.int32()), "chunk": [p[1] for _, p in part]})
+
+    return Pieces(df.select(F.col(key).alias("k"), F.col(text).alias("t")).asTable()).withColumnRenamed("k", key)
+
+
 def pages_of_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """Chunks with the first page that reaches their offset; pages is (doc_id, page, text), joined by blank lines."""
     by = Window.partitionBy("doc_id").orderBy("page")

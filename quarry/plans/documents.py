@@ -57,6 +57,11 @@ def _(c):
     return X.chunk_sliding(c.documents)
 
 
+@q("chunk_stream", f"WITH RECURSIVE tx AS (SELECT doc_id, text FROM documents), {sliding(False)} SELECT doc_id, idx::INT AS chunk_idx, s::INT AS \"offset\", chunk FROM slid")
+def _(c):
+    return X.chunk_stream(c.documents)
+
+
 GUESS = "list_filter(list_transform(list_slice(string_split(chunk, chr(10)), 1, 3), lambda x: trim(x)), lambda x: length(x) < 80 AND regexp_matches(x, '^\\p{Lu}') AND NOT ends_with(x, '.'))[1]"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators.tables import cut
 from quarry.plans.tables import CUR, q
 from quarry.streaming import jobs
 
@@ -25,3 +26,9 @@ def _(c):
 @q("latest_status", f"SELECT doc_id, store, status FROM ({CUR}) c")
 def _(c):
     return jobs.latest_status(c.ledger)
+
+
+@q("ledger_changes", f"SELECT doc_id, store, status, event_id, false AS expired FROM ({CUR}) c")
+def _(c):
+    with jobs.keyed_state(c.spark):  # state is kept while the job runs, so it runs here
+        return cut(jobs.ledger_changes(stamped(c.ledger)).select("doc_id", "store", "status", "event_id", "expired"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quarry.operators.tables import upsert_buckets, upsert_latest
 
@@ -67,3 +69,74 @@ def latest_status(ledger: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(doc_id, store, status): newest status of every key; as a stream it runs in update mode, rows later than the delay are dropped."""
     w = ledger.withWatermark("ts", delay) if ledger.isStreaming else ledger
     return w.groupBy("doc_id", "store").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside keep their state in RocksDB, which arbitrary keyed state needs."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.streams  # starts what finds state stores; a batch job doesn't by itself  # noqa: B018
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+class NewestStatus(StatefulProcessor):
+    """Keeps the newest (ts, event_id, status) of a key; ``idle`` milliseconds of event time without a newer one end it."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "us long, event_id long, status string")
+
+    def row(self, key: tuple, us: int, event_id: int, status: str, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": [key[0]], "store": [key[1]], "status": [status], "us": [us], "event_id": [event_id], "expired": [expired]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        known = self.newest.get() if self.newest.exists() else None
+        best = known
+        for pdf in rows:
+            last = pdf.sort_values(["us", "event_id"]).iloc[-1]
+            new = (int(last["us"]), int(last["event_id"]), last["status"])
+            if best is None or new[:2] > tuple(best)[:2]:
+                best = new
+        if best is not known:
+            self.newest.update(best)
+            if self.idle is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(best[0] // 1000 + self.idle)
+            yield self.row(key, *best, False)
+
+    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+        last = self.newest.get()
+        self.newest.clear()
+        yield self.row(key, *last, True)
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_changes(ledger: DataFrame, delay: str = "10 minutes", idle: int | None = None) -> DataFrame:
+    """(doc_id, store, status, ts, event_id, expired): a row whenever the newest status of a key changes.
+
+    ledger is (doc_id, store, status, ts, event_id) without nulls in ts and event_id; newest is by ts, then event_id.
+    The state is one row a key.  As a stream, rows of an event_id that was seen within the delay are dropped and so are rows
+    later than the delay; a key that shows nothing newer for ``idle`` milliseconds of event time gives a last row with
+    expired true and is forgotten.  As a batch every key gives one row, its newest.  Start it inside ``keyed_state``.
+    """
+    rows = ledger.select("doc_id", "store", "status", "ts", "event_id", F.unix_micros("ts").alias("us"))
+    if ledger.isStreaming:
+        rows = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    kind = {c: ledger.schema[c].dataType.simpleString() for c in ("doc_id", "store")}
+    timed = ledger.isStreaming and idle is not None
+    out = f"doc_id {kind['doc_id']}, store {kind['store']}, status string, us long, event_id long, expired boolean"
+    changes = rows.groupBy("doc_id", "store").transformWithStateInPandas(NewestStatus(idle if timed else None), out, "Append", "EventTime" if timed else "None")
+    return changes.select("doc_id", "store", "status", F.timestamp_micros("us").alias("ts"), "event_id", "expired")
