@@ -119,11 +119,6 @@ def _(c):
     return A.greedy_communities(edges(c))
 
 
-@q("well_connected_communities")
-def _(c):
-    return A.well_connected(edges(c))
-
-
 @q("betweenness_sampled")
 def _(c):
     e = edges(c)

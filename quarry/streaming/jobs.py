@@ -99,7 +99,7 @@ class NewestStatus(StatefulProcessor):
     def row(self, key: tuple, us: int, event_id: int, status: str, expired: bool) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": [key[0]], "store": [key[1]], "status": [status], "us": [us], "event_id": [event_id], "expired": [expired]})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.newest.get() if self.newest.exists() else None
         best = known
         for pdf in rows:
@@ -115,7 +115,7 @@ class NewestStatus(StatefulProcessor):
                 self.handle.registerTimer(best[0] // 1000 + self.idle)
             yield self.row(key, *best, False)
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.newest.get()
         self.newest.clear()
         yield self.row(key, *last, True)

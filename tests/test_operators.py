@@ -139,7 +139,7 @@ def two_triangles(spark):
 def test_analytics_invariants(spark):
     e = two_triangles(spark)
     assert {r.component for r in A.components(e).collect()} == {1}
-    assert abs(sum(r.rank for r in A.pagerank(e, rounds=10).collect()) - 1) < 1e-9
+    assert abs(sum(r.rank for r in A.pagerank(e, tolerance=0.01).collect()) - 1) < 1e-9
     c = A.louvain(e)
     assert {frozenset(r.node for r in c.collect() if r.community == k) for k in {r.community for r in c.collect()}} == {frozenset({1, 2, 3}), frozenset({4, 5, 6})}
     assert A.modularity(e, c) > A.modularity(e, c.withColumn("community", F.col("node")))
@@ -427,3 +427,95 @@ def test_many_starts_equal_one_by_one(spark):
     many = G.cooccurring_of(m, spark.createDataFrame([(3,), (9,)], "species_id long"), 4).collect()
     for s in (3, 9):
         assert sorted(((x.species_id, x.papers) for x in many if x.query_id == s), key=repr) == rows(G.cooccurring(m, s, 4))
+
+
+def pieces_of(pairs, nodes):
+    """The smallest node of every node's connected piece, by plain search."""
+    around, out = {n: set() for n in nodes}, {}
+    for a, b in pairs:
+        around[a].add(b), around[b].add(a)
+    for n in sorted(nodes):
+        todo = [] if n in out else [n]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = n
+                todo.extend(around[x])
+    return out
+
+
+def plain_modularity(pairs, label):
+    m, strength, inside = 0.0, {}, 0.0
+    for a, b, w in pairs:
+        m += w
+        inside += w * (label[a] == label[b])
+        for x in (a, b):
+            strength[label[x]] = strength.get(label[x], 0.0) + w
+    return inside / m - sum((v / (2 * m)) ** 2 for v in strength.values())
+
+
+def test_communities_are_connected_and_repeatable(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(g * 8 + i, g * 8 + j): 1.0 for g in range(6) for i in range(8) for j in range(i)} | {(g * 8, (g * 8 + 8) % 48): 1.0 for g in range(6)}
+    pairs |= {(rng.randrange(48), rng.randrange(48, 60)): 0.5 for _ in range(12)} | {(100, 101 + i): 1.0 for i in range(30)} | {(200, 201): 2.0}
+    rows_ = [(a, b, w) for (a, b), w in pairs.items()]
+    e = spark.createDataFrame(rows_ + [(7, 7, 9.0)], "a long, b long, w double")
+    nodes = {x for a, b, _ in rows_ for x in (a, b)}
+    planted = {n: min(n // 8, 6) if n < 100 else n // 100 * 10 for n in nodes}
+    found = {}
+    for find in (A.greedy_communities, A.well_connected):
+        got = found[find] = {r.node: r.community for r in find(e).collect()}
+        assert set(got) == nodes
+        assert got == pieces_of([(a, b) for a, b, _ in rows_ if got[a] == got[b]], nodes)  # connected, called by the smallest
+        assert plain_modularity(rows_, got) > 0.95 * plain_modularity(rows_, planted)
+        assert len({got[n] for n in range(100, 131)}) == 1 and got[201] == 200  # a star is one community
+    greedy = found[A.greedy_communities]
+    assert greedy == {r.node: r.community for r in A.greedy_communities(e).collect()}
+    for a, b, _ in rows_:  # no two neighbouring communities gain by a merger
+        if greedy[a] != greedy[b]:
+            assert plain_modularity(rows_, {n: greedy[a] if c == greedy[b] else c for n, c in greedy.items()}) <= plain_modularity(rows_, greedy) + 1e-9
+    none = e.where("false")
+    assert A.greedy_communities(none).isEmpty() and A.well_connected(none).isEmpty() and A.louvain(none).isEmpty()
+
+
+def test_iterations_that_do_not_settle_are_errors(spark):
+    e = two_triangles(spark)
+    with pytest.raises(RuntimeError, match="still move"):
+        A.label_propagation(e, rounds=1)
+    with pytest.raises(RuntimeError, match="tolerance"):
+        A.pagerank(spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 2), (1, 4), (4, 3), (5, 1)], "a long, b long"), tolerance=1e-300, damping=0.01)
+
+
+def test_keyed_state_of_a_ledger(spark, tmp_path):
+    src, cp, out = (str(tmp_path / n) for n in ("src", "cp", "out"))
+    schema = "doc_id long, store string, status string, ts string, event_id long"
+    files = [
+        [(1, "v", "pending", "2024-01-01 00:00:00", 1), (2, "v", "failed", "2024-01-01 00:00:00", 2), (1, "g", "success", "2024-01-01 00:05:00", 3), (1, "v", "success", "2024-01-01 00:01:00", 4)],
+        [(1, "v", "success", "2024-01-01 00:01:00", 4), (2, "v", "pending", "2024-01-01 00:00:00", 9), (1, "v", "older", "2024-01-01 00:00:30", 5)],  # repeated, tie by event_id, out of order
+        [(3, "v", "success", "2024-01-01 06:00:00", 6)],  # moves the watermark on: the others are idle
+        [(1, "v", "late", "2024-01-01 00:02:00", 7), (3, "v", "failed", "2024-01-01 06:01:00", 8)],
+    ]
+
+    def run(rows_):
+        spark.createDataFrame(rows_, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("doc_id long, store string, status string, ts timestamp, event_id long").parquet(src)
+        with jobs.keyed_state(spark):
+            jobs.ledger_changes(stream, "10 minutes", idle=3_600_000).writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+        return {(r.doc_id, r.store, r.status, r.event_id, r.expired) for r in spark.read.parquet(out).collect()}
+
+    assert run(files[0]) == {(1, "v", "success", 4, False), (2, "v", "failed", 2, False), (1, "g", "success", 3, False)}
+    second = run(files[1])
+    assert second == {(1, "v", "success", 4, False), (2, "v", "failed", 2, False), (2, "v", "pending", 9, False), (1, "g", "success", 3, False)}
+    third = run(files[2])
+    ended = {(1, "v", "success", 4, True), (2, "v", "pending", 9, True), (1, "g", "success", 3, True)}
+    assert third == second | {(3, "v", "success", 6, False)} | ended
+    assert run(files[3]) == third | {(3, "v", "failed", 8, False)}  # the late row is gone
+
+
+def test_chunks_by_a_table_function(spark):
+    docs = spark.createDataFrame([(1, "One sentence. " * 400), (2, None), (3, ""), (4, "short"), (None, "x" * 5000), (5, "One sentence. " * 400)], "doc_id long, text string")
+    want = rows(X.chunk_sliding(docs))
+    assert want and rows(X.chunk_stream(docs)) == want == rows(X.chunk_stream(docs, block=1))
+    assert X.chunk_stream(docs.where("false")).isEmpty()
