@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions import columns as C
 from quarry.operators.tables import cut, first_n, sized
@@ -250,35 +253,108 @@ def index_gaps(df: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     return a.join(b.hint("merge"), key, "left_anti").withColumn("missing", F.lit("postings")).unionByName(b.join(a.hint("merge"), key, "left_anti").withColumn("missing", F.lit("document")))
 
 
-def against(base: DataFrame, queries: DataFrame, key: str = "chunk_id", crowd: int = 1024) -> DataFrame:
-    """Every row of ``base`` with every query (query_id, q, ...), and their cosine as ``score``, in blocks.
+def by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (places, unit vectors)}; null vectors are in none, null components are NaN."""
+    v = vectors.combine_chunks()
+    size = v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        out[d] = at, unit(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d))
+    return out
+
 
-    Queries come in crowds of about ``crowd``; each crowd meets each slice of the base in one task, so neither side is
-    broadcast and no task holds more than a crowd.  ``embedding`` and ``q`` are dropped.
+def slabs(base: pa.Table, asking: pa.Table, scores: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, cosines of some queries with the whole base), of about ``scores`` numbers each; NaN where one has no cosine, 0 where a vector is zero."""
+    x, q, n, m = by_length(base["embedding"]), by_length(asking["q"]), base.num_rows, asking.num_rows
+    step = max(1, scores // max(1, n))
+    for lo in range(0, m, step):
+        hi = min(m, lo + step)
+        out = None
+        for d, (to, u) in q.items():
+            if d in x:
+                some = (to >= lo) & (to < hi)
+                part = u[some] @ x[d][1].T
+                if part.shape == (hi - lo, n):
+                    out = part
+                else:
+                    out = np.full((hi - lo, n), np.nan) if out is None else out
+                    out[np.ix_(to[some] - lo, x[d][0])] = part
+        yield lo, np.full((hi - lo, n), np.nan) if out is None else out
+
+
+def kept_places(score: np.ndarray, k: int | None, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k largest of every row, ties to the first column; a score that is NaN comes last."""
+    worth = np.where(np.isnan(score), -2.0, score)
+    if allowed is not None:
+        worth[~allowed] = -np.inf
+    if k is not None and worth.shape[1] > k:  # what rounding could lift to the k-th stays in
+        worth[worth < np.partition(worth, worth.shape[1] - k, axis=1)[:, [worth.shape[1] - k]] - 2e-6] = -np.inf
+    r, i = np.nonzero(worth > -np.inf)
+    w = np.round(worth[r, i], 6) + 0.0
+    if k is not None:
+        order = np.lexsort((i, -w, r))
+        r, i, w = r[order], i[order], w[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, i, w = r[first], i[first], w[first]
+    return r, i, np.where(w == -2, np.nan, w)
+
+
+def alike(base: pa.Table, asking: pa.Table, column: str, other: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values of both columns, the same for equal ones; -1 and -2 for nulls."""
+    x, y = base[column].to_pandas(), asking[other].to_pandas()
+    codes = pd.factorize(pd.concat([x, y], ignore_index=True))[0]
+    return codes[: len(x)], np.where(codes[len(x) :] < 0, -2, codes[len(x) :])
+
+
+def in_blocks(base: DataFrame, queries: DataFrame, key: str, block: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType, crowd: int = 4_096, rows: int = 65_536) -> DataFrame:
+    """The rows that ``block`` gives for every slice of ``base``, by hash of ``key``, with every crowd of queries (query_id, q, ...).
+
+    Slices hold about ``rows``, crowds about ``crowd``; each slice meets each crowd in one task, so neither side is broadcast.
     """
     crowds = max(1, -(-queries.count() // crowd))
-    slices = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    norm = lambda v: F.sqrt(C.dot(v, v))
-    b = base.withColumns({"__s": F.pmod(F.xxhash64(key), F.lit(slices)), "__n": norm(F.col("embedding"))}).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
-    q = queries.withColumns({"__c": F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int"), "__m": norm(F.col("q"))}).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    pairs = b.join(q.hint("shuffle_hash"), ["__c", "__s"])
-    score = F.when(F.col("__n") * F.col("__m") > 0, C.dot(F.col("embedding"), F.col("q")) / (F.col("__n") * F.col("__m"))).otherwise(0.0)
-    return pairs.withColumn("score", score).drop("__c", "__s", "__n", "__m", "embedding", "q")
+    slices = max(16, -(-base.count() // rows))
+    tasks = min(crowds * slices, 2_000)
+    b = base.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
+    q = queries.withColumn("__c", F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int")).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    b, q = (x.repartition(tasks, "__c", "__s").groupBy("__c", "__s") for x in (b, q))
+    return b.cogroup(q).applyInArrow(block, schema)
 
 
-def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, exclude: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): the k most similar vectors of every query, exact, for a query set of any size.
+def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, apart: Iterable[tuple[str, str]] = (), within: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(query_id, chunk_id, score, ...): the k most similar vectors of every query, exact, for a query set of any size.
 
-    queries is (query_id, q[, ...]).  Each task keeps its own k best of a query before anything is shuffled.
-    ``exclude`` removes pairs.
+    queries is (query_id, q[, ...]); other columns of both sides stay.  Each task multiplies blocks and keeps its own k best
+    of a query, so no pair beyond those leaves it.  Pairs equal in the columns of ``apart`` (base, query) or not equal
+    in those of ``within`` are left out, nulls too.  Null vectors come last, without a score; zero vectors have 0.
     """
-    pairs = against(base, queries)
-    if exclude is not None:
-        pairs = pairs.where(~exclude)
-    pairs = pairs.withColumn("score", F.round("score", 6))
-    if least is not None:
-        pairs = pairs.where(F.col("score") >= least)
-    return first_n(pairs, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    apart, within = list(apart), list(within)
+    mine = [c for c in queries.columns if c not in ("q", "query_id")]
+    own = [c for c in base.columns if c != "embedding"]
+    fields = [queries.schema["query_id"], *[base.schema[c] for c in own], *[queries.schema[c] for c in mine], StructField("score", DoubleType())]
+
+    def block(x: pa.Table, asking: pa.Table) -> pa.Table:
+        x = x.sort_by("chunk_id")
+        tests = [(*alike(x, asking, a, b), False) for a, b in apart] + [(*alike(x, asking, a, b), True) for a, b in within]
+        found = []
+        for lo, score in slabs(x, asking) if x.num_rows and asking.num_rows else ():
+            allowed = None
+            for left, right, equal in tests:
+                some = right[lo : lo + len(score), None]
+                part = (left == some) == equal
+                part &= (left >= 0) & (some >= 0)
+                allowed = part if allowed is None else allowed & part
+            if least is not None:
+                enough = np.round(score, 6) >= least
+                allowed = enough if allowed is None else allowed & enough
+            r, i, w = kept_places(score, k, allowed)
+            found.append((r + lo, i, w))
+        r, i, w = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        left, right = x.select(own).take(pa.array(i)), asking.select(["query_id", *mine]).take(pa.array(r))
+        return pa.table([right["query_id"], *left.columns, *[right[c] for c in mine], pa.array(w, from_pandas=True)], names=[f.name for f in fields])
+
+    near = in_blocks(base, queries, "chunk_id", block, StructType(fields))
+    return first_n(near, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 @dataclass
@@ -365,7 +441,7 @@ def near_vectors(base: DataFrame, queries: DataFrame, lists: VectorLists, k: int
 
 def hybrid_search(base: DataFrame, queries: DataFrame, keywords: list[str], k: int = 10, weight: float = 0.7) -> DataFrame:
     """Cosine blended with the share of keywords present in the text, over the 2k nearest."""
-    near = cosine_topk(base, queries, 2 * k)
+    near = cosine_topk(base.drop("text"), queries, 2 * k).join(base.select("chunk_id", "text").hint("merge"), "chunk_id")
     present = sum((F.when(F.contains(F.lower("text"), F.lit(w.lower())), 1).otherwise(0) for w in keywords), F.lit(0)) / F.lit(max(1, len(keywords)))
     scored = near.withColumn("combined", F.round(weight * F.col("score") + (1 - weight) * present, 6))
     return first_n(scored, ["query_id"], [F.desc("combined"), F.asc("chunk_id")], k)
@@ -392,7 +468,7 @@ def ranked_search(keyword: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     sem = best_per_document(near.select("query_id", "doc_id", C.cosine(F.col("embedding"), F.col("q")).alias("score")))
     blended = cand.join(sem, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(wk * F.col("kw") + ws * F.coalesce("best", F.lit(0.0)), 6).alias("score"))
     none = queries.select("query_id", "q").join(cand.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
-    only = best_per_document(against(vectors.select("doc_id", "embedding"), none, "doc_id")).select("query_id", "doc_id", F.round("best", 6).alias("score"))
+    only = best_documents(vectors, cut(none), k).withColumnRenamed("best", "score")
     return first_n(blended.unionByName(only), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
@@ -447,10 +523,24 @@ def top_papers(keyword: DataFrame, papers: DataFrame, as_of: int, years: int | N
     return in_domain(out, papers, domain) if domain else out
 
 
-def best_documents(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, best): of every query the k documents whose best chunk is nearest."""
-    best = best_per_document(against(base, queries, "doc_id").withColumn("score", F.round("score", 6)))
-    return first_n(best, ["query_id"], [F.desc("best"), F.asc("doc_id")], k).select("query_id", "doc_id", "best")
+def best_documents(base: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, best): of every query the k documents whose best chunk is nearest; without k every document.
+
+    A document's chunks meet a crowd in one task, which takes their maximum before anything leaves it.
+    """
+    fields = [queries.schema["query_id"], base.schema["doc_id"], StructField("best", DoubleType())]
+
+    def block(x: pa.Table, asking: pa.Table) -> pa.Table:
+        x = x.sort_by("doc_id")
+        ids = pd.factorize(x["doc_id"].to_pandas(), use_na_sentinel=False)[0]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
+        found = [(r + lo, starts[i], w) for lo, s in (slabs(x, asking) if len(ids) and asking.num_rows else ()) for r, i, w in [kept_places(np.fmax.reduceat(s, starts, axis=1), k)]]
+        r, i, w = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([asking["query_id"].take(pa.array(r)), x["doc_id"].take(pa.array(i)), pa.array(w, from_pandas=True)], names=[f.name for f in fields])
+
+    small = {} if k else {"crowd": 1_024, "rows": 8_192}  # without k a block gives as many rows as it has pairs
+    best = in_blocks(base.select("doc_id", "embedding"), queries.select("query_id", "q"), "doc_id", block, StructType(fields), **small)
+    return best if k is None else first_n(best, ["query_id"], [F.desc("best"), F.asc("doc_id")], k)
 
 
 def by_author(keyword: DataFrame, papers: DataFrame, name: str) -> DataFrame:

@@ -489,3 +489,25 @@ def test_chunks_by_a_table_function(spark):
     want = rows(X.chunk_sliding(docs))
     assert want and rows(X.chunk_stream(docs)) == want == rows(X.chunk_stream(docs, block=1))
     assert X.chunk_stream(docs.where("false")).isEmpty()
+
+
+def test_vector_search_in_blocks(spark):
+    """Against numpy over all pairs, with pairs left out, a null and a zero vector."""
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(300, 6)).round(1)
+    base = spark.createDataFrame([(i, i // 4, i % 3, v.tolist()) for i, v in enumerate(x)] + [(900, 900, 0, [0.0] * 6), (901, 901, 0, None)], "chunk_id long, doc_id long, domain int, embedding array<float>")
+    queries = base.where("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("doc_id").alias("qdoc"), F.col("domain").alias("qdomain"), F.col("embedding").alias("q"))
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u[:40] @ u.T, 6)
+    got = rows(S.cosine_topk(base, queries, 7, apart=[("doc_id", "qdoc")], within=[("domain", "qdomain")]).select("query_id", "chunk_id", F.round("score", 5)))
+    want = []
+    for i in range(40):
+        others = [(-s[i, j], j) for j in range(300) if j // 4 != i // 4 and j % 3 == i % 3] + ([(0.0, 900)] if i % 3 == 0 else [])
+        want += [(i, j) for _, j in sorted(others)[:7]]
+    assert [r[:2] for r in got] == sorted(want, key=repr)
+    assert S.cosine_topk(base, queries, 400).groupBy().agg(F.count("*"), F.count("score"), F.expr("count_if(score = 0 and chunk_id = 900)")).first()[:] == (40 * 302, 40 * 301, 40)
+    best = {(r.query_id, r.doc_id): r.best for r in S.best_documents(base, queries).collect()}
+    assert len(best) == 40 * 77 and best[3, 901] is None
+    assert all(abs(best[i, d] - s[i, 4 * d : 4 * d + 4].max()) < 2e-6 for i in range(40) for d in range(75))
