@@ -276,8 +276,7 @@ def salvaged_json(text: Column | str, kind: str = "object") -> Column:
     """The outermost JSON object (or array) of a model's answer: think tags and code fences off."""
     a, b = ("{", "}") if kind == "object" else ("[", "]")
     t = F.regexp_replace(F.regexp_replace(_c(text), r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    first, last = F.locate(a, t), F.length(t) - F.locate(b, F.reverse(t)) + 1
-    return F.when((first > 0) & t.contains(b) & (last > first), F.substring(t, first, last - first + 1))
+    return F.nullif(F.regexp_extract(t, rf"(?s)\{a}.*\{b}", 0), F.lit(""))  # the text named once, so it is made once
 
 
 def highlighted(text: Column | str, *entities: Column, mark: str = "**") -> Column:

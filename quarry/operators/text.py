@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n, sized
+from quarry.operators.tables import cut, first_n, sized
 
 # -- sections and chunks ----------------------------------------------------------------------------------
 
@@ -369,38 +369,64 @@ ANSWER = "struct<" + ",".join(f"{k}:array<struct<{v},text_snippet:string>>" for
 RELATIONS = ("predation", "parasitism", "competition", "symbiosis", "habitat_use", "associated")
 
 
-def parse_extractions(answers: DataFrame) -> dict[str, DataFrame]:
+#: What an item of a list needs to count.
+NEEDED = {"species": ("original_name",), "measurements": ("parameter",), "locations": ("name",), "temporal": (), "relations": ("subject", "object"), "traits": ("species", "trait_name", "trait_value"), "key_entities": ("name",), "methods": ("name",), "datasets": ("name",), "citations": ("title",)}
+
+
+def parsed_answers(answers: DataFrame) -> DataFrame:
+    """``answers`` (doc_id, chunk_id, content[, page, section]) with ``j``, all lists of the answer, null without JSON.
+
+    An answer is parsed once, in one pass over all of them: where filters and other columns could take the parser along
+    it would run again for each.
+    """
+    page, section = (F.col(c) if c in answers.columns else F.lit(None).cast(t) for c, t in (("page", "int"), ("section", "string")))
+    return answers.withColumns({"__page": page, "__section": section, "j": F.from_json(C.salvaged_json("content"), ANSWER, {"mode": "PERMISSIVE"})}).withColumn("__any", F.col("j").isNotNull())
+
+
+def good_items(name: str, lists: str = "j") -> Column:
+    """The items of a list of ``parsed_answers`` that have all they need."""
+
+    def good(e: Column) -> Column:
+        test = e.isNotNull()
+        for c in NEEDED[name]:
+            test = test & (F.coalesce(e[c], F.lit("")) != "")
+        return test & F.coalesce(e["value"].try_cast("double") != 0, F.lit(False)) if name == "measurements" else test
+
+    return F.filter(f"{lists}.{name}", good)
+
+
+def parse_extractions(answers: DataFrame, stored: bool = False) -> dict[str, DataFrame]:
     """Typed rows of the ten lists from model answers (doc_id, chunk_id, content); "rejects" holds answers without JSON.
 
     Bad items are passed over one by one: species, places, entities, methods and datasets need a name, measurements a
     parameter and a number other than 0, relations both ends, traits all three parts; coordinates need two numbers
     other than 0.  Every row carries its source; page and section are taken from ``answers`` where it has them.
+    ``stored`` writes what was parsed to the shared folder, for uses of several lists, which else parse each for itself.
     """
     base = ["doc_id", "chunk_id"]
-    page, section = (F.col(c) if c in answers.columns else F.lit(None).cast(t) for c, t in (("page", "int"), ("section", "string")))
-    d = answers.withColumns({"__page": page, "__section": section, "j": F.from_json(C.salvaged_json("content"), ANSWER, {"mode": "PERMISSIVE"})})
+    d = parsed_answers(answers)
+    d = cut(d.withColumn("content", F.when(F.col("j").isNull(), F.col("content")))) if stored else d
     number = lambda c: F.col(c).try_cast("double")
-    filled = lambda *cs: " and ".join(f"coalesce(e.{c}, '') <> ''" for c in cs)
 
-    def rows(name: str, need: str, *columns: str | Column) -> DataFrame:
-        item = d.where("j is not null").select(*base, "__page", "__section", F.explode(f"j.{name}").alias("e")).where(need)
+    def rows(name: str, *columns: str | Column) -> DataFrame:
+        item = d.select(*base, "__page", "__section", F.explode(good_items(name)).alias("e"))
         source = C.source_ref(F.col("doc_id"), F.col("chunk_id"), F.col("__page"), F.col("__section"), F.col("e.text_snippet"))
         return item.select(*base, *columns, source.alias("source"))
 
     value = number("e.value")
     both = (number("e.latitude") != 0) & (number("e.longitude") != 0)
     return {
-        "species": rows("species", filled("original_name"), "e.original_name", "e.common_name"),
-        "measurements": rows("measurements", filled("parameter") + " and try_cast(e.value as double) <> 0", "e.parameter", value.alias("value"), "e.unit", number("e.value_min").alias("value_min"), number("e.value_max").alias("value_max"), "e.species", "e.life_stage"),
-        "locations": rows("locations", filled("name"), "e.name", "e.region", "e.country", "e.habitat_type", F.when(both, number("e.latitude")).alias("latitude"), F.when(both, number("e.longitude")).alias("longitude")),
-        "temporal": rows("temporal", "e is not null", "e.start_date", "e.end_date", "e.season", "e.description"),
-        "relations": rows("relations", filled("subject", "object"), "e.subject", "e.object", C.normal_relation("e.relation_type", RELATIONS).alias("type"), "e.description"),
-        "traits": rows("traits", filled("species", "trait_name", "trait_value"), "e.species", "e.trait_name", "e.trait_value"),
-        "key_entities": rows("key_entities", filled("name"), "e.name", "e.type", "e.description"),
-        "methods": rows("methods", filled("name"), "e.name", "e.description"),
-        "datasets": rows("datasets", filled("name"), "e.name", F.col("e.size").try_cast("int").alias("size"), "e.description"),
-        "citations": rows("citations", filled("title"), "e.title", F.col("e.year").try_cast("int").alias("year"), F.coalesce("e.authors", F.array().cast("array<string>")).alias("authors"), "e.journal", C.clean_doi("e.doi").alias("doi")),
-        "rejects": d.where("j is null").select(*base, "content"),
+        "species": rows("species", "e.original_name", "e.common_name"),
+        "measurements": rows("measurements", "e.parameter", value.alias("value"), "e.unit", number("e.value_min").alias("value_min"), number("e.value_max").alias("value_max"), "e.species", "e.life_stage"),
+        "locations": rows("locations", "e.name", "e.region", "e.country", "e.habitat_type", F.when(both, number("e.latitude")).alias("latitude"), F.when(both, number("e.longitude")).alias("longitude")),
+        "temporal": rows("temporal", "e.start_date", "e.end_date", "e.season", "e.description"),
+        "relations": rows("relations", "e.subject", "e.object", C.normal_relation("e.relation_type", RELATIONS).alias("type"), "e.description"),
+        "traits": rows("traits", "e.species", "e.trait_name", "e.trait_value"),
+        "key_entities": rows("key_entities", "e.name", "e.type", "e.description"),
+        "methods": rows("methods", "e.name", "e.description"),
+        "datasets": rows("datasets", "e.name", F.col("e.size").try_cast("int").alias("size"), "e.description"),
+        "citations": rows("citations", "e.title", F.col("e.year").try_cast("int").alias("year"), F.coalesce("e.authors", F.array().cast("array<string>")).alias("authors"), "e.journal", C.clean_doi("e.doi").alias("doi")),
+        "rejects": d.where("not __any").select(*base, "content"),
     }
 
 

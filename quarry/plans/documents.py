@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import graph as G, text as X
+from quarry.operators.tables import cut, spread
 from quarry.plans.tables import q
 from quarry.plans.text import FIRST_YEAR, HEADED, PUBLISHED, SECTIONS, TITLE, headed
 
@@ -182,7 +183,7 @@ LINE = "ln AS (SELECT doc_id, i, line, string_split(line, ' ')[1] AS a, string_s
 
 
 def answers(c):
-    """Answers in JSON behind a thought and in a code fence; none for French texts."""
+    """Answers in JSON behind a thought and in a code fence; none for French texts.  Stored, as a model's answers would be."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.get(F.split(x, " "), 0).alias("a"), F.element_at(F.split(x, " "), -1).alias("z"), F.length(x).alias("n")))
     each = lambda f: F.transform(lines, lambda x: F.struct(*[v.alias(k) for k, v in f(x).items()]))
     content = F.to_json(
@@ -200,7 +201,8 @@ def answers(c):
         )
     )
     answer = F.concat(F.lit("<think>{not this}</think>```json\n"), content, F.lit("\n```"))
-    return c.documents.select("doc_id", F.lit("c").alias("chunk_id"), F.lit(2).alias("page"), F.col("source").alias("section"), F.when(F.col("lang") != "fr", answer).otherwise(F.lit("no answer")).alias("content"))
+    d = spread(c.documents, "doc_id")  # a file of one row group would be one task's
+    return cut(d.select("doc_id", F.lit("c").alias("chunk_id"), F.lit(2).alias("page"), F.col("source").alias("section"), F.when(F.col("lang") != "fr", answer).otherwise(F.lit("no answer")).alias("content")))
 
 
 @q("parsed_species", "SELECT doc_id, w AS original_name, lang AS common_name, 'c' AS chunk_id, source AS section, 2 AS page, w AS snippet, 1.0::DOUBLE AS confidence FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '[a-z]{13,}')) AS w FROM documents WHERE lang <> 'fr') t")
@@ -226,7 +228,7 @@ def _(c):
 
 @q("parsed_lists", f"WITH {LINE} SELECT 'temporal' AS list, a AS x, z AS y, count(*) AS n FROM ln GROUP BY ALL UNION ALL SELECT 'traits', a, z || n, count(*) FROM ln WHERE a <> '' AND z <> '' AND n % 2 = 0 GROUP BY ALL UNION ALL SELECT 'key_entities', a, 'word', count(*) FROM ln WHERE a <> '' GROUP BY ALL UNION ALL SELECT 'methods', z, NULL, count(*) FROM ln WHERE z <> '' GROUP BY ALL UNION ALL SELECT 'datasets', a, cast(n AS varchar), count(*) FROM ln WHERE a <> '' GROUP BY ALL UNION ALL SELECT 'citations', a, (1990 + n % 30) || z || '10.1/' || n, count(*) FROM ln WHERE a <> '' GROUP BY ALL")
 def _(c):
-    out = X.parse_extractions(answers(c))
+    out = X.parse_extractions(answers(c), stored=True)
     y = {"temporal": ("season", F.col("description")), "traits": ("species", F.concat("trait_name", "trait_value")), "key_entities": ("name", F.col("type")), "methods": ("name", F.lit(None).cast("string")), "datasets": ("name", F.col("size").cast("string")), "citations": ("title", F.concat(F.col("year").cast("string"), F.array_join("authors", ""), "doi"))}
     parts = [out[k].select(F.lit(k).alias("list"), F.col(a).alias("x"), b.alias("y")).groupBy("list", "x", "y").agg(F.count("*").alias("n")) for k, (a, b) in y.items()]
     result = parts[0]
@@ -276,18 +278,18 @@ def _(c):
 
 def built(c):
     """The graph of the typed rows of all answers."""
-    out = X.parse_extractions(answers(c))
-    base = ["doc_id", "chunk_id"]
-    lists = {
-        "species": out["species"].select(*base, F.struct(F.lit(None).cast("string").alias("scientific_name"), "original_name", F.col("common_name").alias("family"), F.lit(1.0).alias("confidence")).alias("x")),
-        "locations": out["locations"].select(*base, F.struct("name", "region").alias("x")),
-        "measurements": out["measurements"].select(*base, F.struct("parameter", "value", "unit", F.col("parameter").alias("species")).alias("x")),
-        "relations": out["relations"].select(*base, F.struct("subject", "object", "type", "description").alias("x")),
-    }
-    d = c.documents.where("lang <> 'fr'").select("doc_id", F.lit("c").alias("chunk_id"))
-    for name, rows in lists.items():
-        d = d.join(rows.groupBy(*base).agg(F.collect_list("x").alias(name)).hint("merge"), base, "left")
-    return G.build_graph(d)
+    items = lambda name, item: F.transform(X.good_items(name), item).alias(name)
+    nothing = F.lit(None).cast("string")
+    return G.build_graph(
+        X.parsed_answers(answers(c)).select(
+            "doc_id",
+            "chunk_id",
+            items("species", lambda e: F.struct(nothing.alias("scientific_name"), e["original_name"].alias("original_name"), e["common_name"].alias("family"), F.lit(1.0).alias("confidence"))),
+            items("locations", lambda e: F.struct(e["name"].alias("name"), e["region"].alias("region"))),
+            items("measurements", lambda e: F.struct(e["parameter"].alias("parameter"), e["value"].try_cast("double").alias("value"), e["unit"].alias("unit"), e["parameter"].alias("species"))),
+            items("relations", lambda e: F.struct(e["subject"].alias("subject"), e["object"].alias("object"), C.normal_relation(e["relation_type"], X.RELATIONS).alias("type"), e["description"].alias("description"))),
+        )
+    )
 
 
 WORDS = "wd AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{13,}')) AS w FROM documents WHERE lang <> 'fr')"

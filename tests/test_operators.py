@@ -511,3 +511,29 @@ def test_vector_search_in_blocks(spark):
     best = {(r.query_id, r.doc_id): r.best for r in S.best_documents(base, queries).collect()}
     assert len(best) == 40 * 77 and best[3, 901] is None
     assert all(abs(best[i, d] - s[i, 4 * d : 4 * d + 4].max()) < 2e-6 for i in range(40) for d in range(75))
+
+
+def test_answers_are_parsed_once(spark):
+    """The parser stands once in the plan of a list, whatever is asked of it, and stored lists equal the others."""
+    answers = spark.createDataFrame([(1, "c", '<think>{x}</think>```json\n{"methods": [{"name": "m"}, {"name": ""}, null], "traits": [{"species": "s", "trait_name": "t", "trait_value": "1"}]}\n```'), (2, "c", "} none {")], "doc_id int, chunk_id string, content string")
+    plan = X.parse_extractions(answers)["methods"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("<think>") == 1
+    for stored in (False, True):
+        out = X.parse_extractions(answers, stored)
+        assert rows(out["methods"].select("name")) == [("m",)] and out["traits"].count() == 1
+        assert rows(out["rejects"]) == [(2, "c", "} none {")]
+
+
+def test_bibtex_places_of_many_ranges(spark):
+    from quarry.sources.exports import bibtex
+
+    papers = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.lit(2000).alias("year"), F.array(F.lit("A B")).alias("authors"))
+    out = bibtex(papers)
+    assert "Exchange rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()  # the ranges are drawn once
+    assert out.where(~F.contains("bibtex", F.concat(F.lit("B2000_"), F.col("doc_id").cast("string"), F.lit(",")))).isEmpty()
+
+
+def test_discovered_links_of_twenty_entities(spark):
+    studied = spark.createDataFrame([(f"e{i:02}", d, i) for i in range(20) for d in "xy"], "entity string, domain string, doc_id int")
+    links = L.discover(studied, spark.createDataFrame([("x", "y", 0.5)], "a string, b string, score double"), per_type=30)
+    assert links.count() == 20
