@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.operators.tables import cut
 from quarry.operators.tables import drop_empty_columns
 
 
@@ -31,7 +32,8 @@ def bibtex(papers: DataFrame, most_authors: int = 5) -> DataFrame:
 
     The place needs one global order: a user exports a selection, and places are counted per range of ids.
     """
-    rows = papers.repartitionByRange(F.col("doc_id")).withColumn("__p", F.spark_partition_id())
+    # stored, since ranges are drawn anew and merged anew in each run of a plan, and both uses must see the same ones
+    rows = cut(papers.repartitionByRange(F.col("doc_id")).withColumn("__p", F.spark_partition_id()))
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy("doc_id")))
     sizes = rows.groupBy("__p").agg(F.count("*").alias("__c"))  # one row per partition
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
