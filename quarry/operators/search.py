@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions import columns as C
-from quarry.operators.tables import cut, first_n, sized
+from quarry.operators.tables import cut, first_n, sized, spread
 
 UNICODE_WORDS, ASCII_WORDS = r"[\p{L}\p{N}]+", "[a-z]+"
 K1, B = 1.2, 0.75
@@ -79,7 +79,7 @@ def rarity(docs: Column, n: Column) -> Column:
 def scores_of_hits(hits: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) from (query_id, term, key, dl, f)."""
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    j = hits.join(df.hint("merge"), ["query_id", "term"]).join(F.broadcast(stats))
+    j = hits.join(sized(cut(df)), ["query_id", "term"]).join(F.broadcast(stats))
     part = rarity(F.col("docs"), F.col("n")) * saturated(F.col("f"), F.col("dl"), F.col("avgdl"))
     return j.withColumn("part", part).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
@@ -106,12 +106,69 @@ def keyword_scores(df: DataFrame, terms: DataFrame, key: str, columns: list[str]
     Without a stored index: one pass lists the words, which give the mean length and the words that the terms
     begin; a second one keeps the hits alone, before anything of a document is shuffled.
     """
+    df = spread(df.select(key, *columns), key)  # a file of one row group would be one task's
     words = cut(vocabulary(df, columns, pattern))
     stats = df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl"))
     rows = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
     rows = rows.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("word"))
     hits = rows.join(sized(cut(prefix_matches(words, terms))), "word")
-    return scores_of_hits(hits.groupBy("query_id", "term", key, "dl").agg(F.count("*").alias("f")), cut(stats), key)
+    return scores_of_hits(cut(hits.groupBy("query_id", "term", key, "dl").agg(F.count("*").alias("f"))), cut(stats), key)
+
+
+def keyword_candidates(df: DataFrame, terms: DataFrame, key: str, columns: list[str], k: int, pattern: str = UNICODE_WORDS, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score): the k best documents of every query of (query_id, term), as keyword_scores would give them.
+
+    For many queries at once: a term's share of a document's score is made once, whoever asks for it, and slices of the
+    documents meet crowds of queries, where a task adds up one query after the other and keeps its own k best.  What all
+    queries hit together is never a row.  ``among`` (key) are the documents that may be found; rarity counts them all.
+    """
+    df = spread(df.select(key, *columns), key)  # a file of one row group would be one task's
+    words = cut(vocabulary(df, columns, pattern))
+    stats = cut(df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl")))
+    asked = cut(terms.select("query_id", "term").distinct())
+    meant = prefix_matches(words, asked.select(F.lit(0).alias("query_id"), "term").distinct()).select("term", "word")
+    rows = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
+    rows = rows.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("word"))
+    hits = cut(rows.join(sized(cut(meant)), "word").groupBy(key, "dl", "term").agg(F.count("*").alias("f")))
+    n = cut(hits.groupBy("term").agg(F.count("*").alias("n")))
+    part = rarity(F.col("docs"), F.col("n")) * saturated(F.col("f"), F.col("dl"), F.col("avgdl"))
+    parts = hits.join(sized(n), "term").join(F.broadcast(stats)).select(key, "term", part.alias("part"))
+    if among is not None:
+        parts = parts.join(among.select(key).hint("merge"), key, "left_semi")
+    fields = [terms.schema["query_id"], df.schema[key], StructField("score", DoubleType())]
+
+    def block(x: pa.Table, asking: pa.Table) -> pa.Table:
+        x, asking = x.sort_by(key), asking.sort_by("query_id")
+        found = []
+        if x.num_rows and asking.num_rows:
+            ids = pd.factorize(x[key].to_pandas(), use_na_sentinel=False)[0]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            mine, wanted = alike(x, asking, "term", "term")
+            order = np.argsort(mine, kind="stable")
+            ids, part, mine = ids[order], x["part"].to_numpy()[order], mine[order]
+            lo, hi = np.searchsorted(mine, wanted), np.searchsorted(mine, wanted, "right")
+            who = pd.factorize(asking["query_id"].to_pandas(), use_na_sentinel=False)[0]
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            total = np.zeros(len(starts))
+            for a, b in zip(first, np.r_[first[1:], len(who)]):
+                met = [slice(lo[t], hi[t]) for t in range(a, b) if hi[t] > lo[t]]
+                for t in met:
+                    total[ids[t]] += part[t]  # a term has a document once
+                if met:
+                    i = np.unique(np.concatenate([ids[t] for t in met])) if len(met) > 1 else ids[met[0]]
+                    w = total[i].copy()
+                    total[i] = 0.0
+                    if len(w) > k:
+                        near = w >= np.partition(w, len(w) - k)[len(w) - k] - 2e-6
+                        i, w = i[near], w[near]
+                    w = np.round(w, 6)
+                    best = np.lexsort((i, -w))[:k]
+                    found.append((np.full(len(best), a), starts[i[best]], w[best]))
+        r, i, w = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([asking["query_id"].take(pa.array(r)), x[key].take(pa.array(i)), pa.array(w)], names=[f.name for f in fields])
+
+    best = in_blocks(parts, asked, key, block, StructType(fields), crowd=100_000, rows=1_000_000)
+    return first_n(best, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
 def keyword_search(df: DataFrame, queries: list[tuple[int, str]], key: str, columns: list[str], k: int = 10, offset: int = 0, pattern: str = UNICODE_WORDS) -> DataFrame:
@@ -464,6 +521,7 @@ def ranked_search(keyword: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     cand = first_n(keyword, ["query_id"], [F.desc("score"), F.asc("doc_id")], k * candidates)
     top = F.max("score").over(Window.partitionBy("query_id"))
     cand = cand.withColumn("kw", F.when(top > 0, F.col("score") / top).otherwise(0.0)).select("query_id", "doc_id", "kw")
+    cand = cut(cand)  # used three times
     near = cand.join(vectors.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", "q").hint("merge"), "query_id")
     sem = best_per_document(near.select("query_id", "doc_id", C.cosine(F.col("embedding"), F.col("q")).alias("score")))
     blended = cand.join(sem, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(wk * F.col("kw") + ws * F.coalesce("best", F.lit(0.0)), 6).alias("score"))

@@ -537,3 +537,15 @@ def test_discovered_links_of_twenty_entities(spark):
     studied = spark.createDataFrame([(f"e{i:02}", d, i) for i in range(20) for d in "xy"], "entity string, domain string, doc_id int")
     links = L.discover(studied, spark.createDataFrame([("x", "y", 0.5)], "a string, b string, score double"), per_type=30)
     assert links.count() == 20
+
+
+def test_keyword_candidates_are_the_best_of_all_scores(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 7}x{j * i % 11}" for j in range(i % 9 + 1)).replace("w1", "w")) for i in range(200)] + [(900, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(i, t) for i in range(30) for t in (f"w{i % 7}", f"w{i % 5}x{i % 3}", "none")], "query_id long, term string").distinct()
+    few = docs.where("doc_id % 3 > 0").select("doc_id")
+    for among in (None, few):
+        every = S.keyword_scores(docs, terms, "doc_id", ["text"])
+        every = every if among is None else every.join(among, "doc_id", "left_semi")
+        want = T.first_n(every, ["query_id"], [F.desc("score"), F.asc("doc_id")], 6).select("query_id", "doc_id", F.round("score", 5))
+        got = S.keyword_candidates(docs, terms, "doc_id", ["text"], 6, among=among).select("query_id", "doc_id", F.round("score", 5))
+        assert rows(got) == rows(want) and got.count() > 30
