@@ -192,16 +192,16 @@ def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
     labels = cut(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     still, old = 0, [labels]
     for r in range(rounds):
-        votes = e.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a", "label").agg(F.sum("w").alias("v"))
-        mine = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
+        votes = e.join(labels.withColumnsRenamed({"node": "b"}).hint("merge"), "b").groupBy("a", "label").agg(F.sum("w").alias("v"))
+        mine = votes.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")).hint("merge"), "a")
         order = F.struct(-F.col("v"), F.col("label") != F.col("own"), "label")
         best = mine.groupBy(F.col("a").alias("node")).agg(F.min_by("label", order).alias("to"))
         moves = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        new = cut(labels.join(best, "node").select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"), (moves & (F.col("to") != F.col("label"))).alias("moved")))
+        new = cut(labels.join(best.hint("merge"), "node").select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"), (moves & (F.col("to") != F.col("label"))).alias("moved")))
         released(*old)
         old, labels = [new], new.select("node", "label")
         still = still + 1 if new.where("moved").isEmpty() else 0
-        if still == 2 and r % 2:  # both parities of one dealing
+        if still >= 2 and r % 2:  # both parities of one dealing
             return labels.select("node", F.min("node").over(Window.partitionBy("label")).alias("community"))
     raise RuntimeError(f"labels still move after {rounds} rounds")
 

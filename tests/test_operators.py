@@ -549,3 +549,11 @@ def test_keyword_candidates_are_the_best_of_all_scores(spark):
         want = T.first_n(every, ["query_id"], [F.desc("score"), F.asc("doc_id")], 6).select("query_id", "doc_id", F.round("score", 5))
         got = S.keyword_candidates(docs, terms, "doc_id", ["text"], 6, among=among).select("query_id", "doc_id", F.round("score", 5))
         assert rows(got) == rows(want) and got.count() > 30
+
+
+def test_label_propagation_ends_whenever_it_rests(spark):
+    """Rest may begin in a round of either parity."""
+    assert A.label_propagation(two_triangles(spark), rounds=40).count() == 6
+    for n in (2, 3, 4):
+        path = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+        assert A.label_propagation(path, rounds=40).count() == n + 1
