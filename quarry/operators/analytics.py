@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.tables import cut, first_n, released
+from quarry.operators.tables import cut, first_n, released, sized
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:
@@ -51,12 +51,28 @@ def lifted_pairs(domains: DataFrame, keywords: DataFrame, least: float = 0.55, b
     """(a, b, similarity): paper pairs that reach ``least`` by shared keywords alone or on top of their domains.
 
     With similarity_classes, which holds all pairs that reach it by domains, this is the whole similarity graph.
+    Papers meet on a keyword with all their keywords and domains at hand, so a pair is settled where it meets: the first
+    keyword that both have gives it, and nothing but the result is stored or counted per pair.
     """
-    sets = domains.select("doc_id", "domain").distinct().groupBy("doc_id").agg(F.collect_set("domain").alias("s"))
-    j = shared_keywords(keywords).join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a", "left").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b", "left")
-    jac = F.coalesce(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), F.lit(0.0))
-    whole = F.round(jac + F.lit(bonus) * F.col("k"), 6)
-    return j.where((jac < least) & (whole >= least)).select("a", "b", whole.alias("similarity"))
+    d = domains.select("doc_id", "domain").where("domain is not null").distinct()
+    names = cut(d.select("domain").distinct().select("domain", F.monotonically_increasing_id().alias("d")))  # short names
+    bits = lambda c: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))
+    sets = d.join(sized(names), "domain").groupBy("doc_id").agg(F.collect_set("d").alias("s"), bits("d").alias("sbits"))
+    own = keywords.select("doc_id", "keyword").where("keyword is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("keyword")).alias("k"), bits("keyword").alias("kbits"))
+    papers = own.join(sets.hint("merge"), "doc_id", "left").select("doc_id", "k", "kbits", F.coalesce("s", F.array().cast("array<bigint>")).alias("s"), F.coalesce("sbits", F.lit(0)).alias("sbits"))
+    rows = papers.select("doc_id", "k", "kbits", "s", "sbits", F.posexplode("k").alias("place", "keyword"))
+    a, b = (rows.select("keyword", *[F.col(c).alias(c + x) for c in rows.columns if c != "keyword"]) for x in "ab")
+    pairs = a.join(b.hint("merge"), "keyword").where("doc_ida < doc_idb")
+    jac = lambda n: F.coalesce(F.try_divide(n, F.size("sa") + F.size("sb") - n), F.lit(0.0))
+    whole = lambda j, k: F.round(j + F.lit(bonus) * k, 6)
+    # a bit that one has alone is at least one member that the other lacks; before the first shared keyword they share none
+    lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    common = lambda c: F.least(F.size(f"{c}a") - lacks(f"{c}bitsa", f"{c}bitsb"), F.size(f"{c}b") - lacks(f"{c}bitsb", f"{c}bitsa"))
+    most = F.least(common("k"), F.size("ka") - F.col("placea"), F.size("kb") - F.col("placeb"))
+    j, both = jac(F.size(F.array_intersect("sa", "sb"))), F.array_intersect("ka", "kb")
+    pairs = pairs.where(jac(common("s")) + F.lit(bonus) * most >= least - 1e-6).where((j < least) & (j + F.lit(bonus) * most >= least - 1e-6))
+    pairs = pairs.where((F.get(both, 0) == F.col("keyword")) & (whole(j, F.size(both)) >= least))
+    return pairs.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"), whole(j, F.size(both)).alias("similarity"))
 
 
 def similarity_classes(domains: DataFrame, least: float = 0.55) -> DataFrame:

@@ -557,3 +557,24 @@ def test_label_propagation_ends_whenever_it_rests(spark):
     for n in (2, 3, 4):
         path = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
         assert A.label_propagation(path, rounds=40).count() == n + 1
+
+
+def test_lifted_pairs_are_settled_where_they_meet(spark):
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(5)
+    domains = [(i, rng.choice("abcdefgh")) for i in range(60) for _ in range(rng.randint(0, 3))] + [(3, None)]
+    words = [(i, rng.randint(0, 12)) for i in range(60) for _ in range(rng.randint(1, 7))] + [(3, None), (4, None)]
+    got = A.lifted_pairs(spark.createDataFrame(domains, "doc_id long, domain string"), spark.createDataFrame(words, "doc_id long, keyword long"))
+    s, k = ({i: {x for j, x in rows if j == i and x is not None} for i in range(60)} for rows in (domains, words))
+    want = set()
+    for a, b in itertools.combinations(range(60), 2):
+        j = len(s[a] & s[b]) / (len(s[a] | s[b]) or 1)
+        if k[a] & k[b] and j < 0.55 and round(j + 0.1 * len(k[a] & k[b]), 6) >= 0.55:
+            want.add((a, b, round(j + 0.1 * len(k[a] & k[b]), 6)))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+L, b#", plan)  # no row of a pair is dealt
