@@ -159,17 +159,31 @@ def ego_network(edges: DataFrame, node: str, hops: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node of each connected component, by minimum labels and pointer jumping."""
-    e = cut(undirected(edges).select("a", "b"), "b")
-    labels = cut(e.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    while True:
-        near = e.join(labels.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        step = cut(step.join(jump, "component", "left").select("node", "old", F.coalesce(F.least("component", "beyond"), F.col("component")).alias("component")))
-        labels = step.select("node", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+    """(node, component): smallest node of each connected component, by contraction.
+
+    In a round every node joins that of its neighbours and itself which comes first by a hash of the round, and edges
+    between what has joined are edges of the next round.  A constant share of the nodes goes in each round whatever their
+    ids, so all rounds together read and store a small multiple of the edges.  Names then go back from the last round on.
+    """
+    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
+    while not e.isEmpty():
+        order = lambda x: F.xxhash64(F.lit(len(rounds)), x)
+        first = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        to = cut(first.select(F.col("a").alias("node"), F.when(order("a") < order("b"), F.col("a")).otherwise(F.col("b")).alias("to")))
+        rounds.append(to)
+        ends = [sized(to.select(F.col("node").alias(x), F.col("to").alias(f"to{x}"))) for x in "ab"]
+        met = e.join(ends[0], "a").join(ends[1], "b").where("toa <> tob")
+        last, e = e, cut(met.select(F.least("toa", "tob").alias("a"), F.greatest("toa", "tob").alias("b")).distinct())
+        released(last)
+    if not rounds:
+        return e.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    names = rounds.pop()
+    while rounds:
+        to, last = rounds.pop(), names
+        names = cut(to.join(sized(last.select(F.col("node").alias("to"), F.col("to").alias("end"))), "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+        released(to, last)
+    return names.join(names.groupBy("to").agg(F.min("node").alias("component")).hint("merge"), "to").select("node", "component")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:

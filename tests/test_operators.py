@@ -578,3 +578,16 @@ def test_lifted_pairs_are_settled_where_they_meet(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(a#\d+L, b#", plan)  # no row of a pair is dealt
+
+
+def test_components_store_few_rows(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(A, "cut", lambda df, *keys, f=A.cut: (out := f(df, *keys), stored.append(out.count()))[0])
+    n = 3_000
+    chain = spark.range(1, n).selectExpr("id as a", "id + 1 as b")
+    star = spark.range(n + 2, 2 * n).selectExpr("id as a", f"{2 * n}L as b")
+    e = chain.unionByName(star).unionByName(spark.createDataFrame([(n + 1, n + 1), (None, 5)], "a long, b long"))
+    got = {r.node: r.component for r in A.components(e).collect()}
+    assert got == {i: 1 for i in range(1, n + 1)} | {i: n + 2 for i in range(n + 2, 2 * n + 1)}
+    assert sum(stored) < 5 * 2 * n  # all rounds together
+    assert A.components(e.where("a = b")).count() == 0
