@@ -9,6 +9,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -412,38 +414,109 @@ def well_connected(edges: DataFrame) -> DataFrame:
     return member.join(pieces.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def dependencies(a: np.ndarray, b: np.ndarray, asked: np.ndarray, part: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(node, dependency sum over the asked sources) in the graph of edges a, b, both directions, of connected parts.
+
+    ``asked`` and ``part`` go with the edges: whether a is a source, and its part.  Sources advance together, in batches
+    of about ``most`` edges to follow, and hold a number for each node of their own part.
+    """
+    nodes, at = np.unique(a, return_index=True)
+    part = np.unique(part[at], return_inverse=True)[1]
+    order = np.lexsort((nodes, part))  # a part's nodes lie together
+    nodes, at, part = nodes[order], at[order], part[order]
+    place = np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    known = nodes[np.argsort(nodes)]
+    x, y = (place[np.searchsorted(known, v)] for v in (a, b))
+    size, first = np.bincount(part), np.searchsorted(part, np.arange(part.max() + 1))
+    y = y[np.argsort(x, kind="stable")]
+    degree = np.bincount(x, minlength=len(nodes))
+    begin = np.cumsum(degree) - degree
+    total, sources = np.zeros(len(nodes)), np.flatnonzero(asked[at])
+    batch = np.cumsum(np.bincount(part, weights=degree)[part[sources]] + size[part[sources]]) // most
+    for s in np.split(sources, np.flatnonzero(np.diff(batch)) + 1) if len(sources) else []:
+        off = np.cumsum(size[part[s]]) - size[part[s]] - first[part[s]]  # state of (source, node): off + node
+        d, paths = np.full(size[part[s]].sum(), -1), np.zeros(size[part[s]].sum())
+        last = np.empty(len(d), int)
+        who, front, steps = np.arange(len(s)), s, []
+        d[off + s], paths[off + s] = 0, 1
+        while len(front):
+            n = degree[front]
+            i = np.repeat(np.arange(len(front)), n)
+            to = y[np.repeat(begin[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            src, dst = off[who[i]] + front[i], off[who[i]] + to
+            new = d[dst] < 0
+            src, dst, i, to = src[new], dst[new], i[new], to[new]
+            d[dst] = len(steps) + 1
+            np.add.at(paths, dst, paths[src])
+            steps.append((src, dst))
+            last[dst] = np.arange(len(dst))
+            one = last[dst] == np.arange(len(dst))
+            who, front = who[i[one]], to[one]
+        dep = np.zeros(len(d))
+        for src, dst in reversed(steps):
+            np.add.at(dep, src, paths[src] / paths[dst] * (1 + dep[dst]))
+        dep[off + s] = 0.0
+        np.add.at(total, np.arange(len(d)) - np.repeat(off, size[part[s]]), dep)
+    return nodes, total
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, largest: int = 2_000_000, load: int = 10_000_000) -> DataFrame:
     """(node, betweenness) of an undirected graph by dependency sums over shortest paths from the sources.
 
-    All sources advance together: state is keyed by (source, node).  Without ``sources`` every node is one,
-    which is exact; a sample scales as n / sample in expectation and is left to the caller.
+    Without ``sources`` every node is one, which is exact; a sample scales as n / sample in expectation and is left to the
+    caller.  Connected components of at most ``largest`` edges go to tasks whole, many small ones to one, and one with many
+    sources to several by slices of these, so that each has about ``load`` edges to follow; in larger ones all sources
+    advance together through joins.
     """
-    e = cut(undirected(edges).select("a", "b"), "a")
-    s = (sources.select("node") if sources is not None else e.select(F.col("a").alias("node"))).distinct()
-    front = s.select(F.col("node").alias("s"), "node").withColumns({"d": F.lit(0), "paths": F.lit(1.0)})
-    layers = [cut(front)]
-    seen = layers[0]
-    for d in itertools.count(1):
-        step = layers[-1].join(e, layers[-1]["node"] == e["a"]).groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
-        new = cut(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(d).alias("d"), "paths"))
+    e = cut(undirected(edges).select("a", "b"))
+    s = (sources.select("node") if sources is not None else e.select(F.col("a").alias("node"))).where("node is not null").distinct()
+    own = components(e.where("a < b")).join(sized(cut(s.withColumn("asked", F.lit(True)))), "node", "left").select("node", "component", F.coalesce("asked", F.lit(False)).alias("asked"))
+    own = cut(own.join(e.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")).hint("merge"), "node"))
+    parts = own.groupBy("component").agg(F.sum("degree").alias("edges"), F.count(F.when(F.col("asked"), 1)).alias("sources")).where("sources > 0")
+    parts = cut(parts.withColumn("whole", F.col("edges") <= largest).withColumn("slices", F.ceil(F.col("edges") * F.col("sources") / load).cast("int")))
+    tasks = parts.where("whole").agg(F.coalesce(F.sum(F.col("edges") * F.col("sources")), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0))).first()
+    tasks = max(1, -(-tasks[0] // load), -(-tasks[1] // max(1, largest)))
+    mine = own.join(sized(parts.select("component", "whole", "slices")), "component")
+    place = F.when(F.col("asked"), F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = e.join(sized(cut(mine.where("whole").select(F.col("node").alias("a"), "component", "slices", place.alias("place")))), "a")
+    rows = rows.select("a", "b", "component", "place", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    rows = rows.select("a", "b", "component", "slice", F.coalesce(F.col("place") == F.col("slice"), F.lit(False)).alias("asked"), F.pmod(F.xxhash64("component", "slice"), F.lit(tasks)).alias("task"))
+    kind = e.schema["a"].dataType.simpleString()
+
+    def solved(x: pa.Table) -> pa.Table:
+        node, dep = dependencies(*(x[c].to_numpy() for c in ("a", "b", "asked", "component")))
+        return pa.table({"node": pa.array(node, x.schema.field("a").type), "dep": dep})
+
+    total = rows.groupBy("task", "slice").applyInArrow(solved, f"node {kind}, dep double")
+    if parts.where("not whole").isEmpty():
+        found = total
+    else:
+        big = mine.where("not whole").select("node", "asked")
+        found = total.unionByName(_joined_dependencies(e.join(big.select(F.col("node").alias("a")).hint("merge"), "a", "left_semi"), big.where("asked").select("node")))
+    return e.select(F.col("a").alias("node")).distinct().join(found.groupBy("node").agg((F.sum("dep") / 2).alias("dep")).hint("merge"), "node", "left").select("node", F.coalesce("dep", F.lit(0.0)).alias("betweenness"))
+
+
+def _joined_dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, dep) over the sources, state keyed by (source, node); a step reaches the last two layers or new nodes only."""
+    e = cut(edges.select("a", "b"), "a")
+    layers = [cut(sources.select(F.col("node").alias("s"), "node").withColumn("paths", F.lit(1.0)))]
+    while True:
+        step = layers[-1].join(e.hint("merge"), layers[-1]["node"] == e["a"]).groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        for layer in layers[-2:]:
+            step = step.join(layer.select("s", "node").hint("merge"), ["s", "node"], "left_anti")
+        new = cut(step)
         if new.isEmpty():
             break
         layers.append(new)
-        seen = seen.unionByName(new)
-    below = None
-    total = None
-    for layer in reversed(layers[1:]):
-        own = layer.withColumn("dep", F.lit(0.0)) if below is None else layer.join(below, ["s", "node"], "left").na.fill(0.0, ["dep"])
+    total, below = layers[0].select("node", F.lit(0.0).alias("dep")), None
+    for up, layer in zip(layers[-2::-1], layers[:0:-1]):
+        own = layer.withColumn("dep", F.lit(0.0)) if below is None else layer.join(below.hint("merge"), ["s", "node"], "left").na.fill(0.0, ["dep"])
         own = cut(own)
-        part = own.select("node", "dep")
-        total = part if total is None else total.unionByName(part)
-        up = layers[layers.index(layer) - 1]
-        j = own.join(e, own["node"] == e["b"]).select("s", F.col("a").alias("up"), "paths", "dep")
-        below = j.join(up.select("s", F.col("node").alias("up"), F.col("paths").alias("p")), ["s", "up"]).groupBy("s", F.col("up").alias("node")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
-    nodes = e.select(F.col("a").alias("node")).distinct()
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    return nodes.join(total.groupBy("node").agg((F.sum("dep") / 2).alias("dep")), "node", "left").select("node", F.coalesce("dep", F.lit(0.0)).alias("betweenness"))
+        total = total.unionByName(own.select("node", "dep"))
+        j = own.join(e.hint("merge"), own["node"] == e["a"]).select("s", F.col("b").alias("up"), "paths", "dep")
+        below = j.join(up.select("s", F.col("node").alias("up"), F.col("paths").alias("p")).hint("merge"), ["s", "up"]).groupBy("s", F.col("up").alias("node")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
+    return total
 
 
 def similar_nodes(edges: DataFrame, node: int, k: int = 10) -> DataFrame:

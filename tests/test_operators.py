@@ -591,3 +591,20 @@ def test_components_store_few_rows(spark, monkeypatch):
     assert got == {i: 1 for i in range(1, n + 1)} | {i: n + 2 for i in range(n + 2, 2 * n + 1)}
     assert sum(stored) < 5 * 2 * n  # all rounds together
     assert A.components(e.where("a = b")).count() == 0
+
+
+def test_betweenness_follows_parts_in_few_steps(spark, monkeypatch):
+    import random
+
+    calls = []
+    monkeypatch.setattr(A, "cut", lambda df, *keys, f=A.cut: (calls.append(1), f(df, *keys))[1])
+    n = 60
+    chains = spark.range(0, 3 * n).where(f"id % {n} > 0").selectExpr("id - 1 as a", "id as b")
+    got = {r.node: r.betweenness for r in A.betweenness(chains).collect()}
+    assert got == {i: float((i % n) * (n - 1 - i % n)) for i in range(3 * n)}
+    assert len(calls) < n  # not two for each step of the longest path
+    rng = random.Random(3)
+    e = spark.createDataFrame([(g * 100 + rng.randrange(12), g * 100 + rng.randrange(12)) for g in range(3) for _ in range(18)], "a long, b long")
+    few = e.select(F.col("a").alias("node")).where("node % 2 = 0")
+    whole, mixed = ({r.node: round(r.betweenness, 9) for r in A.betweenness(e, few, largest=m, load=50).collect()} for m in (10**6, 34))
+    assert whole == mixed and any(whole.values())
