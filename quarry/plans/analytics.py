@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import analytics as A, enrich as E, links as L
+from quarry.operators.tables import cut
 from quarry.plans.tables import q
 
 # -- similarity and concept graphs ------------------------------------------------------------------------
@@ -121,7 +122,7 @@ def _(c):
 
 @q("betweenness_sampled")
 def _(c):
-    e = edges(c)
+    e = cut(edges(c))  # read for the graph and for its sources
     return A.betweenness(e, e.select(F.col("a").alias("node")).distinct().orderBy(F.xxhash64("node")).limit(SOURCES)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
