@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n
+from quarry.operators.tables import cut, first_n, sized
 
 
 def joined(arr, sep: str = ","):
@@ -178,12 +178,13 @@ def parameter_range(measurements: DataFrame, species: DataFrame, parameter: str)
 def place_species(locations: DataFrame, references: DataFrame, mentions: DataFrame, text: str) -> DataFrame:
     """Species in papers on places whose name or region contains the text."""
     places = locations.where(F.lower("name").contains(text.lower()) | F.lower("region").contains(text.lower()))
-    j = places.join(references, "location_id").join(mentions, "doc_id")
+    j = references.join(sized(cut(places.select("location_id", "name", "region"))), "location_id").join(mentions.hint("merge"), "doc_id")
     return j.groupBy("species_id", "name", "region").agg(F.count_distinct("doc_id").alias("papers"))
 
 
 def habitat_associations(locations: DataFrame, references: DataFrame, mentions: DataFrame, region: str) -> DataFrame:
-    j = locations.where(F.col("region") == region).join(references, "location_id").join(mentions, "doc_id")
+    places = sized(cut(locations.where(F.col("region") == region).select("location_id", "name")))
+    j = references.join(places, "location_id").join(mentions.hint("merge"), "doc_id")
     return j.groupBy("species_id").agg(F.count_distinct("doc_id").alias("papers"), joined(F.collect_set("name")).alias("places"))
 
 

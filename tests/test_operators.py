@@ -608,3 +608,22 @@ def test_betweenness_follows_parts_in_few_steps(spark, monkeypatch):
     few = e.select(F.col("a").alias("node")).where("node % 2 = 0")
     whole, mixed = ({r.node: round(r.betweenness, 9) for r in A.betweenness(e, few, largest=m, load=50).collect()} for m in (10**6, 34))
     assert whole == mixed and any(whole.values())
+
+
+def test_place_species_joins_places_by_broadcast(spark):
+    places = spark.createDataFrame([(i, f"N_{i}", "R") for i in range(25)], "location_id long, name string, region string")
+    references = spark.range(500).selectExpr("id % 100 as doc_id", "id % 25 as location_id").distinct()
+    mentions = spark.range(300).selectExpr("id % 100 as doc_id", "id % 7 as species_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what Spark estimates of a join is no guide
+    try:
+        got = G.place_species(places, references, mentions, "_1")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {tuple(r) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    r, m = ({tuple(x) for x in df.collect()} for df in (references, mentions))
+    want = {(s, f"N_{p}") for d, s in m for e, p in r if d == e and "_1" in f"n_{p}"}
+    assert {x[:2] for x in rows} == want
+    assert all(n == len({d for d, z in m if z == s and (d, int(name[2:])) in r}) for s, name, _, n in rows)
+    assert "hashpartitioning(location_id" not in plan  # a place is not one task's
