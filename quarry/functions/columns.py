@@ -10,6 +10,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # -- identifiers ------------------------------------------------------------------------------------------
 
 
@@ -205,7 +210,7 @@ def published_year(text: Column | str) -> Column:
     """First of (YYYY), © YYYY, Published: YYYY, any 20YY that lies in 1990–2030."""
     t = _c(text)
     found = [F.regexp_extract(t, p, 1).try_cast("int") for p in (r"\((\d{4})\)", r"©\s*(\d{4})", r"[Pp]ublished[:\s]+(\d{4})", r"\b(20\d\d)\b")]
-    return F.coalesce(*[F.when(y.between(1990, 2030), y) for y in found])
+    return F.coalesce(*[bound(y, lambda v: F.when(v.between(1990, 2030), v)) for y in found])
 
 
 #: Headings that are no titles, marks that begin no title line, what ends an abstract, what shows that one
@@ -226,7 +231,7 @@ def title_of(text: Column | str, filename: Column | str | None = None) -> Column
     """The first heading of level 1 if it is a title, else a plausible one of the first ten lines, else the file name."""
     t = _c(text)
     heading = stripped(F.regexp_extract(t, r"(?md)^#\s+(.+)$", 1))
-    heading = F.when((F.length(heading) > 5) & ~F.lower(heading).isin(*NO_TITLE), heading)
+    heading = bound(heading, lambda h: F.when((F.length(h) > 5) & ~F.lower(h).isin(*NO_TITLE), h))
     lines = F.transform(F.slice(F.split(stripped(t), "\n"), 1, 10), lambda x: stripped(F.regexp_replace(stripped(x), "^#+", "")))
     fit = lambda x: F.length(x).between(11, 299) & ~F.lower(x).isin(*NO_TITLE_LINE) & ~F.regexp_like(x, F.lit("^(?:" + "|".join(rf"\Q{m}\E" for m in NO_LINE_START) + ")"))
     plain = F.filter(F.transform(F.filter(lines, fit), lambda x: stripped(F.regexp_replace(x, "[*_]{1,3}", ""))), lambda x: x != "")
@@ -247,15 +252,13 @@ def abstract_of(text: Column | str) -> Column:
         F.regexp_extract(third, rf"(?s)(?:^|\n)\s*[Aa]bstract[:.\s]*\n(.*?)(?:\n\s*(?:{ABSTRACT_END}|#{{1,3}}\s)|\z)", 1),
         F.regexp_extract(third, rf"(?s)[Aa]bstract[:.\s—–-]*\s*(.{{50,}}?)(?:\n\s*(?:{ABSTRACT_END})|\n\n\n)", 1),
     ]
-    raw = F.coalesce(*[F.when(stripped(x) != "", x) for x in found])
-    a = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    n = word_count(a)
-    ran_on = F.regexp_like(a, F.lit("|".join(rf"\Q{m}\E" for m in RAN_ON)))
-    cut = F.when(ran_on, F.trim(F.regexp_replace(a, f"(?s)(?:{REFERENCES_AT}).*$", ""))).otherwise(a)
-    words = F.split(cut, " ")
-    short = F.when(F.size(words) > 500, F.concat(F.array_join(F.slice(words, 1, 400), " "), F.lit("..."))).otherwise(cut)
-    out = F.when(n > 800, short).otherwise(a)
-    return F.when((n >= 20) & (word_count(out) >= 20), out)
+    raw = F.coalesce(*[bound(x, lambda v: F.when(stripped(v) != "", v)) for x in found])
+    ran_on = "|".join(rf"\Q{m}\E" for m in RAN_ON)
+    before = lambda a: F.when(F.regexp_like(a, F.lit(ran_on)), F.trim(F.regexp_replace(a, f"(?s)(?:{REFERENCES_AT}).*$", ""))).otherwise(a)
+    first = lambda w: F.when(F.size(w) > 500, F.concat(F.array_join(F.slice(w, 1, 400), " "), F.lit("..."))).otherwise(F.array_join(w, " "))
+    short = lambda a: F.when(word_count(a) > 800, bound(F.split(before(a), " "), first)).otherwise(a)
+    kept = lambda a: F.when(word_count(a) >= 20, bound(short(a), lambda out: F.when(word_count(out) >= 20, out)))
+    return bound(F.trim(F.regexp_replace(raw, r"\s+", " ")), kept)
 
 
 def sentence_end(text: Column | str, end: Column, reach: int = 100) -> Column:

@@ -142,9 +142,10 @@ def described(c):
         F.concat(F.lit("# Abstract\n"), "text", F.lit(" "), "text", F.lit(" References "), "text"),
         F.concat(F.lit("short"), n, "text"),
     ]
-    text = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
+    text = F.coalesce(*[F.when(i % 8 == k, form) for k, form in enumerate(forms)])  # one form a row is made
     name = F.when(i % 3 == 0, F.concat(F.lit("deep_sea-"), "source", F.lit("_b.pdf"))).otherwise(F.concat(F.lit("papers/"), "source", F.lit("-of--study---b_"), year(1990, 30), F.lit("_Journal-x.pdf")))
-    return c.documents.select("doc_id", text.alias("text"), name.alias("name"))
+    d = spread(c.documents.select("doc_id", "text", "source"), "doc_id")  # a file of one row group would be one task's
+    return d.select("doc_id", text.alias("text"), name.alias("name"))
 
 
 STEM = r"regexp_replace(regexp_extract(name, '([^/]*)/*$', 1), '^(.+)\.[^.]+$', '\1')"

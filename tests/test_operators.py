@@ -627,3 +627,9 @@ def test_place_species_joins_places_by_broadcast(spark):
     assert {x[:2] for x in rows} == want
     assert all(n == len({d for d, z in m if z == s and (d, int(name[2:])) in r}) for s, name, _, n in rows)
     assert "hashpartitioning(location_id" not in plan  # a place is not one task's
+
+
+def test_metadata_evaluates_a_pattern_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("text"))
+    for column, pattern in ((C.abstract_of("text"), "msd"), (C.published_year("text"), "ublished"), (C.title_of("text"), "(?md)")):
+        assert df.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().count(pattern) == 1
