@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quarry.operators.tables import cut, first_n, released, sized
 
@@ -337,6 +339,116 @@ def by_smallest(labels: DataFrame) -> DataFrame:
     return labels.select("node", F.min("node").over(Window.partitionBy("c")).alias("community"))
 
 
+def xxhash64(*values: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of longs, the arrays, and ints, the numbers; the first is an array."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.uint64(42)
+    for v in values:
+        if isinstance(v, int):
+            h = turned((h + p5 + np.uint64(4)) ^ np.uint64(v * int(p1) % 2**64), 23) * p2 + p3
+        else:
+            h = turned((h + p5 + np.uint64(8)) ^ (turned(v.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def added(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of places (x, y) below n in order, with their summed weights."""
+    key = x * n + y
+    order = np.argsort(key, kind="stable")
+    key, w = key[order], w[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    return key[first] // n, key[first] % n, np.add.reduceat(w, first) if len(first) else w
+
+
+def largest_of(x: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Places of the entries of largest gain for each x, all of equal ones; x is in order."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.r_[first, len(x)])))
+
+
+def last_of(x: np.ndarray) -> np.ndarray:
+    """Places of the last entry for each x; x is in order."""
+    return np.flatnonzero(np.r_[x[1:] != x[:-1], True])
+
+
+def moves_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, rounds: int, levels: int) -> np.ndarray:
+    """The communities of louvain for parts of a graph that no other edge meets, as places in ``nodes``; x, y are places too."""
+    n = len(nodes)
+    member = np.arange(n)
+    for _ in range(levels):
+        k, c = np.bincount(x, w, n), np.arange(n)
+        out = x != y
+        if not out.any():
+            break
+        x1, y1, w1 = x[out], y[out], w[out]
+        for r in range(rounds):
+            tot = np.bincount(c, k, n)
+            node, to, kin = added(x1, c[y1], w1, n)
+            now, own = -k * (tot[c] - k) / total, to == c[node]
+            at = node[own]
+            now[at] = kin[own] - k[at] * (tot[c[at]] - k[at]) / total
+            node, to, kin = node[~own], to[~own], kin[~own]
+            if not len(node):
+                break
+            gain = kin - k[node] * tot[to] / total
+            best = largest_of(node, gain)
+            best = best[last_of(node[best])]
+            best = best[gain[best] > now[node[best]] + 1e-9]
+            if not len(best):
+                break
+            best = best[xxhash64(nodes[node[best]], r) % (2 + r // 4) == 0]
+            c[node[best]] = to[best]
+        if (c == np.arange(n)).all():
+            break
+        member = c[member]
+        x, y, w = added(c[x], c[y], w, n)
+    return member
+
+
+def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], joined: Callable[[DataFrame, float], DataFrame], largest: int, load: int = 500_000) -> DataFrame:
+    """(node, community), the smallest node of each group of an undirected graph (a, b[, w]) whose edges' ends alone decide.
+
+    Connected components of at most ``largest`` edges go to tasks whole, many small ones to one of about ``load`` edges,
+    where ``whole`` gives groups from (nodes, x, y, w, total); larger ones, and nodes that are not longs, go by ``joined``
+    from (a, b, w) in both directions and the total weight to (node, c).  Both take the weight of the whole graph.
+    """
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(["w"] if "w" in edges.columns else []))
+    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("w").alias("w")) if "w" in edges.columns else pairs.distinct().withColumn("w", F.lit(1.0)))
+    total = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
+    kind = pairs.schema["a"].dataType
+    if not total:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
+    both = lambda e: cut(e.select("a", "b", "w").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    if not isinstance(kind, LongType):
+        return by_smallest(joined(both(pairs), total))
+    rows = cut(pairs.join(sized(cut(components(pairs).withColumnRenamed("node", "a"))), "a"))
+    parts = cut(rows.groupBy("component").agg(F.count("*").alias("edges")))
+    small, big = parts.agg(F.coalesce(F.sum(F.when(F.col("edges") <= largest, F.col("edges"))), F.lit(0)), F.count(F.when(F.col("edges") > largest, 1))).first()
+    mine, tasks = rows, max(1, -(-small // load))
+    if big:
+        mine = rows.join(sized(parts.where(F.col("edges") <= largest).select("component")), "component")
+
+    def solved(t: pa.Table) -> pa.Table:
+        a, b, w = (t[c].to_numpy() for c in "abw")
+        nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        c = whole(nodes, np.r_[x, y], np.r_[y, x], np.r_[w, w], total)
+        least = np.full(len(nodes), len(nodes))
+        np.minimum.at(least, c, np.arange(len(nodes)))
+        return pa.table({"node": nodes, "community": nodes[least[c]]})
+
+    dealt = mine.select("a", "b", "w", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")).repartition(tasks, "task")
+    found = dealt.groupBy("task").applyInArrow(solved, "node long, community long")
+    if big:
+        rest = rows.join(sized(parts.where(F.col("edges") > largest).select("component")), "component")
+        found = found.unionByName(by_smallest(joined(both(rest), total)))
+    return found
+
+
 def greedy_communities(edges: DataFrame) -> DataFrame:
     """(node, community) by greedy merging of neighbours over the modularity gain, from single nodes on.
 
@@ -348,19 +460,24 @@ def greedy_communities(edges: DataFrame) -> DataFrame:
     return by_smallest(merged(level, total) if total else level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct())
 
 
-def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10, largest: int = 2_000_000) -> DataFrame:
     """(node, community) by parallel local moves and aggregation.
 
     In a round every node computes the gain of joining each neighbouring community; of those that gain a part by hash
     moves, one in two at first and fewer later, so that neighbours do not swap for ever.  When no node gains by a
     move (after ``rounds`` at the latest) communities become nodes, until a level joins nothing.  The labels are the
-    smallest members; compare partitions by modularity, not by label.
+    smallest members; compare partitions by modularity, not by label.  Connected components of at most ``largest``
+    edges go to tasks whole, larger ones move through joins, by the same rules.
     """
-    level = cut(undirected(edges).select("a", "b", "w"))
-    total = level.agg(F.sum("w")).first()[0]
-    member = level.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    if not total:
-        return member
+    def whole(*part) -> np.ndarray:
+        return moves_in_parts(*part, rounds, levels)
+
+    return in_parts(edges, whole, lambda e, total: _joined_moves(e, total, rounds, levels), largest)
+
+
+def _joined_moves(level: DataFrame, total: float, rounds: int, levels: int) -> DataFrame:
+    """(node, c) by the rounds and levels of louvain; level is (a, b, w) in both directions."""
+    member = level.select(F.col("a").alias("node")).distinct().withColumn("c", F.col("node"))
     for _ in range(levels):
         strength = level.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
         labels = cut(strength.withColumn("c", F.col("node")))
@@ -379,11 +496,11 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10) -> DataFrame:
                 break
         if labels.where("c <> node").isEmpty():
             break
-        member = cut(member.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
+        member = cut(member.join(labels.select(F.col("node").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")))
         names = labels.select("node", "c")
         level = level.join(names.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(names.withColumnsRenamed({"node": "b", "c": "cb"}), "b")
         level = cut(level.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member.select("node", F.min("node").over(Window.partitionBy("community")).alias("community"))
+    return member
 
 
 def well_connected(edges: DataFrame) -> DataFrame:

@@ -633,3 +633,34 @@ def test_metadata_evaluates_a_pattern_once(spark):
     df = spark.range(1).select(F.col("id").cast("string").alias("text"))
     for column, pattern in ((C.abstract_of("text"), "msd"), (C.published_year("text"), "ublished"), (C.title_of("text"), "(?md)")):
         assert df.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().count(pattern) == 1
+
+
+def few_parts(spark):
+    import random
+
+    rng = random.Random(4)
+    some = [(g * 1000 + rng.randrange(14), g * 1000 + rng.randrange(14), float(rng.randrange(1, 4))) for g in (-2, 0, 5) for _ in range(24)]
+    return spark.createDataFrame([*some, (9001, 9002, 1.0), (9003, 9003, 1.0)], "a long, b long, w double")
+
+
+def test_hashes_in_tasks_are_spark_s(spark):
+    import numpy as np
+
+    ids = [0, 1, -5, 2**62, 20_000, -(2**63)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(ids)], "i int, a long").select("i", F.xxhash64("a").alias("one"), F.xxhash64("a", F.lit(7)).alias("dealt"), F.xxhash64("a", F.col("a") + 1).alias("two"))
+    x = np.array(ids, dtype=np.int64)
+    got = zip(A.xxhash64(x).tolist(), A.xxhash64(x, 7).tolist(), A.xxhash64(x, x + 1).tolist())
+    assert list(got) == [(r.one, r.dealt, r.two) for r in df.orderBy("i").collect()]
+
+
+def test_louvain_takes_parts_whole_by_the_rules_of_the_joins(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(A, "cut", lambda df, *keys, f=A.cut: (calls.append(1), f(df, *keys))[1])
+    e = few_parts(spark)
+    whole = rows(A.louvain(e))
+    few, calls[:] = len(calls), []
+    assert rows(A.louvain(e, largest=20)) == whole and rows(A.louvain(e, largest=0)) == whole  # some and all by joins
+    assert few < 30 < len(calls) and len({c for _, c in whole}) > 4
+    named = e.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "w")
+    assert {r[0] for r in rows(A.louvain(named, rounds=1, levels=1))} == {str(n) for n, _ in whole}
+    assert A.louvain(e.where("a = b")).count() == 0
