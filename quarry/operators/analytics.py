@@ -409,6 +409,38 @@ def moves_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarra
     return member
 
 
+def mergers_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
+    """The groups of ``merged`` for parts of a graph that no other edge meets, as places in ``nodes``; x, y are places too."""
+    n = len(nodes)
+    k, member = np.bincount(x, w, n), np.arange(n)
+    x, y, w = added(x, y, w, n)
+    for r in itertools.count():
+        gain = w - k[x] * k[y] / total
+        near = np.flatnonzero(gain > 1e-9)
+        if not len(near):
+            return member
+        best = near[largest_of(x[near], gain[near])]
+        tie = xxhash64(nodes[np.minimum(x[best], y[best])], nodes[np.maximum(x[best], y[best])])
+        best = best[np.lexsort((y[best], tie, x[best]))]
+        best = best[last_of(x[best])]
+        stays = xxhash64(nodes, r) % 2 == 0
+        best = best[~stays[x[best]] & stays[y[best]]]
+        best = best[np.lexsort((x[best], -gain[best], y[best]))]
+        a, b = x[best], y[best]
+        if not len(a):
+            continue
+        before = np.cumsum(k[a]) - k[a]
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        before -= np.repeat(before[first], np.diff(np.r_[first, len(b)]))
+        joins = w[best] - k[a] * (k[b] + before) / total > 1e-9
+        c = np.arange(n)
+        c[a[joins]] = b[joins]
+        k, member = np.bincount(c, k, n), c[member]
+        x, y = c[x], c[y]
+        out = x != y
+        x, y, w = added(x[out], y[out], w[out], n)
+
+
 def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], joined: Callable[[DataFrame, float], DataFrame], largest: int, load: int = 500_000) -> DataFrame:
     """(node, community), the smallest node of each group of an undirected graph (a, b[, w]) whose edges' ends alone decide.
 
@@ -449,15 +481,14 @@ def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], joined: Callabl
     return found
 
 
-def greedy_communities(edges: DataFrame) -> DataFrame:
+def greedy_communities(edges: DataFrame, largest: int = 2_000_000) -> DataFrame:
     """(node, community) by greedy merging of neighbours over the modularity gain, from single nodes on.
 
     Every community is connected and no two neighbouring ones gain by a merger.  Compare partitions by modularity,
-    not by label.  Loops count for nothing; an empty graph gives no rows.
+    not by label.  Loops count for nothing; an empty graph gives no rows.  Connected components of at most ``largest``
+    edges go to tasks whole, larger ones merge through joins, by the same rules.
     """
-    level = cut(undirected(edges).select("a", "b", "w"))
-    total = level.agg(F.sum("w")).first()[0]
-    return by_smallest(merged(level, total) if total else level.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct())
+    return in_parts(edges, mergers_in_parts, merged, largest)
 
 
 def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10, largest: int = 2_000_000) -> DataFrame:

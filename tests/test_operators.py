@@ -664,3 +664,13 @@ def test_louvain_takes_parts_whole_by_the_rules_of_the_joins(spark, monkeypatch)
     named = e.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "w")
     assert {r[0] for r in rows(A.louvain(named, rounds=1, levels=1))} == {str(n) for n, _ in whole}
     assert A.louvain(e.where("a = b")).count() == 0
+
+
+def test_greedy_communities_take_parts_whole_by_the_rules_of_the_joins(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(A, "cut", lambda df, *keys, f=A.cut: (calls.append(1), f(df, *keys))[1])
+    e = few_parts(spark)
+    whole = rows(A.greedy_communities(e))
+    few, calls[:] = len(calls), []
+    assert rows(A.greedy_communities(e, largest=20)) == whole and rows(A.greedy_communities(e, largest=0)) == whole  # some and all by joins
+    assert few < 30 < len(calls) and len({c for _, c in whole}) > 4
