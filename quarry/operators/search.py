@@ -31,10 +31,15 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.findall(r"\w+", query.lower()) if len(w) >= 2))
 
 
-def build_postings(df: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS) -> DataFrame:
-    """(key, term, tf, dl): one row per document and term; dl counts the tokens of all columns."""
+def build_postings(df: DataFrame, key: str, columns: list[str], pattern: str = UNICODE_WORDS, words: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl): one row per document and term; dl counts the tokens of all columns.
+
+    With ``words`` (word) only these are terms, chosen before anything of a document is shuffled; dl counts all.
+    """
     both = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
     rows = both.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    if words is not None:
+        rows = rows.join(sized(cut(words.select(F.col("word").alias("term")).distinct())), "term", "left_semi")
     return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -108,7 +113,7 @@ def keyword_scores(df: DataFrame, terms: DataFrame, key: str, columns: list[str]
     """
     df = spread(df.select(key, *columns), key)  # a file of one row group would be one task's
     words = cut(vocabulary(df, columns, pattern))
-    stats = df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl"))
+    stats = counted(words, df)
     rows = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
     rows = rows.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("word"))
     hits = rows.join(sized(cut(prefix_matches(words, terms))), "word")
@@ -124,7 +129,7 @@ def keyword_candidates(df: DataFrame, terms: DataFrame, key: str, columns: list[
     """
     df = spread(df.select(key, *columns), key)  # a file of one row group would be one task's
     words = cut(vocabulary(df, columns, pattern))
-    stats = cut(df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl")))
+    stats = cut(counted(words, df))
     asked = cut(terms.select("query_id", "term").distinct())
     meant = prefix_matches(words, asked.select(F.lit(0).alias("query_id"), "term").distinct()).select("term", "word")
     rows = df.select(F.col(key), F.concat(*[tokens(c, pattern) for c in columns]).alias("toks"))
@@ -241,15 +246,23 @@ class Segments:
         return number > live[-1]
 
 
-def impact_blocks(postings: DataFrame, stats: DataFrame, lengths: list[int], key: str = "doc_id", block: int = 128, slices: int = 16) -> DataFrame:
+def counted(words: DataFrame, df: DataFrame) -> DataFrame:
+    """One row (docs, avgdl) from the vocabulary (word, n) of the documents."""
+    return df.agg(F.count("*").alias("docs")).join(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).select("docs", (F.col("total") / F.col("docs")).alias("avgdl"))
+
+
+def impact_blocks(postings: DataFrame, stats: DataFrame, lengths: list[int], key: str = "doc_id", block: int = 128, slices: int = 16, phrases: DataFrame | None = None) -> DataFrame:
     """An index for searches that end early: (phrase, slice, block, bound, n, entries), entries being (key, f, dl).
 
     A phrase is a word's prefix of one of the lengths, with the frequencies of all its words.  Its entries are dealt into
     slices by a hash of the key, so that no frequent phrase is one task's, sorted by their share of a score and cut into
-    blocks; ``bound`` is the largest share in the block.  Write it partitioned or sorted by phrase.
+    blocks; ``bound`` is the largest share in the block.  Write it partitioned or sorted by phrase.  With ``phrases``
+    (phrase) only these are indexed, each with all its entries, for searches that are known beforehand.
     """
     prefixes = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(set(lengths))])
     rows = postings.select(key, "dl", "tf", F.explode(F.filter(prefixes, lambda p: p.isNotNull())).alias("phrase"))
+    if phrases is not None:
+        rows = rows.join(sized(phrases.select("phrase").distinct()), "phrase", "left_semi")
     rows = rows.groupBy("phrase", key, "dl").agg(F.sum("tf").alias("f")).join(F.broadcast(stats))
     rows = rows.select("phrase", key, "dl", "f", saturated(F.col("f"), F.col("dl"), F.col("avgdl")).alias("share"), F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"))
     place = F.row_number().over(Window.partitionBy("phrase", "slice").orderBy(F.desc("share"), key)) - 1

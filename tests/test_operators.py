@@ -674,3 +674,17 @@ def test_greedy_communities_take_parts_whole_by_the_rules_of_the_joins(spark, mo
     few, calls[:] = len(calls), []
     assert rows(A.greedy_communities(e, largest=20)) == whole and rows(A.greedy_communities(e, largest=0)) == whole  # some and all by joins
     assert few < 30 < len(calls) and len({c for _, c in whole}) > 4
+
+
+def test_blocks_of_searches_known_beforehand(spark, monkeypatch):
+    from quarry.plans import registry
+
+    kept = []
+    monkeypatch.setattr(S, "cut", lambda df, *keys, f=S.cut: (kept.append(f(df, *keys)), kept[-1])[1])
+    got = rows(registry.queries()["bm25_topk"](spark, "/root/testdata/sf0.001"))
+    index = next(df for df in kept if "entries" in df.columns)
+    assert {r.phrase for r in index.select("phrase").collect()} <= {"the", "and", "ation", "ment", "queau", "license"}
+    assert got == rows(registry.queries()["bm25_search"](spark, "/root/testdata/sf0.001"))
+    df = spark.createDataFrame([(1, "the then cat"), (2, "dog the"), (3, None), (4, "cat")], "doc_id int, text string")
+    some = rows(S.build_postings(df, "doc_id", ["text"], words=spark.createDataFrame([("the",), ("the",), ("cat",)], "word string")))
+    assert some == [r for r in rows(S.build_postings(df, "doc_id", ["text"])) if r[2] in ("the", "cat")] and len(some) == 4
