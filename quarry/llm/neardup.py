@@ -22,6 +22,10 @@ part needs, 0.8 / 1.8 of both together.  So only the few rarest shingles of each
 components, and only where both sides leave that room.
 Classes are the connected components of verified links.
 
+By frequencies alone a group of copies pulls its own texts apart: what its members share loses weight as the group
+grows, an edited word keeps the highest.  So ``share`` takes a shingle as held by at least that part of the documents:
+whatever fewer hold weighs alike, and only what is commoner loses weight.
+
 Null texts are alone in their class; empty texts equal each other.  A text of fewer than five words is one
 shingle; very long texts are read whole, in one task each.  Rows with equal key and text are one document in the
 report (each row counts in the document frequencies); null keys sort first.  Empty tables give empty tables.
@@ -42,6 +46,8 @@ from quarry.llm.components import components
 from quarry.llm.wordhash import shingles
 
 N, SIMILARITY, BANDS, ROWS, SMALL, MAX_BROADCAST, BLOCK = 5, 0.8, 16, 3, 16, 500_000, 512
+#: The ``share`` of the corpus's near-duplicates.
+SHARE = 0.5
 #: Characters of text for a chunk of rows and for a range of names; bits of a name beyond those of the corpus's length.
 CHUNK_CHARS, RANGE_CHARS, WIDTH = 1_000_000, 8_000_000, 16
 
@@ -67,9 +73,9 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(text, N), return_counts=True)
 
 
-def weights(tf: np.ndarray, counts: np.ndarray, docs: int) -> np.ndarray:
-    """TF-IDF from the counts of documents that hold each shingle."""
-    return tf * np.log1p(docs / counts)
+def weights(tf: np.ndarray, counts: np.ndarray, docs: int, share: float = 0.0) -> np.ndarray:
+    """TF-IDF from the counts of documents that hold each shingle, taken as ``share`` of the documents at least."""
+    return tf * np.log1p(docs / np.maximum(counts, share * docs))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,7 +158,7 @@ def name_bits(chars: int) -> int:
     return min(64, max(40, WIDTH + int(chars).bit_length()))
 
 
-def sketches(rows: DataFrame, docs: int, chars: int) -> DataFrame:
+def sketches(rows: DataFrame, docs: int, chars: int, share: float = 0.0) -> DataFrame:
     """(t, counts, bag, bands) of every row (chunk, t, x): counts of documents by shingle, bag names the weighted set; no bands without words."""
     bits = name_bits(chars)
 
@@ -164,7 +170,7 @@ def sketches(rows: DataFrame, docs: int, chars: int) -> DataFrame:
         for t, (h, tf), own in zip(pdf["t"], sets, names, strict=True):
             if len(h):
                 counts = held[np.searchsorted(every, own)]
-                w = weights(tf, counts, docs)
+                w = weights(tf, counts, docs, share)
                 z = samples(h, w, BANDS * ROWS).reshape(BANDS, ROWS)
                 name = np.arange(BANDS, dtype=np.uint64)
                 for i in range(ROWS):
@@ -179,7 +185,7 @@ def sketches(rows: DataFrame, docs: int, chars: int) -> DataFrame:
     return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(bands, "t long, counts binary, bag long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, docs: int, share: float = 0.0) -> DataFrame:
     """(a, b, sim) of candidate pairs of text names."""
 
     @F.pandas_udf("double")
@@ -191,7 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
                 if len(memo) >= 64:
                     memo.clear()
                 h, tf = counted(t)
-                memo[k] = h, weights(tf, np.frombuffer(counts, np.uint32), docs)
+                memo[k] = h, weights(tf, np.frombuffer(counts, np.uint32), docs, share)
             return memo[k]
 
         for a, x, m, b, y, n in batches:
@@ -215,7 +221,7 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return pairs.unionByName(spokes_of(rows.where(F.col("n") > SMALL).select("band", "t", "pop"))).distinct()
 
 
-def prefixes(texts: DataFrame, docs: int, least: float) -> DataFrame:
+def prefixes(texts: DataFrame, docs: int, least: float, share: float = 0.0) -> DataFrame:
     """(t, label, s, w, rest) of texts (t, label, x, counts): the shingles s of which one is the first shared with any similar text.
 
     w is the text's weight, rest that of s and all shingles after it.
@@ -227,7 +233,7 @@ def prefixes(texts: DataFrame, docs: int, least: float) -> DataFrame:
                 h, tf = counted(x)
                 counts = np.frombuffer(held, np.uint32)
                 order = np.lexsort((h, counts))
-                w = weights(tf, counts, docs)[order]
+                w = weights(tf, counts, docs, share)[order]
                 total = w.sum()
                 rest = total - np.cumsum(w) + w
                 kept = (rest >= (least - 1e-9) * total) & (counts[order] > 1)  # what one row holds is shared with none
@@ -243,15 +249,15 @@ def several(rows: DataFrame, key: str) -> DataFrame:
     return groups.where("parts > 1").select(key, "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"))
 
 
-def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, docs: int, least: float) -> DataFrame:
-    """Candidate pairs (a, b) among texts of ``buckets`` (band, t) between the components that links ``good`` leave apart.
+def rest_of(buckets: DataFrame, labels: DataFrame, texts: DataFrame, docs: int, least: float, share: float = 0.0) -> DataFrame:
+    """Candidate pairs (a, b) among texts of ``buckets`` (band, t) between the components ``labels`` (node, label) that links leave apart.
 
     At each shingle the texts outside its commonest component are dealt into blocks and meet all others.
     """
-    labels = components(good).select(F.col("node").alias("t"), "label").hint("merge")
+    labels = labels.select(F.col("node").alias("t"), "label").hint("merge")
     rows = written(buckets.join(labels, "t", "left").select("band", "t", F.coalesce("label", "t").alias("label")), "labelled")
     mixed = written(rows.join(several(rows, "band").hint("merge"), "band").select("t", "label").distinct(), "mixed").hint("merge")
-    rows = written(prefixes(texts.join(mixed, "t"), docs, least), "prefixes")
+    rows = written(prefixes(texts.join(mixed, "t"), docs, least, share), "prefixes")
     rows = written(rows.join(written(several(rows, "s"), "several").hint("merge"), "s"), "prefixes")
     few = rows.where("label <> main").select("s", F.col("t").alias("ta"), F.col("label").alias("la"), F.col("w").alias("wa"), F.col("rest").alias("ra"), F.pmod(F.xxhash64("t", "s"), "blocks").alias("block"))
     every = rows.select("s", F.col("t").alias("tb"), F.col("label").alias("lb"), "main", F.col("w").alias("wb"), F.col("rest").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -261,12 +267,12 @@ def rest_of(buckets: DataFrame, good: DataFrame, texts: DataFrame, docs: int, le
     return pairs.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
 
 
-def links(texts: DataFrame, sketch: DataFrame, docs: int, least: float) -> DataFrame:
-    """(a, b, sim) of links between different texts, a < b, that join all texts of a class; texts are rows (t, x)."""
+def links(texts: DataFrame, sketch: DataFrame, docs: int, least: float, share: float = 0.0) -> DataFrame:
+    """(a, b), a < b: pairs of different texts of one class that join all of it; texts are rows (t, x)."""
     named = written(sketch.where(F.size("bands") > 0).groupBy("t").agg(F.first("bag").alias("bag"), F.first("bands").alias("bands"), F.first("counts").alias("counts")), "named")
     released(sketch)
     first = written(named.groupBy("bag").agg(F.min("t").alias("a"), F.count("*").alias("n")), "bags").hint("merge")
-    alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1"), "bag").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
+    alike = named.select("bag", F.col("t").alias("b")).join(first.where("n > 1"), "bag").where("a < b").select("a", "b")
     rows = named.join(first.select(F.col("a").alias("t")).hint("merge"), "t", "left_semi").select("t", F.explode("bands").alias("band"))
     size = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes").hint("merge")
     rows = written(rows.join(size, "band"), "bands")
@@ -277,26 +283,30 @@ def links(texts: DataFrame, sketch: DataFrame, docs: int, least: float) -> DataF
     texts = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("x").alias("x"))
     texts = written(texts.join(named.select("t", "counts").join(wanted, "t", "left_semi").hint("merge"), "t"), "texts")
 
-    found = written(verify(pairs_of(rows), texts, docs), "verified")
+    found = written(verify(pairs_of(rows), texts, docs, share), "verified")
+    good = found.where(F.col("sim") >= least).select("a", "b")
     large = rows.where(F.col("n") > SMALL).select("band", "t")
     if not large.isEmpty():
-        pairs = rest_of(large, found.where(F.col("sim") >= least).select("a", "b"), texts, docs, least)
+        labels = components(good)
+        pairs = rest_of(large, labels, texts, docs, least, share)
         pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        found = found.unionByName(written(verify(pairs, texts, docs), "verified"))
-    return found.where(F.col("sim") >= least).unionByName(alike)
+        more = written(verify(pairs, texts, docs, share), "verified").where(F.col("sim") >= least).select("a", "b")
+        good = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)  # a link a text holds what many do
+    return good.unionByName(alike)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, share: float = 0.0) -> DataFrame:
     """(key, class_id, class_text, class_size, t) of every distinct (key, text): class_id is the smallest key of its class.
 
     Classes that share their smallest key (a key of several texts, or null) differ in class_text, the smallest name of
-    the class's texts; it is null for null texts.
+    the class's texts; it is null for null texts.  With ``share`` shingles that a smaller part of the documents holds weigh
+    alike; without it the weights are plain TF-IDF.
     """
     with scratch() as keep:
         docs, chars = df.agg(F.count(text), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()
         rows = chunked(df, key, text, chars)
-        sketch = written(sketches(rows, docs, chars), "sketches")
-        labels = components(links(rows.select("t", "x"), sketch, docs, least)).select(F.col("node").alias("t"), "label")
+        sketch = written(sketches(rows, docs, chars, share), "sketches")
+        labels = components(links(rows.select("t", "x"), sketch, docs, least, share)).select(F.col("node").alias("t"), "label")
         members = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t")).distinct()
         members = keep(written(members.join(labels.hint("merge"), "t", "left").select("k", "t", F.coalesce("label", "t").alias("label")), "members"))
         heads = keep(written(members.groupBy("label").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "heads")).hint("merge")
@@ -306,11 +316,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     return out.unionByName(alone)
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, share: float = 0.0) -> DataFrame:
     """The rows of ``df`` that stay: of each class the document of the smallest key; null texts all stay."""
     k, t, h = fresh(df, "head_key", "head_text", "own_text")
     with scratch() as keep:
-        classes = near_duplicates(df.select(key, text), key, text, least).where(F.col("t").isNotNull())
+        classes = near_duplicates(df.select(key, text), key, text, least, share).where(F.col("t").isNotNull())
         heads = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_text").agg(F.min("t").alias(t), F.first("class_id").alias(k))
         heads = keep(written(heads.select(k, t), "heads")).hint("merge")
     kept = df.withColumn(h, F.xxhash64(F.col(text))).join(heads, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(t)), "left_semi")

@@ -53,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), share=neardup.SHARE).drop("t")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -710,6 +710,21 @@ def test_near_duplicates_count_every_shingle(spark):
     assert {r.class_size for r in neardup.near_duplicates(df).collect()} == {1}
 
 
+def test_edited_copies_of_a_large_group_stay_together(spark):
+    """Two changed words of 150: 0.87 or more of the shingles are shared by a pair's original, 0.76 by frequencies in a group of 200."""
+    rng = random.Random(18)
+    base, docs = words(rng, 150, 10**9).split(), [words(rng, 100, 10**9) for _ in range(200)]
+    for _ in range(200):
+        w = list(base)
+        for at in rng.sample(range(150), 2):
+            w[at] = f"edit{rng.randrange(10**9)}"
+        docs.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate([*docs, " ".join(base)])), "doc_id long, text string")
+    near = lambda share: Counter(r.class_id for r in neardup.near_duplicates(df, share=share).collect()).most_common(1)[0][1]
+    assert near(neardup.SHARE) == 201 > near(0.0)
+    assert neardup.keep_one(df, share=neardup.SHARE).count() == 201
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(14)
     est, true = [], []
