@@ -533,6 +533,16 @@ def test_bibtex_places_of_many_ranges(spark):
     assert out.where(~F.contains("bibtex", F.concat(F.lit("B2000_"), F.col("doc_id").cast("string"), F.lit(",")))).isEmpty()
 
 
+def test_bibtex_of_several_authors_of_one_id_and_of_braces(spark):
+    from quarry.sources.exports import bibtex
+
+    names = [f"A{i:02}" for i in range(40)]
+    papers = spark.createDataFrame([(1, "t", 2000, "{}", [n]) for n in reversed(names)] + [(2, "t", 2000, "", ["Z"])], "doc_id long, title string, year int, abstract string, authors array<string>")
+    out = dict((r.bibtex.split("{")[1].split(",")[0], r.bibtex) for r in bibtex(papers).collect())
+    assert sorted(out) == sorted([f"{n}2000_{i}" for i, n in enumerate(names)] + ["Z2000_40"])  # in the order of the authors
+    assert "  abstract = {},\n" in out["A002000_0"] and "abstract" not in out["Z2000_40"]
+
+
 def test_discovered_links_of_twenty_entities(spark):
     studied = spark.createDataFrame([(f"e{i:02}", d, i) for i in range(20) for d in "xy"], "entity string, domain string, doc_id int")
     links = L.discover(studied, spark.createDataFrame([("x", "y", 0.5)], "a string, b string, score double"), per_type=30)
