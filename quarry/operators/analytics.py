@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quarry.operators.tables import cut, first_n, released, sized
+from quarry.operators import packed as P
+from quarry.operators.packed import added
+from quarry.operators.tables import cut, first_n, place_of, released, sized
 
 
 def paper_similarity(domains: DataFrame, keywords: DataFrame | None = None, least: float = 0.55, bonus: float = 0.1, paper: DataFrame | None = None) -> DataFrame:
@@ -355,15 +357,6 @@ def xxhash64(*values: np.ndarray | int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def added(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of places (x, y) below n in order, with their summed weights."""
-    key = x * n + y
-    order = np.argsort(key, kind="stable")
-    key, w = key[order], w[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    return key[first] // n, key[first] % n, np.add.reduceat(w, first) if len(first) else w
-
-
 def largest_of(x: np.ndarray, gain: np.ndarray) -> np.ndarray:
     """Places of the entries of largest gain for each x, all of equal ones; x is in order."""
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
@@ -375,6 +368,26 @@ def last_of(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[x[1:] != x[:-1], True])
 
 
+def better_places(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: np.ndarray, k: np.ndarray, tot: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, community) of the nodes x that gain by a move from ``c``, each with the best; edges (x, y, w) are without loops."""
+    n = len(c)
+    node, to, kin = added(x, c[y], w, n)
+    own = to == c[node]
+    now = np.zeros(n)
+    each = node[np.flatnonzero(np.r_[True, node[1:] != node[:-1]])] if len(node) else node
+    now[each] = -k[each] * (tot[c[each]] - k[each]) / total
+    at = node[own]
+    now[at] = kin[own] - k[at] * (tot[c[at]] - k[at]) / total
+    node, to, kin = node[~own], to[~own], kin[~own]
+    if not len(node):
+        return node, to
+    gain = kin - k[node] * tot[to] / total
+    best = largest_of(node, gain)
+    best = best[last_of(node[best])]
+    best = best[gain[best] > now[node[best]] + 1e-9]
+    return node[best], to[best]
+
+
 def moves_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, rounds: int, levels: int) -> np.ndarray:
     """The communities of louvain for parts of a graph that no other edge meets, as places in ``nodes``; x, y are places too."""
     n = len(nodes)
@@ -386,22 +399,11 @@ def moves_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarra
             break
         x1, y1, w1 = x[out], y[out], w[out]
         for r in range(rounds):
-            tot = np.bincount(c, k, n)
-            node, to, kin = added(x1, c[y1], w1, n)
-            now, own = -k * (tot[c] - k) / total, to == c[node]
-            at = node[own]
-            now[at] = kin[own] - k[at] * (tot[c[at]] - k[at]) / total
-            node, to, kin = node[~own], to[~own], kin[~own]
+            node, to = better_places(x1, y1, w1, c, k, np.bincount(c, k, n), total)
             if not len(node):
                 break
-            gain = kin - k[node] * tot[to] / total
-            best = largest_of(node, gain)
-            best = best[last_of(node[best])]
-            best = best[gain[best] > now[node[best]] + 1e-9]
-            if not len(best):
-                break
-            best = best[xxhash64(nodes[node[best]], r) % (2 + r // 4) == 0]
-            c[node[best]] = to[best]
+            goes = xxhash64(nodes[node], r) % (2 + r // 4) == 0
+            c[node[goes]] = to[goes]
         if (c == np.arange(n)).all():
             break
         member = c[member]
@@ -409,60 +411,78 @@ def moves_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarra
     return member
 
 
-def mergers_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
-    """The groups of ``merged`` for parts of a graph that no other edge meets, as places in ``nodes``; x, y are places too."""
+def asked_mergers(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, total: float, r: int) -> tuple[int, np.ndarray]:
+    """How many of the edges (x, y, w), in order, gain by a merger, and the places of those by which x asks y to take it in."""
+    gain = w - k[x] * k[y] / total
+    near = np.flatnonzero(gain > 1e-9)
+    if not len(near):
+        return 0, near
+    best = near[largest_of(x[near], gain[near])]
+    tie = xxhash64(nodes[np.minimum(x[best], y[best])], nodes[np.maximum(x[best], y[best])])
+    best = best[np.lexsort((y[best], tie, x[best]))]
+    best = best[last_of(x[best])]
+    stays = lambda i: xxhash64(nodes[i], r) % 2 == 0
+    return len(near), best[~stays(x[best]) & stays(y[best])]
+
+
+def granted(a: np.ndarray, b: np.ndarray, w: np.ndarray, ka: np.ndarray, kb: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of those that join, of all that ask the same b: in the order of gain, while it gains after all before."""
+    order = np.lexsort((a, -(w - ka * kb / total), b))
+    a, b, w, ka, kb = (v[order] for v in (a, b, w, ka, kb))
+    if not len(a):
+        return a, b
+    before = np.cumsum(ka) - ka
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    before -= np.repeat(before[first], np.diff(np.r_[first, len(b)]))
+    joins = w - ka * (kb + before) / total > 1e-9
+    return a[joins], b[joins]
+
+
+def mergers_in_parts(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, k: np.ndarray | None = None, begin: int = 0) -> np.ndarray:
+    """The groups of ``merged`` for parts of a graph that no other edge meets, as places in ``nodes``; x, y are places too.
+
+    With ``k``, the weights of groups, it goes on from round ``begin``.
+    """
     n = len(nodes)
-    k, member = np.bincount(x, w, n), np.arange(n)
+    k, member = np.bincount(x, w, n) if k is None else k, np.arange(n)
     x, y, w = added(x, y, w, n)
-    for r in itertools.count():
-        gain = w - k[x] * k[y] / total
-        near = np.flatnonzero(gain > 1e-9)
-        if not len(near):
+    for r in itertools.count(begin):
+        near, ask = asked_mergers(nodes, x, y, w, k, total, r)
+        if not near:
             return member
-        best = near[largest_of(x[near], gain[near])]
-        tie = xxhash64(nodes[np.minimum(x[best], y[best])], nodes[np.maximum(x[best], y[best])])
-        best = best[np.lexsort((y[best], tie, x[best]))]
-        best = best[last_of(x[best])]
-        stays = xxhash64(nodes, r) % 2 == 0
-        best = best[~stays[x[best]] & stays[y[best]]]
-        best = best[np.lexsort((x[best], -gain[best], y[best]))]
-        a, b = x[best], y[best]
+        a, b = granted(x[ask], y[ask], w[ask], k[x[ask]], k[y[ask]], total)
         if not len(a):
             continue
-        before = np.cumsum(k[a]) - k[a]
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        before -= np.repeat(before[first], np.diff(np.r_[first, len(b)]))
-        joins = w[best] - k[a] * (k[b] + before) / total > 1e-9
         c = np.arange(n)
-        c[a[joins]] = b[joins]
+        c[a] = b
         k, member = np.bincount(c, k, n), c[member]
         x, y = c[x], c[y]
         out = x != y
         x, y, w = added(x[out], y[out], w[out], n)
 
 
-def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], joined: Callable[[DataFrame, float], DataFrame], largest: int, load: int = 500_000) -> DataFrame:
+def pairs_of(edges: DataFrame) -> DataFrame:
+    """The different pairs (a, b, w), a < b, of a graph (a, b[, w]), stored; weights of repeats add up."""
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(["w"] if "w" in edges.columns else []))
+    return cut(pairs.groupBy("a", "b").agg(F.sum("w").alias("w")) if "w" in edges.columns else pairs.distinct().withColumn("w", F.lit(1.0)))
+
+
+def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], rounds: Callable[[DataFrame, float], DataFrame], joined: Callable[[DataFrame, float], DataFrame], largest: int) -> DataFrame:
     """(node, community), the smallest node of each group of an undirected graph (a, b[, w]) whose edges' ends alone decide.
 
-    Connected components of at most ``largest`` edges go to tasks whole, many small ones to one of about ``load`` edges,
-    where ``whole`` gives groups from (nodes, x, y, w, total); larger ones, and nodes that are not longs, go by ``joined``
-    from (a, b, w) in both directions and the total weight to (node, c).  Both take the weight of the whole graph.
+    A graph of at most ``largest`` edges goes to a task whole, where ``whole`` gives groups from (nodes, x, y, w, total); a
+    larger one goes by ``rounds`` over packed rows from (a, b, w) and the total weight to (node, community); nodes that
+    are not longs go by ``joined`` from (a, b, w) in both directions and the total weight to (node, c).
     """
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(["w"] if "w" in edges.columns else []))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("w").alias("w")) if "w" in edges.columns else pairs.distinct().withColumn("w", F.lit(1.0)))
-    total = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
-    kind = pairs.schema["a"].dataType
+    pairs = pairs_of(edges)
+    n, weight = pairs.agg(F.count("*"), F.sum("w")).first()
+    total = 2 * (weight or 0.0)
     if not total:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
-    both = lambda e: cut(e.select("a", "b", "w").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    if not isinstance(kind, LongType):
-        return by_smallest(joined(both(pairs), total))
-    rows = cut(pairs.join(sized(cut(components(pairs).withColumnRenamed("node", "a"))), "a"))
-    parts = cut(rows.groupBy("component").agg(F.count("*").alias("edges")))
-    small, big = parts.agg(F.coalesce(F.sum(F.when(F.col("edges") <= largest, F.col("edges"))), F.lit(0)), F.count(F.when(F.col("edges") > largest, 1))).first()
-    mine, tasks = rows, max(1, -(-small // load))
-    if big:
-        mine = rows.join(sized(parts.where(F.col("edges") <= largest).select("component")), "component")
+    if not isinstance(pairs.schema["a"].dataType, LongType):
+        return by_smallest(joined(cut(pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))), total))
+    if n > largest:
+        return rounds(pairs, total)
 
     def solved(t: pa.Table) -> pa.Table:
         a, b, w = (t[c].to_numpy() for c in "abw")
@@ -473,22 +493,137 @@ def in_parts(edges: DataFrame, whole: Callable[..., np.ndarray], joined: Callabl
         np.minimum.at(least, c, np.arange(len(nodes)))
         return pa.table({"node": nodes, "community": nodes[least[c]]})
 
-    dealt = mine.select("a", "b", "w", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")).repartition(tasks, "task")
-    found = dealt.groupBy("task").applyInArrow(solved, "node long, community long")
-    if big:
-        rest = rows.join(sized(parts.where(F.col("edges") > largest).select("component")), "component")
-        found = found.unionByName(by_smallest(joined(both(rest), total)))
-    return found
+    return pairs.groupBy(F.lit(0).alias("all")).applyInArrow(solved, "node long, community long")
+
+
+def _weights_of(g: P.Graph) -> DataFrame:
+    """(node, k) in packed rows: the summed weights of every node's edges."""
+    n = g.n
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, _, w in P.each(batches):
+            k, node = np.bincount(x, w, n), np.unique(x)
+            yield P.row(node=P.put(node), k=P.put(k[node]))
+
+    return cut(g.rows.mapInArrow(weigh, "node binary, k binary"))
+
+
+def _last_whole(g: P.Graph, rows: DataFrame, whole: Callable[..., np.ndarray]) -> DataFrame:
+    """(node, to) in packed rows: the groups that ``whole`` finds from (nodes, x, y, w) in one task."""
+    ids = g.ids
+
+    def last(t: pa.Table) -> pa.Table:
+        c = whole(P.ids_of(ids), P.ints(t["x"]), P.ints(t["y"]), P.doubles(t["w"]))
+        node = np.flatnonzero(c != np.arange(len(c)))
+        return pa.table({"node": [P.put(node)], "to": [P.put(c[node])]})
+
+    return cut(rows.groupBy(F.lit(0).alias("all")).applyInArrow(last, "node binary, to binary"))
+
+
+def _packed_moves(pairs: DataFrame, total: float, rounds: int, levels: int, largest: int) -> DataFrame:
+    """(node, community) by the rounds and levels of louvain over packed rows; a level of at most ``largest`` edges goes to a task."""
+    g = P.graph(pairs, cut, place_of)
+    weights, n, ids = _weights_of(g), g.n, g.ids
+    strength, done, e = place_of(weights), [], g.rows
+
+    def moves(before: list[str], now: list[str], r: int):
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            k, c, nodes = np.bincount(P.followed(before, n), P.values(strength, n, "k"), n), P.followed(now, n), P.ids_of(ids)
+            tot = np.bincount(c, k, n)
+            for _, x, y, w in P.each(batches):
+                own, out = np.unique(x), x != y
+                node, to = better_places(x[out], y[out], w[out], c, k, tot, total)
+                goes = xxhash64(nodes[node], r) % (2 + r // 4) == 0
+                new = c[own]
+                new[np.searchsorted(own, node[goes])] = to[goes]
+                off = new != own
+                yield P.row(node=P.put(own[off]), to=P.put(new[off]), wants=len(node), moved=int(off.sum()))
+
+        return move
+
+    for level in range(levels):
+        if level and P.size(e) <= 2 * largest:
+            done.append(place_of(_last_whole(g, e, lambda nodes, x, y, w, m=levels - level: moves_in_parts(nodes, x, y, w, total, rounds, m))))
+            break
+        now, moved = [], 0
+        for r in range(rounds):
+            step = cut(e.mapInArrow(moves(done, now, r), "node binary, to binary, wants long, moved long"))
+            wants, off = step.agg(F.sum("wants"), F.sum("moved")).first()
+            if not wants:
+                break
+            now, moved = [place_of(step)], off
+        if not moved:
+            break
+        done += now
+        last, e = e, cut(P.renamed(g, e, now[0], True))
+        released(last)
+    return P.named(g, pairs.sparkSession, done)
+
+
+def _packed_mergers(pairs: DataFrame, total: float, largest: int, kept: int = 6) -> DataFrame:
+    """(node, community) by the rounds of ``merged`` over packed rows; what is left of at most ``largest`` edges goes to a task.
+
+    Every ``kept`` rounds the groups so far are stored as one step.
+    """
+    g = P.graph(pairs, cut, place_of)
+    weights, n, ids, parts = _weights_of(g), g.n, g.ids, g.parts
+    strength, done, e = place_of(weights), [], g.rows
+
+    def asks(before: list[str], r: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            k, nodes = np.bincount(P.followed(before, n), P.values(strength, n, "k"), n), P.ids_of(ids)
+            for part, x, y, w in P.each(batches):
+                near, i = asked_mergers(nodes, x, y, w, k, total, r)
+                out = P.dealt(y[i] % parts, ["a", "b", "w", "ka", "kb"], x[i], y[i], w[i], k[x[i]], k[y[i]])
+                yield out.append_column("near", pa.array([0] * out.num_rows, pa.int64()))
+                yield pa.record_batch([pa.array([part], pa.int32()), *[pa.array([b""], pa.binary())] * 5, pa.array([near], pa.int64())], out.schema.names + ["near"])
+
+        return ask
+
+    def grant(t: pa.Table) -> pa.Table:
+        a, b = granted(P.ints(t["a"]), P.ints(t["b"]), *(P.doubles(t[c]) for c in ("w", "ka", "kb")), total)
+        return pa.table({"node": [P.put(a)], "to": [P.put(b)], "near": [sum(t["near"].to_pylist())], "joined": [len(a)]})
+
+    def together(paths: list[str]):
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = P.followed(paths, n)
+            for b in batches:
+                for part in b["part"].to_pylist():
+                    own = np.arange(part, n, parts)
+                    yield P.row(node=P.put(own), to=P.put(m[own]))
+
+        return follow
+
+    spark = pairs.sparkSession
+    for r in itertools.count():
+        if P.size(e) <= 2 * largest:
+            before = list(done)
+
+            def last(nodes, x, y, w, begin=r):
+                return mergers_in_parts(nodes, x, y, w, total, np.bincount(P.followed(before, n), P.values(strength, n, "k"), n), begin)
+
+            return P.named(g, spark, [*done, place_of(_last_whole(g, e, last))])
+        step = e.mapInArrow(asks(list(done), r), "part int, a binary, b binary, w binary, ka binary, kb binary, near long")
+        step = cut(step.groupBy("part").applyInArrow(grant, "node binary, to binary, near long, joined long"))
+        near, joined = step.agg(F.sum("near"), F.sum("joined")).first()
+        if not near:
+            return P.named(g, spark, done)
+        if joined:
+            done.append(place_of(step))
+            last_rows, e = e, cut(P.renamed(g, e, done[-1], False))
+            released(last_rows)
+            if len(done) > kept:
+                done = [place_of(cut(spark.range(parts).select(F.col("id").alias("part")).mapInArrow(together(list(done)), "node binary, to binary")))]
 
 
 def greedy_communities(edges: DataFrame, largest: int = 2_000_000) -> DataFrame:
     """(node, community) by greedy merging of neighbours over the modularity gain, from single nodes on.
 
     Every community is connected and no two neighbouring ones gain by a merger.  Compare partitions by modularity,
-    not by label.  Loops count for nothing; an empty graph gives no rows.  Connected components of at most ``largest``
-    edges go to tasks whole, larger ones merge through joins, by the same rules.
+    not by label.  Loops count for nothing; an empty graph gives no rows.  A graph of at most ``largest`` edges goes
+    to a task whole, a larger one merges in rounds over packed rows, by the same rules.
     """
-    return in_parts(edges, mergers_in_parts, merged, largest)
+    return in_parts(edges, mergers_in_parts, lambda pairs, total: _packed_mergers(pairs, total, largest), merged, largest)
 
 
 def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10, largest: int = 2_000_000) -> DataFrame:
@@ -497,13 +632,13 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 10, largest: int =
     In a round every node computes the gain of joining each neighbouring community; of those that gain a part by hash
     moves, one in two at first and fewer later, so that neighbours do not swap for ever.  When no node gains by a
     move (after ``rounds`` at the latest) communities become nodes, until a level joins nothing.  The labels are the
-    smallest members; compare partitions by modularity, not by label.  Connected components of at most ``largest``
-    edges go to tasks whole, larger ones move through joins, by the same rules.
+    smallest members; compare partitions by modularity, not by label.  A graph of at most ``largest`` edges goes to a
+    task whole, a larger one moves in rounds over packed rows, by the same rules.
     """
     def whole(*part) -> np.ndarray:
         return moves_in_parts(*part, rounds, levels)
 
-    return in_parts(edges, whole, lambda e, total: _joined_moves(e, total, rounds, levels), largest)
+    return in_parts(edges, whole, lambda pairs, total: _packed_moves(pairs, total, rounds, levels, largest), lambda e, total: _joined_moves(e, total, rounds, levels), largest)
 
 
 def _joined_moves(level: DataFrame, total: float, rounds: int, levels: int) -> DataFrame:

@@ -56,6 +56,11 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
         spark.conf.set(INFER, before)
 
 
+def place_of(df: DataFrame) -> str:
+    """Where a plain copy of ``cut`` lies."""
+    return _PLACES[df]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt over all tasks, for work on long rows whose files have few row groups."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -698,3 +698,23 @@ def test_blocks_of_searches_known_beforehand(spark, monkeypatch):
     df = spark.createDataFrame([(1, "the then cat"), (2, "dog the"), (3, None), (4, "cat")], "doc_id int, text string")
     some = rows(S.build_postings(df, "doc_id", ["text"], words=spark.createDataFrame([("the",), ("the",), ("cat",)], "word string")))
     assert some == [r for r in rows(S.build_postings(df, "doc_id", ["text"])) if r[2] in ("the", "cat")] and len(some) == 4
+
+
+def never(*_):
+    raise AssertionError("all edges went through joins")
+
+
+def test_large_louvain_goes_without_joins(spark, monkeypatch):
+    e = few_parts(spark)
+    whole = rows(A.louvain(e))
+    monkeypatch.setattr(A, "_joined_moves", never)
+    monkeypatch.setattr(A.P, "PACK", 8)  # many parts
+    assert rows(A.louvain(e, largest=5)) == whole
+
+
+def test_large_greedy_merging_goes_without_joins(spark, monkeypatch):
+    e = few_parts(spark)
+    whole = rows(A.greedy_communities(e))
+    monkeypatch.setattr(A, "merged", never)
+    monkeypatch.setattr(A.P, "PACK", 8)
+    assert rows(A.greedy_communities(e, largest=5)) == whole
