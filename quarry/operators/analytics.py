@@ -749,8 +749,8 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, largest: int
 
     Without ``sources`` every node is one, which is exact; a sample scales as n / sample in expectation and is left to the
     caller.  Connected components of at most ``largest`` edges go to tasks whole, many small ones to one, and one with many
-    sources to several by slices of these, so that each has about ``load`` edges to follow; in larger ones all sources
-    advance together through joins.
+    sources to several by slices of these, so that each has about ``load`` edges to follow; in larger ones of longs
+    the sources are dealt over tasks, which read the edges part by part for each step, and other nodes go by joins.
     """
     e = cut(undirected(edges).select("a", "b"))
     s = (sources.select("node") if sources is not None else e.select(F.col("a").alias("node"))).where("node is not null").distinct()
@@ -776,10 +776,53 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, largest: int
         found = total
     else:
         big = mine.where("not whole").select("node", "asked")
-        found = total.unionByName(_joined_dependencies(e.join(big.select(F.col("node").alias("a")).hint("merge"), "a", "left_semi"), big.where("asked").select("node")))
+        rest, starts = e.join(big.select(F.col("node").alias("a")).hint("merge"), "a", "left_semi"), big.where("asked").select("node")
+        found = total.unionByName(_packed_dependencies(rest, starts) if kind == "bigint" else _joined_dependencies(rest, starts))
     return e.select(F.col("a").alias("node")).distinct().join(found.groupBy("node").agg((F.sum("dep") / 2).alias("dep")).hint("merge"), "node", "left").select("node", F.coalesce("dep", F.lit(0.0)).alias("betweenness"))
 
 
+def pulled_dependencies(path: str, n: int, sources: np.ndarray) -> np.ndarray:
+    """The summed dependencies of n nodes on the sources, all in step; every step reads the stored edges once."""
+    each = np.arange(len(sources))
+    d, paths, dep = np.full((n, len(each)), -1, np.int32), np.zeros((n, len(each))), np.zeros((n, len(each)))
+    d[sources, each], paths[sources, each] = 0, 1
+    step, more = 0, True
+    while more:
+        front, more = np.where(d == step, paths, 0.0), False
+        step += 1
+        for x, y, first in P.runs(path):
+            got = np.add.reduceat(front[y], first, axis=0)
+            i, j = np.nonzero((got > 0) & (d[x] < 0))
+            d[x[i], j], paths[x[i], j] = step, got[i, j]
+            more |= len(i) > 0
+    for t in range(step - 1, 1, -1):
+        here = d == t
+        below = np.divide(1 + dep, paths, out=np.zeros_like(paths), where=here)
+        for x, y, first in P.runs(path):
+            dep[x] += np.where(d[x] == t - 1, paths[x] * np.add.reduceat(below[y], first, axis=0), 0.0)
+    return dep.sum(1)
+
+
+def _packed_dependencies(edges: DataFrame, sources: DataFrame, most: int = 15_000_000) -> DataFrame:
+    """(node, dep) over the sources (node): each task takes some, as many at once as give ``most`` numbers of state, and reads the packed edges."""
+    g = P.graph(edges.where("a < b").select("a", "b", F.lit(1.0).alias("w")), cut, place_of)
+    ids, path, n = g.ids, place_of(g.rows), g.n
+    tasks = edges.sparkSession.sparkContext.defaultParallelism
+
+    def depend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = P.ids_of(ids)
+        for t in P.batched(batches):
+            s = np.searchsorted(nodes, t["node"].to_numpy())
+            for some in np.array_split(s, -(-len(s) * n // most)) if len(s) else []:
+                dep = pulled_dependencies(path, n, some)
+                yield pa.record_batch({"node": nodes, "dep": dep})
+
+    # one task a partition of the sources, each of the same number
+    place = F.row_number().over(Window.orderBy(F.xxhash64("node"))) % tasks if sources.count() <= 100_000 else F.pmod(F.xxhash64("node"), F.lit(tasks))
+    dealt_out = cut(sources.withColumn("task", place.cast("int")))
+    return dealt_out.repartitionByRange(tasks, "task").select("node").mapInArrow(depend, "node long, dep double")
+
+
 def _joined_dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, dep) over the sources, state keyed by (source, node); a step reaches the last two layers or new nodes only."""
     e = cut(edges.select("a", "b"), "a")

@@ -718,3 +718,13 @@ def test_large_greedy_merging_goes_without_joins(spark, monkeypatch):
     monkeypatch.setattr(A, "merged", never)
     monkeypatch.setattr(A.P, "PACK", 8)
     assert rows(A.greedy_communities(e, largest=5)) == whole
+
+
+def test_betweenness_of_a_large_part_goes_without_joins(spark, monkeypatch):
+    e = few_parts(spark).select("a", "b")
+    few = e.select(F.col("a").alias("node")).where("node % 3 = 0")
+    rounded = lambda **k: {r.node: round(r.betweenness, 9) for r in A.betweenness(e, few, **k).collect()}
+    whole = rounded()
+    monkeypatch.setattr(A, "_joined_dependencies", never)
+    monkeypatch.setattr(A.P, "PACK", 8)
+    assert rounded(largest=0) == whole and any(whole.values())
