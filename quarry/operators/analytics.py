@@ -224,7 +224,52 @@ def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
     In a round only nodes of one parity of a hash change, so that neighbours do not swap for ever; it ends when a
     round of either parity changes nothing.  Labels that still move after ``rounds`` rounds are an error.
     """
-    e = cut(undirected(edges).select("a", "b", "w"), "b")
+    pairs = pairs_of(edges)
+    if isinstance(pairs.schema["a"].dataType, LongType):
+        return _packed_labels(pairs, rounds)
+    return _joined_labels(pairs, rounds)
+
+
+def _packed_labels(pairs: DataFrame, rounds: int) -> DataFrame:
+    """(node, community) by the rounds of label_propagation over packed rows, which no round shuffles."""
+    g = P.graph(pairs, cut, place_of)
+    ids, n = g.ids, g.n
+
+    def votes(now: list[str], r: int):
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            label, nodes = P.followed(now, n), P.ids_of(ids)
+            for _, x, y, w in P.each(batches):
+                node, to, v = added(x, label[y], w, n)
+                if not len(node):
+                    continue
+                best = largest_of(node, v)  # all of equal weight, by node and label
+                node, to = node[best], to[best]
+                first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                stays = np.add.reduceat((to == label[node]).astype(int), first) > 0
+                node, to = node[first], to[first]
+                goes = ~stays & (xxhash64(nodes[node], r // 2) % 2 == r % 2)
+                new = np.where(goes, to, label[node])
+                off = new != node
+                yield P.row(node=P.put(node[off]), to=P.put(new[off]), moved=int(goes.sum()))
+
+        return vote
+
+    still, now, last = 0, [], None
+    for r in range(rounds):
+        new = cut(g.rows.mapInArrow(votes(now, r), "node binary, to binary, moved long"))
+        now = [place_of(new)]
+        still = 0 if new.agg(F.sum("moved")).first()[0] else still + 1
+        if last is not None:
+            released(last)
+        last = new
+        if still >= 2 and r % 2:  # both parities of one dealing
+            return P.named(g, pairs.sparkSession, now)
+    raise RuntimeError(f"labels still move after {rounds} rounds")
+
+
+def _joined_labels(pairs: DataFrame, rounds: int) -> DataFrame:
+    """(node, community) by the rounds of label_propagation, through joins."""
+    e = cut(pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "b")
     labels = cut(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     still, old = 0, [labels]
     for r in range(rounds):

@@ -720,6 +720,14 @@ def test_large_greedy_merging_goes_without_joins(spark, monkeypatch):
     assert rows(A.greedy_communities(e, largest=5)) == whole
 
 
+def test_label_propagation_goes_without_joins(spark, monkeypatch):
+    e = few_parts(spark)
+    joined = rows(A._joined_labels(A.pairs_of(e), 200))
+    monkeypatch.setattr(A, "_joined_labels", never)
+    assert rows(A.label_propagation(e)) == joined and len({c for _, c in joined}) > 3
+    assert A.label_propagation(e.where("a = b")).count() == 0
+
+
 def test_betweenness_of_a_large_part_goes_without_joins(spark, monkeypatch):
     e = few_parts(spark).select("a", "b")
     few = e.select(F.col("a").alias("node")).where("node % 3 = 0")
