@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.tables import first_n
+from quarry.operators.tables import cut, first_n
 
 DEFAULT_AFFINITY = 0.3
 TEMPLATES = {
@@ -60,15 +60,21 @@ def semantic_bridges(source: DataFrame, target: DataFrame, chunks: int = 10, lea
     return once.orderBy(F.desc("score"), "c").limit(k).select(F.col("c").alias("chunk_id"), F.col("d").alias("doc_id"), F.col("chunk_id").alias("other_chunk"), F.col("doc_id").alias("other_doc"), "score")
 
 
-def cascades(relations: DataFrame, studied: DataFrame, start: int, max_depth: int = 3, least: int = 2, limit: int | None = None) -> DataFrame:
+def breadth(studied: DataFrame) -> DataFrame:
+    """(entity, domains, papers): in how many different domains and papers each entity is studied."""
+    return studied.groupBy("entity").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("doc_id").alias("papers"))
+
+
+def cascades(relations: DataFrame, studied: DataFrame, start: int, max_depth: int = 3, least: int = 2, limit: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(path, depth, domains, papers): chains of 1 to max_depth relations, in either direction, from an entity to one of several domains.
 
     No relation occurs twice in a chain; parallel relations between the same entities give one chain.  ``limit`` is
     the size of a report: the shortest chains, then by path; longer ones are then not made once there are enough.
+    ``known`` is the breadth of ``studied`` where that is stored.
     """
     e = relations.select("subject", "object", "type").distinct().withColumn("edge", F.xxhash64("subject", "object", "type"))
     both = e.select(F.col("subject").alias("at"), F.col("object").alias("to"), "edge").unionByName(e.where("subject <> object").select(F.col("object").alias("at"), F.col("subject").alias("to"), "edge"))
-    spread = studied.groupBy("entity").agg(F.count_distinct("domain").alias("domains"), F.count_distinct("doc_id").alias("papers")).where(F.col("domains") >= least)
+    spread = (breadth(studied) if known is None else known).where(F.col("domains") >= least)
     paths = both.where(F.col("at") == start).select(F.array("at", "to").alias("path"), F.array("edge").alias("edges"))
     found = None
     for depth in range(1, max_depth + 1):
@@ -156,10 +162,15 @@ def discover(studied: DataFrame, table: DataFrame, relations: DataFrame | None =
 
     Shared-entity links of the first ``entities``; with relations, also the cascades of the first ``started``.
     """
-    top = multi_domain(studied, entities).select("entity")
+    if relations is None:
+        widest = lambda k: multi_domain(studied, k)
+    else:  # stored, since every chain asks for both
+        known, relations = cut(breadth(studied)), cut(relations.select("subject", "object", "type").distinct())
+        widest = lambda k: known.where("domains >= 2").orderBy(F.desc("domains"), "entity").limit(k)
+    top = widest(entities).select("entity")
     out = shared_links(studied.join(F.broadcast(top), "entity", "left_semi"), table).select("link_type", "link_id", "affinity")
     if relations is not None:
-        for r in multi_domain(studied, started).select("entity").collect():  # a report's few entities
-            chains = cascades(relations, studied, r["entity"], limit=per_type)
+        for r in widest(started).select("entity").collect():  # a report's few entities
+            chains = cascades(relations, studied, r["entity"], limit=per_type, known=known)
             out = out.unionByName(chains.select(F.lit("cascade").alias("link_type"), link_id(F.lit("cascade"), F.col("path")).alias("link_id"), F.lit(0.5).alias("affinity")))
     return capped(out, per_type)

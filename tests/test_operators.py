@@ -736,3 +736,23 @@ def test_betweenness_of_a_large_part_goes_without_joins(spark, monkeypatch):
     monkeypatch.setattr(A, "_joined_dependencies", never)
     monkeypatch.setattr(A.P, "PACK", 8)
     assert rounded(largest=0) == whole and any(whole.values())
+
+
+def test_discovered_cascades_read_their_tables_once(spark, tmp_path):
+    """Chains of five starts: relations are evaluated once, what is studied for its breadth and for the shared links."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(i, (i * 7 + j) % 30, "p") for i in range(30) for j in (1, 2, 3)], "subject long, object long, type string")
+    relations = pairs.coalesce(1).mapInArrow(seen, pairs.schema)
+    studied = spark.createDataFrame([(i, d, i) for i in range(30) for d in "xy"], "entity long, domain string, doc_id long")
+    table = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, score double")
+    got = rows(L.discover(studied, table, relations))
+    assert runs.value == pairs.count()
+    want = {r.path for n in range(5) for r in L.cascades(pairs, studied, n, limit=10).collect()}
+    chains = [r for r in got if r[0] == "cascade"]
+    assert len(chains) == 10 and {r[1] for r in chains} <= {r[0] for r in spark.createDataFrame([(p,) for p in want], "p string").select(L.link_id(F.lit("cascade"), F.col("p"))).collect()}
